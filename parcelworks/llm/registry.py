@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate
+from . import decontaminate, language, quality
 
-QUERIES = {"op1_decontaminate": decontaminate.op1}
+QUERIES = {
+    "op1_decontaminate": decontaminate.op1,
+    "op3_quality": quality.op3,
+    "op4_language": language.op4,
+}
 
 ORACLE_SQL = {"op1_decontaminate": decontaminate.ORACLE}
