@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, quality
+from . import decontaminate, language, licenses, quality
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1,
+    "op2_licenses": licenses.op2,
     "op3_quality": quality.op3,
     "op4_language": language.op4,
 }
