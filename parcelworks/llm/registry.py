@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, licenses, quality
+from . import decontaminate, language, licenses, packing, quality
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1,
     "op2_licenses": licenses.op2,
     "op3_quality": quality.op3,
     "op4_language": language.op4,
+    "op9_packing": packing.op9,
 }
 
 ORACLE_SQL = {"op1_decontaminate": decontaminate.ORACLE}
