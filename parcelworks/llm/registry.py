@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, licenses, packing, quality
+from . import decontaminate, language, licenses, lines, packing, quality
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1,
     "op2_licenses": licenses.op2,
     "op3_quality": quality.op3,
     "op4_language": language.op4,
+    "op6_lines": lines.op6,
     "op9_packing": packing.op9,
 }
 
-ORACLE_SQL = {"op1_decontaminate": decontaminate.ORACLE}
+ORACLE_SQL = {
+    "op1_decontaminate": decontaminate.ORACLE,
+    "op6_lines": lines.ORACLE,
+}
