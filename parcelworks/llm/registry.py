@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, licenses, lines, packing, quality
+from . import decontaminate, language, licenses, lines, near_duplicates, packing, quality
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_language": language.op4,
     "op6_lines": lines.op6,
     "op9_packing": packing.op9,
+    "op10_near_duplicates": near_duplicates.op10,
 }
 
 ORACLE_SQL = {
