@@ -1,11 +1,55 @@
-"""Corpus pipeline (stages are added as they are built)."""
+"""The corpus pipeline: language, repeated lines, near-duplicates, benchmark passages, packing.
 
-STAGES = []
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame over all that its predecessor kept; all but the
+last return the columns of documents.  A runner writes each stage's result as Parquet and reads it back for the next.
+"""
+
+from __future__ import annotations
+
+from parcelworks.llm import decontaminate, language, lines, near_duplicates, packing
+from parcelworks.llm.common import stored, table
+
+
+def identify_language(spark, docs, sf_dir):
+    """Drops texts without a letter and those that no language profile is near to."""
+    return language.keep_identified(docs)
+
+
+def drop_repeated_lines(spark, docs, sf_dir):
+    """Drops the boilerplate lines of each source."""
+    return lines.dedup_lines(docs)
+
+
+def drop_near_duplicates(spark, docs, sf_dir):
+    """Keeps the document with the smallest id of each group."""
+    return near_duplicates.keep_first(docs)
+
+
+def drop_contaminated(spark, docs, sf_dir):
+    """Drops documents of which benchmark passages make up 5 per cent or more."""
+    return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pack(spark, docs, sf_dir):
+    """Packs the rest into sequences."""
+    return packing.packed(docs)
+
+
+STAGES = [
+    ("language", identify_language),
+    ("line_dedup", drop_repeated_lines),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontaminate", drop_contaminated),
+    ("pack", pack),
+]
+
+#: No SQL: learnt profiles, sketches and packing are held against brute force in tests/llm/test_pipeline.py.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    """All stages over documents, each one's result written to the shared folder and read back."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
     return docs
