@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, licenses, lines, near_duplicates, packing, quality
+from . import decontaminate, language, licenses, lines, near_duplicates, packing, quality, suffix_tree
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_quality": quality.op3,
     "op4_language": language.op4,
     "op6_lines": lines.op6,
+    "op7_suffix_tree": suffix_tree.op7,
     "op9_packing": packing.op9,
     "op10_near_duplicates": near_duplicates.op10,
 }
