@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, licenses, lines, near_duplicates, packing, quality, suffix_tree
+from . import decontaminate, edits, language, licenses, lines, near_duplicates, packing, quality, suffix_tree
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_language": language.op4,
     "op6_lines": lines.op6,
     "op7_suffix_tree": suffix_tree.op7,
+    "op8_token_counts": edits.op8,
     "op9_packing": packing.op9,
     "op10_near_duplicates": near_duplicates.op10,
 }
