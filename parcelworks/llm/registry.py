@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, edits, language, licenses, lines, near_duplicates, packing, quality, suffix_tree
+from . import decontaminate, edits, language, licenses, lines, near_duplicates, packing, pages, quality, suffix_tree
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1,
     "op2_licenses": licenses.op2,
     "op3_quality": quality.op3,
     "op4_language": language.op4,
+    "op5_pages": pages.op5,
     "op6_lines": lines.op6,
     "op7_suffix_tree": suffix_tree.op7,
     "op8_token_counts": edits.op8,
@@ -18,5 +19,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_decontaminate": decontaminate.ORACLE,
+    "op5_pages": pages.op5,
     "op6_lines": lines.ORACLE,
 }
