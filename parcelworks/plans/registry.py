@@ -440,14 +440,14 @@ def trs_extract(spark, sf_dir):
 
 @query(
     "traverse_closure",
-    """SELECT o_orderkey AS job, n AS calls, CAST(round(length, 2) AS DOUBLE) AS length, CASE WHEN e <= 0.5 THEN 'ok' WHEN e <= 1 THEN 'info' WHEN e <= 5 THEN 'warn' ELSE 'critical' END AS closure FROM (SELECT *, sqrt(x * x + y * y) AS e FROM (SELECT l_orderkey AS o_orderkey, count(*) AS n, sum(l_quantity) AS length,
-sum(l_quantity * sin(radians((l_partkey * 37 + l_linenumber * 90) % 360))) AS x, sum(l_quantity * cos(radians((l_partkey * 37 + l_linenumber * 90) % 360))) AS y FROM lineitem GROUP BY 1))""",
+    """SELECT o_orderkey AS job, n AS calls, CAST(round(length, 2) AS DOUBLE) AS length, CASE WHEN e <= 0.5 THEN 'ok' WHEN e <= 1 THEN 'info' WHEN e <= 5 THEN 'warn' ELSE 'critical' END AS closure FROM (SELECT *, sqrt(x * x + y * y) AS e FROM (SELECT l_orderkey AS o_orderkey, count(*) AS n, sum(l_quantity + 0.3) AS length,
+sum((l_quantity + 0.3) * sin(radians((l_partkey * 37 + l_linenumber * 90) % 360))) AS x, sum((l_quantity + 0.3) * cos(radians((l_partkey * 37 + l_linenumber * 90) % 360))) AS y FROM lineitem GROUP BY 1))""",
 )
 def traverse_closure(spark, sf_dir):
     from parcelworks.functions import geometry as G
 
     azimuth = ((F.col("l_partkey") * 37 + F.col("l_linenumber") * 90) % 360).cast("double")
-    call = F.struct("l_linenumber", azimuth.alias("azimuth_deg"), F.col("l_quantity").alias("distance"))
+    call = F.struct("l_linenumber", azimuth.alias("azimuth_deg"), (F.col("l_quantity") + 0.3).alias("distance"))
     jobs = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("job")).agg(F.sort_array(F.collect_list(call)).alias("calls"))
     corners = jobs.withColumn("pts", G.traverse(F.col("calls")))
     return corners.select("job", F.size("calls").cast("bigint").alias("calls"), F.round(G.perimeter(F.col("calls")), 2).alias("length"), G.closure_class(G.closure(F.col("pts"))).alias("closure"))
