@@ -83,7 +83,7 @@ def traverse(calls: Column) -> Column:
 
 def closure(points: Column) -> Column:
     """Distance from the last corner to the first."""
-    first, last = F.element_at(points, 1), F.element_at(points, -1)
+    first, last = F.get(points, 0), F.get(points, F.size(points) - 1)
     return F.hypot(last["x"] - first["x"], last["y"] - first["y"])
 
 
@@ -237,7 +237,7 @@ def simplified(polygon: Column, limit: int = 500) -> Column:
 def feature(polygon: Column, point: Column, properties: Column) -> Column:
     """GeoJSON text: a closed ring, else a point, else null; empty properties are left out."""
     pair = lambda p: F.array(p["lng"], p["lat"])
-    first, last = F.element_at(polygon, 1), F.element_at(polygon, -1)
+    first, last = F.get(polygon, 0), F.get(polygon, F.size(polygon) - 1)
     closed = F.when((first["lng"] == last["lng"]) & (first["lat"] == last["lat"]), polygon).otherwise(F.concat(polygon, F.array(first)))
     area = F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("Polygon").alias("type"), F.array(F.transform(closed, pair)).alias("coordinates")).alias("geometry"), properties.alias("properties")))
     spot = F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("Point").alias("type"), pair(point).alias("coordinates")).alias("geometry"), properties.alias("properties")))

@@ -20,7 +20,7 @@ COMPLETION = [(90, "complete"), (60, "mostly"), (25, "partial")]
 def indexed_quartile(values: Column, share: float) -> Column:
     """The element int(n * share) of the sorted values, counted from 0: not an interpolated percentile."""
     ordered = F.sort_array(values)
-    return F.element_at(ordered, F.floor(F.size(ordered) * share).cast("int") + 1)
+    return F.get(ordered, F.floor(F.size(ordered) * share).cast("int"))
 
 
 def indexed_quartiles(frame: DataFrame, group: str, value: str) -> DataFrame:
