@@ -48,7 +48,7 @@ def shoelace(points: Column, x: str = "x", y: str = "y") -> Column:
 
 def square_metres(polygon: Column, latitude: float = 36.4) -> Column:
     """Area of a ring in degrees, on a plane at a fixed latitude."""
-    kx, ky = 111_320.0 * math.cos(math.radians(latitude)), 110_540.0
+    kx, ky = 111_000.0 * math.cos(math.radians(latitude)), 111_000.0  # metres a degree (fixed values)
     return shoelace(F.transform(polygon, lambda p: F.struct((p["lng"] * kx).alias("x"), (p["lat"] * ky).alias("y"))))
 
 

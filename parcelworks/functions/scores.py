@@ -25,6 +25,12 @@ def record_year(date: Column) -> Column:
     return text.try_cast("int")
 
 
+#: Words of instrument types.
+DEED_KINDS = ("deed", "warranty", "quitclaim", "grant", "conveyance", "bargain")
+PLAT_KINDS = ("plat", "survey", "partition", "subdivision")
+LOW_KINDS = ("mortgage", "lien", "release", "assignment", "satisfaction", "ucc")
+
+
 def search_relevance(row: dict[str, Column], client: dict[str, str]) -> tuple[Column, Column]:
     """Score from 0 to 100 of a deed search row for a client, and its tags.
 
@@ -37,19 +43,22 @@ def search_relevance(row: dict[str, Column], client: dict[str, str]) -> tuple[Co
     section, subdivision = (client.get("section") or "").strip(), (client.get("subdivision") or "").strip().upper()
     year = record_year(row["recorded_date"])
     never = F.lit(False)
+    words = F.split(kind, r"\s+")
+    kinds = lambda names: F.array(*[F.lit(n) for n in names])
+    deed, plat = F.arrays_overlap(words, kinds(DEED_KINDS)), F.arrays_overlap(words, kinds(PLAT_KINDS))
     rules = [
-        (place.rlike(rf"(?i)\bS(?:EC(?:TION)?)?\.?\s*{section}\b") if section else never, 40, "section"),
-        (place.contains(subdivision) if subdivision else never, 25, "subdivision"),
-        (people.contains(name) if len(name) >= 2 else never, 30, "client"),
+        (place.rlike(rf"(?i)SEC(?:TION)?\s*{section}(?!\d)") if section else never, 40, "trs_match"),
+        ((place.contains(subdivision) | people.contains(subdivision)) if subdivision else never, 25, "same_subdivision"),
+        (people.contains(name) if len(name) >= 2 else never, 30, "client_name"),
         (people.contains(other) if len(other) >= 3 else never, 20, "adjoiner"),
-        (kind.contains("deed"), 15, "deed"),
-        (~kind.contains("deed") & (kind.contains("plat") | kind.contains("survey")), 12, "plat"),
-        (~kind.contains("deed") & kind.rlike("mortgage|lien|release|affidavit"), -5, "low"),
-        (year >= 2015, 5, "recent"),
-        ((year >= 2000) & (year < 2015), 3, "modern"),
+        (deed, 15, "deed"),
+        (~deed & plat, 12, "plat"),
+        (~deed & ~plat & F.arrays_overlap(words, kinds(LOW_KINDS)), -5, None),
+        (year >= 2015, 5, None),
+        ((year >= 2000) & (year < 2015), 3, None),
     ]
     hit = [(F.coalesce(c, F.lit(False)), n, tag) for c, n, tag in rules]
-    tags = F.array_compact(F.array(*[F.when(c, F.lit(tag)) for c, _, tag in hit]))
+    tags = F.array_compact(F.array(*[F.when(c, F.lit(tag)) for c, _, tag in hit if tag]))
     return clamped([F.when(c, n).otherwise(0) for c, n, _ in hit]), tags
 
 
@@ -80,16 +89,18 @@ def age_years(date: Column, now: Column) -> Column:
 
 def parsed_date(text: Column) -> Column:
     """A date in one of four formats; null if none fits."""
-    return F.coalesce(*[F.to_date(F.try_to_timestamp(text, F.lit(f))) for f in ("MM/dd/yyyy", "yyyy-MM-dd", "MMMM d, yyyy", "MMM d, yyyy")])
+    return F.coalesce(*[F.to_date(F.try_to_timestamp(text, F.lit(f))) for f in ("MM/dd/yyyy", "yyyy-MM-dd", "MM/dd/yy", "MMM d, yyyy")])
 
 
-def session_step(deeds: Column, plats: Column, subjects: Column) -> Column:
-    """How far a session has come, from 1 to 6."""
+def session_step(client: Column, adjoiners: Column) -> Column:
+    """How far a session has come, from 1 to 6, from the client's subject and the adjoiners' array of subjects."""
+    both = F.forall(adjoiners, lambda s: F.coalesce(s["deed_saved"], F.lit(False)) & F.coalesce(s["plat_saved"], F.lit(False)))
+    described = F.coalesce(client["property_description"], client["desc_type"], F.lit("")) != ""
     return (
-        F.when(F.coalesce(subjects, F.lit(0)) == 0, 1)
-        .when(deeds == 0, 2)
-        .when(plats == 0, 3)
-        .when(subjects == 1, 4)
-        .when((deeds < subjects) | (plats < subjects), 5)
+        F.when(client.isNull(), 1)
+        .when(~F.coalesce(client["deed_saved"], F.lit(False)), 2)
+        .when(~described, 3)
+        .when(F.coalesce(F.size(adjoiners), F.lit(0)) == 0, 4)
+        .when(~both, 5)
         .otherwise(6)
     )

@@ -81,14 +81,14 @@ def train_duration(rows: DataFrame, seed: int = 42):
 
 
 #: Adjoiners to expect without a model, by job type.
-FALLBACK = {"BDY": 5.0, "ALTA": 8.0, "SUB": 10.0, "TOPO": 3.0}
+FALLBACK = {"BDY": 6.0, "ILR": 3.0, "SE": 4.0, "SUB": 8.0, "TOPO": 2.0, "ALTA": 5.0}
 
 
 def predict_adjoiners(model, rows: DataFrame) -> DataFrame:
-    """Adds predicted and complexity (over 10 high, over 5 medium); without a model a table by job type."""
+    """Adds predicted and complexity (over 10 high, over 5 moderate); without a model a table by job type."""
     if model is None:
         table = F.create_map(*[F.lit(v) for pair in FALLBACK.items() for v in pair])
         out = rows.withColumn("predicted", F.coalesce(F.element_at(table, F.col("job_type")), F.lit(5.0)))
     else:
         out = model.transform(features(rows)).withColumn("predicted", F.greatest(F.lit(0.0), F.col("prediction"))).select(*rows.columns, "predicted")
-    return out.withColumn("complexity", F.when(F.col("predicted") > 10, "high").when(F.col("predicted") > 5, "medium").otherwise("low"))
+    return out.withColumn("complexity", F.when(F.col("predicted") > 10, "high").when(F.col("predicted") > 5, "moderate").otherwise("low"))

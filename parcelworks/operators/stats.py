@@ -77,7 +77,7 @@ def index_health(parcels: DataFrame, now: Column) -> DataFrame:
 
 
 def session_metrics(sessions: DataFrame) -> DataFrame:
-    """Counts of a session's subjects array<struct<name,type,deed_saved,plat_saved>>: by type, deeds, plats, both, completion in per cent."""
+    """Counts of a session's subjects array<struct<name,type,deed_saved,plat_saved>>: by type, deeds, plats, both, and the share with both in per cent."""
     count = lambda f: F.size(F.filter(F.coalesce("subjects", F.array()), f))
     deed = lambda s: F.coalesce(s["deed_saved"], F.lit(False))
     plat = lambda s: F.coalesce(s["plat_saved"], F.lit(False))
@@ -89,7 +89,7 @@ def session_metrics(sessions: DataFrame) -> DataFrame:
         "deed_count": count(deed),
         "plat_count": count(plat),
         "both_count": count(lambda s: deed(s) & plat(s)),
-    }).withColumn("completion_pct", F.when(total > 0, F.round(100.0 * (F.col("deed_count") + F.col("plat_count")) / (2 * total), 1)).otherwise(0.0))
+    }).withColumn("completion_pct", F.when(total > 0, F.round(100.0 * F.col("both_count") / total, 1)).otherwise(0.0))
 
 
 def completeness(sessions: DataFrame, missing: int = 20) -> DataFrame:
@@ -102,10 +102,11 @@ def predict_complexity(history: DataFrame, job_type: str) -> DataFrame:
     """One row about the adjoiners to expect: rows of the type if there are any, else all; class, confidence, indexed quartiles."""
     n = history.agg(F.count_if(F.col("job_type") == job_type).alias("typed"))
     used = history.crossJoin(F.broadcast(n)).filter((F.col("typed") == 0) | (F.col("job_type") == job_type))
-    sorted_ = F.collect_list("adjoiner_count")
-    out = used.agg(F.count("*").alias("n"), F.round(F.avg("adjoiner_count"), 1).alias("predicted"), indexed_quartile(sorted_, 0.25).alias("p25"), indexed_quartile(sorted_, 0.75).alias("p75"))
+    few = indexed_quartiles(used.withColumn("__one", F.lit(0)), "__one", "adjoiner_count")
+    few = few.select(F.when(F.col("n") >= 4, F.col("q1")).otherwise(F.col("low")).alias("p25"), F.when(F.col("n") >= 4, F.col("q3")).otherwise(F.col("high")).alias("p75"))
+    out = used.agg(F.count("*").alias("n"), F.round(F.avg("adjoiner_count"), 1).alias("predicted")).crossJoin(few)  # one row each
     return out.withColumns({
-        "complexity": F.when(F.col("predicted") <= 4, "simple").when(F.col("predicted") <= 10, "standard").otherwise("complex"),
+        "complexity": F.when(F.col("predicted") <= 4, "simple").when(F.col("predicted") <= 10, "moderate").otherwise("complex"),
         "confidence": F.when(F.col("n") >= 20, "high").when(F.col("n") >= 5, "medium").otherwise("low"),
     })
 

@@ -92,6 +92,6 @@ def test_scores(spark):
     rows = [("RAEL ADELA", "X", "Sec 12 Vista", "WARRANTY DEED", "2019-01-02"), (None, None, None, None, None), ("GARCIA", "", "", "MORTGAGE", "03/04/2001")]
     frame = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, r struct<grantor:string,grantee:string,location:string,instrument_type:string,recorded_date:string>")
     got = [(r.s, r.t) for r in frame.select("i", score.alias("s"), tags.alias("t")).orderBy("i").collect()]
-    assert got == [(100, ["section", "subdivision", "client", "deed", "recent"]), (0, []), (18, ["adjoiner", "low", "modern"])]
-    dates = values(spark, ["01/02/2020", "2020-01-02", "January 2, 2020", "Jan 2, 2020", "x"], S.parsed_date(F.col("t")))
+    assert got == [(100, ["trs_match", "same_subdivision", "client_name", "deed"]), (0, []), (18, ["adjoiner"])]
+    dates = values(spark, ["01/02/2020", "2020-01-02", "01/02/20", "Jan 2, 2020", "x"], S.parsed_date(F.col("t")))
     assert [str(d) for d in dates] == ["2020-01-02"] * 4 + ["None"]

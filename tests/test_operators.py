@@ -70,7 +70,7 @@ def test_sessions_and_users(spark):
     kind = "id int, subjects array<struct<name:string,type:string,deed_saved:boolean,plat_saved:boolean>>"
     rows = [(1, [("c", "client", True, True), ("x", "adjoiner", True, None), ("y", "adjoiner", None, False)]), (2, []), (3, None)]
     got = {r.id: r for r in stats.completeness(spark.createDataFrame(rows, kind)).collect()}
-    assert (got[1].adjoiner_count, got[1].deed_count, got[1].both_count, got[1].completion_pct, got[1].missing) == (2, 2, 1, 50.0, ["x", "y"])
+    assert (got[1].adjoiner_count, got[1].deed_count, got[1].both_count, got[1].completion_pct, got[1].missing) == (2, 2, 1, 33.3, ["x", "y"])
     assert got[2].completion_pct == 0.0 and got[3].subject_count == 0
     users = stats.user_stats(spark.createDataFrame([("free", True), ("pro", True)], "tier string, active boolean"))
     assert {r.tier: (r.users, r.revenue) for r in users.collect()} == {"free": (1, 0), "pro": (1, 29), "team": (0, 0)}
