@@ -14,6 +14,7 @@ _TO_SPACE = bytes.maketrans(_BREAKS, b" " * len(_BREAKS))
 
 #: Rows handed to Python at once; with texts of a few KB a batch stays at some MB.
 ARROW_ROWS = 1000
+ARROW_BYTES = 8 << 20
 
 #: A table of at most so many bytes may be broadcast or collected; beyond it a shuffle does the work.
 BROADCAST_BYTES = 8 << 20
@@ -33,11 +34,12 @@ def space_words(text: str | None, lower: bool = False) -> list[bytes]:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches of texts small, unless the session already asks for smaller ones."""
+    """Keep Arrow batches of texts small: ARROW_BYTES, and ARROW_ROWS unless the session already asks for fewer."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key, "10000"))
     if not 0 < now <= ARROW_ROWS:
         spark.conf.set(key, str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{ARROW_BYTES}b")
 
 
 def shared_dir(spark: SparkSession, what: str) -> str:

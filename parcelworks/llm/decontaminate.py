@@ -25,7 +25,7 @@ from .common import alnum_words, broadcast_if_small, shared_dir, small_batches,
 
 WINDOW = 13
 NEAR_SLACK = 3
-SHARD_CHARS = 2 << 20
+SHARD_CHARS = 1 << 20
 BLOCK_CHARS = 1 << 20
 #: Positions left free between the documents of a shard; a window plus twice the slack must be shorter.
 GAP = 64
@@ -212,6 +212,7 @@ def find(index: DataFrame, items: DataFrame, window: int = WINDOW, slack: int =
     if window + 2 * slack >= GAP:
         raise ValueError(f"window + 2 * slack must be below {GAP}")
     spark = index.sparkSession
+    small_batches(spark)
     found = None
     for n, block in enumerate(blocks(items, window, block_chars)):
         held = spark.sparkContext.broadcast(block)

@@ -46,7 +46,7 @@ _WORDS: dict[bytes, int] = {}
 
 def _word_hashes(words: list[bytes]) -> np.ndarray:
     held, hashed = _WORDS, xxhash.xxh3_64_intdigest
-    if len(held) > 500_000:  # saves time only
+    if len(held) > 100_000:  # saves time only
         held.clear()
     out = []
     for w in words:
