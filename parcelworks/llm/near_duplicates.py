@@ -12,7 +12,7 @@
    bounded size; blocks meet if their sizes allow the threshold.  A block returns links that span its groups.
 5. Components of these links, carried over to the classes and to all documents.
 
-With k = 64 and an overlap of 40 a pair at the threshold of 0.85 is missed with a probability of about 1e-5 in
+Overlap and estimate lie five standard deviations below the threshold: a pair just at it is missed with a probability of about 1e-5 in
 step 2 and of the same order in step 3, and less above it.  Sets of up to k shingles are compared exactly.
 """
 
@@ -31,10 +31,10 @@ from .common import broadcast_if_small, small_batches, space_words, stored
 from .graph import components
 
 WIDTH = 5
-PER_CENT = 85
+#: The least similarity in per cent by default, and that of op10's contract.
+PER_CENT = 80
+CONTRACT_PER_CENT = 85
 SKETCH = 64
-OVERLAP = 40
-ESTIMATE = 0.62
 #: Longest list whose pairs are written out; documents and shingles of a chunk of a large cluster.
 LIST = 50
 CHUNK_DOCS = 256
@@ -94,7 +94,7 @@ def sketches(docs: DataFrame, k: int = SKETCH) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint"), sketch(F.col("text").cast("string")).alias("s")).select("doc_id", "s.*")
 
 
-def candidates(classes: DataFrame, k: int = SKETCH, overlap: int = OVERLAP, estimate: float = ESTIMATE, longest: int = LIST, per_cent: int = PER_CENT) -> DataFrame:
+def candidates(classes: DataFrame, k: int, overlap: int, estimate: float, longest: int, per_cent: int) -> DataFrame:
     """Pairs and ties (a, b) among classes (doc_id, n, sketch) that may be similar: see steps 2 and 3."""
     values = classes.select("doc_id", F.explode("sketch").alias("v"))
     shared = stored(values.groupBy("v").agg(F.count("*").alias("f")).filter("f > 1"), "shared-values")
@@ -165,7 +165,7 @@ def links(docs: DataFrame, clusters: DataFrame, per_cent: int = PER_CENT, chunk_
     allows are at least two steps of log(size) apart, so a chunk meets those of its own and of the next step.
     """
     spark = docs.sparkSession
-    step = -np.log(per_cent / 100)
+    step = max(float(-np.log(per_cent / 100)), 1e-9)
     tiers = clusters.withColumn("tier", F.floor(F.log("n") / step))
     whole = tiers.groupBy("component").agg(F.count("*").alias("docs"), F.sum("n").alias("total"))
     small = (F.col("docs") <= chunk_docs) & (F.col("total") <= chunk_shingles)
@@ -253,7 +253,7 @@ def keep_first(docs: DataFrame, per_cent: int = PER_CENT) -> DataFrame:
 def op10(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
-    return grouped(table(spark, sf_dir, "documents"))
+    return grouped(table(spark, sf_dir, "documents"), CONTRACT_PER_CENT)
 
 
 ORACLE = r"""

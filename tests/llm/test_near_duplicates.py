@@ -65,7 +65,7 @@ def test_against_plain_comparison(spark):
     want = brute(rows)
     assert len({c for _, _, c, _ in want}) < len(rows) - 50
     for longest, chunk, total in ((50, 256, 200_000), (8, 16, 1500)):
-        got = sorted(tuple(r) for r in N.grouped(docs, longest=longest, chunk_docs=chunk, chunk_shingles=total).collect())
+        got = sorted(tuple(r) for r in N.grouped(docs, 85, longest=longest, chunk_docs=chunk, chunk_shingles=total).collect())
         assert got == want
 
 

@@ -27,7 +27,7 @@ def test_each_stage_against_plain_rules(spark):
     want = brute_lines([(r.doc_id, r.text, r.source) for r in found["language"]], lines.RATIO, lines.MIN_PAGES)
     assert sorted((r.doc_id, r.text) for r in found["line_dedup"]) == sorted(want)
 
-    groups = brute_groups([(r.doc_id, r.text) for r in found["line_dedup"]])
+    groups = brute_groups([(r.doc_id, r.text) for r in found["line_dedup"]], 80)
     assert ids["near_duplicates"] == {i for i, _, _, kept in groups if kept}
 
     items = [(str(r.item_id), r.text) for r in table(spark, SF, "benchmark").collect()]
