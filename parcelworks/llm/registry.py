@@ -19,7 +19,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_decontaminate": decontaminate.ORACLE,
-    "op5_pages": pages.op5,
     "op6_lines": lines.ORACLE,
     "op10_near_duplicates": near_duplicates.ORACLE,
 }
