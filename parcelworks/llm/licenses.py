@@ -1,10 +1,10 @@
 """License scans with a positional rare-token index over license templates.
 
-The index holds, for every word of the templates, its postings (template, position).  A document looks up its
-rarest license words: rarity is the inverse document frequency over the whole corpus, counted for the templates'
-words only, so the table of frequencies is as small as the templates.  Postings that agree on the relative
-position (place in the document less place in the template) vote for an occurrence there; an occurrence counts
-if enough of the template's words stand at their places and the template's mandatory key phrases stand nearby.
+The index holds the postings (template, position) of every template's rarest words, as many as no occurrence can
+lack, and of each base phrase's rarest word.  Rarity is the inverse document frequency over the whole corpus, counted for
+the templates' words only, so the table of frequencies is as small as the templates.  A posting's relative position (place
+in the document less place in the template) is a candidate place.  An occurrence counts if enough of the template's words
+stand at their places and the template's mandatory key phrases stand nearby; no other word or notice of the document matters.
 """
 
 from __future__ import annotations
@@ -59,8 +59,7 @@ TEMPLATES = (
     Template("all-rights-reserved", "All rights reserved.", ("all rights reserved",)),
 )
 
-#: Rare words that a document looks up, share of a template's words that must stand in place, words of play.
-LOOKUPS = 16
+#: Share of a template's words (weighted by rarity) that must stand in place, words of play.
 COVERAGE = 0.6
 SLACK = 2
 
@@ -107,51 +106,76 @@ def _places(words: list[bytes], phrase: list[bytes], low: int = 0, high: int | N
 class Scanner:
     """The templates' positional index with the words' rarities; scan() works on one document."""
 
-    def __init__(self, n_docs: int, frequencies: dict[bytes, int], templates=TEMPLATES):
+    def __init__(self, n_docs: int, frequencies: dict[bytes, int], templates=TEMPLATES, coverage: float = COVERAGE):
         self.idf = {w: math.log((n_docs + 1) / (f + 1)) + 1e-6 for w, f in frequencies.items()}
+        self.coverage = coverage
         self.templates = [(t.label, alnum_words(t.text), [alnum_words(k) for k in t.keys]) for t in templates]
+        self.needed = [frozenset(w for key in keys for w in key) for _, _, keys in self.templates]
+        self.base = [(alnum_words(p), label) for p, label in BASE.items()]
+        #: word -> (template, position) of the templates' looked-up words; (-1 - phrase, position) of the base phrases' rarest
         self.postings: dict[bytes, list[tuple[int, int]]] = {}
         for t, (_, words, _) in enumerate(self.templates):
+            rare = self._rare(words)
             for i, w in enumerate(words):
-                self.postings.setdefault(w, []).append((t, i))
-        self.base = [(alnum_words(p), label) for p, label in BASE.items()]
-        self.vocab = frozenset(self.postings)
-
-    def occurrences(self, words: list[bytes], lookups: int = LOOKUPS, coverage: float = COVERAGE, slack: int = SLACK):
-        """Verified template occurrences: (label, first place, coverage weighted by rarity)."""
+                if w in rare:
+                    self.postings.setdefault(w, []).append((t, i))
+        for p, (words, _) in enumerate(self.base):
+            i = max(range(len(words)), key=lambda i: (self.idf.get(words[i], 0.0), words[i]))
+            self.postings.setdefault(words[i], []).append((-1 - p, i))
+        self.vocab = frozenset(self.postings).union(*self.needed)
+
+    def _rare(self, words: list[bytes]) -> set[bytes]:
+        """The template's rarest words that weigh more than an occurrence may lack: each has one of them in place."""
+        rare, lack = set(), (1 - self.coverage) * sum(self.idf[w] for w in words)
+        for w in sorted(set(words), key=lambda w: (-self.idf[w], w)):
+            if lack < -1e-9:
+                break
+            rare.add(w)
+            lack -= self.idf[w] * words.count(w)
+        return rare
+
+    def looked_up(self, words: list[bytes]) -> tuple[set[tuple[int, int]], list[set[int]]]:
+        """Candidate (template, start) of the templates whose key phrases' words are all there; places of each base phrase."""
         present = self.vocab.intersection(words)
-        if not present:
-            return []
-        rare = set(sorted(present, key=lambda w: (-self.idf[w], w))[:lookups])
-        votes: dict[tuple[int, int], float] = {}
+        possible = {t for t, needed in enumerate(self.needed) if needed <= present}
+        possible |= {-1 - p for p, (phrase, _) in enumerate(self.base) if present.issuperset(self.vocab.intersection(phrase))}
+        wanted = {w: own for w in present if (own := [x for x in self.postings.get(w, ()) if x[0] in possible])}
+        candidates, base = set(), [set() for _ in self.base]
+        if not wanted:
+            return candidates, base
         for at, w in enumerate(words):
-            if w in rare:
-                for t, i in self.postings[w]:
-                    votes[t, at - i] = votes.get((t, at - i), 0.0) + self.idf[w]
+            for t, i in wanted.get(w, ()):
+                if t >= 0:
+                    candidates.add((t, at - i))
+                elif at >= i and words[at - i : at - i + len(self.base[-1 - t][0])] == self.base[-1 - t][0]:
+                    base[-1 - t].add(at - i)
+        return candidates, base
+
+    def occurrences(self, words: list[bytes], candidates: set[tuple[int, int]], slack: int = SLACK):
+        """Verified template occurrences: (label, first place, coverage weighted by rarity).
+
+        A looked-up word may stand up to slack words off its place, so starts that near to a candidate are tried too.
+        """
         found = []
-        for (t, start), vote in votes.items():
+        for t, start in {(t, start + d) for t, start in candidates for d in range(-slack, slack + 1)}:
             label, own, keys = self.templates[t]
             whole = sum(self.idf[w] for w in own)
-            # the rare words alone must reach the share that the looked-up part of the template can give
-            if vote < coverage * sum(self.idf[w] for w in own if w in rare):
+            low, high = max(0, start - slack), min(len(words), start + len(own) + slack)
+            near = set(words[low:high])
+            if not self.needed[t] <= near:
                 continue
-            near = {w for w in words[max(0, start - slack) : max(0, start + len(own) + slack)]}
             stand = sum(self.idf[w] for i, w in enumerate(own) if w in near and w in words[max(0, start + i - slack) : max(0, start + i + slack + 1)])
-            low, high = max(0, start - slack), min(len(words), start + len(own) + slack)
-            if stand >= coverage * whole and all(_places(words, key, low, high) for key in keys):
+            if stand >= self.coverage * whole and all(_places(words, key, low, high) for key in keys):
                 found.append((label, max(0, start), min(1.0, stand / whole)))
         return found
 
     def scan(self, text: str | None) -> tuple[int, int, int | None, int | None, str, str, float]:
         """n_words, n_base, first_word, last_word, base_labels, labels, score."""
         words = alnum_words(text)
-        places, base = [], set()
-        for phrase, label in self.base:
-            own = _places(words, phrase)
-            if own:
-                places += own
-                base.add(label)
-        more = self.occurrences(words)
+        candidates, own = self.looked_up(words)
+        places = [at for held in own for at in held]
+        base = {label for (_, label), held in zip(self.base, own) if held}
+        more = self.occurrences(words, candidates)
         labels = base | {label for label, _, _ in more}
         # a base phrase without a template around it is weaker evidence than a whole notice
         score = max([c for _, _, c in more], default=0.5 if base else 0.0)

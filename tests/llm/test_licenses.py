@@ -49,3 +49,33 @@ def test_edges(spark):
     docs = spark.createDataFrame([(1, None, "x"), (1, "MIT License", "x"), (1, "MIT License", "y"), (None, "", "z")], "doc_id long, text string, labels string")
     assert sorted((r.n_base, r.labels) for r in L.scanned(docs).collect()) == [(0, ""), (0, ""), (1, "mit"), (1, "mit")]
     assert L.scanned(docs.limit(0)).count() == 0
+
+
+def test_many_notices_in_one_file():
+    s, filler = scanner(), " lorem ipsum of the dolor "
+    every = [t.text for t in L.TEMPLATES]
+    for parts in (every, every[::-1]):
+        assert {t.label for t in L.TEMPLATES} <= set(s.scan(filler.join(parts))[5].split(","))
+    some = {t.label: t.text for t in L.TEMPLATES}  # of two notices with a label the longer one
+    found = s.scan(filler.join(some[x] for x in ("bsd", "mit", "apache-2.0", "gpl-3.0")))[5]
+    assert found == "apache,apache-2.0,bsd,gpl,gpl-3.0,mit"
+    found = s.scan(filler.join(some[x] for x in ("bsd", "mit", "cc-by-nc")))[5]
+    assert found == "bsd,cc-by,cc-by-nc,mit"
+
+
+def test_lookup_against_every_place():
+    import random
+
+    s, rng = scanner(), random.Random(7)
+    for _ in range(60):
+        words = []
+        for t in rng.sample(L.TEMPLATES, 4):
+            own = L.alnum_words(t.text)
+            for _ in range(rng.randrange(4)):
+                own[rng.randrange(len(own))] = rng.choice([b"the", b"x", b"license"])
+            if rng.random() < 0.3:
+                own.insert(rng.randrange(len(own)), b"y")
+            words += own + [b"z"] * rng.randrange(6)
+        everywhere = {(t, i) for t in range(len(L.TEMPLATES)) for i in range(-30, len(words))}
+        candidates, _ = s.looked_up(words)
+        assert set(s.occurrences(words, candidates)) == set(s.occurrences(words, everywhere))
