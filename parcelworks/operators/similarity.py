@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelworks.functions import text as T
@@ -29,6 +33,125 @@ def vector_topk(vectors: DataFrame, query: list[float], k: int = 10, id_: str =
     return scored.orderBy(F.desc("similarity"), id_).limit(k)
 
 
+#: Queries sent to the tasks at once; queries and rows of a tile of similarities; rounding by which a tile's products may differ.
+QUERIES, TILE, ROWS, MARGIN = 4096, 256, 4096, 1e-9
+
+
+def _unit(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Norms of the rows, and the rows over them.  Sums run in the order of the columns, as in cosine()."""
+    square = np.zeros(len(m))
+    for j in range(m.shape[1]):
+        square += m[:, j] * m[:, j]
+    norm = np.sqrt(square)
+    return norm, m / np.where(norm > 0, norm, 1.0)[:, None]
+
+
+def _best(q: np.ndarray, similarity: np.ndarray, ids: np.ndarray, k: int):
+    """The k rows a query that come first by similarity (descending) and id."""
+    order = np.lexsort((ids, -similarity, q))
+    q, similarity, ids = q[order], similarity[order], ids[order]
+    first = np.searchsorted(q, q)
+    keep = np.arange(len(q)) - first < k
+    return q[keep], similarity[keep], ids[keep]
+
+
+def _nearest(batches: Iterator[pa.RecordBatch], queries: np.ndarray, k: int):
+    """(query's row, similarity, id) of the k nearest of all batches (id, vector), for each query."""
+    q_norm, q_unit = _unit(queries)
+    none = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
+    best, least = [none] * -(-len(queries) // TILE), np.full(len(queries), -np.inf)
+    for batch in batches:
+        own = pa.Table.from_batches([batch]).combine_chunks()
+        fits = pa.compute.equal(pa.compute.list_value_length(own.column(1)), queries.shape[1]).fill_null(False)
+        own = own.filter(fits)
+        for low in range(0, own.num_rows, ROWS):
+            part = own.slice(low, ROWS)
+            ids = part.column(0).fill_null(np.iinfo(np.int64).min).to_numpy()
+            flat = pa.compute.list_flatten(part.column(1)).cast(pa.float64()).to_numpy()
+            rows = flat.reshape(-1, queries.shape[1])
+            norm, unit = _unit(rows)
+            good = norm > 0  # neither zero nor NaN
+            ids, rows, norm, unit = ids[good], rows[good], norm[good], unit[good]
+            if not len(ids):
+                continue
+            for t, start in enumerate(range(0, len(queries), TILE)):
+                about = q_unit[start : start + TILE] @ unit.T
+                bar = least[start : start + TILE]
+                if len(ids) >= k:
+                    bar = np.maximum(bar, np.partition(about, -k, axis=1)[:, -k])
+                q, v = np.nonzero(about >= bar[:, None] - MARGIN)
+                q += start
+                dot = np.zeros(len(q))
+                for j in range(queries.shape[1]):  # one order of summing, so equal vectors tie
+                    dot += rows[v, j] * queries[q, j]
+                found = (q, dot / (norm[v] * q_norm[q]), ids[v])
+                best[t] = _best(*[np.concatenate(x) for x in zip(best[t], found)], k)
+                n = np.bincount(best[t][0] - start, minlength=min(TILE, len(queries) - start))
+                full = np.flatnonzero(n == k)
+                least[start + full] = best[t][1][np.cumsum(n)[full] - 1]
+    return [np.concatenate(x) for x in zip(*best)]
+
+
+def _query_blocks(queries: DataFrame, id_: str, vector: str, size: int) -> Iterator[tuple[int, list, np.ndarray]]:
+    """(number of the first, ids, matrix) of blocks of the queries; the driver holds one block.  Zero and null vectors have no neighbours."""
+    held: dict[int, list] = {}
+    number = 0
+    for key, values in queries.select(id_, F.col(vector).cast("array<double>")).toLocalIterator():
+        if not values or None in values or not any(values):
+            continue
+        own = held.setdefault(len(values), [])
+        own.append((key, values))
+        if len(own) == size:
+            yield number, [x[0] for x in own], np.array([x[1] for x in own])
+            number, held[len(values)] = number + size, []
+    for own in held.values():
+        if own:
+            yield number, [x[0] for x in own], np.array([x[1] for x in own])
+            number += len(own)
+
+
+def vector_topk_each(vectors: DataFrame, queries: DataFrame, k: int = 10, id_: str = "vec_id", vector: str = "embedding", size: int = QUERIES) -> DataFrame:
+    """(query_id, id_, similarity, nth): for every row of queries the k nearest vectors by cosine, exact; ties go by id.
+
+    Both frames have id_ (integers) and vector.  Queries come in broadcast blocks of ``size``; a task keeps k rows a query, and a
+    group-limited window takes the first k of the tasks' rows.  Zero vectors, and those of another length, are no neighbours.
+    """
+    kind = "number bigint, query_id bigint, id bigint, similarity double"
+    found = None
+    for number, keys, matrix in _query_blocks(queries, id_, vector, size):
+        held = vectors.sparkSession.sparkContext.broadcast((number, keys, matrix))
+
+        def near(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            number, keys, matrix = held.value
+            q, similarity, ids = _nearest(batches, matrix, k)
+            lost = ids == np.iinfo(np.int64).min
+            columns = [pa.array(q + number), pa.array(keys, pa.int64()).take(pa.array(q)), pa.array(ids, mask=lost), pa.array(similarity)]
+            yield pa.RecordBatch.from_arrays(columns, ["number", "query_id", "id", "similarity"])
+
+        hits = vectors.select(F.col(id_).cast("bigint"), F.col(vector).cast("array<double>")).mapInArrow(near, kind)
+        found = hits if found is None else found.unionByName(hits)
+    if found is None:
+        found = vectors.sparkSession.createDataFrame([], kind)
+    nth = F.row_number().over(Window.partitionBy("number").orderBy(F.desc("similarity"), "id"))
+    return found.withColumn("nth", nth).filter(F.col("nth") <= k).select("query_id", F.col("id").alias(id_), "similarity", "nth")
+
+
+def token_overlap(rows: DataFrame, queries: DataFrame, id_: str, query_id: str, tokens: str = "tokens", bound: int = 100_000) -> DataFrame:
+    """(id_, query_id, common, whole) of every row and query whose sets of tokens (arrays of distinct values) meet.
+
+    The queries' tokens are an inverted list, broadcast if it has at most ``bound`` entries.  A row's tokens are counted
+    where they are, so a frequent token makes no task large.  Repeated rows and queries count each on their own.
+    """
+    # the numbers are given before the explode, else every token would get one
+    lists = queries.select(F.monotonically_increasing_id().alias("__q"), query_id, F.size(tokens).alias("__m"), F.col(tokens).alias("__tokens"))
+    lists = lists.withColumn("__token", F.explode("__tokens")).drop("__tokens")
+    lists = F.broadcast(lists) if lists.limit(bound + 1).count() <= bound else lists
+    own = rows.select(F.monotonically_increasing_id().alias("__row"), id_, F.size(tokens).alias("__n"), F.col(tokens).alias("__tokens"))
+    own = own.withColumn("__token", F.explode("__tokens")).drop("__tokens")
+    met = own.join(lists, "__token").groupBy("__row", "__q", id_, query_id, "__n", "__m").agg(F.count("*").alias("common"))
+    return met.select(id_, query_id, "common", (F.col("__n") + F.col("__m") - F.col("common")).alias("whole"))
+
+
 #: Weights of the parts of legal similarity (fixed values).
 WEIGHTS = {"trs": 40.0, "text": 25.0, "cab": 20.0, "names": 10.0, "lot_block": 5.0}
 

@@ -186,3 +186,16 @@ def novelty(spark, sf_dir):
     one = table(spark, sf_dir, "benchmark").filter("item_id = 0").select(words(F.col("text")).alias("q"))
     docs = table(spark, sf_dir, "documents").crossJoin(F.broadcast(one))  # one row
     return docs.select("doc_id", F.size(F.array_intersect(words(F.col("text")), "q")).cast("bigint").alias("hits"))
+
+
+@query(
+    "novelty_all",
+    """WITH q AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z]{4,}')) AS t FROM benchmark WHERE item_id % 50 = 0)
+SELECT doc_id, item_id, CAST(len(list_intersect(list_distinct(regexp_extract_all(lower(text), '[a-z]{4,}')), t)) AS BIGINT) AS hits FROM documents, q""",
+)
+def novelty_all(spark, sf_dir):
+    words = lambda c: F.array_distinct(T.found(F.lower(c), "([a-z]{4,})"))
+    items = table(spark, sf_dir, "benchmark").filter("item_id % 50 = 0").select("item_id", words(F.col("text")).alias("q"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", words(F.col("text")).alias("w"))
+    pairs = docs.crossJoin(F.broadcast(items))  # every pair is a row of the result
+    return pairs.select("doc_id", "item_id", F.size(F.array_intersect("w", "q")).cast("bigint").alias("hits"))

@@ -332,6 +332,36 @@ def vector_topk(spark, sf_dir):
     return topk(e, one["embedding"], 10).select("vec_id")
 
 
+_QUERY_TOKENS = "list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z]{3,}')), lambda x: NOT list_contains([%STOP%], x))"
+
+
+@query(
+    "token_jaccard_all",
+    f"""WITH q AS (SELECT item_id, {_QUERY_TOKENS} AS t FROM benchmark WHERE item_id % 50 = 0), d AS (SELECT doc_id, {_QUERY_TOKENS} AS t FROM documents)
+SELECT doc_id, item_id, CAST(len(list_intersect(d.t, q.t)) AS BIGINT) AS common, CAST(len(list_distinct(list_concat(d.t, q.t))) AS BIGINT) AS whole FROM d, q WHERE len(list_intersect(d.t, q.t)) > 0""",
+)
+def token_jaccard_all(spark, sf_dir):
+    from parcelworks.functions.text import legal_tokens
+    from parcelworks.operators.similarity import token_overlap
+
+    tokens = legal_tokens(F.col("text")).alias("tokens")
+    queries = table(spark, sf_dir, "benchmark").filter("item_id % 50 = 0").select("item_id", tokens)
+    out = token_overlap(table(spark, sf_dir, "documents").select("doc_id", tokens), queries, "doc_id", "item_id")
+    return out.select("doc_id", "item_id", F.col("common").cast("bigint").alias("common"), F.col("whole").cast("bigint").alias("whole"))
+
+
+@query(
+    "vector_topk_all",
+    """SELECT query_id, vec_id, CAST(nth AS INTEGER) AS nth FROM (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY list_cosine_similarity(CAST(embedding AS DOUBLE[]), q) DESC, vec_id) AS nth
+FROM embeddings, (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id % 50 = 0)) WHERE nth <= 10""",
+)
+def vector_topk_all(spark, sf_dir):
+    from parcelworks.operators.similarity import vector_topk_each
+
+    e = table(spark, sf_dir, "embeddings")
+    return vector_topk_each(e, e.filter("vec_id % 50 = 0"), 10).select("query_id", "vec_id", "nth")
+
+
 @query(
     "entity_resolution",
     """WITH n AS (SELECT DISTINCT p_name AS name FROM part), w AS (SELECT DISTINCT name, unnest(string_split(lower(name), ' ')) AS w FROM n), b AS (SELECT w FROM w WHERE length(w) >= 3 GROUP BY w HAVING count(*) BETWEEN 2 AND 500),
@@ -492,7 +522,8 @@ def band_limit(spark, sf_dir):
 def _fill_stop_words():
     from parcelworks.functions.text import STOP_WORDS
 
-    ORACLE_SQL["token_jaccard"] = ORACLE_SQL["token_jaccard"].replace("%STOP%", ", ".join(f"'{w}'" for w in STOP_WORDS))
+    for name in ("token_jaccard", "token_jaccard_all"):
+        ORACLE_SQL[name] = ORACLE_SQL[name].replace("%STOP%", ", ".join(f"'{w}'" for w in STOP_WORDS))
 
 
 _fill_stop_words()

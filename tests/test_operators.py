@@ -124,3 +124,42 @@ def test_subscriptions(spark):
     rows = [("a", 1, 1, "checkout.session.completed", None, "team"), ("a", 2, 2, "invoice.payment_failed", None, None), ("b", 1, 3, "customer.subscription.updated", "active", "pro"), ("b", 2, 4, "customer.subscription.deleted", None, None), ("c", 1, 5, "ping", None, None)]
     events = spark.createDataFrame(rows, "user string, at int, id int, type string, status string, tier string")
     assert {r.user: r.tier for r in limiter.subscription_tiers(events).collect()} == {"a": "team", "b": "free", "c": "free"}
+
+
+def test_topk_of_many_queries(spark):
+    import numpy as np
+
+    from parcelworks.operators.similarity import cosine, vector_topk_each
+
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=6).tolist()) for i in range(300)]
+    rows += [(300 + i, rows[7][1]) for i in range(30)] + [(400, [0.0] * 6), (401, None), (402, [1.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    queries = vectors.filter("vec_id % 50 = 0")
+    got = sorted((r.query_id, r.nth, r.vec_id) for r in vector_topk_each(vectors, queries, 12, size=3).collect())
+    both = queries.select(F.col("vec_id").alias("q"), F.col("embedding").alias("e")).crossJoin(vectors).select("q", "vec_id", cosine(F.col("embedding"), F.col("e")).alias("s"))
+    want = {}
+    for q, v, s in both.filter("s IS NOT NULL").collect():
+        want.setdefault(q, []).append((-s, v))
+    assert got == sorted((q, n, v) for q, found in want.items() for n, (_, v) in enumerate(sorted(found)[:12], 1)) and len(want) == 7
+    assert vector_topk_each(vectors, queries.limit(0)).count() == 0
+
+
+def test_tokens_of_many_queries(spark):
+    from parcelworks.operators.similarity import token_overlap
+
+    docs = spark.createDataFrame([(1, ["a", "b", "c"]), (1, ["a"]), (2, []), (3, ["z"]), (None, ["b"])], "doc_id long, tokens array<string>")
+    items = spark.createDataFrame([(10, ["a", "b"]), (20, ["b", "y"]), (30, [])], "item_id long, tokens array<string>")
+    want = [(1, 10, 1, 2), (1, 10, 2, 3), (1, 20, 1, 4), (None, 10, 1, 2), (None, 20, 1, 2)]
+    for bound in (100, 0):
+        assert sorted(map(tuple, token_overlap(docs, items, "doc_id", "item_id", bound=bound).collect()), key=str) == want
+
+
+def test_searches_for_all_queries(spark):
+    from parcelworks.plans import more, registry  # noqa: F401
+
+    d = "/root/testdata/sf0.001"
+    ids = lambda name, c: {r[0] for r in registry.QUERIES[name](spark, d).select(c).distinct().collect()}
+    asked = lambda name, c: {r[0] for r in registry.table(spark, d, name).filter(f"{c} % 50 = 0").select(c).collect()}
+    assert ids("vector_topk_all", "query_id") == asked("embeddings", "vec_id")
+    assert ids("novelty_all", "item_id") == asked("benchmark", "item_id") >= ids("token_jaccard_all", "item_id") > set()
