@@ -115,6 +115,16 @@ def call_parse(spark, sf_dir):
     return rows.withColumn("c", F.get(G.parse_calls(made), 0)).select("l_orderkey", "l_linenumber", F.col("c.azimuth_deg").alias("azimuth"), F.col("c.distance").alias("distance"))
 
 
+@query(
+    "call_parse_all",
+    "SELECT l_orderkey, l_linenumber, CAST((l_partkey % 89) AS DOUBLE) AS azimuth, CAST(CAST(l_quantity AS INTEGER) AS DOUBLE) * 3 AS distance FROM lineitem",
+)
+def call_parse_all(spark, sf_dir):
+    made = F.concat(F.lit("thence N "), F.col("l_partkey") % 89, F.lit("°00'00\" E, "), F.col("l_quantity").cast("int"), F.lit(" yards to a pin"))
+    rows = table(spark, sf_dir, "lineitem").withColumn("c", F.get(G.parse_calls(made), 0))
+    return rows.select("l_orderkey", "l_linenumber", F.col("c.azimuth_deg").alias("azimuth"), F.col("c.distance").alias("distance"))
+
+
 @query(
     "subscription_tiers",
     """WITH e AS (SELECT user_id, event_id, CASE WHEN event_id % 7 = 0 THEN 'free' WHEN event_id % 3 = 0 THEN 'pro' END AS t FROM events)

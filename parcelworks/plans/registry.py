@@ -427,6 +427,19 @@ def graph_bfs(spark, sf_dir):
     return bfs(edges, start, 3).select("id", "hops")
 
 
+@query(
+    "graph_bfs_all",
+    """WITH RECURSIVE e AS (SELECT DISTINCT 's' || l_suppkey AS s, 'p' || l_partkey AS p FROM lineitem), b AS (SELECT s AS x, p AS y FROM e UNION ALL SELECT p, s FROM e),
+r AS (SELECT (SELECT min(s) FROM e) AS id, 0 AS hops UNION SELECT y, hops + 1 FROM r JOIN b ON x = id WHERE hops < 3) SELECT id, CAST(min(hops) AS INTEGER) AS hops FROM r GROUP BY id""",
+)
+def graph_bfs_all(spark, sf_dir):
+    from parcelworks.operators.graph import bfs
+
+    edges = _graph(spark, sf_dir)
+    start = edges.select(F.min("dst").alias("s")).first()["s"]  # suppliers are the larger ends
+    return bfs(edges, start, 3).select("id", "hops")
+
+
 @query("limiter")
 def limiter(spark, sf_dir):
     from parcelworks.streaming.limiter import limited

@@ -163,3 +163,21 @@ def test_searches_for_all_queries(spark):
     asked = lambda name, c: {r[0] for r in registry.table(spark, d, name).filter(f"{c} % 50 = 0").select(c).collect()}
     assert ids("vector_topk_all", "query_id") == asked("embeddings", "vec_id")
     assert ids("novelty_all", "item_id") == asked("benchmark", "item_id") >= ids("token_jaccard_all", "item_id") > set()
+
+
+def test_calls_and_search_of_the_whole_table(spark):
+    from parcelworks.plans import more, registry  # noqa: F401
+
+    d = "/root/testdata/sf0.001"
+    rows = registry.table(spark, d, "lineitem").select("l_suppkey", "l_partkey").collect()
+    assert registry.QUERIES["call_parse_all"](spark, d).filter("azimuth IS NOT NULL AND distance IS NOT NULL").count() == len(rows)
+    ways = {}
+    for s, p in rows:
+        ways.setdefault(f"s{s}", set()).add(f"p{p}")
+        ways.setdefault(f"p{p}", set()).add(f"s{s}")
+    front = {min(x for x in ways if x[0] == "s")}
+    want = {x: 0 for x in front}
+    for hop in (1, 2, 3):
+        front = {y for x in front for y in ways[x]} - want.keys()
+        want |= dict.fromkeys(front, hop)
+    assert {r.id: r.hops for r in registry.QUERIES["graph_bfs_all"](spark, d).collect()} == want
