@@ -280,6 +280,23 @@ def op1(spark, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_near(spark, sf_dir: str) -> DataFrame:
+    """As op1, and of items with a near match (exact ones are among them): n_near, near_sha256."""
+    from .common import table
+
+    index = build_index(table(spark, sf_dir, "documents"))
+    return decontaminate(index, table(spark, sf_dir, "benchmark")).select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("bigint").alias("n_items"),
+        digest(F.col("items")).alias("items_sha256"),
+        "contaminated",
+        F.size("near_items").cast("bigint").alias("n_near"),
+        digest(F.col("near_items")).alias("near_sha256"),
+    )
+
+
 def reference_hits(text: str | None, items: list[tuple[str, str | None]], window: int = WINDOW) -> tuple[int, int, str, bool]:
     """What op1 returns for a text, by plain search; for tests."""
     words, hit, found = alnum_words(text), set(), set()

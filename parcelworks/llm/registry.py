@@ -6,6 +6,7 @@ from . import decontaminate, edits, language, licenses, lines, near_duplicates,
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1,
+    "op1_near_items": decontaminate.op1_near,
     "op2_licenses": licenses.op2,
     "op3_quality": quality.op3,
     "op4_language": language.op4,

@@ -63,3 +63,15 @@ def test_verdict_and_edges(spark):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [2, 3]
     assert D.decontaminate(D.build_index(docs), items.limit(0)).filter("n_hit > 0").count() == 0
     assert D.decontaminate(D.build_index(docs.limit(0)), items).count() == 0
+
+
+def test_query_returns_near_items(spark, tmp_path):
+    from parcelworks.llm.registry import QUERIES
+
+    words = [f"a{i}" for i in range(13)]
+    swapped = [*words[:4], words[5], words[4], *words[6:]]
+    texts = [" ".join(words), " ".join(swapped), "nothing of it"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, " ".join(words))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r.doc_id: (r.n_items, r.n_near, r.contaminated) for r in QUERIES["op1_near_items"](spark, str(tmp_path)).collect()}
+    assert got == {0: (1, 1, True), 1: (0, 1, False), 2: (0, 0, False)}
