@@ -1,20 +1,20 @@
 """Main text of web pages by a tree-structured graphical model over the DOM.
 
 Every block element is a node with a hidden state, content or not.  A node has potentials from what can be seen of
-it (its tag, words in its class and id, how much text, links and children it has) and an edge potential with its
-parent, which depends on the node's kind.  Sum-product messages go from the leaves to the root and back; a block's
+it (its tag, all hints in its class and id, how much text and links it has) and an edge potential with its
+parent, which depends on what both are.  Sum-product messages go from the leaves to the root and back; a block's
 text is kept if the marginal of its node says content.  All potentials are frequencies counted on labelled pages.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import random
 import re
 from collections import Counter
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -27,9 +27,11 @@ _ATTRIBUTE = re.compile(r"\b(class|id|role|data-label)\s*=\s*(?:\"([^\"]*)\"|'([
 _SPACE = re.compile(r"\s+")
 
 #: Elements whose content is never text of the page.
-RAW = {"script", "style", "noscript", "template", "iframe", "svg", "math", "object", "textarea", "select", "title", "head", "canvas", "audio", "video"}
+RAW = {"script", "style", "noscript", "template", "iframe", "svg", "math", "object", "textarea", "select", "title", "canvas", "audio", "video"}
 #: Of these the content is not markup; it ends at the closing tag alone.
 UNPARSED = {"script", "style", "textarea", "title", "noscript", "iframe"}
+#: Elements that may stand in a head; any other one, and text, ends it as the body's first.
+HEAD = {"meta", "link", "base", "title", "script", "style", "noscript", "template"}
 #: Elements that make a block.
 BLOCKS = {
     "html", "body", "div", "p", "article", "main", "section", "header", "footer", "nav", "aside", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li",
@@ -43,7 +45,7 @@ CLOSES = {
     "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
 }
 
-#: Words in class, id and role, by what they tell; the first match counts.
+#: Words in class, id and role, by what they tell; an element has all hints that match.
 HINTS = (
     ("comment", re.compile(r"comment|discuss|disqus|repl(?:y|ies)|respond", re.I)),
     ("advert", re.compile(r"\bads?\b|\bad[-_]|[-_]ad\b|advert|sponsor|promo|banner|teaser", re.I)),
@@ -52,24 +54,33 @@ HINTS = (
     ("side", re.compile(r"side|aside|widget|related|recommend|share|social|popular|trending|tags?\b|meta\b|byline", re.I)),
     ("frame", re.compile(r"foot|header|masthead|copyright|legal|search|login|form", re.I)),
     ("content", re.compile(r"article|content|main|post|entry|story|body|text", re.I)),
+    ("layout", re.compile(r"wrap|layout|container|column|page|site|grid|row|with|has", re.I)),
+)
+#: Words of a block's own text that tell what it is for.
+CUES = (
+    ("rights", re.compile(r"©|\(c\) *\d{4}|copyright|all rights reserved", re.I)),
+    ("consent", re.compile(r"\bcookies?\b|privacy policy|\bsubscribe\b|newsletter|sign up", re.I)),
 )
 
 
 class Node:
-    __slots__ = ("tag", "hint", "label", "parent", "children", "chars", "links", "depth")
+    __slots__ = ("tag", "hints", "label", "parent", "children", "chars", "links", "cues", "depth")
 
-    def __init__(self, tag: str, parent: int, hint: str, label: str | None, depth: int):
-        self.tag, self.parent, self.hint, self.label, self.depth = tag, parent, hint, label, depth
+    def __init__(self, tag: str, parent: int, hints: tuple[str, ...], label: str | None, depth: int):
+        self.tag, self.parent, self.hints, self.label, self.depth = tag, parent, hints, label, depth
         self.children: list[int] = []
+        self.cues: tuple[str, ...] = ()
         self.chars = self.links = 0
 
 
 def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     """Block nodes in page order (a parent stands before its children) and text pieces (node, text), blanks made single."""
-    nodes = [Node("root", -1, "", None, 0)]
+    nodes = [Node("root", -1, (), None, 0)]
     stack, pieces, held = [0], [], []
     raw: str | None = None
     depth = link = 0
+    head = False
+    unclosed: set[str] = set()
 
     def flush() -> None:
         if held:
@@ -78,6 +89,8 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 node = nodes[stack[-1]]
                 node.chars += len(text)
                 node.links += sum(len(t.strip()) for t, in_link in held if in_link)
+                if len(text) <= 300:
+                    node.cues += tuple(k for k, r in CUES if k not in node.cues and r.search(text))
                 pieces.append((stack[-1], text))
             held.clear()
 
@@ -88,25 +101,35 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         name = match[2]
         if name is None:
             if raw is None and not match[0].startswith(("<!", "<?", "</")):
-                held.append((html.unescape(match[0]), link > 0))
+                text = html.unescape(match[0])
+                if head and text.strip():
+                    head = False
+                if not head:
+                    held.append((text, link > 0))
             continue
         name, closing = name.lower(), bool(match[1])
+        if raw == "select" and not closing and name in BLOCKS and name != "hr":
+            raw = None  # it was never closed: a block can't stand in it
         if raw is not None:
             if name == raw:
                 depth += -1 if closing else 1
                 if not depth:
                     raw = None
-            elif name == "body" and raw == "head" and not closing:
-                raw = None
-            if raw is not None or name == "head" or closing or name != "body":
-                continue
+            continue
+        if name == "head":
+            head = not closing and len(nodes) == 1 + any(n.tag == "html" for n in nodes)
+            continue
+        if head and not closing and name not in HEAD:
+            head = False
         if name in RAW:
-            if not closing and not match[0].endswith("/>"):
+            if not closing and not match[0].endswith("/>") and name not in unclosed:
                 if name in UNPARSED:
                     end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
                     at = end.end() if end else len(page)
-                else:
+                elif name == "select" or re.compile(rf"</{name}\b", re.I).search(page, at):
                     raw, depth = name, 1
+                else:  # without an end it holds nothing
+                    unclosed.add(name)
                 held.append((" ", False))
             continue
         if name == "a":
@@ -138,7 +161,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 if tag in own:
                     del stack[k:]
                     break
-        hint, label = "", None
+        hints, label = (), None
         if match[3]:
             words = []
             for a in _ATTRIBUTE.finditer(match[3]):
@@ -147,8 +170,10 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                     label = value
                 else:
                     words.append(value)
-            hint = next((k for k, r in HINTS if words and r.search(" ".join(words))), "other" if words else "")
-        nodes.append(Node(name, stack[-1], hint, label, len(stack)))
+            if words:
+                joined = " ".join(words)
+                hints = tuple(k for k, r in HINTS if r.search(joined)) or ("other",)
+        nodes.append(Node(name, stack[-1], hints, label, len(stack)))
         nodes[stack[-1]].children.append(len(nodes) - 1)
         if name not in VOID:
             stack.append(len(nodes) - 1)
@@ -159,10 +184,12 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
 _KINDS = {**dict.fromkeys(("h1", "h2", "h3", "h4", "h5", "h6"), "heading"), **dict.fromkeys(("ul", "ol", "dl", "menu"), "list"), **dict.fromkeys(("li", "dt", "dd"), "item"), **dict.fromkeys(("table", "thead", "tbody", "tfoot", "tr", "td", "th", "caption"), "table"), **dict.fromkeys(("form", "fieldset"), "form"), **dict.fromkeys(("html", "body", "root"), "root")}
 
 
-def kind(node: Node) -> str:
-    """What an edge's potential depends on: the node's tag, and its hint where the tag says little."""
-    tag = _KINDS.get(node.tag, node.tag)
-    return f"{tag}.{node.hint}" if tag in ("div", "section", "p", "list", "item", "main", "article", "table") else tag
+def edge_kinds(nodes: list[Node], i: int) -> tuple[str, ...]:
+    """What an edge's potential depends on, from special to general: tags and hints of parent and node, less and less of them."""
+    node, over = nodes[i], nodes[nodes[i].parent]
+    tag, above = _KINDS.get(node.tag, node.tag), _KINDS.get(over.tag, over.tag)
+    own, upper = "+".join(node.hints), "+".join(over.hints)
+    return f"{above}.{upper}>{tag}.{own}", f"{above}.{upper}>{tag}", f"{above}>{tag}.{own}", f"{above}>{tag}", tag
 
 
 def _bucket(x: float, edges: tuple[float, ...]) -> int:
@@ -170,7 +197,7 @@ def _bucket(x: float, edges: tuple[float, ...]) -> int:
 
 
 def features(nodes: list[Node]) -> list[tuple[str, ...]]:
-    """What is seen of each node, as named values: tag, hint, own text, links in the subtree, children, share of the page's text."""
+    """What is seen of each node, as named values: tag, hints and cues, own text, links in the subtree, share of the page's text."""
     chars = [n.chars for n in nodes]
     links = [n.links for n in nodes]
     for i in range(len(nodes) - 1, 0, -1):
@@ -180,8 +207,9 @@ def features(nodes: list[Node]) -> list[tuple[str, ...]]:
     out = []
     for n, c, a in zip(nodes, chars, links):
         out.append((
-            f"tag={_KINDS.get(n.tag, n.tag)}", f"hint={n.hint}", f"text={_bucket(n.chars, (1, 20, 80, 250))}",
+            f"tag={_KINDS.get(n.tag, n.tag)}", f"text={_bucket(n.chars, (1, 20, 80, 250))}",
             f"links={_bucket(a / c if c else -1.0, (0.0, 0.05, 0.4, 0.9))}", f"share={_bucket(c / whole, (0.02, 0.2, 0.6))}",
+            *(f"hint={h}" for h in n.hints or ("",)), *(f"cue={k}" for k in n.cues),
         ))
     return out
 
@@ -195,22 +223,32 @@ def labels(nodes: list[Node]) -> list[int]:
     return out
 
 
+#: Edges of a kind seen on labelled pages for the kind to have potentials of its own.
+LEAST_EDGES = 20
+
+
 class Model:
     """Log potentials from counts of (what, state) and (edge kind, parent's state, state)."""
 
     def __init__(self, counts: dict[str, int]):
-        self.seen: dict[str, np.ndarray] = {}
-        self.edges: dict[str, np.ndarray] = {}
-        totals = np.array([counts.get("state=0", 0) + 1.0, counts.get("state=1", 0) + 1.0])
+        self.seen: dict[str, list[float]] = {}
+        self.edges: dict[str, list[list[float]]] = {}
+        total = [counts.get("state=0", 0) + 1.0, counts.get("state=1", 0) + 1.0]
+        seen: dict[str, list[float]] = {}
+        edges: dict[str, list[list[float]]] = {}
         for key, n in counts.items():
             what, _, states = key.rpartition("|")
             if what.startswith("edge="):
-                self.edges.setdefault(what[5:], np.full((2, 2), 0.5))[int(states[0]), int(states[1])] += n
+                edges.setdefault(what[5:], [[0.5, 0.5], [0.5, 0.5]])[int(states[0])][int(states[1])] += n
             elif what:
-                self.seen.setdefault(what, np.full(2, 0.5))[int(states)] += n
-        self.seen = {k: np.log(v / totals) for k, v in self.seen.items()}
-        self.edges = {k: np.log(v / v.sum(axis=1, keepdims=True)) for k, v in self.edges.items()}
-        self.plain = np.log(np.array([[0.8, 0.2], [0.2, 0.8]]))
+                seen.setdefault(what, [0.5, 0.5])[int(states)] += n
+        self.seen = {k: [math.log(v / t) for v, t in zip(row, total)] for k, row in seen.items()}
+        self.edges = {k: [[math.log(v / sum(row)) for v in row] for row in rows] for k, rows in edges.items() if sum(map(sum, rows)) >= LEAST_EDGES + 2}
+        self.plain = [[math.log(0.8), math.log(0.2)], [math.log(0.2), math.log(0.8)]]
+
+    def edge(self, nodes: list[Node], i: int) -> list[list[float]]:
+        """Potentials (parent's state, state) of a node's edge: those of its most special kind that was seen often enough."""
+        return next((e for k in edge_kinds(nodes, i) if (e := self.edges.get(k))), self.plain)
 
     def marginals(self, nodes: list[Node]) -> list[float]:
         """Probability of content of each node, by messages to the root and back.  The root is no content."""
@@ -222,7 +260,7 @@ class Model:
                 if v is not None:
                     own[i][0] += v[0]
                     own[i][1] += v[1]
-        edge = [self.edges.get(kind(x), self.plain).tolist() for x in nodes]
+        edge = [self.plain, *(self.edge(nodes, i) for i in range(1, n))]
         belief = [list(o) for o in own]  # potential of a node and the messages from its children
         up = [(0.0, 0.0)] * n
         for i in range(n - 1, 0, -1):
@@ -245,7 +283,7 @@ class Model:
                 b0, b1 = b0 + d0 - top, b1 + d1 - top
             top = max(b0, b1)
             belief[i] = [b0 - top, b1 - top]
-            out[i] = 1.0 / (1.0 + np.exp(min(700.0, b0 - b1)))
+            out[i] = 1.0 / (1.0 + math.exp(min(700.0, b0 - b1)))
         return out
 
     def text(self, page: str | None) -> tuple[str, int, float]:
@@ -259,8 +297,7 @@ class Model:
 
 
 def _add(a: float, b: float) -> float:
-    top = max(a, b)
-    return top + float(np.log1p(np.exp(min(a, b) - top)))
+    return max(a, b) + math.log1p(math.exp(-abs(a - b)))
 
 
 def train(labelled: DataFrame) -> Model:
@@ -273,11 +310,11 @@ def train(labelled: DataFrame) -> Model:
             for page in batch.column(0).to_pylist():
                 nodes, _ = parse(page or "")
                 states = labels(nodes)
-                for n, own, s in zip(nodes, features(nodes), states):
+                for i, (n, own, s) in enumerate(zip(nodes, features(nodes), states)):
                     seen.update(f"{f}|{s}" for f in own)
                     seen[f"state={s}"] += 1
                     if n.parent >= 0:
-                        seen[f"edge={kind(n)}|{states[n.parent]}{s}"] += 1
+                        seen.update(f"edge={k}|{states[n.parent]}{s}" for k in edge_kinds(nodes, i))
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["what", "n"])
 
     sums = labelled.select(F.col("html").cast("string")).mapInArrow(count, "what string, n bigint").groupBy("what").agg(F.sum("n").alias("n"))
@@ -291,22 +328,37 @@ def labelled_page(rng: random.Random) -> str:
         made = ["".join(rng.choice("aeioulnrst") for _ in range(rng.randint(2, 9))) for _ in range(rng.randint(low, high))]
         return " ".join(made).capitalize() + rng.choice(["", ".", ".", "."])
 
-    link = lambda low=1, high=2: f'<a href="/x">{words(low, high)}</a>'
-    menu = lambda: "<ul>" + "".join(f"<li>{link()}</li>" for _ in range(rng.randint(2, 9))) + "</ul>"
     named = lambda *names: rng.choice(names)
-
-    def body() -> str:
-        out = [f"<h1>{words(2, 12)}</h1>"] if rng.random() < 0.9 else []
-        if rng.random() < 0.15:
-            out.append(f'<div class="{named("share", "social", "meta", "byline")}" data-label="other">{link()} {link()}</div>')
+    chance = lambda p: rng.random() < p
+    link = lambda low=1, high=2: f'<a href="/x">{words(low, high)}</a>'
+    row = lambda: named(" ", " | ", " - ").join(link() for _ in range(rng.randint(2, 7)))
+    listed = lambda: "<ul>" + "".join(f"<li>{link()}</li>" for _ in range(rng.randint(2, 9))) + "</ul>"
+    menu = lambda: listed() if chance(0.75) else named("{}", "<p>{}</p>", "<div>{}</div>").format(row())
+    rights = lambda: named("&copy; ", "Copyright ", "&copy; 2020 ", "") + words(2, 14) + named("", " All rights reserved.")
+
+    def inside() -> str:
+        """A block that stands in the article but is no part of it."""
+        return named(
+            f'<div class="{named("ad", "advert", "promo", "related", "newsletter")}" data-label="other"><p>{words(2, 25)}</p></div>',
+            f'<aside data-label="other"><p>{words(4, 30)}</p></aside>',
+            f'<div class="{named("share", "social", "tags", "related")}" data-label="other">{row()}</div>',
+            f'<form data-label="other"><p>{words(2, 12)}</p><button>{words(1, 1)}</button></form>',
+        )
+
+    def body() -> list[str]:
+        out = []
+        if chance(0.9):
+            title = f"<h1>{words(2, 12)}</h1>"
+            byline = f'<{(t := named("p", "div"))} class="{named("meta", "byline")}" data-label="other">{words(1, 5)} {link()}</{t}>' if chance(0.2) else ""
+            out.append(f"<header>{title}{byline}</header>" if chance(0.2) else title + byline)
         for _ in range(rng.randint(1, 9)):
             x = rng.random()
             if x < 0.70:
-                out.append(f"<p>{words(1, 90)}{' ' + link() + ' ' + words(3, 20) if rng.random() < 0.15 else ''}</p>")
+                out.append(f"<p>{words(1, 90)}{' ' + link() + ' ' + words(3, 20) if chance(0.15) else ''}</p>")
             elif x < 0.76:
                 out.append(f"<p><b>{words(2, 15)}<br>")
             elif x < 0.81:
-                out.append(f"<h2>{words(1, 7)}</h2>")
+                out.append(f"<{(h := named('h2', 'h3'))}>{words(1, 7)}</{h}>")
             elif x < 0.86:
                 out.append("<ul>" + "".join(f"<li>{words(2, 18)}</li>" for _ in range(rng.randint(1, 5))) + "</ul>")
             elif x < 0.89:
@@ -317,33 +369,51 @@ def labelled_page(rng: random.Random) -> str:
                 out.append(f"<pre>{words(3, 30)}</pre>")
             elif x < 0.95:
                 out.append(f"<figure><figcaption>{words(2, 12)}</figcaption></figure>")
-            elif x < 0.97:
-                out.append(f'<div class="{named("ad", "advert", "promo", "related", "newsletter")}" data-label="other"><p>{words(2, 25)}</p></div>')
             else:
-                out.append(f'<aside data-label="other"><p>{words(4, 30)}</p></aside>')
-        return "".join(out)
+                out.append(inside())
+        if chance(0.08):
+            out.append(f'<footer data-label="other">{named(row(), words(2, 8))}</footer>')
+        return out
 
-    main = named("article", "article", "main", "div", "div", "section")
-    attribute = f' class="{named("content", "post", "entry-content", "article-body", "story", "main-text")}"' if main in ("div", "section") or rng.random() < 0.3 else ""
     around = {
-        "header": lambda: f"<header>{named('', '<h1>' + words(1, 4) + '</h1>')}<p>{words(1, 8)}</p></header>",
-        "nav": lambda: f"<nav>{menu()}</nav>" if rng.random() < 0.7 else f'<div class="{named("menu", "navbar", "breadcrumb")}">{menu()}</div>',
+        "header": lambda: f"<header>{named('', '<h1>' + words(1, 4) + '</h1>')}<p>{words(1, 8)}</p></header>" if chance(0.7) else f'<div class="{named("header", "masthead")}">{named(words(1, 4), "<h1>" + words(1, 4) + "</h1>", link())}</div>',
+        "nav": lambda: f"<nav>{menu()}</nav>" if chance(0.6) else f'<{(t := named("div", "ul"))} class="{named("menu", "navbar", "breadcrumb")}">{menu()}</{t}>' if chance(0.7) else menu(),
         "ad": lambda: f'<div class="{named("ad", "ads", "advert", "sponsored", "banner")}">{named(words(3, 30), "<p>" + words(3, 30) + "</p>")}</div>',
         "notice": lambda: f'<div class="{named("cookie-notice", "consent", "alert", "newsletter", "popup")}"><p>{words(4, 35)}</p></div>',
-        "side": lambda: f"<aside><h3>{words(1, 4)}</h3>{menu()}<p>{words(3, 25)}</p></aside>" if rng.random() < 0.6 else f'<div class="{named("sidebar", "widget", "related")}"><h3>{words(1, 3)}</h3>{menu()}</div>',
+        "side": lambda: f"<aside><h3>{words(1, 4)}</h3>{menu()}<p>{words(3, 25)}</p></aside>" if chance(0.6) else f'<div class="{named("sidebar", "widget", "related", "side-column")}"><h3>{words(1, 3)}</h3>{menu()}</div>',
         "form": lambda: f'<form class="{named("search", "login", "")}"><p>{words(1, 6)}</p><label>{words(1, 2)}</label><button>{words(1, 1)}</button></form>',
     }
     comments = f'<{(box := named("div", "section"))} {named("id", "class")}="{named("comments", "comment-list", "responses", "discussion")}"><h3>{words(1, 3)}</h3>' + "".join(f'<div class="{named("comment", "reply")}"><p>{words(3, 60)}</p></div>' for _ in range(rng.randint(1, 6))) + f"</{box}>"
-    before = "".join(around[k]() for k in rng.sample(["header", "nav", "ad", "notice", "form", "side"], rng.randint(1, 4)))
+    before = "".join(around[k]() for k in rng.sample(["header", "nav", "ad", "notice", "form", "side"], rng.randint(0, 4)))
     after = "".join(around[k]() for k in rng.sample(["side", "ad", "nav", "notice", "form"], rng.randint(0, 3)))
-    inner = body() + (comments.replace(">", ' data-label="other">', 1) if (inside := rng.random() < 0.1) else "")
-    after = (comments if not inside and rng.random() < 0.4 else "") + after
-    footer = f"<footer>{named('', menu())}{named(words(2, 20), '<p>' + words(2, 20) + '</p>')}</footer>" if rng.random() < 0.85 else f'<div class="footer">{words(2, 20)}</div>'
-    return f'<html><body>{before}<{main}{attribute} data-label="content">{inner}</{main}>{after}{footer}</body></html>'
+    within = chance(0.1)
+    after = (comments if not within and chance(0.4) else "") + after
+    footer = f"<footer>{named('', menu())}{named(rights(), '<p>' + rights() + '</p>')}</footer>" if chance(0.7) else f'<div class="{named("footer", "copyright")}">{rights()}</div>' if chance(0.6) else named("", f"<p>&copy; {words(1, 6)}</p>")
+
+    blocks, layout = body(), rng.random()
+    if layout < 0.18:  # no wrapper: each block of the text stands among the others
+        labelled = [b if b.startswith("<p><b>") or "data-label" in b.split(">", 1)[0] else re.sub(r"^<(\w+)", r'<\1 data-label="content"', b) for b in blocks]
+        inner = "".join(b.replace("<p>", '<p data-label="content">', 1) if b.startswith("<p><b>") else b for b in labelled)
+        page = before + (f"<div{named('', ' class=' + named('page', 'wrapper', 'container'))} data-label=content>{inner}</div>" if chance(0.25) else inner) + after + footer
+    elif layout < 0.28:  # a table makes the columns
+        cells = [f"<td>{menu()}</td>", f'<td data-label="content">{"".join(blocks)}</td>', *([f"<td>{named(menu(), words(3, 20))}</td>"] if chance(0.4) else [])]
+        page = f"<table>{named('', '<tr><td>' + words(1, 6) + '</td></tr>')}<tr>{''.join(cells)}</tr>{named('', '<tr><td>' + rights() + '</td></tr>')}</table>{named('', footer)}"
+    else:
+        main = named("article", "article", "main", "div", "div", "section")
+        attribute = f' class="{named("content", "post", "entry-content", "article-body", "story", "main-text", "content-with-sidebar", "post has-ads")}"' if main in ("div", "section") or chance(0.3) else ""
+        inner = "".join(blocks) + (comments.replace(">", ' data-label="other">', 1) if within else "")
+        page = f'<{main}{attribute} data-label="content">{inner}</{main}>'
+        if chance(0.3):
+            around_it = named("content-with-sidebar", "has-sidebar", "wrapper", "layout two-columns", "site-content with-ads", "main-wrap", "container", "page", "nav-open page", "body")
+            page = f'<div class="{around_it}">{named("", around["side"]())}{page}{named("", around["side"](), around["ad"]())}</div>'
+        page = before + page + after + footer
+    if chance(0.05):
+        page = f'<form id="{named("form1", "aspnetForm", "page")}">{page}</form>'
+    return f"<html><body>{page}</body></html>"
 
 
 #: Labelled pages made for training, and their seed; both fixed, whatever is extracted later.
-LABELLED, SEED = 1500, 11
+LABELLED, SEED = 2000, 11
 
 
 def labelled_pages(spark: SparkSession, n: int = LABELLED, seed: int = SEED) -> DataFrame:

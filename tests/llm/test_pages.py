@@ -12,7 +12,7 @@ from parcelworks.llm.common import table
 
 @pytest.fixture(scope="module")
 def model(spark):
-    return P.train(P.labelled_pages(spark, 600))
+    return P.train(P.labelled_pages(spark))
 
 
 def blocks(page):
@@ -39,13 +39,40 @@ def test_marginals_equal_enumeration(model):
         for i, n in enumerate(nodes):
             weight += sum(model.seen[f][states[i]] for f in seen[i] if f in model.seen)
             if i:
-                weight += model.edges.get(P.kind(n), model.plain)[states[n.parent]][states[i]]
+                weight += model.edge(nodes, i)[states[n.parent]][states[i]]
         total += (w := math.exp(weight))
         for i, s in enumerate(states):
             content[i] += w * s
     assert model.marginals(nodes) == pytest.approx([c / total for c in content])
 
 
+TITLE, FIRST, SECOND = "The title of it", "First paragraph of the story, with enough words to count as text.", "Second paragraph, also with a good number of words in it."
+ARTICLE = f"<h1>{TITLE}</h1><p>{FIRST}</p><p>{SECOND}</p>"
+MENU = "<nav><ul><li><a href=/>Home</a></li><li><a href=/b>Blog</a></li></ul></nav>"
+LAYOUTS = {
+    "no wrapper": f"<body>{ARTICLE}</body>",
+    "no wrapper, menu and footer": f"<html><head><title>x</title></head><body>{MENU}{ARTICLE}<footer>&copy; 2020 Foo</footer></body></html>",
+    "a sidebar word in the wrapper": f"<body>{MENU}<div class='content-with-sidebar'><article>{ARTICLE}</article><div class=sidebar><ul><li><a>Popular</a><li><a>Other</a></ul></div></div></body>",
+    "a sidebar word in the content's class": f"<body>{MENU}<div class='content-with-sidebar'>{ARTICLE}</div><footer>x y</footer></body>",
+    "a head without end": f"<html><head><title>t</title><meta x>{MENU}<article>{ARTICLE}</article>",
+    "a head without end or body": f"<head><title>t</title>{ARTICLE}",
+    "the head's end in a script": f"<head><script>var s=\"</head>\"; x='<p>no</p>'</script></head><body><article>{ARTICLE}</article></body>",
+    "a header in the article": f"<body>{MENU}<article><header><h1>{TITLE}</h1></header><p>{FIRST}</p><p>{SECOND}</p></article></body>",
+    "a table for columns": f"<body><table><tr><td><a href=/>Home</a> <a href=/b>Blog</a></td><td>{ARTICLE}</td></tr></table></body>",
+    "a select without end in a form": f"<body><form><select><option>a<option>b</form><article>{ARTICLE}</article></body>",
+    "a select without end": f"<body><select><option>a<option>b<article>{ARTICLE}</article></body>",
+    "a drawing without end": f"<body><svg><path><article>{ARTICLE}</article></body>",
+    "one form round the page": f"<body><form id=aspnetForm>{MENU}<div id=main>{ARTICLE}</div></form></body>",
+    "divs alone": f"<body><div class=header>Site</div><div id=wrapper><div id=content>{ARTICLE}</div><div id=sidebar><p>About me</p></div></div><div id=footer>Copyright</div>",
+    "notice and comments, no wrapper": f"<body><div class=cookie-banner><p>We use cookies to make the site better for you.</p></div>{ARTICLE}<div id=comments><div class=comment><p>Nice article, I did like it very much</p></div></div></body>",
+}
+
+
+@pytest.mark.parametrize("name", LAYOUTS)
+def test_layouts(model, name):
+    assert model.text(LAYOUTS[name])[0].split("\n") == [TITLE, FIRST, SECOND]
+
+
 def test_held_out_labelled_pages(model):
     rng = random.Random(99)
     right = wrong = 0
@@ -71,4 +98,6 @@ def test_every_page_is_its_article(spark):
 def test_edges(spark):
     docs = spark.createDataFrame([(1, "u", None, "t"), (1, "u", "", "t"), (2, None, "<nav><a>x</a></nav>", "t")], "page_id long, url string, html string, text string")
     assert sorted((r.page_id, r.text, r.n_chars) for r in P.extracted(docs, P.labelled_pages(spark, 50)).collect()) == [(1, "", 0), (1, "", 0), (2, "", 0)]
+    clash = docs.withColumn("x", P.F.lit(1)).withColumn("n_chars", P.F.lit("y"))
+    assert P.extracted(clash, P.labelled_pages(spark, 50)).columns == ["page_id", "url", "text", "n_chars", "n_blocks", "certainty"]
     assert P.extracted(docs.limit(0), P.labelled_pages(spark, 20)).count() == 0
