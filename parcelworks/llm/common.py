@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 _BREAKS = bytes(range(0x30)) + bytes(range(0x3A, 0x61)) + bytes(range(0x7B, 0x80))
 _TO_SPACE = bytes.maketrans(_BREAKS, b" " * len(_BREAKS))
 
-#: Rows handed to Python at once; with texts of a few KB a batch stays at some MB.
-ARROW_ROWS = 1000
-ARROW_BYTES = 8 << 20
+#: Rows handed to Python at once; with texts of a few KB a batch stays at a MB or two.
+ARROW_ROWS = 500
+ARROW_BYTES = 2 << 20
 
 #: A table of at most so many bytes may be broadcast or collected; beyond it a shuffle does the work.
 BROADCAST_BYTES = 8 << 20

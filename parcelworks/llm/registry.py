@@ -6,7 +6,7 @@ from . import decontaminate, edits, language, licenses, lines, near_duplicates,
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1,
-    "op1_near_items": decontaminate.op1_near,
+    "op1_near_items": decontaminate.op1,
     "op2_licenses": licenses.op2,
     "op3_quality": quality.op3,
     "op4_language": language.op4,
@@ -20,6 +20,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_decontaminate": decontaminate.ORACLE,
+    "op1_near_items": decontaminate.ORACLE,
     "op6_lines": lines.ORACLE,
     "op10_near_duplicates": near_duplicates.ORACLE,
 }

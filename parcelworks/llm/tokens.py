@@ -37,14 +37,18 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 class Encoder:
-    """Ids of texts as bytes of little-endian unsigned 32-bit numbers."""
+    """Ids of texts as bytes of little-endian unsigned 32-bit numbers.
+
+    ids() gives what the tokenizer's encode(text, add_special_tokens=False) gives, so a special token's string in a text
+    is that token.  pretokens() and counts() know pre-tokens alone: to them such a string is ordinary text.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.model = self.tokenizer.model
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cache: dict[str, bytes] = {}
 
     def pretokens(self, text: str) -> list[str]:
@@ -67,6 +71,9 @@ class Encoder:
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
+        if any(token in text for token in self.added):
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+            return struct.pack(f"<{len(ids)}I", *ids)
         parts = self.pretokens(text)
         self.learn(parts)
         return b"".join(map(self.cache.__getitem__, parts))

@@ -5,7 +5,16 @@ from parcelworks.llm import tokens as T
 from parcelworks.llm.common import table
 
 
-def check(tree, text):
+def plain_tokenizer():
+    """Counts take the special tokens' strings for ordinary text."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(T.tokenizer_path())
+    tokenizer.encode_special_tokens = True
+    return tokenizer
+
+
+def check(tree, text, whole=None):
     coder = T.encoder(T.tokenizer_path())
     assert tree.text() == text
     parts = [p for block, _ in tree.blocks for p in block]
