@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +34,14 @@ def space_words(text: str | None, lower: bool = False) -> list[bytes]:
     return (raw.lower() if lower else raw).split()
 
 
+def tidy() -> None:
+    """Give what the last batch has freed back to the system: Python workers live on between tasks and keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Keep Arrow batches of texts small: ARROW_BYTES, and ARROW_ROWS unless the session already asks for fewer."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -43,11 +52,15 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession, what: str) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share; a temporary one only where it's unset."""
+    """A new folder below spark.checkpoint.dir, which driver and executors share.
+
+    Where it is unset, a session on one machine gets a folder in its warehouse; a cluster's must name one.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="parcelworks-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/.checkpoints"
     return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, broadcast_if_small, shared_dir, small_batches, stored
+from .common import alnum_words, broadcast_if_small, shared_dir, small_batches, stored, tidy
 
 WINDOW = 13
 NEAR_SLACK = 3
@@ -85,8 +85,11 @@ def build_index(docs: DataFrame, path: str | None = None, shard_chars: int = SHA
                 if size >= shard_chars:
                     yield _shard(f"{part}-{made}", ids, texts)
                     made, ids, texts, size = made + 1, [], [], 0
+                    tidy()
         if ids:
             yield _shard(f"{part}-{made}", ids, texts)
+        del ids, texts
+        tidy()
 
     docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(shards, SHARDS).write.parquet(path)
     return spark.read.schema(SHARDS).parquet(path)
@@ -227,6 +230,7 @@ def _hits(batches: Iterator[pa.RecordBatch], windows: Windows, slack: int) -> It
                 ],
                 ["shard", "at", "doc_id", "n_words", "starts", "stops", "items", "near_items"],
             )
+            tidy()
 
 
 def find(index: DataFrame, items: DataFrame, window: int = WINDOW, slack: int = NEAR_SLACK, block_chars: int = BLOCK_CHARS) -> DataFrame:

@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import broadcast_if_small, stored
 
 
 def _stars(links: DataFrame, both: DataFrame, small: bool) -> DataFrame:
     """One step: every node passes its smallest neighbour on to its larger (or, if small, its other smaller) neighbours."""
     # both: (u, v) with each link in both directions, or with v < u alone
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    joined = both.join(least, "u")
+    # stored, so that both sides of the join are shuffled for it alone and Spark can split a star's centre
+    least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
+    joined = both.join(broadcast_if_small(least, 16), "u")
     if small:
         out = joined.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
     else:
@@ -23,8 +24,8 @@ def _stars(links: DataFrame, both: DataFrame, small: bool) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of links (a, b): the smallest node that can be reached.
 
-    Links stay in tables: each round is two joins on a node, written to the shared folder; a hot node is a skewed
-    join, which Spark splits.  The rounds grow with the logarithm of the longest path.  Links of a node to itself
+    Links stay in tables: each round is two joins on a node, written to the shared folder; the smallest neighbours are
+    broadcast if they are few, else a hot node is a skewed join, which Spark splits.  The rounds grow with the logarithm of the longest path.  Links of a node to itself
     and null ends are ignored; no links give no rows.
     """
     now = stored(

@@ -15,12 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, unsigned_crc_fold
+from .common import small_batches, tidy, unsigned_crc_fold
 
 PROFILE = 400
 TEXT_GRAMS = 300
-#: Languages in a training table beyond which profiles are no longer sent to every task.
-MAX_LANGUAGES = 1000
 
 _LOWER = np.arange(0x250, dtype=np.uint32)
 
@@ -100,15 +98,17 @@ def train(docs: DataFrame, size: int = PROFILE) -> DataFrame:
                 own = grams(text)
                 held.setdefault(lang, []).append(own)
                 size += len(own[0])
-            if size > 2_000_000:
+            if size > 500_000:
                 held = {lang: [(v, c)] for lang, v, c in merged()}
                 size = sum(len(p[0][0]) for p in held.values())
-                if size > 1_000_000:
+                if size > 250_000:
                     for lang, parts in held.items():
                         yield _counts(lang, *parts[0])
                     held, size = {}, 0
         for lang, values, counts in merged():
             yield _counts(lang, values, counts)
+        held.clear()
+        tidy()
 
     sums = (
         docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
@@ -118,7 +118,9 @@ def train(docs: DataFrame, size: int = PROFILE) -> DataFrame:
         .agg(F.sum("n").alias("n"))
     )
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    return sums.withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < size).select("lang", "rank", "gram")
+    # a filter on the row number itself lets every task keep no more than ``size`` rows of a language before the shuffle
+    top = sums.withColumn("__nth", F.row_number().over(order)).filter(F.col("__nth") <= size)
+    return top.select("lang", (F.col("__nth") - 1).alias("rank"), "gram")
 
 
 def _counts(lang: str, values: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
@@ -151,10 +153,8 @@ class Profiles:
 
 
 def profiles(docs: DataFrame, size: int = PROFILE) -> Profiles:
-    """Train and gather the profiles: at most MAX_LANGUAGES languages of ``size`` rows each."""
-    rows = train(docs, size).limit(MAX_LANGUAGES * size + 1).collect()
-    if len({r["lang"] for r in rows}) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages: map the labels to fewer first")
+    """Train and gather the profiles: ``size`` rows for each label of a language, however many documents there are."""
+    rows = train(docs, size).collect()
     return Profiles([(r["lang"], r["rank"], r["gram"]) for r in rows], size)
 
 
@@ -169,6 +169,7 @@ def predictor(spark, model: Profiles):
     @F.pandas_udf("lang_pred string, score double")
     def predict(texts: pd.Series) -> pd.DataFrame:
         model = held.value
+        tidy()
         return pd.DataFrame([model.predict(t) for t in texts], columns=["lang_pred", "score"])
 
     return predict

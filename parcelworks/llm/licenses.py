@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, small_batches
+from .common import alnum_words, small_batches, tidy
 
 #: The contract's base phrases and their labels (fixed values).
 BASE = {
@@ -198,6 +198,7 @@ def scanned(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
 
     @F.pandas_udf("n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double")
     def scan(texts: pd.Series) -> pd.DataFrame:
+        tidy()
         found = pd.DataFrame([held.value.scan(t) for t in texts], columns=COLUMNS)
         return found.astype({"first_word": "Int64", "last_word": "Int64"})
 

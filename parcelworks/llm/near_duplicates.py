@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, small_batches, space_words, stored
+from .common import broadcast_if_small, small_batches, space_words, stored, tidy
 from .graph import components
 
 WIDTH = 5
@@ -46,7 +46,7 @@ _WORDS: dict[bytes, int] = {}
 
 def _word_hashes(words: list[bytes]) -> np.ndarray:
     held, hashed = _WORDS, xxhash.xxh3_64_intdigest
-    if len(held) > 100_000:  # saves time only
+    if len(held) > 50_000:  # saves time only
         held.clear()
     out = []
     for w in words:
@@ -89,6 +89,7 @@ def sketches(docs: DataFrame, k: int = SKETCH) -> DataFrame:
     @F.pandas_udf("n bigint, key binary, sketch array<bigint>")
     def sketch(texts: pd.Series) -> pd.DataFrame:
         sets = [shingles(t) for t in texts]
+        tidy()
         return pd.DataFrame({"n": [len(s) for s in sets], "key": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], "sketch": [s[:k] for s in sets]})
 
     return docs.select(F.col("doc_id").cast("bigint"), sketch(F.col("text").cast("string")).alias("s")).select("doc_id", "s.*")
@@ -191,6 +192,7 @@ def links(docs: DataFrame, clusters: DataFrame, per_cent: int = PER_CENT, chunk_
 
     @F.pandas_udf("array<bigint>")
     def sets(texts: pd.Series) -> pd.Series:
+        tidy()
         return pd.Series([shingles(t) for t in texts])
 
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -203,6 +205,7 @@ def links(docs: DataFrame, clusters: DataFrame, per_cent: int = PER_CENT, chunk_
         order = np.argsort(block.column("doc_id").to_numpy(), kind="stable")
         values = [block.column("s")[int(i)].values.to_numpy() for i in order]
         found = _links(block.column("doc_id").to_numpy()[order], block.column("side").to_numpy()[order], values, per_cent)
+        tidy()
         return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
 
     return rows.groupBy("c", "block").applyInArrow(compare, "a bigint, b bigint")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, small_batches, stored
+from .common import broadcast_if_small, small_batches, stored, tidy
 from .tokens import encoder, tokenizer_path
 
 CAPACITY = 1024
@@ -65,6 +65,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, path
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [c.split()[0] for c in PIECES.split(", ")])
         coder.cache.clear()  # the worker goes on to other tasks
+        tidy()
 
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(cut, PIECES)
 

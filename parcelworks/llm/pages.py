@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, tidy
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:/?>|(?=<)|\Z)|<[!?/][^>]*(?:>|\Z)|[^<]+|<", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|data-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -435,6 +435,7 @@ def extracted(pages: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
 
     @F.pandas_udf("text string, n_chars bigint, n_blocks bigint, certainty double")
     def extract(texts: pd.Series) -> pd.DataFrame:
+        tidy()
         rows = [model.value.text(t) for t in texts]
         return pd.DataFrame([(t, len(t), n, c) for t, n, c in rows], columns=["text", "n_chars", "n_blocks", "certainty"])
 

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, space_words, stored
+from .common import small_batches, space_words, stored, tidy
 
 GOOD, BAD, ABSTAIN = 1, 2, 0
 
@@ -103,6 +103,7 @@ def measured(docs: DataFrame) -> DataFrame:
 
     @F.pandas_udf(", ".join(f"{c} bigint" for c in MEASURES) + ", votes string")
     def measures(texts: pd.Series) -> pd.DataFrame:
+        tidy()
         m = pd.DataFrame([measure(t) for t in texts], columns=MEASURES).astype("int64")
         votes = [np.broadcast_to(rule(m), len(m)).astype("U1") for rule in RULES.values()]
         m["votes"] = ["".join(v) for v in zip(*votes)]

@@ -11,7 +11,7 @@ import struct
 from functools import lru_cache
 
 #: Pre-tokens held by one Python worker before the cache starts anew; it only saves time.
-CACHED = 200_000
+CACHED = 100_000
 
 #: The public pattern `'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+` for texts in which
 #: Python's classes mean the same: see _UNUSUAL.
