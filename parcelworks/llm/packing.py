@@ -6,10 +6,11 @@ used.  A piece then finds its place by its rank among the pieces of its length,
 (task, length) and no sort or shuffle of texts.
 
 The plan: the largest piece left is completed by a filling of the space beside it; fillings are enumerated from
-large pieces to small, those that leave more than the best one's waste are cut, and dominated ones (into which
-another left piece would still fit) are left out.  The first descent starts from the best-fit-decreasing plan as
-incumbent; the search then goes back over the last choices, cut by a bound on total waste, until a plan meets the
-lower bound or its nodes are spent.
+large pieces to small, and dominated ones are left out: a filling is dominated if its pieces can be packed into the
+pieces of another one, taken as bins, for then the other one can take its place in any plan.  The first descent starts from the
+best-fit-decreasing plan as incumbent; the search then goes back over the last choices, cut by a bound on total
+waste, until a plan meets the lower bound or its nodes are spent.  The budgets of nodes bound the planner's time alone: every
+piece gets a place, and how far a plan is from its lower bound is in the README.
 """
 
 from __future__ import annotations
@@ -42,7 +43,8 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, path
     """The documents' token pieces: doc_id, piece, start, length, ids_crc32, part (task), rank (in part and length).
 
     A document is its ids and end_id; null is the empty text, which has end_id alone.  Documents longer than the
-    capacity are cut into pieces of that length, the first of which may be shorter.  Repeated rows are repeated.
+    capacity are cut into pieces of that length, the first of which may be shorter.  Repeated rows are repeated, ties of
+    length go by place, a special token's string in a text is that token, and other columns are ignored.
     """
     small_batches(docs.sparkSession)
     path = path or tokenizer_path()
@@ -95,11 +97,33 @@ class Counts:
         return min(self.left[x] // filling.count(x) for x in set(filling))
 
 
+def dominates(better: tuple[int, ...], worse: tuple[int, ...]) -> bool:
+    """Whether the pieces of ``worse`` can be packed into those of ``better`` as bins.  Both run from large to small."""
+    if sum(worse) > sum(better) or (worse and (not better or worse[0] > better[0])):
+        return False
+    room = list(better)
+
+    def put(i: int) -> bool:
+        if i == len(worse):
+            return True
+        tried = set()
+        for k, space in enumerate(room):
+            if space >= worse[i] and space not in tried:
+                tried.add(space)
+                room[k] -= worse[i]
+                if put(i + 1):
+                    return True
+                room[k] += worse[i]
+        return False
+
+    return put(0)
+
+
 def fillings(counts: Counts, space: int, branches: int = BRANCHES, nodes: int = FILLING_NODES) -> tuple[list[tuple[int, ...]], int]:
     """Up to ``branches`` undominated fillings of the space, least waste first, larger pieces first among equals; nodes used.
 
-    Walks the lengths from large to small.  A filling counts if no piece left fits into its waste; a branch is cut
-    when its waste cannot get below the worst one kept.
+    Walks the lengths from large to small.  A filling into which another left piece fits is dominated by the one with that
+    piece, so only full ones are looked at; of these each is kept that no other one kept dominates.
     """
     present, left = counts.present, counts.left
     kept: list[tuple[int, tuple[int, ...]]] = []
@@ -131,8 +155,10 @@ def fillings(counts: Counts, space: int, branches: int = BRANCHES, nodes: int =
             at -= 1
         if maximal:
             small = next((p for p in present if used.get(p, 0) < left[p]), None)
-            if small is None or small > space:
-                kept.append((space, tuple(chosen)))
+            if (small is None or small > space) and not any(dominates(f, tuple(chosen)) for _, f in kept):
+                own = tuple(chosen)
+                kept[:] = [k for k in kept if not dominates(own, k[1])]
+                kept.append((space, own))
                 kept.sort(key=lambda k: k[0])
                 del kept[branches:]
                 return len(kept) == branches and kept[-1][0] == 0
@@ -146,7 +172,7 @@ def lower_bound(left: dict[int, int], capacity: int) -> int:
     """Sequences needed at least: total length, or pieces over half of the capacity with what can't stand beside them."""
     total = sum(k * v for k, v in left.items())
     best = -(-total // capacity)
-    for least in sorted({k for k in left if k <= capacity // 2 and left[k]} | {0})[:64]:
+    for least in sorted({k for k in left if k <= capacity // 2 and left[k]} | {0}):
         large = sum(v for k, v in left.items() if k > capacity - least)
         half = [(k, v) for k, v in left.items() if capacity // 2 < k <= capacity - least]
         small = sum(k * v for k, v in left.items() if least <= k <= capacity // 2)
