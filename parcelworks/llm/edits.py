@@ -1,9 +1,11 @@
-"""Edit-aware token counts: a segment tree of pre-token counts per document, re-encoded only where edits touch.
-
-A document's leaves are its pre-tokens with their lengths and token counts; inner nodes hold the sums.  An edit
-replaces a span of characters.  Only the leaves it touches, with boundary context on both sides, are cut and
-encoded anew: pre-tokens of the new text are compared with the old ones and the work stops where both are in
-step again.  Then the leaves are spliced and the sums above them updated.
+"""Edit-aware token counts: stored segment trees of pre-token counts per document, re-encoded only where edits touch.
+
+A document's leaves are its pre-tokens with their lengths and token counts; inner nodes hold the sums.  build() encodes every
+document once and stores its leaves and root beside the document's key.  A batch of edits joins the touched documents' texts
+with their stored trees.  An edit replaces a span of characters: only the leaves it touches, with boundary context on both
+sides, are cut and encoded anew.  Pre-tokens of the new text are compared with the old ones and the work stops where both are
+in step again; then the leaves are spliced and the sums above them updated.  The batch's result is a table of the touched
+documents' new texts and trees, which the next batch starts from.
 """
 
 from __future__ import annotations
@@ -13,23 +15,44 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import broadcast_if_small, small_batches, stored, tidy
 from .tokens import Encoder, encoder, tokenizer_path
 
 #: Leaves held by a block of the tree; edits change whole blocks' sums, never the whole document.
 BLOCK = 64
 
 
+def packed(parts: list[str], counts: list[int]) -> bytes:
+    """The leaves' lengths and token counts: a byte each, those of 255 and more behind them in four."""
+    values = np.array([*map(len, parts), *counts], np.int64)
+    return np.minimum(values, 255).astype(np.uint8).tobytes() + values[values >= 255].astype("<u4").tobytes() + np.array([len(parts)], "<u4").tobytes()
+
+
+def unpacked(leaves: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = int(np.frombuffer(leaves[-4:], "<u4")[0])
+    values = np.frombuffer(leaves, np.uint8, 2 * n).astype(np.int64)
+    values[values == 255] = np.frombuffer(leaves[2 * n : -4], "<u4")
+    return values[:n], values[n:]
+
+
 class TokenTree:
     """Pre-token leaves in blocks of about BLOCK, under a segment tree over the blocks' sums of characters and tokens."""
 
-    def __init__(self, text: str, coder: Encoder):
+    def __init__(self, text: str, coder: Encoder, leaves: bytes | None = None):
+        """The tree of a text: of its stored leaves if given, without encoding anything, else encoded anew."""
         self.coder, self.encoded = coder, 0
-        parts = coder.pretokens(text)
-        counts = self._count(parts)
+        if leaves is None:
+            parts = coder.pretokens(text)
+            counts = self._count(parts)
+        else:
+            lengths, counts = unpacked(leaves)
+            ends = np.cumsum(lengths).tolist()
+            parts = [text[a:b] for a, b in zip([0, *ends], ends)]
+            counts = counts.tolist()
         self.blocks = [(parts[i : i + BLOCK], counts[i : i + BLOCK]) for i in range(0, len(parts), BLOCK)] or [([], [])]
         self._build()
 
@@ -184,6 +207,9 @@ class TokenTree:
             for b in {*touched, block}:
                 self._changed(b)
 
+    def leaves(self) -> bytes:
+        return packed([p for parts, _ in self.blocks for p in parts], [n for _, counts in self.blocks for n in counts])
+
     def text(self) -> str:
         return "".join(p for parts, _ in self.blocks for p in parts)
 
@@ -192,9 +218,14 @@ class TokenTree:
 SCRUB = re.compile(r"[\w.+-]+@[\w-]+\.[\w.-]+|\b\d{1,3}(?:\.\d{1,3}){3}\b|\b[0-9a-f]{24,}\b|\b\d{12,}\b", re.ASCII)
 
 
-def scrub_edits(text: str) -> list[tuple[int, int, str]]:
-    """Edits that put `[gone]` for each match of SCRUB, in text order."""
-    return [(m.start(), m.end(), "[gone]") for m in SCRUB.finditer(text)]
+#: Telephone numbers, which a second scrub replaces.
+PHONES = re.compile(r"(?<!\w)\+?\d[\d ().-]{6,}\d(?!\w)", re.ASCII)
+#: The two batches of op8: what is replaced, and by what.
+BATCHES = ((SCRUB, "[gone]"), (PHONES, "[phone]"))
+
+KEY = ["k1", "k2"]
+TREES = "k1 bigint, k2 bigint, doc_id bigint, n_chars bigint, n_tokens bigint, n_pretokens bigint, leaves binary"
+STATE = "n_chars bigint, n_tokens bigint, n_pretokens bigint, leaves binary, text string, n_edits bigint, n_reencoded bigint"
 
 
 def apply_edits(tree: TokenTree, edits: list[tuple[int, int, str]]) -> None:
@@ -203,50 +234,128 @@ def apply_edits(tree: TokenTree, edits: list[tuple[int, int, str]]) -> None:
         tree.replace(start, stop, new)
 
 
-COLUMNS = ["n_chars", "n_tokens", "n_edits", "n_chars_after", "n_tokens_after", "n_pretokens", "n_reencoded"]
+def keyed(docs: DataFrame) -> DataFrame:
+    """k1, k2, doc_id, text: the key is a hash of id and text, so rows alike in both share their tree.  Null is the empty text."""
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return rows.select(F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64(F.lit(1), "text", "doc_id").alias("k2"), "doc_id", "text")
 
 
-def counted(docs: DataFrame, edits: DataFrame | None = None, path: str | None = None) -> DataFrame:
-    """A row each row of docs (doc_id, text): doc_id and COLUMNS, tokens before and after the edits.
-
-    edits: (doc_id, start, stop, replacement), spans of characters of the whole text that don't overlap; null
-    replacements delete, spans are cut to the text, edits of unknown documents are ignored.  Without edits the scrub
-    of mail addresses, IP addresses and long secrets is counted.  n_reencoded are the pre-tokens that the edits made
-    the tree encode.  Null and empty texts have no tokens.  The edits of a document must fit one task's memory.
-    """
-    spark = docs.sparkSession
-    small_batches(spark)
+def build(rows: DataFrame, path: str | None = None) -> DataFrame:
+    """The stored trees (TREES) of rows as keyed() gives them, a row each row; every text is encoded once, where it lies."""
+    small_batches(rows.sparkSession)
     path = path or tokenizer_path()
-    schema = ", ".join(f"{c} bigint" for c in COLUMNS)
 
-    def count(text: str | None, own) -> tuple[int, ...]:
+    def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
-        tree = TokenTree(text or "", coder)
-        first = tree.tokens, tree.length, tree.encoded
-        edits = scrub_edits(text or "") if own is None else [(e["start"], e["stop"], e["replacement"] or "") for e in own]
-        apply_edits(tree, edits)
-        return first[1], first[0], len(edits), tree.length, tree.tokens, first[2], tree.encoded - first[2]
-
-    if edits is None:
-
-        @F.pandas_udf(schema)
-        def run(texts: pd.Series) -> pd.DataFrame:
-            return pd.DataFrame([count(t, None) for t in texts], columns=COLUMNS)
-
-        out = docs.select("doc_id", run(F.col("text").cast("string")).alias("c"))
-    else:
-
-        @F.pandas_udf(schema)
-        def run_edits(texts: pd.Series, own: pd.Series) -> pd.DataFrame:
-            return pd.DataFrame([count(t, e if e is not None else []) for t, e in zip(texts, own)], columns=COLUMNS)
+        for batch in batches:
+            out = []
+            for text in batch.column("text").to_pylist():
+                parts = coder.pretokens(text) if text else []
+                counts = coder.counts(parts)
+                out.append((len(text), sum(counts), len(parts), packed(parts, counts)))
+            chars, tokens, sizes, leaves = zip(*out) if out else ((),) * 4
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in (*KEY, "doc_id")), *(pa.array(c, pa.int64()) for c in (chars, tokens, sizes)), pa.array(leaves, pa.binary())],
+                [c.split()[0] for c in TREES.split(", ")],
+            )
+            tidy()
+        coder.cache.clear()
+        tidy()
+
+    return stored(rows.mapInArrow(trees, TREES), "trees")
+
+
+def found_edits(rows: DataFrame, pattern: re.Pattern, replacement: str) -> DataFrame:
+    """Edits (k1, k2, start, stop, replacement) that put the replacement for each match of the pattern in rows' texts."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k1, k2, texts = (batch.column(c).to_pylist() for c in (*KEY, "text"))
+            out = [(a, b, m.start(), m.end()) for a, b, text in zip(k1, k2, texts) for m in pattern.finditer(text)]
+            columns = list(zip(*out)) if out else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], [*KEY, "start", "stop"])
+        tidy()
+
+    small_batches(rows.sparkSession)
+    return rows.mapInArrow(find, "k1 bigint, k2 bigint, start bigint, stop bigint").withColumn("replacement", F.lit(replacement))
+
+
+def given_edits(rows: DataFrame, edits: DataFrame) -> DataFrame:
+    """Edits by document (doc_id, start, stop, replacement) as edits by key; rows without an id, start or stop are ignored."""
+    own = edits.filter("doc_id IS NOT NULL AND start IS NOT NULL AND stop IS NOT NULL").select(
+        F.col("doc_id").cast("bigint").alias("__id"), F.col("start").cast("bigint").alias("start"), F.col("stop").cast("bigint").alias("stop"), F.col("replacement").cast("string").alias("replacement")
+    )
+    keys = rows.select(*KEY, "doc_id").distinct()
+    return keys.join(own, keys["doc_id"] == own["__id"]).select(*KEY, "start", "stop", "replacement")
+
+
+def apply_batch(rows: DataFrame, trees: DataFrame, edits: DataFrame, path: str | None = None) -> DataFrame:
+    """The stored states (k1, k2 and STATE) of the documents that edits touch, from their texts (rows) and trees.
+
+    Only touched documents take part: their keys are broadcast if they are few, else joined by a shuffle.  Texts and trees that
+    occur repeatedly under a key are equal, so one of each is taken.
+    """
+    small_batches(rows.sparkSession)
+    path = path or tokenizer_path()
 
-        each = F.struct(F.col("start").cast("bigint").alias("start"), F.col("stop").cast("bigint").alias("stop"), F.col("replacement").cast("string").alias("replacement"))
-        lists = edits.filter("doc_id IS NOT NULL AND start IS NOT NULL AND stop IS NOT NULL").groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(each).alias("__edits"))
-        out = docs.join(lists, docs["doc_id"] == lists["__id"], "left").select("doc_id", run_edits(F.col("text").cast("string"), "__edits").alias("c"))
-    return out.select("doc_id", *[f"c.{c}" for c in COLUMNS])
+    @F.pandas_udf(STATE)
+    def run(texts: pd.Series, leaves: pd.Series, edits: pd.Series) -> pd.DataFrame:
+        coder, out = encoder(path), []
+        for text, own, batch in zip(texts, leaves, edits):
+            tree = TokenTree(text, coder, own)
+            apply_edits(tree, [(e["start"], e["stop"], e["replacement"] or "") for e in batch])
+            now = tree.leaves()
+            out.append((tree.length, tree.tokens, len(unpacked(now)[0]), now, tree.text(), len(batch), tree.encoded))
+        tidy()
+        return pd.DataFrame(out, columns=[c.split()[0] for c in STATE.split(", ")])
+
+    lists = edits.groupBy(*KEY).agg(F.collect_list(F.struct("start", "stop", "replacement")).alias("edits"))
+    keys = broadcast_if_small(stored(edits.select(*KEY).distinct(), "edited"), 16)
+    touched = lambda frame, column: frame.select(*KEY, column).join(keys, KEY, "left_semi").dropDuplicates(KEY)
+    met = touched(rows, "text").join(touched(trees, "leaves"), KEY).join(lists, KEY)
+    return stored(met.select(*KEY, run("text", "leaves", "edits").alias("s")).select(*KEY, "s.*"), "edited-trees")
+
+
+def counted(docs: DataFrame, *batches, path: str | None = None) -> DataFrame:
+    """A row each row of docs (doc_id, text): doc_id, n_chars, n_tokens, n_pretokens, then of the text after all batches
+    n_chars_after, n_tokens_after, n_pretokens_after, and of each batch, numbered from 1, n_edits_1, n_reencoded_1 and so on.
+
+    A batch is a pair of pattern and replacement, or a table (doc_id, start, stop, replacement) of spans of characters of the
+    whole text as the batch finds it, which don't overlap; null replacements delete, spans are cut to the text, edits of
+    unknown documents are ignored.  n_reencoded are the pre-tokens that a batch encoded: the rest of a document comes from its
+    stored tree.  Null and empty texts have no tokens; repeated rows are counted each for itself; other columns are ignored.
+    To counts, a special token's string is ordinary text.  The edits of one document in a batch must fit one task's memory.
+    """
+    rows = keyed(docs)
+    trees = build(rows, path)
+    out = trees.select(*KEY, "doc_id", "n_chars", "n_tokens", "n_pretokens", *[F.col(c).alias(f"{c}_after") for c in ("n_chars", "n_tokens", "n_pretokens")])
+    texts, leaves, last = rows.select(*KEY, "text"), trees.select(*KEY, "leaves"), None
+    for n, batch in enumerate(batches, 1):
+        if isinstance(batch, DataFrame):
+            edits = given_edits(rows, batch)
+        else:
+            edits = found_edits(rows, *batch)
+            if last is not None:  # what a batch has changed is searched in its new text
+                edits = edits.join(broadcast_if_small(last.select(*KEY), 16), KEY, "left_anti").unionByName(found_edits(last, *batch))
+        edits = stored(edits, "edits")
+        if last is not None:
+            old = broadcast_if_small(last.select(*KEY), 16)
+            keys = broadcast_if_small(stored(edits.select(*KEY).distinct(), "edited"), 16)
+            current = lambda frame, column: frame.join(keys, KEY, "left_semi").join(old, KEY, "left_anti").unionByName(last.select(*KEY, column))
+            state = apply_batch(current(texts, "text"), current(leaves, "leaves"), edits, path)
+            last = stored(last.join(state, KEY, "left_anti").unionByName(state), "edited-trees") if n < len(batches) else state
+        else:
+            last = state = apply_batch(texts, leaves, edits, path)
+        new = state.select(*KEY, *[F.col(c).alias(f"__{c}") for c in ("n_chars", "n_tokens", "n_pretokens", "n_edits", "n_reencoded")])
+        out = out.join(broadcast_if_small(new, 56), KEY, "left")
+        for c in ("n_chars", "n_tokens", "n_pretokens"):
+            out = out.withColumn(f"{c}_after", F.coalesce(f"__{c}", f"{c}_after"))
+        out = out.withColumns({f"{c}_{n}": F.coalesce(f"__{c}", F.lit(0).cast("bigint")) for c in ("n_edits", "n_reencoded")}).drop(*[c for c in new.columns if c not in KEY])
+    return out.drop(*KEY)
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
+    """All documents under two batches of edits: a scrub of mail addresses, IP addresses and long secrets, then of telephone numbers."""
     from .common import table
 
-    return counted(table(spark, sf_dir, "documents"))
+    return counted(table(spark, sf_dir, "documents"), *BATCHES)
