@@ -1,13 +1,14 @@
 """Language-model scores by a probabilistic suffix tree, beside an add-half unigram model of words.
 
 The tree predicts the next byte of the lower-cased text from the longest retained suffix of the bytes before it.
-A context is kept if it makes up at least LEAST of all training positions and its next-byte distribution diverges
-from that of its own suffix by a likelihood-ratio test; with it stay its suffixes.  Each depth thus has at most
-1 / LEAST contexts, whatever the size of the corpus: this is the bound of what the driver gathers and broadcasts.
-Distributions are smoothed towards the next shorter suffix (Witten-Bell), down to add-half over 256 symbols.
-
-Word counts have no such bound and stay in tables.  Documents come in blocks of neighbouring rows of their files; a
-block's distinct words look their counts up in a join and come back to the block's documents.
+A context is kept if it occurs at least LEAST times in the training texts and its next-byte distribution diverges
+from that of its own suffix by a likelihood-ratio test; with it stay its suffixes.  LEAST is a small absolute count, so
+the tree grows with the corpus.  Distributions are smoothed towards the next shorter suffix (Witten-Bell), down to
+add-half over 256 symbols.
+
+Nothing of this is gathered: contexts, distributions and the test are joins over tables.  Documents come in blocks of
+neighbouring rows of their files; a block's distinct words and positions (context and byte) look their counts and
+probabilities up in a join and come back to the block's documents.
 """
 
 from __future__ import annotations
@@ -15,19 +16,22 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, space_words, stored, unsigned_crc_fold
+from .common import broadcast_if_small, small_batches, space_words, stored, tidy, unsigned_crc_fold
 
 DEPTH = 5
-LEAST = 5e-5
+#: Longest context for which a position fits into 64 bits.
+MAX_DEPTH = 7
+LEAST = 16
 #: Threshold of 2 * n * KL, beyond which a context differs from its suffix.
 DIVERGENCE = 50.0
-BLOCK_CHARS = 16 << 20
+BLOCK_CHARS = 32 << 20
+#: Rows whose characters are added up together when blocks are cut.
+CHUNK_ROWS = 256
 #: Bytes that UTF-8 never uses: the end of a text and what stands before it.
 END, START = 0xFE, 0xFF
 
@@ -56,29 +60,30 @@ def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values[at], np.append(at, len(values))
 
 
-def located(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """docs with __block: the file and the range of rows in it, about block_chars characters each.
+def located(docs: DataFrame, block_chars: int = BLOCK_CHARS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """docs with __block: neighbouring rows of a file with about block_chars characters together, cut by running length.
 
     A frame that is not a plain read of files is written to the shared folder first, for its rows to have places.
     """
     try:
-        read = docs.select("*", "_metadata.file_path", "_metadata.row_index")
-        read.schema
+        docs.select("_metadata.file_path", "_metadata.row_index").schema
     except Exception as error:  # noqa: BLE001  Spark says only by its error class that there is no such column
         if "UNRESOLVED_COLUMN" not in str(error) and "_metadata" not in str(error):
             raise
         docs = stored(docs, "documents")
-    size = docs.select(F.avg(F.length(F.col("text").cast("string"))).alias("n")).first()["n"] or 1.0
-    rows = max(1, int(block_chars / max(size, 1.0)))
-    place = F.xxhash64("_metadata.file_path", F.floor(F.col("_metadata.row_index") / rows))
-    return docs.select("*", place.alias("__block"))
+    placed = docs.select("*", F.xxhash64("_metadata.file_path").alias("__file"), F.floor(F.col("_metadata.row_index") / chunk_rows).alias("__chunk"))
+    sizes = placed.groupBy("__file", "__chunk").agg(F.sum(F.coalesce(F.length(F.col("text").cast("string")), F.lit(0)) + 1).alias("n"))
+    running = F.sum("n").over(Window.partitionBy("__file").orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1))
+    block = F.xxhash64("__file", F.floor(F.coalesce(running, F.lit(0)) / block_chars))
+    cut = stored(sizes.select("__file", "__chunk", block.alias("__block")), "blocks")
+    return placed.join(broadcast_if_small(cut, 24), ["__file", "__chunk"]).drop("__file", "__chunk")
 
 
-def counted(docs: DataFrame, learn, depth: int = DEPTH) -> DataFrame:
-    """(kind, block, key, n): distinct words of each block and packed positions, with their counts in training rows.
+def counted(docs: DataFrame, learn: Column, depth: int = DEPTH) -> DataFrame:
+    """(kind, block, key, n): distinct words and packed positions of each block's part in a task, with their counts in training rows.
 
-    ``learn`` tells the training rows.  Words of other rows come with n = 0; positions only from training rows.
-    The words' key 0 of kind _GRAMS + 1 counts training documents.
+    ``learn`` tells the training rows.  What only other rows have comes with n = 0.  Key 0 of kind _GRAMS + 1 counts
+    training documents.
     """
     small_batches(docs.sparkSession)
 
@@ -90,178 +95,174 @@ def counted(docs: DataFrame, learn, depth: int = DEPTH) -> DataFrame:
                 ["kind", "block", "key", "n"],
             )
 
-        def words(block, known, other):
-            learnt, ends = _runs(np.sort(np.concatenate(known)) if known else np.zeros(0, np.int64))
-            yield out(_WORDS, block, learnt, np.diff(ends))
-            if other:
-                rest = np.setdiff1d(np.concatenate(other), learnt)
-                yield out(_WORDS, block, rest, np.zeros(len(rest)))
-
-        def grams(held):
-            values = np.concatenate([h[0] for h in held])
-            weights = np.concatenate([h[1] for h in held])
-            order = np.argsort(values)
+        def merged(held):
+            values, weights = (np.concatenate(x) for x in zip(*held))
+            order = np.argsort(values, kind="stable")
             values, starts = _runs(values[order])
-            return values, np.add.reduceat(weights[order], starts[:-1])
+            return values, np.add.reduceat(weights[order], starts[:-1]) if len(values) else weights
+
+        held = {_WORDS: [], _GRAMS: []}
+
+        def add(kind, keys, learnt):
+            """Keys of some texts: those learnt from count, the others are there with 0."""
+            values, starts = _runs(np.sort(keys))
+            held[kind].append((values, np.diff(starts) if learnt else np.zeros(len(values), np.int64)))
+            if sum(len(h[0]) for h in held[kind]) > 1_000_000:
+                held[kind] = [merged(held[kind])]
+
+        def done(block):
+            for kind, own in held.items():
+                if own:
+                    keys, n = merged(own)
+                    for low in range(0, len(keys), 100_000):
+                        yield out(kind, block, keys[low : low + 100_000], n[low : low + 100_000])
+                held[kind] = []
+            tidy()
 
-        block, known, other, held, size, docs_seen = None, [], [], [], 0, 0
+        block, seen = None, 0
         for batch in batches:
             texts, learns, blocks = (batch.column(i).to_pylist() for i in range(3))
-            raw = []
-            for text, own, where in zip(texts, learns, blocks):
-                if where != block:
+            at = 0
+            while at < len(texts):
+                stop = at
+                while stop < len(texts) and blocks[stop] == blocks[at]:
+                    stop += 1
+                if blocks[at] != block:
                     if block is not None:
-                        yield from words(block, known, other)
-                    block, known, other = where, [], []
-                if own:
-                    docs_seen += 1
-                    known.append(word_keys(text))
-                    raw.append(positions(text, depth))
-                else:
-                    other.append(word_keys(text))
-            if raw:
-                values, starts = _runs(np.sort(np.concatenate(raw)))
-                held.append((values, np.diff(starts)))
-                size += len(values)
-            if size > 1_500_000:
-                held = [grams(held)]
-                size = len(held[0][0])
-                if size > 700_000:
-                    yield out(_GRAMS, 0, held[0][0].view(np.int64), held[0][1])
-                    held, size = [], 0
+                        yield from done(block)
+                    block = blocks[at]
+                for learnt in (True, False):
+                    own = [t for t, x in zip(texts[at:stop], learns[at:stop]) if x == learnt]
+                    if own:
+                        seen += len(own) * learnt
+                        add(_WORDS, np.concatenate([word_keys(t) for t in own]), learnt)
+                        add(_GRAMS, np.concatenate([positions(t, depth) for t in own]).view(np.int64), learnt)
+                at = stop
         if block is not None:
-            yield from words(block, known, other)
-        if held:
-            values, n = grams(held)
-            yield out(_GRAMS, 0, values.view(np.int64), n)
-        yield out(_GRAMS + 1, 0, np.zeros(1, np.int64), np.array([docs_seen]))
+            yield from done(block)
+        yield out(_GRAMS + 1, 0, np.zeros(1, np.int64), np.array([seen]))
 
     return docs.select(F.col("text").cast("string"), learn.alias("__learn"), "__block").mapInArrow(count, "kind tinyint, block bigint, key bigint, n bigint")
 
 
-class Tree:
-    """The suffix tree as sorted arrays: log10 probabilities of seen symbols and weights of the step to the suffix."""
-
-    def __init__(self, depth: int, k: np.ndarray, context: np.ndarray, symbol: np.ndarray, n: np.ndarray, divergence: float = DIVERGENCE):
-        self.depth = depth
-        code = (k.astype(np.int64) << 56) | (context.astype(np.int64) << 8) | symbol.astype(np.int64)
-        order = np.argsort(code)
-        code, n = code[order], n[order].astype(float)
-        states, ends = _runs(code >> 8)
-        total = np.add.reduceat(n, ends[:-1]) if len(n) else np.zeros(0)
-        kinds = np.diff(ends)
-        state = np.repeat(np.arange(len(states)), kinds)
-        level = states >> 48
-        # smoothed probabilities from the root down: an entry's parent entry is that of the suffix state
-        p = np.zeros(len(code))
-        root = 0.5 / (float(total[level == 0].sum()) + 128.0)
-        up_state = self._suffix(states)
-        up = np.searchsorted(states, up_state)
-        ratio = np.zeros(len(states))
-        for d in range(depth + 1):
-            own = np.flatnonzero(level[state] == d)
-            if d == 0:
-                p[own] = (n[own] + 0.5) / (total[state[own]] + 128.0)
-                continue
-            parent = np.searchsorted(code, (up_state[state[own]] << 8) | (code[own] & 255))
-            weight = kinds[state[own]] / (total[state[own]] + kinds[state[own]])
-            p[own] = n[own] / (total[state[own]] + kinds[state[own]]) + weight * p[parent]
-            plain = n[own] / total[state[own]]
-            np.add.at(ratio, state[own], 2 * n[own] * np.log(plain / p[parent]))
-        keep = (level == 0) | (ratio > divergence)
-        for d in range(depth, 0, -1):  # suffixes of kept contexts stay
-            keep[up[keep & (level == d)]] = True
-        kept = keep[state]
-        self.codes, self.logs = code[kept], np.log10(p[kept])
-        self.states = states[keep]
-        self.steps = np.where(level[keep] == 0, 0.0, np.log10(kinds[keep] / (total[keep] + kinds[keep])))
-        self.unseen = float(np.log10(root))
-
-    @staticmethod
-    def _suffix(states: np.ndarray) -> np.ndarray:
-        level = np.maximum((states >> 48) - 1, 0)
-        return (level << 48) | (states & ((np.int64(1) << (8 * level)) - 1))
-
-    def logs_of(self, grams: np.ndarray) -> np.ndarray:
-        """log10 probability of the last byte of each packed position, given the bytes before it."""
-        grams = grams.astype(np.int64)
-        symbol, context = grams & 255, grams >> 8
-        out = np.full(len(grams), self.unseen)
-        done = np.zeros(len(grams), bool)
-        carried = np.zeros(len(grams))
-        for d in range(self.depth, -1, -1):
-            left = np.flatnonzero(~done)
-            if not len(left) or not len(self.states):
-                break
-            state = (np.int64(d) << 48) | (context[left] & ((np.int64(1) << (8 * d)) - 1))
-            at = np.minimum(np.searchsorted(self.states, state), len(self.states) - 1)
-            known = self.states[at] == state
-            code = (state << 8) | symbol[left]
-            to = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
-            seen = known & (self.codes[to] == code)
-            out[left[seen]] = carried[left[seen]] + self.logs[to[seen]]
-            done[left[seen]] = True
-            step = left[known & ~seen]
-            carried[step] += self.steps[at[known & ~seen]]
-        out[~done] = carried[~done] + self.unseen
-        return out
-
-
-def grow(counts: DataFrame, depth: int = DEPTH, least: float = LEAST, divergence: float = DIVERGENCE) -> Tree:
-    """The tree of counted packed positions (key, n)."""
-    each = F.array(*[
-        F.struct(F.lit(d).alias("k"), F.shiftright("key", 8).bitwiseAND((1 << (8 * d)) - 1).alias("context")) for d in range(depth + 1)
-    ])
-    rows = counts.groupBy("key").agg(F.sum("n").alias("n")).select(F.explode(each).alias("c"), F.col("key").bitwiseAND(255).alias("symbol"), "n")
+def _context(key: str, d) -> Column:
+    """The last d bytes before a packed position's own byte.  d: a number or a column of numbers up to MAX_DEPTH."""
+    bits = F.col(d) * 8 if isinstance(d, str) else F.lit(8 * d)
+    return F.shiftrightunsigned(key, 8).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), bits.cast("int")) - 1)
+
+
+def _suffix(k: str = "k", context: str = "context") -> Column:
+    """The context without its first byte."""
+    return F.col(context).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), (8 * (F.col(k) - 1)).cast("int")) - 1)
+
+
+def grow(grams: DataFrame, depth: int = DEPTH, least: int = LEAST, divergence: float = DIVERGENCE) -> tuple[DataFrame, DataFrame, float]:
+    """The tree of packed positions (key, n): kept states (k, context, step), their entries (k, context, symbol, p), p of a byte never seen.
+
+    k is a context's length; p an entry's smoothed probability; step the factor with which a state passes what it has
+    not seen on to its suffix (1 at the root).  Tables all; n = 0 counts nothing.
+    """
+    levels = F.array(*[F.struct(F.lit(d).alias("k"), _context("key", d).alias("context")) for d in range(depth + 1)])
+    rows = grams.filter("n > 0").select(F.explode(levels).alias("c"), F.col("key").bitwiseAND(255).alias("symbol"), "n")
     rows = stored(rows.groupBy("c.k", "c.context", "symbol").agg(F.sum("n").alias("n")), "contexts")
-    total = rows.filter("k = 0").agg(F.sum("n")).first()[0] or 0
-    often = rows.groupBy("k", "context").agg(F.sum("n").alias("__all")).filter(F.col("__all") >= least * total).drop("__all")
-    found = rows.join(often, ["k", "context"]).toArrow()  # at most 1 / least contexts a depth
-    return Tree(depth, *[found.column(c).to_numpy() for c in ("k", "context", "symbol", "n")], divergence)
+    often = rows.groupBy("k", "context").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).filter((F.col("k") == 0) | (F.col("total") >= least))
+    entries = stored(rows.join(often, ["k", "context"]), "entries")
+    total = entries.filter("k = 0").agg(F.max("total")).first()[0] or 0
+    unseen = 0.5 / (total + 128.0)
+    at = lambda d: entries.filter(F.col("k") == d)
+    done, kept = [stored(at(0).select("k", "context", "symbol", ((F.col("n") + 0.5) / (total + 128.0)).alias("p")), "level")], [None]
+    for d in range(1, depth + 1):
+        above = done[-1].select(F.col("context").alias("__c"), F.col("symbol").alias("__s"), F.col("p").alias("__p"))
+        met = at(d).withColumn("__u", _suffix()).join(above, (F.col("__u") == F.col("__c")) & (F.col("symbol") == F.col("__s")))
+        whole = F.col("total") + F.col("kinds")
+        own = met.select("k", "context", "symbol", (F.col("n") / whole + F.col("kinds") / whole * F.col("__p")).alias("p"), (2 * F.col("n") * F.log(F.col("n") / F.col("total") / F.col("__p"))).alias("g"))
+        own = stored(own, "level")
+        kept.append(own.groupBy("context").agg(F.sum("g").alias("g")).filter(F.col("g") > divergence).select("context"))
+        done.append(own.drop("g"))
+    states = [None] * (depth + 1)
+    for d in range(depth, 0, -1):  # suffixes of kept contexts stay
+        below = states[d + 1].select(_suffix().alias("context")) if d < depth else None
+        own = kept[d] if below is None else kept[d].unionByName(below).distinct()
+        states[d] = stored(own.select(F.lit(d).alias("k"), "context"), "kept")
+    root = grams.sparkSession.createDataFrame([(0, 0)], "k int, context bigint")
+    keep = root
+    for own in states[1:]:
+        keep = keep.unionByName(own)
+    step = F.when(F.col("k") == 0, 1.0).otherwise(F.col("kinds") / (F.col("total") + F.col("kinds")))
+    found = stored(keep.join(often, ["k", "context"], "left").select("k", "context", F.coalesce(step, F.lit(1.0)).alias("step")), "states")
+    table = done[0]
+    for own in done[1:]:
+        table = table.unionByName(own)
+    return found, table, unseen
+
+
+def probabilities(grams: DataFrame, depth: int = DEPTH, least: int = LEAST, divergence: float = DIVERGENCE) -> DataFrame:
+    """(key, value): log10 probability of every position's byte, from the longest kept suffix of the bytes before it."""
+    states, entries, unseen = grow(grams, depth, least, divergence)
+    each = grams.select("key", F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("k"))
+    each = each.select("key", "k", _context("key", "k").alias("context"), F.col("key").bitwiseAND(255).alias("symbol"))
+    known = each.join(broadcast_if_small(states, 24), ["k", "context"]).join(entries, ["k", "context", "symbol"], "left")
+    # of the kept suffixes, the longest that has seen the byte gives p; the longer ones pass it on by their steps
+    lists = known.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("k", "step", "p")), asc=False).alias("own"))
+    found = F.aggregate(
+        "own",
+        F.struct(F.lit(1.0).alias("steps"), F.lit(None).cast("double").alias("p")),
+        lambda a, x: F.struct(F.when(a["p"].isNull() & x["p"].isNull(), a["steps"] * x["step"]).otherwise(a["steps"]).alias("steps"), F.coalesce(a["p"], x["p"]).alias("p")),
+    )
+    return lists.select("key", found.alias("f")).select("key", F.log10(F.col("f.steps") * F.coalesce("f.p", F.lit(unseen))).alias("value"))
 
 
-def scored(docs: DataFrame, learn, depth: int = DEPTH, least: float = LEAST, divergence: float = DIVERGENCE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def scored(docs: DataFrame, learn: Column, depth: int = DEPTH, least: int = LEAST, divergence: float = DIVERGENCE, block_chars: int = BLOCK_CHARS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """A row each row of docs (doc_id, text): doc_id, learnt, n_tokens, n_known, train_tokens, base_score, score.
 
     ``learn`` is a condition on docs that tells the training rows.  Tokens are the lower-cased words and one end.
     Null and empty texts are their end alone.  Without training rows every token is unknown and every byte has the
-    same probability.  Repeated rows count as often as they occur.
+    same probability.  Repeated rows count as often as they occur; other columns, whatever their names, are ignored.
+    depth is 1 to MAX_DEPTH.
     """
+    if not 1 <= depth <= MAX_DEPTH:
+        raise ValueError(f"depth must be from 1 to {MAX_DEPTH}")
     spark = docs.sparkSession
     small_batches(spark)
     # only what is needed goes on: other columns may have clashing names
-    docs = located(docs, block_chars).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), learn.alias("learn"), "__block")
-    counts = stored(counted(docs, F.coalesce(F.col("learn"), F.lit(False)), depth), "counts")
-    tree = spark.sparkContext.broadcast(grow(counts.filter(F.col("kind") == _GRAMS).select("key", "n"), depth, least, divergence))
+    docs = located(docs, block_chars, chunk_rows).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"), "__block")
+    counts = stored(counted(docs, F.col("learn"), depth), "counts")
     ends = counts.filter(F.col("kind") == _GRAMS + 1).agg(F.sum("n")).first()[0] or 0
-    words = counts.filter(F.col("kind") == _WORDS)
-    sums = stored(words.groupBy("key").agg(F.sum("n").alias("c")), "word-counts")
-    tokens, kinds = sums.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
+    sums = stored(counts.filter(F.col("kind") <= _GRAMS).groupBy("kind", "key").agg(F.sum("n").alias("n")), "sums")
+    words = sums.filter(F.col("kind") == _WORDS)
+    tokens, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
     tokens, kinds = tokens + ends, kinds + (ends > 0)
-    looked = words.select("block", "key").join(sums, "key").select("block", "key", "c")
+    logs = probabilities(sums.filter(F.col("kind") == _GRAMS).select("key", "n"), depth, least, divergence)
+    values = words.select("kind", "key", F.col("n").cast("double").alias("value")).unionByName(logs.select(F.lit(_GRAMS).cast("tinyint").alias("kind"), "key", "value"))
+    looked = counts.filter(F.col("kind") <= _GRAMS).select("kind", "block", "key").join(stored(values, "values"), ["kind", "key"])
 
     def score(texts: pa.Table, own: pa.Table) -> pa.Table:
-        keys, c = own.column("key").to_numpy(), own.column("c").to_numpy()
-        order = np.argsort(keys)
-        keys, c = keys[order], c[order]
-        logs, n = np.log10(c + 0.5), texts.num_rows
+        kind, keys, value = (own.column(c).to_numpy() for c in ("kind", "key", "value"))
+        of = {}
+        for k in (_WORDS, _GRAMS):
+            mine, at = np.unique(keys[kind == k], return_index=True)  # a block that several tasks counted has keys twice
+            of[k] = mine, value[kind == k][at]
+        (word, c), (gram, log) = of[_WORDS], of[_GRAMS]
+        word_log, n = np.log10(c + 0.5), texts.num_rows
         column = texts.column("text")
         n_tokens, n_known = np.ones(n, np.int64), np.full(n, int(ends > 0))
         base, total = np.full(n, np.log10(ends + 0.5)), np.zeros(n)
-        for low in range(0, n, 512):
-            held = []
-            for i, text in enumerate(column.slice(low, 512).to_pylist()):
-                found = np.searchsorted(keys, word_keys(text))
-                n_tokens[low + i] += len(found)
-                n_known[low + i] += int((c[found] > 0).sum())
-                base[low + i] += logs[found].sum()
-                held.append(positions(text, depth))
-            sizes = [len(h) for h in held]
-            doc = np.repeat(np.arange(len(held), dtype=np.uint64), sizes)
-            both = np.sort((np.concatenate(held) << np.uint64(16)) | doc) if depth < 6 else None
-            grams, at = _runs(both >> np.uint64(16))
-            each = np.repeat(tree.value.logs_of(grams), np.diff(at))
-            total[low : low + len(held)] = np.bincount((both & np.uint64(0xFFFF)).astype(np.int64), each, len(held))
+        for low in range(0, n, 256):
+            held = column.slice(low, 256).to_pylist()
+            for part, kind_of, keys_of in ((held, _WORDS, word_keys), (held, _GRAMS, lambda t: positions(t, depth).view(np.int64))):
+                each = [keys_of(t) for t in part]
+                doc = np.repeat(np.arange(len(each)), [len(x) for x in each])
+                all_ = np.concatenate(each) if each else np.zeros(0, np.int64)
+                order = np.argsort(all_)  # in order the lookups stay near each other
+                found, doc = np.searchsorted(of[kind_of][0], all_[order]), doc[order]
+                size, stop = len(each), low + len(each)
+                if kind_of == _WORDS:
+                    n_tokens[low:stop] += np.bincount(doc, minlength=size)
+                    n_known[low:stop] += np.bincount(doc[c[found] > 0], minlength=size)
+                    base[low:stop] += np.bincount(doc, word_log[found], size)
+                else:
+                    total[low:stop] = np.bincount(doc, log[found], size)
+        tidy()
         return pa.table({"doc_id": texts.column("doc_id"), "learnt": texts.column("learn"), "n_tokens": n_tokens, "n_known": n_known, "logs": base, "score": total})
 
     schema = "doc_id bigint, learnt boolean, n_tokens bigint, n_known bigint, logs double, score double"

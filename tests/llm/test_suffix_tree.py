@@ -16,14 +16,12 @@ def low(text):
 def plain_tree(texts, depth, least, divergence):
     """Contexts and scores by dictionaries, straight from the definition."""
     n = defaultdict(Counter)
-    total = 0
     for t in texts:
         raw = bytes([255]) * depth + low(t).encode() + bytes([254])
         for i in range(depth, len(raw)):
-            total += 1
             for d in range(depth + 1):
                 n[raw[i - d : i]][raw[i]] += 1
-    n = {c: v for c, v in n.items() if sum(v.values()) >= least * total}
+    n = {c: v for c, v in n.items() if not c or sum(v.values()) >= least}
 
     def p(c, s):
         v = n.get(c, Counter())
@@ -52,9 +50,9 @@ def test_tree_and_base_against_plain_definition(spark):
     rows += [(100, "x" * 3000), (None, "the cat")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     learn = S.F.col("doc_id") % 4 != 1
-    got = {(-1 if r.doc_id is None else r.doc_id): r for r in S.scored(docs, learn, depth=3, least=0.005, divergence=5.0, block_chars=300).collect()}
+    got = {(-1 if r.doc_id is None else r.doc_id): r for r in S.scored(docs, learn, depth=3, least=4, divergence=5.0, block_chars=300, chunk_rows=4).collect()}
     train = [t for i, t in rows if i is not None and i % 4 != 1]
-    keep, score = plain_tree(train, 3, 0.005, 5.0)
+    keep, score = plain_tree(train, 3, 4, 5.0)
     assert len(keep) > 10
     c = Counter(w for t in train for w in [*re.findall(r"[^\x20\x09-\x0D]+", low(t)), None])
     total, kinds = sum(c.values()), len(c)
@@ -84,3 +82,19 @@ def test_empty(spark):
     assert S.scored(docs.limit(0), S.F.lit(True)).count() == 0
     (row,) = S.scored(docs, S.F.lit(False)).collect()
     assert row.n_known == 0 and row.score == pytest.approx(4 * math.log10(0.5 / 128))
+
+
+def test_the_tree_grows_with_the_corpus_and_with_depth(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"{chr(97 + i // 40)}{chr(97 + j)}{chr(97 + (i // 40 * 7 + j * 3) % 26)}" for j in range(26))) for i in range(400)], "doc_id long, text string")
+
+    def states(frame):
+        grams = S.counted(S.located(frame), S.F.lit(True), 4).filter(S.F.col("kind") == S._GRAMS).groupBy("key").agg(S.F.sum("n").alias("n"))
+        return S.grow(grams, 4, 4, 5.0)[0].count()
+
+    assert states(docs) > 3 * states(docs.filter("doc_id < 40")) > 10
+    deep = S.scored(docs, S.F.col("doc_id") % 5 != 0, depth=7, least=4, divergence=5.0).agg(S.F.sum("score")).first()[0]
+    flat = S.scored(docs, S.F.col("doc_id") % 5 != 0, depth=1, least=4, divergence=5.0).agg(S.F.sum("score")).first()[0]
+    assert deep > flat
+    for depth in (0, 8):
+        with pytest.raises(ValueError):
+            S.scored(docs, S.F.lit(True), depth=depth)
