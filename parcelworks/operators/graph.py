@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelworks.functions import text as T
+from parcelworks.storage import stored
 
 
 def canonical_edges(rows: DataFrame, seq: str = "seq") -> DataFrame:
@@ -28,25 +29,21 @@ def neighbours(edges: DataFrame, node: str) -> DataFrame:
     return both_ways(edges.filter((F.col("src") == node) | (F.col("dst") == node))).filter(F.col("id") == node).select("other")
 
 
-def bfs(edges: DataFrame, start, depth: int) -> DataFrame:
-    """(id, hops, parent) of all nodes within ``depth`` hops; of several parents the smallest stays.
+def bfs(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
+    """(id, hops, parent) of all nodes within ``depth`` hops of any of starts (id); of several parents the smallest stays.
 
-    A round joins the frontier with the edges and leaves out what has been seen; its plan is cut by a checkpoint
-    in the shared folder, so depth does not pile up lineage.
+    A round joins the frontier with the edges and leaves out what has been seen; its result is a stored table, so depth does
+    not pile up lineage.  Repeated and null starts count once and not at all.
     """
-    spark = edges.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="parcelworks-"))
     ways = both_ways(edges)
     kind = dict(ways.dtypes)["id"]
-    seen = spark.range(1).select(F.lit(start).cast(kind).alias("id"), F.lit(0).alias("hops"), F.lit(None).cast(kind).alias("parent"))
+    first = starts.filter("id IS NOT NULL").select(F.col("id").cast(kind).alias("id")).distinct()
+    seen = stored(first.select("id", F.lit(0).alias("hops"), F.lit(None).cast(kind).alias("parent")), "nodes")
     front = seen.select("id")
     for hop in range(1, depth + 1):
         step = ways.join(front, "id").groupBy(F.col("other").alias("__id")).agg(F.min("id").alias("parent"))
         new = step.join(seen.select(F.col("id").alias("__id")), "__id", "left_anti")
-        new = new.select(F.col("__id").alias("id"), F.lit(hop).alias("hops"), "parent").checkpoint()
+        new = stored(new.select(F.col("__id").alias("id"), F.lit(hop).alias("hops"), "parent"), "nodes")
         if new.isEmpty():
             break
         seen = seen.unionByName(new)

@@ -86,15 +86,16 @@ NO_OWNER = r"(?i)^(?:\d+|upc\s*\d|road|street|highway|hwy|county|state|new\s*mex
 
 
 def is_person_name(name: Column) -> Column:
-    """Owner names worth following: three characters or more, not digits and dashes alone, no lot label, no `UPC 12`, no public owner."""
+    """Owner names worth following: three characters or more, some of them letters, no lot label, no `UPC 12`, no public owner.
+
+    A lot label is one word of four digits or more and letters after them.
+    """
     bare = F.trim(name)
-    return (
-        (F.length(bare) >= 3)
-        & ~bare.rlike(r"^[\d\s-]+$")
-        & ~bare.rlike(r"^\d{4,}[A-Za-z]+$")
-        & ~bare.rlike(r"(?i)^upc\s*\d")
-        & ~bare.rlike(NO_OWNER)
-    )
+    letters, digits = F.regexp_replace(bare, "[^A-Za-z]", ""), F.regexp_replace(bare, "[^0-9]", "")
+    label = (F.length(digits) >= 4) & (F.length(letters) > 0) & (bare == F.concat(digits, letters))
+    upc = F.upper(F.substring(bare, 1, 3)).eqNullSafe("UPC") & F.trim(F.substring(bare, 4, 100)).rlike("^[0-9]")
+    nothing = (F.length(digits) > 0) & (F.regexp_replace(bare, r"[\d\s-]", "") == "")
+    return (F.length(bare) >= 3) & ~nothing & ~label & ~upc & ~bare.rlike(NO_OWNER)
 
 
 def is_deed_type(kind: Column) -> Column:

@@ -12,8 +12,11 @@ def test_ocr(spark):
     rows = ["thance S 45 30 00 E 1l5.5O0 ft. to a poiut", "Begining at an lron pin", "$ 45 30 E l25.50 teet", "N45-30-00E", "N 10o E", "abc", "as  it  is here"]
     got = values(spark, rows, D.ocr_corrected(F.col("t")))
     assert got == ["thence S 45°30'00\" E 115.500 feet to a point", "Beginning at an iron pin", "S 45°30' E 125.50 feet", "N 45°30'00\" E", "N 10° E", "abc", "as it is here"]
+    rows = ["N 45 30 00 W thence 1OO feet", "S45°30'15\"E, 50.5 ft", "Th ence to a re bar, arid the FECT", "N 5 W", "no change at all here", "5 45° 10' E", "1I5 l20 ft. and 12 5.50 feet", None, ""]
+    got = values(spark, rows, D.ocr_corrected(F.col("t")))
+    assert got == ["N 45°30'00\" W thence 1OO feet", "S 45°30'15\" E, 50.5 feet", "Thence to a rebar, and the Feet", "N 5° W", "no change at all here", "S 45°10' E", "115 120 feet and 125.50 feet", None, ""]
     assert values(spark, ["abc"], D.correction_count(F.col("t"), F.lit("abdd"))) == [2]
-    assert len(D.corrections()) > 50
+    assert len(D.MISREAD) > 50
 
 
 def test_adjoiners(spark):
@@ -22,6 +25,17 @@ def test_adjoiners(spark):
     assert "Rael" in got[0] and "O'Brien-Garcia" in got[1] and "Torres" in got[1] and got[2] == [] and got[3] == []
 
 
+def test_each_cue(spark):
+    rows = [
+        "lands of the heirs of Vigil, deceased", "adjoins property of Trujillo; then", "bounded on the east by Archuleta thence", "by Now or formerly Cordova, and", "the estate of the Medina to a pin",
+        "along the fence of Sanchez on the", "along the Montoya property and", "corner common to Romero, being", "bounded by the river", "lands of O Neil\nthence",
+    ]
+    got = values(spark, rows, D.adjoiner_names(F.col("t")))
+    want = ["Vigil", "Trujillo", "Archuleta", "Cordova", "Medina", "Sanchez", "Montoya", "Romero", None, "O Neil"]
+    for row, names, name in zip(rows, got, want):
+        assert (name in names) if name else names == [], (row, names)
+
+
 def test_description(spark):
     body = "Lot 3 of block 7 in the Vista tract with all that belongs to it"
     rows = [f"x\nLEGAL DESCRIPTION:\n{body}\nSUBJECT TO taxes", f"deed text BEGINNING at a rock, thence east 100 feet to a pin containing 5 acres", "short", "p " * 1200 + "\n\n" + body * 3]

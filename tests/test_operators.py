@@ -84,7 +84,7 @@ def test_graph(spark):
     e = spark.createDataFrame([("a", "b", "x", 1), ("b", "a", "y", 2), ("b", "c", "x", 3), ("c", "a", "x", 4), ("c", "d", "x", 5), ("d", "d", "x", 6), ("q", "r", "x", 7)], "src string, dst string, relationship string, seq int")
     edges = graph.canonical_edges(e)
     assert {(r.src, r.dst): r.relationship for r in edges.collect()}[("a", "b")] == "y" and edges.count() == 5
-    got = {r.id: (r.hops, r.parent) for r in graph.bfs(edges, "a", 5).collect()}
+    got = {r.id: (r.hops, r.parent) for r in graph.bfs(edges, spark.createDataFrame([("a",), (None,), ("a",)], "id string"), 5).collect()}
     assert got == {"a": (0, None), "b": (1, "a"), "c": (1, "a"), "d": (2, "c")}
     people = spark.createDataFrame([("1", "Rael, Adela"), ("2", "RAEL ADELA"), ("3", "Rael, Adelia"), ("4", "Garcia, Juan")], "id string, name string")
     assert ("1", "3") in {(r.a, r.b) for r in graph.duplicates(people).collect()}
