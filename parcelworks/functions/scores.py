@@ -77,9 +77,9 @@ def deed_priority(kind: Column, grantee_hit: Column, grantor_hit: Column, year:
 
 
 def deed_health(issues: Column, notary: Column, monuments: Column, calls: Column) -> tuple[Column, Column]:
-    """Score and grade of a deed from its issues array<struct<severity>>: 15 off a critical one, 5 off a warning."""
+    """Score and grade of a deed from its issues array<struct<severity>>: 15 off a critical one, 5 off a warning (`warn`)."""
     of = lambda kind: F.size(F.filter(issues, lambda i: i["severity"] == kind))
-    score = clamped([F.lit(100), -15 * of("critical"), -5 * of("warning"), F.when(notary, 2).otherwise(0), F.when(monuments > 0, 3).otherwise(0), F.when(calls >= 4, 5).otherwise(0)])
+    score = clamped([F.lit(100), -15 * of("critical"), -5 * of("warn"), F.when(notary, 2).otherwise(0), F.when(monuments > 0, 3).otherwise(0), F.when(calls >= 4, 5).otherwise(0)])
     return score, F.when(score >= 80, "good").when(score >= 50, "fair").otherwise("poor")
 
 

@@ -24,7 +24,7 @@ def features(history: DataFrame) -> DataFrame:
     average = history.groupBy("job_type").agg(F.avg(F.when(F.col("adjoiner_count") > 0, F.col("adjoiner_count"))).alias("type_average"))
     prior = history.groupBy("client_name").agg((F.count("*") - 1).alias("prior_jobs"))
     share = lambda c: F.least(F.lit(1.0), F.coalesce(F.col(c) / F.greatest(F.col("adjoiner_count"), F.lit(1)), F.lit(0.0)))
-    out = history.join(F.broadcast(average), "job_type", "left").join(prior, "client_name", "left")  # one row a job type
+    out = history.join(average, "job_type", "left").join(prior, "client_name", "left")  # one row a job type
     return out.withColumns({
         "type_code": F.pmod(F.xxhash64("job_type"), F.lit(16)).cast("double"),
         "is_subdivision": F.lower("client_name").rlike("subdiv|estate|development|homes").cast("double"),
@@ -60,7 +60,7 @@ def train_cabinet(rows: DataFrame, seed: int = 42, boosted_rounds: int = 20):
     if used.count() < LEAST_ROWS:
         return None
     counts = used.groupBy("primary_cabinet").agg(F.count("*").alias("__n"))
-    weighted = used.join(F.broadcast(counts), "primary_cabinet").withColumn("weight", 1.0 / F.col("__n"))  # one row a cabinet letter
+    weighted = used.join(counts, "primary_cabinet").withColumn("weight", 1.0 / F.col("__n"))  # one row a cabinet letter
     indexer = StringIndexer(inputCol="primary_cabinet", outputCol="label", stringOrderType="alphabetAsc").fit(weighted)
     train, test = indexer.transform(weighted).randomSplit([0.8, 0.2], seed)
     assemble = VectorAssembler(inputCols=list(FEATURES), outputCol="features")

@@ -152,6 +152,20 @@ def token_overlap(rows: DataFrame, queries: DataFrame, id_: str, query_id: str,
     return met.select(id_, query_id, "common", (F.col("__n") + F.col("__m") - F.col("common")).alias("whole"))
 
 
+def novelty(rows: DataFrame, queries: DataFrame, id_: str, query_id: str, tokens: str = "tokens", known: float = 0.2) -> DataFrame:
+    """For every query its verdict against all rows: (query_id, docs, similar, mean_hits, share, verdict).
+
+    similar counts the rows that share a token with the query, mean_hits is the mean number of tokens shared over all rows.
+    A query that shares tokens with at most ``known`` of the rows is novel.  Pairs without a common token are never built.
+    """
+    docs = rows.agg(F.count("*").alias("docs"))  # one row
+    met = token_overlap(rows, queries, id_, query_id, tokens).groupBy(query_id).agg(F.count("*").alias("similar"), F.sum("common").alias("__hits"))
+    out = queries.select(query_id).join(met, query_id, "left").crossJoin(F.broadcast(docs)).na.fill(0, ["similar", "__hits"])
+    share = F.when(F.col("docs") > 0, F.col("similar") / F.col("docs")).otherwise(0.0)
+    mean = F.when(F.col("docs") > 0, F.col("__hits") / F.col("docs")).otherwise(0.0)
+    return out.select(query_id, "docs", "similar", mean.alias("mean_hits"), share.alias("share"), F.when(share <= known, "novel").otherwise("known").alias("verdict"))
+
+
 #: Weights of the parts of legal similarity (fixed values).
 WEIGHTS = {"trs": 40.0, "text": 25.0, "cab": 20.0, "names": 10.0, "lot_block": 5.0}
 

@@ -24,22 +24,21 @@ def indexed_quartile(values: Column, share: float) -> Column:
 
 
 def indexed_quartiles(frame: DataFrame, group: str, value: str) -> DataFrame:
-    """group, n, q1, q3, low, high by indexed quartiles.
+    """group, n, q1, q3, low, high by indexed quartiles.  Null values count nothing; a null group is a group.
 
-    Ranks come from a window sorted on disk, so a group of any size needs no array in memory.
+    Values are counted by (group, value) first, so what is sorted within a group are its distinct values, however many rows it has.
     """
-    rows = frame.filter(F.col(value).isNotNull()).select(F.col(group).alias("g"), F.col(value).alias("v"))
-    ranked = rows.withColumn("r", F.row_number().over(w_order(("g",), "v")) - 1).join(rows.groupBy("g").agg(F.count("*").alias("n")), "g")
-    pick = lambda share: F.max(F.when(F.col("r") == F.floor(F.col("n") * share), F.col("v")))
+    counts = frame.filter(F.col(value).isNotNull()).groupBy(F.col(group).alias("g"), F.col(value).alias("v")).agg(F.count("*").alias("c"))
+    whole = Window.partitionBy("g")
+    upto = F.sum("c").over(whole.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = counts.withColumn("upto", upto).withColumn("n", F.sum("c").over(whole))
+    # the element at a rank is the first value up to which there are more elements
+    pick = lambda share: F.min(F.when(F.col("upto") > F.floor(F.col("n") * share), F.col("v")))
     return ranked.groupBy(F.col("g").alias(group)).agg(
         F.first("n").alias("n"), pick(0.25).alias("q1"), pick(0.75).alias("q3"), F.min("v").alias("low"), F.max("v").alias("high")
     )
 
 
-def w_order(keys, *order):
-    return Window.partitionBy(*keys).orderBy(*order)
-
-
 def baselines(frame: DataFrame, group: str, value: str) -> DataFrame:
     """n, mean and sample deviation of a value by group and over all (`_global`); a single row has deviation 0."""
     out = frame.groupingSets([[F.col(group)], []], F.col(group)).agg(
@@ -53,7 +52,7 @@ def zscore_flags(frame: DataFrame, group: str, value: str, id_: str, least: int
     base = baselines(frame, group, value)
     own = base.filter((F.col(group) != "_global") & (F.col("n") >= least)).select(F.col(group).alias("__g"), F.col("mean").alias("m1"), F.col("std").alias("s1"))
     all_ = base.filter(F.col(group) == "_global").select(F.col("mean").alias("m0"), F.col("std").alias("s0"))
-    joined = frame.join(F.broadcast(own), F.col(group) == F.col("__g"), "left").crossJoin(F.broadcast(all_))
+    joined = frame.join(own, F.col(group) == F.col("__g"), "left").crossJoin(F.broadcast(all_))  # one row
     mean, std = F.coalesce("m1", "m0"), F.coalesce("s1", "s0")
     z = F.when(std > 0, (F.col(value) - mean) / std)
     level = F.when(z > 3, "error").when(z > 2, "warn").when(z < -2, "info")

@@ -107,20 +107,19 @@ def points_in_box(spark, sf_dir):
 
 @query(
     "call_parse",
-    "SELECT l_orderkey, l_linenumber, CAST((l_partkey % 89) AS DOUBLE) AS azimuth, CAST(CAST(l_quantity AS INTEGER) AS DOUBLE) * 3 AS distance FROM lineitem WHERE l_orderkey % 10 = 1",
+    "SELECT l_orderkey, l_linenumber, CAST((l_partkey % 89) AS DOUBLE) AS azimuth, CAST(CAST(l_quantity AS INTEGER) AS DOUBLE) * 3 AS distance FROM lineitem",
 )
 def call_parse(spark, sf_dir):
     made = F.concat(F.lit("thence N "), F.col("l_partkey") % 89, F.lit("°00'00\" E, "), F.col("l_quantity").cast("int"), F.lit(" yards to a pin"))
-    rows = table(spark, sf_dir, "lineitem").filter("l_orderkey % 10 = 1")
-    return rows.withColumn("c", F.get(G.parse_calls(made), 0)).select("l_orderkey", "l_linenumber", F.col("c.azimuth_deg").alias("azimuth"), F.col("c.distance").alias("distance"))
+    return table(spark, sf_dir, "lineitem").withColumn("c", F.get(G.parse_calls(made), 0)).select("l_orderkey", "l_linenumber", F.col("c.azimuth_deg").alias("azimuth"), F.col("c.distance").alias("distance"))
 
 
 @query(
     "call_parse_all",
-    "SELECT l_orderkey, l_linenumber, CAST((l_partkey % 89) AS DOUBLE) AS azimuth, CAST(CAST(l_quantity AS INTEGER) AS DOUBLE) * 3 AS distance FROM lineitem",
+    "SELECT l_orderkey, l_linenumber, CAST(180 + (l_partkey % 89) AS DOUBLE) AS azimuth, CAST(CAST(l_quantity AS INTEGER) AS DOUBLE) AS distance FROM lineitem",
 )
 def call_parse_all(spark, sf_dir):
-    made = F.concat(F.lit("thence N "), F.col("l_partkey") % 89, F.lit("°00'00\" E, "), F.col("l_quantity").cast("int"), F.lit(" yards to a pin"))
+    made = F.concat(F.lit("a stone; thence S "), F.col("l_partkey") % 89, F.lit("°00'00\" W, "), F.col("l_quantity").cast("int"), F.lit(" feet along the fence"))
     rows = table(spark, sf_dir, "lineitem").withColumn("c", F.get(G.parse_calls(made), 0))
     return rows.select("l_orderkey", "l_linenumber", F.col("c.azimuth_deg").alias("azimuth"), F.col("c.distance").alias("distance"))
 
@@ -144,6 +143,11 @@ def subscription_tiers(spark, sf_dir):
 
 @query(
     "lockouts",
+    """WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS "user", event_id AS id, CAST(ts AS TIMESTAMP) AS ts, event_id % 9 = 0 AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events),
+s AS (SELECT "user", id, r, false AS blocked, CASE WHEN ok THEN 0 ELSE 1 END AS n, CAST(NULL AS TIMESTAMP) AS until FROM e WHERE r = 1
+UNION ALL SELECT "user", id, r, blocked, CASE WHEN blocked THEN n ELSE m END, CASE WHEN blocked THEN until WHEN m >= 5 THEN ts + INTERVAL 15 MINUTE END
+FROM (SELECT e."user", e.id, e.r, e.ts, s.n, s.until, s.until IS NOT NULL AND e.ts < s.until AS blocked, CASE WHEN e.ok THEN 0 ELSE s.n + 1 END AS m FROM s JOIN e ON e."user" = s."user" AND e.r = s.r + 1))
+SELECT "user", id, blocked FROM s""",
 )
 def lockouts(spark, sf_dir):
     from parcelworks.streaming.limiter import lockouts as run
@@ -188,14 +192,17 @@ def edge_merge(spark, sf_dir):
 
 @query(
     "novelty",
-    """WITH q AS (SELECT list_distinct(regexp_extract_all(lower(text), '[a-z]{4,}')) AS t FROM benchmark WHERE item_id = 0)
-SELECT doc_id, CAST(len(list_intersect(list_distinct(regexp_extract_all(lower(text), '[a-z]{4,}')), t)) AS BIGINT) AS hits FROM documents, q""",
+    """WITH q AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z]{4,}')) AS t FROM benchmark WHERE item_id % 50 = 0),
+d AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z]{4,}')) AS w FROM documents)
+SELECT item_id, count(*) AS docs, count(*) FILTER (h > 0) AS similar, round(avg(h), 6) AS mean_hits FROM (SELECT item_id, len(list_intersect(w, t)) AS h FROM d, q) GROUP BY item_id""",
 )
 def novelty(spark, sf_dir):
-    words = lambda c: F.array_distinct(T.found(F.lower(c), "([a-z]{4,})"))
-    one = table(spark, sf_dir, "benchmark").filter("item_id = 0").select(words(F.col("text")).alias("q"))
-    docs = table(spark, sf_dir, "documents").crossJoin(F.broadcast(one))  # one row
-    return docs.select("doc_id", F.size(F.array_intersect(words(F.col("text")), "q")).cast("bigint").alias("hits"))
+    from parcelworks.operators.similarity import novelty as verdicts
+
+    words = lambda c: F.array_distinct(T.found(F.lower(c), "([a-z]{4,})")).alias("tokens")
+    items = table(spark, sf_dir, "benchmark").filter("item_id % 50 = 0").select("item_id", words(F.col("text")))
+    out = verdicts(table(spark, sf_dir, "documents").select("doc_id", words(F.col("text"))), items, "doc_id", "item_id")
+    return out.select("item_id", "docs", "similar", F.round("mean_hits", 6).alias("mean_hits"))
 
 
 @query(

@@ -29,8 +29,11 @@ def table(spark, sf_dir: str, name: str):
     "SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE contains(upper(c_name), '77') ORDER BY c_custkey LIMIT 50",
 )
 def parcel_search(spark, sf_dir):
-    found = table(spark, sf_dir, "customer").filter(F.upper("c_name").contains("77"))
-    return found.orderBy("c_custkey").limit(50).select("c_custkey", "c_name", "c_mktsegment")
+    from parcelworks.operators.search import search_parcels
+
+    c = table(spark, sf_dir, "customer")
+    found = search_parcels(c.withColumns({"pos": F.col("c_custkey"), "owner": F.col("c_name")}), owner="77")
+    return found.select("c_custkey", "c_name", "c_mktsegment")
 
 
 def parcels_like(spark, sf_dir: str):
@@ -211,16 +214,12 @@ def key_proximity(spark, sf_dir):
 
 @query(
     "grouping_baseline",
-    """SELECT coalesce(o_orderpriority, '_global') AS o_orderpriority, count(*) AS n, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DECIMAL(28,2)) AS total FROM orders GROUP BY GROUPING SETS ((o_orderpriority), ())""",
+    """SELECT coalesce(o_orderpriority, '_global') AS o_orderpriority, count(*) AS n, round(avg(o_totalprice), 4) AS mean, round(coalesce(stddev_samp(o_totalprice), 0), 4) AS std FROM orders GROUP BY GROUPING SETS ((o_orderpriority), ())""",
 )
 def grouping_baseline(spark, sf_dir):
     from parcelworks.operators.stats import baselines
 
-    o = table(spark, sf_dir, "orders")
-    base = baselines(o, "o_orderpriority", "o_totalprice").select("o_orderpriority", "n")
-    cents = o.withColumn("v", F.col("o_totalprice").cast("decimal(18,2)"))
-    sums = cents.groupingSets([[F.col("o_orderpriority")], []], F.col("o_orderpriority")).agg(F.sum("v").cast("decimal(28,2)").alias("total"))
-    return base.join(sums.select(F.coalesce("o_orderpriority", F.lit("_global")).alias("o_orderpriority"), "total"), "o_orderpriority")
+    return baselines(table(spark, sf_dir, "orders"), "o_orderpriority", "o_totalprice").select("o_orderpriority", "n", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"))
 
 
 @query(
@@ -310,26 +309,30 @@ def top_tokens(spark, sf_dir):
 
 @query(
     "token_jaccard",
-    """WITH q AS (SELECT list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z]{3,}')), lambda x: NOT list_contains([%STOP%], x)) AS t FROM benchmark WHERE item_id = 3),
+    """WITH q AS (SELECT item_id, list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z]{3,}')), lambda x: NOT list_contains([%STOP%], x)) AS t FROM benchmark WHERE item_id % 50 = 0),
 d AS (SELECT doc_id, list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z]{3,}')), lambda x: NOT list_contains([%STOP%], x)) AS t FROM documents)
-SELECT doc_id, CAST(len(list_intersect(d.t, q.t)) AS BIGINT) AS common, CAST(len(list_distinct(list_concat(d.t, q.t))) AS BIGINT) AS whole FROM d, q WHERE len(list_intersect(d.t, q.t)) > 0""",
+SELECT doc_id, item_id, round(len(list_intersect(d.t, q.t)) / len(list_distinct(list_concat(d.t, q.t))), 6) AS jaccard FROM d, q WHERE len(list_intersect(d.t, q.t)) > 0""",
 )
 def token_jaccard(spark, sf_dir):
     from parcelworks.functions.text import legal_tokens
+    from parcelworks.operators.similarity import token_overlap
 
-    one = table(spark, sf_dir, "benchmark").filter("item_id = 3").select(legal_tokens(F.col("text")).alias("q"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", legal_tokens(F.col("text")).alias("t")).crossJoin(F.broadcast(one))  # one row
-    out = docs.select("doc_id", F.size(F.array_intersect("t", "q")).cast("bigint").alias("common"), F.size(F.array_union("t", "q")).cast("bigint").alias("whole"))
-    return out.filter("common > 0")
+    tokens = legal_tokens(F.col("text")).alias("tokens")
+    queries = table(spark, sf_dir, "benchmark").filter("item_id % 50 = 0").select("item_id", tokens)
+    out = token_overlap(table(spark, sf_dir, "documents").select("doc_id", tokens), queries, "doc_id", "item_id")
+    return out.select("doc_id", "item_id", F.round(F.col("common") / F.col("whole"), 6).alias("jaccard"))
 
 
-@query("vector_topk", "SELECT vec_id FROM embeddings, (SELECT embedding AS q FROM embeddings WHERE vec_id = 0) ORDER BY list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])) DESC, vec_id LIMIT 10")
+@query(
+    "vector_topk",
+    """SELECT query_id, vec_id FROM (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY list_cosine_similarity(CAST(embedding AS DOUBLE[]), q) DESC, vec_id) AS nth
+FROM embeddings, (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id % 50 = 0)) WHERE nth <= 3""",
+)
 def vector_topk(spark, sf_dir):
-    from parcelworks.operators.similarity import vector_topk as topk
+    from parcelworks.operators.similarity import vector_topk_each
 
     e = table(spark, sf_dir, "embeddings")
-    one = e.filter("vec_id = 0").select("embedding").first()  # the query: one vector
-    return topk(e, one["embedding"], 10).select("vec_id")
+    return vector_topk_each(e, e.filter("vec_id % 50 = 0"), 3).select("query_id", "vec_id")
 
 
 _QUERY_TOKENS = "list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z]{3,}')), lambda x: NOT list_contains([%STOP%], x))"
@@ -377,21 +380,23 @@ def entity_resolution(spark, sf_dir):
 
 @query(
     "score_relevance",
-    """SELECT o_orderkey, least(100, greatest(0, CASE WHEN c_mktsegment = 'BUILDING' THEN 40 ELSE 0 END + CASE WHEN o_orderpriority = '1-URGENT' THEN 30 ELSE 0 END + CASE WHEN o_orderstatus = 'O' THEN 15 WHEN o_orderstatus = 'F' THEN 12 ELSE -5 END
-+ CASE WHEN year(o_orderdate) >= 1997 THEN 5 WHEN year(o_orderdate) >= 1995 THEN 3 ELSE 0 END)) AS score FROM orders JOIN customer ON o_custkey = c_custkey""",
+    """WITH r AS (SELECT o_orderkey, c_nationkey AS n, c_mktsegment AS seg, c_custkey AS k, o_orderstatus AS st, year(o_orderdate) + 20 AS y FROM orders JOIN customer ON o_custkey = c_custkey)
+SELECT o_orderkey, least(100, greatest(0, CASE WHEN n = 7 THEN 40 ELSE 0 END + CASE WHEN seg = 'BUILDING' THEN 25 ELSE 0 END + CASE WHEN contains(CAST(k AS VARCHAR), '77') THEN 30 ELSE 0 END
++ CASE WHEN contains(CAST(k AS VARCHAR), '123') THEN 20 ELSE 0 END + CASE st WHEN 'O' THEN 15 WHEN 'F' THEN 12 ELSE -5 END + CASE WHEN y >= 2015 THEN 5 WHEN y >= 2000 THEN 3 ELSE 0 END)) AS score FROM r""",
 )
 def score_relevance(spark, sf_dir):
-    from parcelworks.functions.scores import clamped
+    from parcelworks.functions.scores import search_relevance
 
     o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
-    year = F.year("o_orderdate")
-    parts = [
-        F.when(F.col("c_mktsegment") == "BUILDING", 40).otherwise(0),
-        F.when(F.col("o_orderpriority") == "1-URGENT", 30).otherwise(0),
-        F.when(F.col("o_orderstatus") == "O", 15).when(F.col("o_orderstatus") == "F", 12).otherwise(-5),
-        F.when(year >= 1997, 5).when(year >= 1995, 3).otherwise(0),
-    ]
-    return o.join(c, o["o_custkey"] == c["c_custkey"]).select("o_orderkey", clamped(parts).alias("score"))
+    rows = o.join(c, o["o_custkey"] == c["c_custkey"])
+    made = {
+        "grantor": F.concat(F.lit("X"), F.col("c_custkey")), "grantee": F.lit("NOBODY"),
+        "location": F.concat(F.lit("SEC "), F.col("c_nationkey"), F.lit(" IN "), F.col("c_mktsegment")),
+        "instrument_type": F.when(F.col("o_orderstatus") == "O", "Warranty Deed").when(F.col("o_orderstatus") == "F", "Plat").otherwise("Lien"),
+        "recorded_date": F.concat(F.lit("01/02/"), F.year("o_orderdate") + 20),
+    }
+    client = {"section": "7", "subdivision": "Building", "name": "77, A", "adjoiner": "123"}
+    return rows.select("o_orderkey", search_relevance(made, client)[0].alias("score"))
 
 
 @query(
@@ -405,42 +410,43 @@ def graph_degree(spark, sf_dir):
     return degrees(_graph(spark, sf_dir)).orderBy(F.desc("degree"), "id").limit(15)
 
 
-def _graph(spark, sf_dir, where="true"):
+def _graph(spark, sf_dir):
     from parcelworks.operators.graph import canonical_edges
 
-    rows = table(spark, sf_dir, "lineitem").filter(where).select(
+    rows = table(spark, sf_dir, "lineitem").select(
         F.concat(F.lit("s"), F.col("l_suppkey")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey")).alias("dst"), F.lit("supplies").alias("relationship"), F.col("l_orderkey").alias("seq")
     )
     return canonical_edges(rows)
 
 
+_REACHED = """WITH RECURSIVE e AS (SELECT DISTINCT 's' || l_suppkey AS s, 'p' || l_partkey AS p FROM lineitem), b AS (SELECT s AS x, p AS y FROM e UNION ALL SELECT p, s FROM e),
+r AS (SELECT (SELECT min(s) FROM e) AS id, 0 AS hops UNION SELECT y, hops + 1 FROM r JOIN b ON x = id WHERE hops < 3), f AS (SELECT id, CAST(min(hops) AS INTEGER) AS hops FROM r GROUP BY id)"""
+
+
 @query(
     "graph_bfs",
-    """WITH RECURSIVE e AS (SELECT DISTINCT 's' || l_suppkey AS s, 'p' || l_partkey AS p FROM lineitem WHERE (l_suppkey + l_partkey) % 29 = 0), b AS (SELECT s AS x, p AS y FROM e UNION ALL SELECT p, s FROM e),
-r AS (SELECT (SELECT min(s) FROM e) AS id, 0 AS hops UNION SELECT y, hops + 1 FROM r JOIN b ON x = id WHERE hops < 3) SELECT id, CAST(min(hops) AS INTEGER) AS hops FROM r GROUP BY id""",
+    _REACHED + " SELECT f.id, f.hops, min(o.id) AS parent FROM f LEFT JOIN b ON b.y = f.id LEFT JOIN f o ON o.id = b.x AND o.hops = f.hops - 1 GROUP BY f.id, f.hops",
 )
 def graph_bfs(spark, sf_dir):
     from parcelworks.operators.graph import bfs
 
-    edges = _graph(spark, sf_dir, "(l_suppkey + l_partkey) % 29 = 0")
-    start = edges.select(F.min("dst").alias("s")).first()["s"]  # suppliers are the larger ends
-    return bfs(edges, start, 3).select("id", "hops")
+    edges = _graph(spark, sf_dir)
+    return bfs(edges, edges.select(F.min("dst").alias("id")), 3)  # suppliers are the larger ends
 
 
-@query(
-    "graph_bfs_all",
-    """WITH RECURSIVE e AS (SELECT DISTINCT 's' || l_suppkey AS s, 'p' || l_partkey AS p FROM lineitem), b AS (SELECT s AS x, p AS y FROM e UNION ALL SELECT p, s FROM e),
-r AS (SELECT (SELECT min(s) FROM e) AS id, 0 AS hops UNION SELECT y, hops + 1 FROM r JOIN b ON x = id WHERE hops < 3) SELECT id, CAST(min(hops) AS INTEGER) AS hops FROM r GROUP BY id""",
-)
+@query("graph_bfs_all", _REACHED + " SELECT id, hops FROM f")
 def graph_bfs_all(spark, sf_dir):
-    from parcelworks.operators.graph import bfs
-
-    edges = _graph(spark, sf_dir)
-    start = edges.select(F.min("dst").alias("s")).first()["s"]  # suppliers are the larger ends
-    return bfs(edges, start, 3).select("id", "hops")
+    return graph_bfs(spark, sf_dir).select("id", "hops")
 
 
-@query("limiter")
+@query(
+    "limiter",
+    """WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS key, event_id AS id, ts, epoch_us(ts) / 1e6 AS sec, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events),
+s AS (SELECT key, id, ts, r, true AS allowed, CAST(0 AS INTEGER) AS retry_after, list_value(sec) AS held FROM e WHERE r = 1
+UNION ALL SELECT key, id, ts, r, len(h) < 5, CASE WHEN len(h) < 5 THEN 0 ELSE greatest(1, CAST(floor(86400.0 - (sec - h[1])) AS INTEGER) + 1) END, CASE WHEN len(h) < 5 THEN list_append(h, sec) ELSE h END
+FROM (SELECT e.*, list_filter(s.held, lambda x: e.sec - x <= 86400.0) AS h FROM s JOIN e ON e.key = s.key AND e.r = s.r + 1))
+SELECT key, id, ts, allowed, retry_after FROM s""",
+)
 def limiter(spark, sf_dir):
     from parcelworks.streaming.limiter import limited
 

@@ -1,22 +1,27 @@
 """Parcels from KML and KMZ files.
 
-Files are read whole per file with Spark's binary reader and listed without their content; KML goes through Spark's
-XML reader with an explicit schema, so identifiers keep their leading zeros.
+A KML file is read as text cut at its Placemark tags, so a county's file of any size is split over tasks and no row is
+larger than a placemark.  Members of KMZ archives are cut in the same way while they are unpacked.  Each placemark goes
+through Spark's XML functions with an explicit schema, so identifiers keep their leading zeros.
 """
 
 from __future__ import annotations
 
+import codecs
 import io
 import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parcelworks.functions import geometry as G
 from parcelworks.functions import text as T
+from parcelworks.storage import broadcast_if_small, stored
 
+#: Where texts are cut: the end of every opening tag without attributes and of every closing tag, with and without a prefix.
+CUT = "Placemark>"
 DATA = "struct<SimpleData:array<struct<_name:string,_VALUE:string>>>"
 RING = "struct<LinearRing:struct<coordinates:string>>"
 SHAPE = f"Point struct<coordinates:string>, Polygon struct<outerBoundaryIs:{RING}>"
@@ -32,39 +37,60 @@ def discover(spark: SparkSession, path: str) -> DataFrame:
     ).orderBy("name")
 
 
-def documents(spark: SparkSession, path: str) -> DataFrame:
-    """(source, kml): the text of every .kml file and of every .kml member of the .kmz files; unreadable archives give nothing.
+def _file(column: str):
+    return F.regexp_extract(F.url_decode(column), "([^/]+)$", 1)
 
-    The source of a member is `<archive>/<member>`.
+
+def pieces(spark: SparkSession, path: str) -> DataFrame:
+    """(source, block, at, piece): the texts of all .kml files and .kml members of .kmz files below path, cut at CUT.
+
+    Pieces of a source are in the order of (block, at).  The source of a member is `<archive>/<member>`; unreadable archives
+    give nothing.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).filter(F.lower("path").rlike(r"\.km[lz]$"))
+    read = lambda kind, glob: spark.read.format(kind).option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
+    plain = read("text", "*.[kK][mM][lL]").option("lineSep", CUT).load(path)
+    # ids grow by one from row to row of a task, and a task reads a block of a file in order
+    kml = plain.select(_file("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("piece"))
+    archives = read("binaryFile", "*.[kK][mM][zZ]").load(path)
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def cut(name: str, member) -> Iterator[pd.DataFrame]:
+            decode, rest, at = codecs.getincrementaldecoder("utf-8")("replace"), "", 0
+            while True:
+                data = member.read(1 << 20)
+                *whole, rest = (rest + decode.decode(data, final=not data)).split(CUT)
+                if not data:
+                    whole.append(rest)
+                yield pd.DataFrame({"source": name, "block": 0, "at": range(at, at + len(whole)), "piece": whole})
+                at += len(whole)
+                if not data:
+                    return
+
         for batch in batches:
-            rows = []
             for file, content in zip(batch["path"], batch["content"]):
                 name = file.rsplit("/", 1)[-1]
-                if name.lower().endswith(".kml"):
-                    rows.append((name, bytes(content).decode("utf-8", "replace")))
-                    continue
                 try:
                     with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                        rows += [(f"{name}/{m}", archive.read(m).decode("utf-8", "replace")) for m in archive.namelist() if m.lower().endswith(".kml")]
+                        for m in archive.namelist():
+                            if m.lower().endswith(".kml"):
+                                with archive.open(m) as member:
+                                    yield from cut(f"{name}/{m}", member)
                 except zipfile.BadZipFile:
                     continue
-            yield pd.DataFrame(rows, columns=["source", "kml"])
 
-    return files.select("path", "content").mapInPandas(unpack, "source string, kml string")
+    return kml.unionByName(archives.select("path", "content").mapInPandas(unpack, "source string, block bigint, at bigint, piece string"))
 
 
-def placemarks(docs: DataFrame) -> DataFrame:
-    """(source, n, p): each Placemark of (source, kml) with its place in the document, parsed by Spark's XML functions.
+def placemarks(pieces_: DataFrame) -> DataFrame:
+    """(source, block, at, p): each placemark of pieces with its place in the source, parsed by Spark's XML functions.
 
+    A piece that ends in a closing tag holds a placemark's content, after an opening tag with attributes if that is in it.
     Prefixes of element names are taken off first, so files with and without a namespace prefix read alike.
     """
-    bare = F.regexp_replace(F.regexp_replace("kml", r"<(/?)\w+:", "<$1"), r"\sxmlns(:\w+)?=(\"[^\"]*\"|'[^']*')", "")
-    each = docs.select("source", F.posexplode(F.regexp_extract_all(bare, F.lit(r"(?s)(<Placemark[\s>].*?</Placemark>)"), F.lit(1))).alias("n", "x"))
-    return each.select("source", "n", F.from_xml("x", PLACEMARK).alias("p"))
+    whole = pieces_.filter(F.col("piece").rlike(r"</(?:\w+:)?$"))
+    inner = F.regexp_replace(F.regexp_replace("piece", r"(?s)^.*<(?:\w+:)?Placemark\s[^>]*>", ""), r"</(?:\w+:)?$", "")
+    bare = F.regexp_replace(F.regexp_replace(inner, r"<(/?)\w+:", "<$1"), r"\sxmlns(:\w+)?=(\"[^\"]*\"|'[^']*')", "")
+    return whole.select("source", "block", "at", F.from_xml(F.concat(F.lit("<Placemark>"), bare, F.lit("</Placemark>")), PLACEMARK).alias("p"))
 
 
 def parcels(placemarks_: DataFrame) -> DataFrame:
@@ -78,38 +104,44 @@ def parcels(placemarks_: DataFrame) -> DataFrame:
     fields = F.transform(data, lambda d: F.struct(F.upper(F.trim(F.element_at(F.split(d["_name"], ":"), -1))).alias("k"), F.trim(F.coalesce(d["_VALUE"], F.lit(""))).alias("v")))
     of = lambda *names: F.try_element_at(F.transform(F.filter(F.col("fields"), lambda f: f["k"].isin(*names)), lambda f: f["v"]), F.lit(-1))
     first = lambda *names: F.get(F.transform(F.filter(F.col("fields"), lambda f: f["k"].isin(*names) & (f["v"] != "")), lambda f: f["v"]), 0)
-    rows = placemarks_.select("source", "n", "p", fields.alias("fields"))
+    rows = placemarks_.select("source", "block", "at", "p", fields.alias("fields"))
     many = F.coalesce(F.transform("p.MultiGeometry.Polygon", lambda g: g["outerBoundaryIs"]["LinearRing"]["coordinates"]), F.array().cast("array<string>"))
     coordinates = F.filter(F.concat(F.array(F.col("p.Polygon.outerBoundaryIs.LinearRing.coordinates"), F.col("p.Point.coordinates")), many), lambda c: F.trim(c) != "")
     name = F.trim(F.coalesce("p.name", F.lit("")))
     given = F.when((name == "") | name.rlike(r"^\d+$"), F.coalesce(first("OWNER", "OWNERALL", "OWNER_ALL"), name)).otherwise(name)
     upc = F.nullif(of("UPC"), F.lit(""))
     rows = rows.select(
-        "source", "n", upc.alias("upc"), *[F.nullif(of(k.upper()), F.lit("")).alias(k) for k in ("plat", "book", "page")], given.alias("given"),
+        "source", "block", "at", upc.alias("upc"), *[F.nullif(of(k.upper()), F.lit("")).alias(k) for k in ("plat", "book", "page")], given.alias("given"),
         coordinates.alias("coordinates_all"), G.points_of(F.get(coordinates, 0)).alias("points"),
     )
     owner = F.when(F.col("given") != "", F.col("given")).when(F.col("upc").isNotNull(), F.concat(F.lit("UPC "), F.col("upc"))).otherwise("Unknown Owner")
     return rows.filter("points IS NOT NULL").select(
         owner.alias("owner"), "upc", "plat", "book", "page", G.centroid(F.col("points")).alias("centroid"), G.ring(F.col("points")).alias("polygon"),
-        T.plat_cabinet_refs(F.col("plat")).alias("cab_refs"), "source", "n", "coordinates_all",
+        T.plat_cabinet_refs(F.col("plat")).alias("cab_refs"), "source", "block", "at", "coordinates_all",
     )
 
 
+def with_places(rows: DataFrame) -> DataFrame:
+    """Stored rows with pos, their listing order by (source, block, at): places grow in that order and leave gaps.
+
+    Every task numbers its own rows; only a row per source and block, the span of its numbers, is put in order.
+    """
+    spans = rows.groupBy("source", "block").agg(F.min("at").alias("low"), F.max("at").alias("high"))
+    before = F.sum(F.col("high") - F.col("low") + 1).over(Window.orderBy("source", "block").rowsBetween(Window.unboundedPreceding, -1))
+    bases = stored(spans.select("source", "block", (F.coalesce(before, F.lit(0)) - F.col("low")).alias("__base")), "places")
+    return rows.join(broadcast_if_small(bases, 64), ["source", "block"]).withColumn("pos", F.col("at") + F.col("__base")).drop("__base", "block", "at")
+
+
 def build_index(spark: SparkSession, path: str, out: str) -> DataFrame:
     """Read all files below path, keep one parcel a upc and write the index as Parquet with its places (pos)."""
-    from pyspark.sql import Window
-
     from parcelworks.operators.ordering import merge_index
 
-    rows = parcels(placemarks(documents(spark, path)))
-    order = F.row_number().over(Window.orderBy("source", "n")) - 1  # one place a row of a county's files
-    merged = merge_index(rows.withColumn("pos", order.cast("bigint")))
-    merged.drop("order_key", "n").withColumn("built_at", F.current_timestamp()).write.mode("overwrite").parquet(out)
+    rows = stored(parcels(placemarks(pieces(spark, path))), "parcels")
+    merged = merge_index(with_places(rows))
+    merged.drop("order_key").withColumn("built_at", F.current_timestamp()).write.mode("overwrite").parquet(out)
     return spark.read.parquet(out)
 
 
-
-
 def enrich(index: DataFrame, attributes: DataFrame) -> DataFrame:
     """Left join of attributes (upc, seq, …) by upc; of several rows of a key the last by seq counts."""
     rest = [c for c in attributes.columns if c not in ("upc", "seq")]

@@ -24,7 +24,8 @@ def test_kml_and_kmz(spark, tmp_path):
     (tmp_path / "in" / "bad.kmz").write_bytes(b"no archive")
     path = f"file://{tmp_path}/in"
     assert [(r.name, r.format) for r in kml.discover(spark, path).collect()] == [("a.KML", "kml"), ("b.kmz", "kmz"), ("bad.kmz", "kmz")]
-    rows = {(r.source, r.n): r for r in kml.parcels(kml.placemarks(kml.documents(spark, path))).collect()}
+    found = sorted(kml.parcels(kml.placemarks(kml.pieces(spark, path))).collect(), key=lambda r: (r.source, r.block, r.at))
+    rows = {(r.source, sum(o.source == r.source for o in found[:i])): r for i, r in enumerate(found)}
     assert {k: (r.owner, r.upc) for k, r in rows.items()} == {("a.KML", 0): ("RAEL", "001"), ("a.KML", 1): ("UPC 002", "002"), ("b.kmz/doc.kml", 0): ("GARCIA", "001"), ("b.kmz/doc.kml", 1): ("Unknown Owner", None)}
     assert rows["a.KML", 0].cab_refs == ["C-1"] and rows["a.KML", 0].centroid == (0.5, 0.25) and len(rows["a.KML", 0].polygon) == 4
     assert rows["b.kmz/doc.kml", 1].polygon is None
