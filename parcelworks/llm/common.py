@@ -64,13 +64,25 @@ def shared_dir(spark: SparkSession, what: str) -> str:
     return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
-def stored(frame: DataFrame, what: str) -> DataFrame:
-    """Write the frame to the shared folder and read it back: the lineage ends at files that outlive executors."""
+def stored(frame: DataFrame, what: str, files: int | None = None) -> DataFrame:
+    """Write the frame to the shared folder and read it back: the lineage ends at files that outlive executors.
+
+    files: at most so many, for tables whose counted source is small.
+    """
     path = shared_dir(frame.sparkSession, what)
-    frame.write.parquet(path)
+    (frame if files is None else frame.coalesce(files)).write.parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+def discard(*frames: DataFrame) -> None:
+    """Delete tables that stored() made, once nothing is left that would be computed from them again."""
+    for frame in frames:
+        spark, files = frame.sparkSession, frame.inputFiles()
+        if files:
+            path = spark._jvm.org.apache.hadoop.fs.Path(files[0].rsplit("/", 1)[0])
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def broadcast_if_small(frame: DataFrame, row_bytes: int, bound: int = BROADCAST_BYTES) -> DataFrame:
     """Mark a stored frame for broadcast if its counted rows fit the bound; else leave the join to a shuffle."""
     return F.broadcast(frame) if frame.count() * row_bytes <= bound else frame

@@ -8,8 +8,10 @@
 3. Lists of up to LIST documents give their pairs; the union's sketch estimates the similarity of a pair and
    drops those far below the threshold.  From longer lists every document is tied to the list's first one, with
    no estimate, so that no pair of a large group is written out.
-4. Pairs and ties are joined to clusters.  Inside a cluster all full sets are compared exactly, in blocks of
-   bounded size; blocks meet if their sizes allow the threshold.  A block returns links that span its groups.
+4. Pairs and ties are joined to clusters.  A small cluster's full sets are all compared exactly.  In a large one
+   every set is first compared with that of the cluster's centre, the document with most of the cluster's commonest
+   values: those similar to it are one group and need no comparison among themselves.  Only the rest is compared, with one
+   another and with the group, in blocks of bounded size, if their sizes allow the threshold.
 5. Components of these links, carried over to the classes and to all documents.
 
 Overlap and estimate lie five standard deviations below the threshold: a pair just at it is missed with a probability of about 1e-5 in
@@ -24,7 +26,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, small_batches, space_words, stored, tidy
@@ -159,34 +161,82 @@ def _links(ids: np.ndarray, side: np.ndarray, sets: list[np.ndarray], per_cent:
     return out
 
 
+def stars(docs: DataFrame, members: DataFrame, per_cent: int, k: int = SKETCH) -> DataFrame:
+    """Stored links (a, b) of members (node, component, sketch) to their component's centre b, by their exact sets.
+
+    A centre has more of its component's k commonest sketch values than any other member; of equals it is the smallest node.
+    Every member's set is computed where its text is and compared with one set, so the work is linear in the members.
+    """
+    common = members.select("component", F.explode("sketch").alias("v")).groupBy("component", "v").agg(F.count("*").alias("f"))
+    nth = F.row_number().over(Window.partitionBy("component").orderBy(F.desc("f"), "v"))
+    core = stored(common.withColumn("__nth", nth).filter(F.col("__nth") <= k).groupBy("component").agg(F.collect_list("v").alias("core")), "cores")
+    shared = F.size(F.array_intersect("sketch", "core"))
+    scored = members.join(broadcast_if_small(core, 8 * k + 16), "component").select("component", "node", shared.alias("s"))
+    centres = stored(scored.groupBy("component").agg(F.max_by("node", F.struct("s", -F.col("node"))).alias("centre")), "centres")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("node"), F.col("text").cast("string").alias("text"))
+    own = texts.join(broadcast_if_small(members.select("node", "component"), 16), "node")
+
+    @F.pandas_udf("array<bigint>")
+    def sets(texts: pd.Series) -> pd.Series:
+        tidy()
+        return pd.Series([shingles(t) for t in texts])
+
+    @F.pandas_udf("boolean")
+    def similar(texts: pd.Series, centre: pd.Series) -> pd.Series:
+        out = []
+        for t, other in zip(texts, centre):
+            mine = shingles(t)
+            both = len(np.intersect1d(mine, other, assume_unique=True))
+            out.append(100 * both >= per_cent * (len(mine) + len(other) - both))
+        tidy()
+        return pd.Series(out)
+
+    one = texts.join(broadcast_if_small(centres, 16), texts["node"] == F.col("centre")).dropDuplicates(["centre"])
+    one = stored(one.select("component", "centre", sets("text").alias("set")), "centre-sets")
+    size = one.agg(F.max(F.size("set"))).first()[0] or 0
+    met = own.join(broadcast_if_small(one, 8 * size + 32), "component").filter(F.col("node") != F.col("centre"))
+    return stored(met.filter(similar("text", "set")).select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct(), "star-links")
+
+
 def links(docs: DataFrame, clusters: DataFrame, per_cent: int = PER_CENT, chunk_docs: int = CHUNK_DOCS, chunk_shingles: int = CHUNK_SHINGLES) -> DataFrame:
-    """Links (a, b) that span the groups of similar documents in each of clusters (node, component, n).
+    """Links (a, b) that span the groups of similar documents in each of clusters (node, component, n, sketch).
 
     A cluster too large for one block is cut by size: documents whose sizes differ by more than the threshold
-    allows are at least two steps of log(size) apart, so a chunk meets those of its own and of the next step.
+    allows are at least two steps of log(size) apart, so a chunk meets those of its own and of the next step.  Its
+    documents that are linked with its centre (see stars) have chunks of their own, which meet only chunks of others.
     """
     spark = docs.sparkSession
     step = max(float(-np.log(per_cent / 100)), 1e-9)
     tiers = clusters.withColumn("tier", F.floor(F.log("n") / step))
     whole = tiers.groupBy("component").agg(F.count("*").alias("docs"), F.sum("n").alias("total"))
     small = (F.col("docs") <= chunk_docs) & (F.col("total") <= chunk_shingles)
-    tiers = tiers.join(whole.select("component", small.alias("small")), "component")
+    tiers = stored(tiers.join(whole.select("component", small.alias("small")), "component"), "tiers")
     alone = tiers.filter("small").select("node", F.array(F.struct(F.col("component").alias("c"), F.lit("").alias("block"), F.lit(False).alias("side"))).alias("blocks"))
-    large = tiers.filter("NOT small")
-    chunks = large.groupBy("component", "tier").agg(F.greatest(F.ceil(F.count("*") / chunk_docs), F.ceil(F.sum("n") / chunk_shingles)).cast("int").alias("chunks"))
-    up = chunks.select("component", (F.col("tier") - 1).alias("tier"), F.col("chunks").alias("above"))
-    down = chunks.select("component", (F.col("tier") + 1).alias("tier"), F.col("chunks").alias("below"))
-    met = large.join(chunks.join(up, ["component", "tier"], "left").join(down, ["component", "tier"], "left"), ["component", "tier"])
-    own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
-    name = lambda *parts: F.concat_ws(".", *[F.col(p) if isinstance(p, str) else p for p in parts])
-    each = lambda n: F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1)
-    block = lambda key, side: F.struct(F.col("component").alias("c"), key.alias("block"), side.alias("side"))
-    same = F.transform(each(F.col("chunks")), lambda i: block(F.concat_ws(".", F.lit("s"), F.col("tier"), F.least(i, F.col("own")), F.greatest(i, F.col("own"))), i < F.col("own")))
-    above = F.when(F.col("above").isNotNull(), F.transform(each(F.col("above")), lambda i: block(F.concat_ws(".", F.lit("n"), F.col("tier"), F.col("own"), i), F.lit(False))))
-    below = F.when(F.col("below").isNotNull(), F.transform(each(F.col("below")), lambda i: block(F.concat_ws(".", F.lit("n"), F.col("tier") - 1, i, F.col("own")), F.lit(True))))
+    near = stars(docs, tiers.filter("NOT small"), per_cent)
+    group = near.select(F.col("a").alias("__in")).unionByName(near.select(F.col("b").alias("__in"))).distinct()
+    large = tiers.filter("NOT small").drop("sketch").join(group, F.col("node") == F.col("__in"), "left").withColumn("grouped", F.col("__in").isNotNull()).drop("__in")
+    count = lambda which: F.when(F.count_if(which) > 0, F.greatest(F.ceil(F.count_if(which) / chunk_docs), F.ceil(F.sum(F.when(which, F.col("n"))) / chunk_shingles))).otherwise(0).cast("int")
+    chunks = large.groupBy("component", "tier").agg(count(~F.col("grouped")).alias("rest"), count(F.col("grouped")).alias("group"))
+    chunks = stored(chunks, "chunks")
+    beside = lambda d, *names: chunks.select("component", (F.col("tier") - d).alias("tier"), *[F.col(c).alias(n) for c, n in zip(("rest", "group"), names)])
+    keys = ["component", "tier"]
+    met = large.join(chunks.join(beside(1, "rest_up", "group_up"), keys, "left").join(beside(-1, "rest_down", "group_down"), keys, "left"), keys)
+    met = met.na.fill(0, ["rest_up", "group_up", "rest_down", "group_down"])
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("grouped"), F.col("group")).otherwise(F.col("rest"))).cast("int")
     none = F.array().cast("array<struct<c:bigint,block:string,side:boolean>>")
-    many = met.withColumn("own", own).select("node", F.concat(same, F.coalesce(above, none), F.coalesce(below, none)).alias("blocks"))
-    blocks = stored(alone.unionByName(many), "blocks").withColumnRenamed("node", "__node")
+    each = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    block = lambda side, *parts: F.struct(F.col("component").alias("c"), F.concat_ws(".", *[F.lit(p) if isinstance(p, str) else p for p in parts]).alias("block"), side.alias("side"))
+    own_, tier = F.col("own"), F.col("tier")
+    no, yes = F.lit(False), F.lit(True)
+    rest = F.concat(
+        F.transform(each(F.col("rest")), lambda i: block(i < own_, "s", tier, F.least(i, own_), F.greatest(i, own_))),
+        F.transform(each(F.col("rest_up")), lambda i: block(no, "n", tier, own_, i)),
+        F.transform(each(F.col("rest_down")), lambda i: block(yes, "n", tier - 1, i, own_)),
+        *[F.transform(each(F.col(name)), lambda i, d=d: block(no, "g", tier, own_, tier + d, i)) for name, d in (("group", 0), ("group_up", 1), ("group_down", -1))],
+    )
+    grouped_ = F.concat(*[F.transform(each(F.col(name)), lambda i, d=d: block(yes, "g", tier + d, i, tier, own_)) for name, d in (("rest", 0), ("rest_up", 1), ("rest_down", -1))])
+    many = met.withColumn("own", own).select("node", F.when(F.col("grouped"), grouped_).otherwise(rest).alias("blocks")).filter(F.size("blocks") > 0)
+    blocks = stored(alone.unionByName(many.select("node", F.coalesce("blocks", none).alias("blocks"))), "blocks").withColumnRenamed("node", "__node")
 
     small_batches(spark)
 
@@ -208,7 +258,7 @@ def links(docs: DataFrame, clusters: DataFrame, per_cent: int = PER_CENT, chunk_
         tidy()
         return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
 
-    return rows.groupBy("c", "block").applyInArrow(compare, "a bigint, b bigint")
+    return rows.groupBy("c", "block").applyInArrow(compare, "a bigint, b bigint").unionByName(near)
 
 
 def grouped(docs: DataFrame, per_cent: int = PER_CENT, k: int = SKETCH, longest: int = LIST, chunk_docs: int = CHUNK_DOCS, chunk_shingles: int = CHUNK_SHINGLES) -> DataFrame:
@@ -231,7 +281,7 @@ def grouped(docs: DataFrame, per_cent: int = PER_CENT, k: int = SKETCH, longest:
     own = stored(first.filter(F.col("doc_id") == F.col("least")).select("doc_id", "n", "sketch", "key").dropDuplicates(["key"]).drop("key"), "class-sketches")
     maybe = stored(candidates(own, k, overlap, share - deviation, longest, per_cent), "candidates")
     clusters = components(maybe)
-    sized = clusters.join(own.groupBy("doc_id").agg(F.max("n").alias("n")), clusters["node"] == F.col("doc_id")).select("node", "component", "n")
+    sized = clusters.join(own.dropDuplicates(["doc_id"]), clusters["node"] == F.col("doc_id")).select("node", "component", "n", "sketch")
     exact = stored(links(docs, sized, per_cent, chunk_docs, chunk_shingles), "exact-links")
     twice = keyed.select("doc_id", "key").join(classes, "key").filter(F.col("doc_id") != F.col("least"))
     several = twice.groupBy("doc_id").agg(F.count_distinct("least").alias("d"), F.min("least").alias("b")).filter("d > 1").select("doc_id", "b")

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, small_batches, space_words, stored, tidy, unsigned_crc_fold
+from .common import broadcast_if_small, discard, small_batches, space_words, stored, tidy, unsigned_crc_fold
 
 DEPTH = 5
 #: Longest context for which a position fits into 64 bits.
@@ -156,8 +156,8 @@ def _suffix(k: str = "k", context: str = "context") -> Column:
     return F.col(context).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), (8 * (F.col(k) - 1)).cast("int")) - 1)
 
 
-def grow(grams: DataFrame, depth: int = DEPTH, least: int = LEAST, divergence: float = DIVERGENCE) -> tuple[DataFrame, DataFrame, float]:
-    """The tree of packed positions (key, n): kept states (k, context, step), their entries (k, context, symbol, p), p of a byte never seen.
+def grow(grams: DataFrame, depth: int = DEPTH, least: int = LEAST, divergence: float = DIVERGENCE) -> tuple[DataFrame, DataFrame, float, list[DataFrame]]:
+    """The tree of packed positions (key, n): kept states (k, context, step), their entries (k, context, symbol, p), p of a byte never seen, and all stored tables.
 
     k is a context's length; p an entry's smoothed probability; step the factor with which a state passes what it has
     not seen on to its suffix (1 at the root).  Tables all; n = 0 counts nothing.
@@ -170,13 +170,15 @@ def grow(grams: DataFrame, depth: int = DEPTH, least: int = LEAST, divergence: f
     total = entries.filter("k = 0").agg(F.max("total")).first()[0] or 0
     unseen = 0.5 / (total + 128.0)
     at = lambda d: entries.filter(F.col("k") == d)
-    done, kept = [stored(at(0).select("k", "context", "symbol", ((F.col("n") + 0.5) / (total + 128.0)).alias("p")), "level")], [None]
+    levels = [stored(at(0).select("k", "context", "symbol", ((F.col("n") + 0.5) / (total + 128.0)).alias("p")), "level")]
+    done, kept = [levels[0]], [None]
     for d in range(1, depth + 1):
         above = done[-1].select(F.col("context").alias("__c"), F.col("symbol").alias("__s"), F.col("p").alias("__p"))
         met = at(d).withColumn("__u", _suffix()).join(above, (F.col("__u") == F.col("__c")) & (F.col("symbol") == F.col("__s")))
         whole = F.col("total") + F.col("kinds")
         own = met.select("k", "context", "symbol", (F.col("n") / whole + F.col("kinds") / whole * F.col("__p")).alias("p"), (2 * F.col("n") * F.log(F.col("n") / F.col("total") / F.col("__p"))).alias("g"))
         own = stored(own, "level")
+        levels.append(own)
         kept.append(own.groupBy("context").agg(F.sum("g").alias("g")).filter(F.col("g") > divergence).select("context"))
         done.append(own.drop("g"))
     states = [None] * (depth + 1)
@@ -193,12 +195,13 @@ def grow(grams: DataFrame, depth: int = DEPTH, least: int = LEAST, divergence: f
     table = done[0]
     for own in done[1:]:
         table = table.unionByName(own)
-    return found, table, unseen
+    discard(rows, entries, *states[1:])
+    return found, table, unseen, [found, *levels]
 
 
-def probabilities(grams: DataFrame, depth: int = DEPTH, least: int = LEAST, divergence: float = DIVERGENCE) -> DataFrame:
-    """(key, value): log10 probability of every position's byte, from the longest kept suffix of the bytes before it."""
-    states, entries, unseen = grow(grams, depth, least, divergence)
+def probabilities(grams: DataFrame, depth: int = DEPTH, least: int = LEAST, divergence: float = DIVERGENCE) -> tuple[DataFrame, list[DataFrame]]:
+    """(key, value): log10 probability of every position's byte, from the longest kept suffix of the bytes before it; and the tables it is read from."""
+    states, entries, unseen, made = grow(grams, depth, least, divergence)
     each = grams.select("key", F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("k"))
     each = each.select("key", "k", _context("key", "k").alias("context"), F.col("key").bitwiseAND(255).alias("symbol"))
     known = each.join(broadcast_if_small(states, 24), ["k", "context"]).join(entries, ["k", "context", "symbol"], "left")
@@ -209,7 +212,7 @@ def probabilities(grams: DataFrame, depth: int = DEPTH, least: int = LEAST, dive
         F.struct(F.lit(1.0).alias("steps"), F.lit(None).cast("double").alias("p")),
         lambda a, x: F.struct(F.when(a["p"].isNull() & x["p"].isNull(), a["steps"] * x["step"]).otherwise(a["steps"]).alias("steps"), F.coalesce(a["p"], x["p"]).alias("p")),
     )
-    return lists.select("key", found.alias("f")).select("key", F.log10(F.col("f.steps") * F.coalesce("f.p", F.lit(unseen))).alias("value"))
+    return lists.select("key", found.alias("f")).select("key", F.log10(F.col("f.steps") * F.coalesce("f.p", F.lit(unseen))).alias("value")), made
 
 
 def scored(docs: DataFrame, learn: Column, depth: int = DEPTH, least: int = LEAST, divergence: float = DIVERGENCE, block_chars: int = BLOCK_CHARS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
@@ -232,9 +235,11 @@ def scored(docs: DataFrame, learn: Column, depth: int = DEPTH, least: int = LEAS
     words = sums.filter(F.col("kind") == _WORDS)
     tokens, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
     tokens, kinds = tokens + ends, kinds + (ends > 0)
-    logs = probabilities(sums.filter(F.col("kind") == _GRAMS).select("key", "n"), depth, least, divergence)
+    logs, made = probabilities(sums.filter(F.col("kind") == _GRAMS).select("key", "n"), depth, least, divergence)
     values = words.select("kind", "key", F.col("n").cast("double").alias("value")).unionByName(logs.select(F.lit(_GRAMS).cast("tinyint").alias("kind"), "key", "value"))
-    looked = counts.filter(F.col("kind") <= _GRAMS).select("kind", "block", "key").join(stored(values, "values"), ["kind", "key"])
+    values = stored(values, "values")
+    discard(*made, sums)
+    looked = counts.filter(F.col("kind") <= _GRAMS).select("kind", "block", "key").join(values, ["kind", "key"])
 
     def score(texts: pa.Table, own: pa.Table) -> pa.Table:
         kind, keys, value = (own.column(c).to_numpy() for c in ("kind", "key", "value"))
