@@ -73,6 +73,19 @@ def key_neighbours(parcels: DataFrame, upc: str, prefix: int = 10, away: int = 8
     return parcels.filter(near).orderBy("pos").limit(limit)
 
 
+def key_neighbours_each(parcels: DataFrame, queries: DataFrame, prefix: int = 10, away: int = 8, limit: int = 12) -> DataFrame:
+    """For each of queries (upc) the parcels that key_neighbours gives, as a join on the prefix and bands of the number; adds query."""
+    number = F.try_to_number(F.col("upc"), F.lit("9" * 30)).cast("decimal(38,0)")
+    rows = parcels.filter(F.length("upc") >= prefix).withColumns({"__n": number, "__p": F.substring("upc", 1, prefix)}).filter("__n IS NOT NULL")
+    asked = queries.select(F.col("upc").alias("query"), number.alias("__q"), F.substring("upc", 1, prefix).alias("__qp")).distinct()
+    band = lambda c: F.floor(F.col(c) / (away + 1))
+    sent = asked.withColumn("__band", F.explode(F.array(band("__q") - 1, band("__q"), band("__q") + 1)))
+    near = (F.abs(F.col("__n") - F.col("__q")) <= away) & (F.col("upc") != F.col("query"))
+    met = rows.withColumn("__rb", band("__n")).join(sent, (F.col("__p") == F.col("__qp")) & (F.col("__rb") == F.col("__band")) & near)
+    nth = F.row_number().over(Window.partitionBy("query").orderBy("pos"))
+    return met.withColumn("__nth", nth).filter(F.col("__nth") <= limit).select("query", *parcels.columns)
+
+
 def _segment_distances(p: np.ndarray, a: np.ndarray, b: np.ndarray) -> float:
     """Least squared distance of any of the points to any of the segments a-b."""
     d = b - a
