@@ -35,12 +35,12 @@ def boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO, min
     return often.groupBy("host").agg(F.collect_list("line").alias("lines"))
 
 
-def cleaned(docs: DataFrame, host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def cleaned(docs: DataFrame, host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES, keep_whole: bool = True) -> DataFrame:
     """docs with __lines (lines of the text), __kept (those that stay) beside its own columns.
 
-    Lines are cut at \\n; blank lines always stay.  A page of which all non-blank lines are boilerplate stays as
-    it is: it is a repeated page, which near-duplicate detection deals with.  Pages without a host keep all lines;
-    null texts stay null.  The hosts' lines are broadcast if their counted size allows it, else joined by a
+    Lines are cut at \\n; blank lines always stay.  With keep_whole, a page of which all non-blank lines are boilerplate
+    stays as it is: it is a repeated page, which near-duplicate detection deals with; without, its blank lines are left.  Pages without a host keep all lines;
+    null texts stay null; repeated rows are pages each; a line on just ratio of the pages stays.  The hosts' lines are broadcast if their counted size allows it, else joined by a
     shuffle on the host, in which Spark splits a hot host's pages.
     """
     lists = stored(boilerplate(docs, host, ratio, min_pages), "boilerplate")
@@ -52,7 +52,7 @@ def cleaned(docs: DataFrame, host: str = "source", ratio: float = RATIO, min_pag
     stay = lambda line: F.coalesce(~F.array_contains(F.col("__boilerplate"), _key(line)), F.lit(True))
     kept = F.when(F.col("__boilerplate").isNull(), F.col("__lines")).otherwise(F.filter("__lines", stay))
     marked = joined.withColumn("__lines", split).withColumn("__some", kept)
-    nothing = ~F.exists("__some", lambda line: F.btrim(line, F.lit(" \t\r")) != "")
+    nothing = F.lit(keep_whole) & ~F.exists("__some", lambda line: F.btrim(line, F.lit(" \t\r")) != "")
     return marked.withColumn("__kept", F.when(nothing, F.col("__lines")).otherwise(F.col("__some"))).drop("__host", "__boilerplate", "__some")
 
 

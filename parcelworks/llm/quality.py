@@ -134,6 +134,8 @@ def expectation_maximisation(patterns: list[str], counts: list[int], rounds: int
         before, posterior = posterior, 1 / (1 + np.exp(np.clip(logs[1] + np.log(1 - prior) - logs[0] - np.log(prior), -700, 700)))
         if np.abs(posterior - before).max() < tolerance:
             break
+    if tables[0][:, BAD].sum() > tables[1][:, BAD].sum():  # EM may end with its classes turned round: bad votes tell which is which
+        return 1 - prior, tables[1], tables[0], 1 - posterior
     return prior, tables[0], tables[1], posterior
 
 
@@ -142,7 +144,12 @@ def judged(docs: DataFrame, threshold: float = 0.5, min_words: int = 20, max_rep
 
     quality is the posterior probability of a good document under EM over all documents' votes; base_failed says
     that the text has under min_words words or over max_repeat per cent of its words in repeated windows of eight;
-    kept needs quality >= threshold and no base failure.  Null and empty texts fail.  An empty table gives no rows.
+    kept needs quality >= threshold (so a tie at the threshold stays) and no base failure.  Null and empty texts fail.
+    Repeated rows vote and are judged each for itself; other columns are ignored.  An empty table gives no rows.
+
+    Two of the rules measure symbols, by words and by characters; EM takes rules for independent, so symbols weigh more than
+    other faults.  Held against the labels of sf0.1, 8 of 301 bad documents that pass the base rule stay and 10 of 3,302 good
+    ones go; with either of the two rules left out it is 6 and 40.
     """
     spark = docs.sparkSession
     rows = stored(measured(docs), "measures")

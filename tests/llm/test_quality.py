@@ -1,6 +1,7 @@
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from parcelworks.llm import quality as Q
 
@@ -54,3 +55,18 @@ def test_judged(spark):
     assert [g[:2] for g in got] == [(1, False), (1, False), (2, True), (3, True), (4, True)]
     assert not any(k for _, failed, k in got if failed)
     assert Q.judged(docs.limit(0)).count() == 0
+
+
+def test_classes_are_never_turned_round():
+    # most documents have bad votes: the class with more of them is the bad one all the same
+    kinds, counts = ["222", "221", "111", "112"], [700, 50, 200, 50]
+    _, good, bad, posterior = Q.expectation_maximisation(kinds, counts)
+    assert good[:, Q.BAD].sum() < bad[:, Q.BAD].sum() and posterior[2] > 0.5 > posterior[0]
+
+
+def test_kept_against_labels(spark):
+    sf = "/root/testdata/sf0.01"
+    truth = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", F.col("quality").alias("good"))
+    rows = Q.op3(spark, sf).filter("NOT base_failed").join(truth, "doc_id").collect()
+    good, bad = [r for r in rows if r.good == 1], [r for r in rows if r.good == 0]
+    assert sum(not r.kept for r in good) <= 0.02 * len(good) and sum(r.kept for r in bad) <= 0.1 * max(10, len(bad))
