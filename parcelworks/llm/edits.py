@@ -259,7 +259,7 @@ def build(rows: DataFrame, path: str | None = None) -> DataFrame:
                 [c.split()[0] for c in TREES.split(", ")],
             )
             tidy()
-        coder.cache.clear()
+        coder.forget()
         tidy()
 
     return stored(rows.mapInArrow(trees, TREES), "trees")
