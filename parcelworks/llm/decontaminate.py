@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, broadcast_if_small, shared_dir, small_batches, stored, tidy
+from .common import alnum_words, broadcast_if_small, discard, shared_dir, small_batches, stored, tidy
 
 WINDOW = 13
 NEAR_SLACK = 3
@@ -287,10 +287,17 @@ def decontaminate(index: DataFrame, items: DataFrame, per_cent: int = 5, window:
 
 
 def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id no contaminated document has; all columns stay.  A null doc_id is kept."""
-    bad = decontaminate(build_index(docs), items).filter("contaminated").select(F.col("doc_id").alias("__contaminated"))
-    bad = broadcast_if_small(stored(bad, "contaminated"), 16)
-    return docs.join(bad, docs["doc_id"] == bad["__contaminated"], "left_anti")
+    """The rows of docs that aren't contaminated; all columns stay.
+
+    Contamination is a matter of the text alone, so rows are told by a 64-bit hash of it: rows without a doc_id and rows that
+    share one are judged each by its own text.
+    """
+    own = F.xxhash64(F.col("text").cast("string"))
+    index = build_index(docs.select(own.alias("doc_id"), "text"))
+    bad = stored(decontaminate(index, items).filter("contaminated").select(F.col("doc_id").alias("__contaminated")).distinct(), "contaminated")
+    discard(index)
+    bad = broadcast_if_small(bad, 16)
+    return docs.join(bad, own == bad["__contaminated"], "left_anti")
 
 
 def digest(items):

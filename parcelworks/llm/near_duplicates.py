@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, small_batches, space_words, stored, tidy
+from .common import broadcast_if_small, discard, small_batches, space_words, stored, tidy
 from .graph import components
 
 WIDTH = 5
@@ -98,7 +98,7 @@ def sketches(docs: DataFrame, k: int = SKETCH) -> DataFrame:
 
 
 def candidates(classes: DataFrame, k: int, overlap: int, estimate: float, longest: int, per_cent: int) -> DataFrame:
-    """Pairs and ties (a, b) among classes (doc_id, n, sketch) that may be similar: see steps 2 and 3."""
+    """Stored pairs and ties (a, b) among classes (doc_id, n, sketch) that may be similar: see steps 2 and 3."""
     values = classes.select("doc_id", F.explode("sketch").alias("v"))
     shared = stored(values.groupBy("v").agg(F.count("*").alias("f")).filter("f > 1"), "shared-values")
     found = values.join(broadcast_if_small(shared, 16), "v").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("f", "v"))).alias("shared"))
@@ -108,10 +108,11 @@ def candidates(classes: DataFrame, k: int, overlap: int, estimate: float, longes
     room = F.greatest(F.lit(0), prefix - (size - F.size("shared"))).cast("int")
     postings = classes.join(found, "doc_id").select("doc_id", "n", F.explode(F.slice("shared", F.lit(1), room)).alias("s")).select("doc_id", "n", "s.v")
     postings = stored(postings, "postings")
-    lists = stored(postings.groupBy("v").agg(F.count("*").alias("m"), F.min("doc_id").alias("first")).filter("m > 1"), "lists")
-    ties = postings.join(broadcast_if_small(lists.filter(F.col("m") > longest).select("v", "first"), 16), "v")
-    ties = ties.select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
-    short = postings.join(lists.filter(F.col("m") <= longest).select("v"), "v").groupBy("v").agg(F.collect_list(F.struct("doc_id", "n")).alias("own"))
+    long = stored(postings.groupBy("v").agg(F.count("*").alias("m"), F.min("doc_id").alias("first")).filter(F.col("m") > longest).select("v", "first"), "long-lists")
+    few = broadcast_if_small(long, 16)
+    ties = postings.join(few, "v").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
+    # without the long lists no group has more than ``longest`` rows
+    short = postings.join(few, "v", "left_anti").groupBy("v").agg(F.collect_list(F.struct("doc_id", "n")).alias("own")).filter(F.size("own") > 1)
     one = short.select("own", F.explode("own").alias("a"))
     pairs = one.select("a", F.explode(F.filter("own", lambda b: (b["doc_id"] > F.col("a.doc_id")) & (100 * F.least(b["n"], F.col("a.n")) >= per_cent * F.greatest(b["n"], F.col("a.n"))))).alias("b"))
     pairs = pairs.select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b")).distinct()
@@ -119,7 +120,9 @@ def candidates(classes: DataFrame, k: int, overlap: int, estimate: float, longes
     met = pairs.join(own.select(F.col("doc_id").alias("a"), F.col("sketch").alias("x")), "a").join(own.select(F.col("doc_id").alias("b"), F.col("sketch").alias("y")), "b")
     union = F.slice(F.array_sort(F.array_union("x", "y")), 1, k)
     near = met.withColumn("u", union).filter(F.size(F.array_intersect(F.array_intersect("x", "y"), F.col("u"))) >= estimate * F.size("u"))
-    return near.select("a", "b").unionByName(ties)
+    found = stored(near.select("a", "b").unionByName(ties), "candidates")
+    discard(shared, postings, long)
+    return found
 
 
 def _links(ids: np.ndarray, side: np.ndarray, sets: list[np.ndarray], per_cent: int) -> list[tuple[int, int]]:
@@ -279,7 +282,7 @@ def grouped(docs: DataFrame, per_cent: int = PER_CENT, k: int = SKETCH, longest:
     # ties between rows that share a doc_id, and from every class to its first document
     first = keyed.join(classes, "key")
     own = stored(first.filter(F.col("doc_id") == F.col("least")).select("doc_id", "n", "sketch", "key").dropDuplicates(["key"]).drop("key"), "class-sketches")
-    maybe = stored(candidates(own, k, overlap, share - deviation, longest, per_cent), "candidates")
+    maybe = candidates(own, k, overlap, share - deviation, longest, per_cent)
     clusters = components(maybe)
     sized = clusters.join(own.dropDuplicates(["doc_id"]), clusters["node"] == F.col("doc_id")).select("node", "component", "n", "sketch")
     exact = stored(links(docs, sized, per_cent, chunk_docs, chunk_shingles), "exact-links")
@@ -298,9 +301,22 @@ def grouped(docs: DataFrame, per_cent: int = PER_CENT, k: int = SKETCH, longest:
 
 
 def keep_first(docs: DataFrame, per_cent: int = PER_CENT) -> DataFrame:
-    """The rows of docs but for near-duplicates of a document with a smaller doc_id; all columns stay."""
-    gone = stored(grouped(docs, per_cent).filter("NOT kept").select(F.col("doc_id").alias("__gone")).distinct(), "near-duplicates")
-    return docs.join(broadcast_if_small(gone, 16), docs["doc_id"] == F.col("__gone"), "left_anti")
+    """The rows of docs but for near-duplicates of a document with a smaller doc_id; all columns stay.
+
+    Rows without a doc_id come after all others, by a hash of their text.  Of rows alike in doc_id and text one stays; rows that
+    share a doc_id but not the text stay or go together.  Texts without words are linked with nothing and stay.
+    """
+    text = F.col("text").cast("string")
+    keyed = docs.withColumn("__near_id", F.coalesce(F.col("doc_id").cast("bigint"), F.xxhash64(text).bitwiseAND((1 << 62) - 1).bitwiseOR(1 << 62)))
+    gone = stored(grouped(keyed.select(F.col("__near_id").alias("doc_id"), "text"), per_cent).filter("NOT kept").select(F.col("doc_id").alias("__near_id")).distinct(), "near-duplicates")
+    left = keyed.join(broadcast_if_small(gone, 16), "__near_id", "left_anti").withColumn("__near_hash", F.xxhash64(text))
+    twice = left.filter(text.rlike(r"[^\x20\x09-\x0D]")).groupBy("__near_id", "__near_hash").agg(F.count("*").alias("__near_n")).filter("__near_n > 1").drop("__near_n")
+    twice = stored(twice, "repeated-rows")
+    if twice.isEmpty():
+        return left.select(*docs.columns)
+    keys = broadcast_if_small(twice, 16)
+    own = left.join(keys, ["__near_id", "__near_hash"], "left_semi").dropDuplicates(["__near_id", "__near_hash"])
+    return left.join(keys, ["__near_id", "__near_hash"], "left_anti").unionByName(own).select(*docs.columns)
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

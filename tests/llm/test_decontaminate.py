@@ -61,6 +61,8 @@ def test_verdict_and_edges(spark):
     assert got == {1: (260, 13, True), 2: (261, 13, False), 3: (0, 0, False)}
     kept = D.keep_clean(docs, items)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [2, 3]
+    more = spark.createDataFrame([(None, item, "a"), (1, "clean words", "b"), (1, item, "c"), (None, None, "d")], "doc_id long, text string, __contaminated string")
+    assert sorted(r[2] for r in D.keep_clean(more, items).collect()) == ["b", "d"]
     assert D.decontaminate(D.build_index(docs), items.limit(0)).filter("n_hit > 0").count() == 0
     assert D.decontaminate(D.build_index(docs.limit(0)), items).count() == 0
 
