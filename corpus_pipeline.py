@@ -11,27 +11,50 @@ from parcelworks.llm.common import stored, table
 
 
 def identify_language(spark, docs, sf_dir):
-    """Drops texts without a letter and those that no language profile is near to."""
+    """Drops texts without a letter and those that no language profile is near to.
+
+    Null and empty texts have no letter and go, with or without a doc_id; profiles are learnt from rows with a lang, and
+    without any all rows go.  Ties between languages go to the first by name.  Repeated rows are judged each for itself,
+    long texts as wholes.  An empty table stays empty; further columns, whatever their names, stay.
+    """
     return language.keep_identified(docs)
 
 
 def drop_repeated_lines(spark, docs, sf_dir):
-    """Drops the boilerplate lines of each source."""
+    """Drops the boilerplate lines of each source.
+
+    Null texts stay null and empty ones empty; rows without a source keep all lines; a line on just the ratio of the pages
+    stays; repeated rows are pages each.  A page of boilerplate alone stays whole.  An empty table stays empty; further
+    columns stay, n_chars follows the text.
+    """
     return lines.dedup_lines(docs)
 
 
 def drop_near_duplicates(spark, docs, sf_dir):
-    """Keeps the document with the smallest id of each group."""
+    """Keeps the document with the smallest id of each group.
+
+    Null, empty and wordless texts are linked with nothing and stay.  Rows without a doc_id come after all others; of rows
+    alike in doc_id and text one stays.  Texts of any length are compared as wholes; a pair at just the threshold is
+    linked.  An empty table stays empty; further columns stay.
+    """
     return near_duplicates.keep_first(docs)
 
 
 def drop_contaminated(spark, docs, sf_dir):
-    """Drops documents of which benchmark passages make up 5 per cent or more."""
+    """Drops documents of which benchmark passages make up 5 per cent or more.
+
+    Null and empty texts are clean.  Every row is judged by its own text, whatever its doc_id; just 5 per cent goes.  Items
+    without words or id find nothing.  An empty table, or an empty benchmark, drops nothing; further columns stay.
+    """
     return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark, docs, sf_dir):
-    """Packs the rest into sequences."""
+    """Packs the rest into sequences, a row a piece; see packing.packed for its columns.
+
+    Null and empty texts are their end token alone; repeated rows are packed each for itself; documents over 1,024 tokens
+    are cut; pieces of one length take places in the order in which tasks met them.  An empty table gives no rows.
+    """
     return packing.packed(docs)
 
 
