@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from parcelworks.functions import deeds as D
+from parcelworks.functions import geometry as G
+from parcelworks.functions import scores
 from parcelworks.functions import text as T
 from parcelworks.operators import adjacency, conflicts, research, stats
 from parcelworks.plans.registry import PARCELS, parcels_like, query, table
@@ -379,3 +381,68 @@ def small_lookups(spark, sf_dir):
 def jobs_of_persons(spark, sf_dir):
     _, edges = research.session_graph(_jobs(spark, sf_dir))
     return research.jobs_of(edges, spark.createDataFrame([("person:s1",), ("person:s2",)], "id string"))
+
+
+@query(
+    "lengths_in_feet",
+    "SELECT p_partkey, round(p_size * CASE p_size % 4 WHEN 0 THEN 3 WHEN 1 THEN 66 WHEN 2 THEN 16.5 ELSE 1 END, 6) AS feet FROM part",
+)
+def lengths_in_feet(spark, sf_dir):
+    size = F.col("p_size")
+    unit = F.when(size % 4 == 0, "Yards").when(size % 4 == 1, "chains").when(size % 4 == 2, "rods").otherwise("ft.")
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(G.to_feet(size.cast("double"), unit), 6).alias("feet"))
+
+
+@query(
+    "distances",
+    """WITH p AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) * 10 AS a, CAST(embedding[2] AS DOUBLE) * 10 AS b, CAST(embedding[3] AS DOUBLE) * 10 AS c, CAST(embedding[4] AS DOUBLE) * 10 AS d FROM embeddings)
+SELECT vec_id, round(2 * 3958.8 * asin(sqrt(least(1, pow(sin((radians(c) - radians(a)) / 2), 2) + cos(radians(a)) * cos(radians(c)) * pow(sin(radians(d - b) / 2), 2)))), 3) AS miles FROM p""",
+)
+def distances(spark, sf_dir):
+    e = lambda i: F.col("embedding")[i].cast("double") * 10
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(G.haversine_miles(e(0), e(1), e(2), e(3)), 3).alias("miles"))
+
+
+@query(
+    "session_steps",
+    """SELECT l_orderkey AS job, CASE WHEN count(*) FILTER (l_linenumber = 1 AND l_returnflag = 'R') = 0 THEN 2 WHEN l_orderkey % 3 = 0 THEN 3 WHEN count(*) FILTER (l_linenumber > 1) = 0 THEN 4
+WHEN bool_and(l_linestatus = 'O') FILTER (l_linenumber > 1) THEN 6 ELSE 5 END AS step FROM lineitem WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 1) GROUP BY l_orderkey""",
+)
+def session_steps(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem")
+    job = F.col("l_orderkey")
+    deed = (F.col("l_returnflag") == "R") & (F.col("l_linenumber") == 1)
+    client = F.max(F.when(F.col("l_linenumber") == 1, F.struct(deed.alias("deed_saved"), F.when(job % 3 != 0, "lot").alias("property_description"), F.lit("").alias("desc_type"))))
+    open_ = F.col("l_linestatus") == "O"
+    others = F.collect_list(F.when(F.col("l_linenumber") > 1, F.struct(open_.alias("deed_saved"), open_.alias("plat_saved"))))
+    jobs = rows.groupBy(job.alias("job")).agg(F.bool_or(deed).alias("deed"), client.alias("client"), others.alias("adjoiners")).filter("client IS NOT NULL")
+    client = F.struct(F.col("deed").alias("deed_saved"), F.col("client.property_description").alias("property_description"), F.lit("").alias("desc_type"))
+    return jobs.select("job", scores.session_step(client, F.col("adjoiners")).alias("step"))
+
+
+@query(
+    "session_flags",
+    """WITH s AS (SELECT l_orderkey AS job, count(*) AS n, count(*) FILTER (l_linestatus = 'O') AS both FROM lineitem GROUP BY 1), t AS (SELECT job, n, round(100.0 * both / n, 1) AS share, CASE WHEN job % 2 = 0 THEN 'BDY' ELSE 'SDV' END AS kind FROM s),
+b AS (SELECT kind, count(*) AS c, round(avg(n), 2) AS m, round(coalesce(stddev_samp(n), 0), 2) AS d FROM t GROUP BY 1), z AS (SELECT job, n, share, c, CASE WHEN d > 0 THEN (n - m) / d ELSE 0 END AS z FROM t JOIN b USING (kind))
+SELECT job AS job_number, 'adjoiners' AS category, CASE WHEN z < -2 THEN 'info' WHEN z > 3 THEN 'error' ELSE 'warning' END AS severity FROM z WHERE c >= 5 AND (z < -2 OR z > 2) UNION ALL SELECT job, 'documents', CASE WHEN share < 50 THEN 'error' ELSE 'warning' END FROM z WHERE share < 80""",
+)
+def session_flags(spark, sf_dir):
+    open_ = F.col("l_linestatus") == "O"
+    subject = F.struct(F.col("l_linenumber").cast("string").alias("name"), F.lit("adjoiner").alias("type"), open_.alias("deed_saved"), open_.alias("plat_saved"))
+    sessions = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("job_number")).agg(F.collect_list(subject).alias("subjects"))
+    sessions = sessions.withColumn("job_type", F.when(F.col("job_number") % 2 == 0, "BDY").otherwise("SDV"))
+    base = stats.baselines(stats.session_metrics(sessions), "job_type", "adjoiner_count")
+    return conflicts.session_flags(sessions, base).select("job_number", "category", "severity")
+
+
+@query(
+    "similar_descriptions",
+    """SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN 40.0 ELSE 0.0 END + CASE WHEN p_size = 7 THEN 20.0 ELSE 0.0 END AS score FROM part WHERE p_size % 5 = 0 OR p_size = 7 ORDER BY score DESC, p_partkey LIMIT 25""",
+)
+def similar_descriptions(spark, sf_dir):
+    from parcelworks.operators.similarity import similar_descriptions as similar
+
+    size = F.col("p_size")
+    text = F.concat(F.lit("zzz in "), F.when(size % 5 == 0, "T5N R6E").otherwise("T8N R9E"), F.lit(" plat "), F.when(size == 7, "CAB C-7").otherwise("CAB C-8"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.col("p_partkey").alias("pos"), text.alias("description"))
+    return similar(rows, "xxx at T5N R6E of CAB C-7", limit=25).select("p_partkey", "score")
