@@ -422,7 +422,7 @@ def session_steps(spark, sf_dir):
 
 @query(
     "session_flags",
-    """WITH s AS (SELECT l_orderkey AS job, count(*) AS n, count(*) FILTER (l_linestatus = 'O') AS both FROM lineitem GROUP BY 1), t AS (SELECT job, n, round(100.0 * both / n, 1) AS share, CASE WHEN job % 2 = 0 THEN 'BDY' ELSE 'SDV' END AS kind FROM s),
+    """WITH s AS (SELECT l_orderkey AS job, count(*) AS n, count(*) FILTER (l_linestatus = 'O') AS done FROM lineitem GROUP BY 1), t AS (SELECT job, n, round(100.0 * done / n, 1) AS share, CASE WHEN job % 2 = 0 THEN 'BDY' ELSE 'SDV' END AS kind FROM s),
 b AS (SELECT kind, count(*) AS c, round(avg(n), 2) AS m, round(coalesce(stddev_samp(n), 0), 2) AS d FROM t GROUP BY 1), z AS (SELECT job, n, share, c, CASE WHEN d > 0 THEN (n - m) / d ELSE 0 END AS z FROM t JOIN b USING (kind))
 SELECT job AS job_number, 'adjoiners' AS category, CASE WHEN z < -2 THEN 'info' WHEN z > 3 THEN 'error' ELSE 'warning' END AS severity FROM z WHERE c >= 5 AND (z < -2 OR z > 2) UNION ALL SELECT job, 'documents', CASE WHEN share < 50 THEN 'error' ELSE 'warning' END FROM z WHERE share < 80""",
 )
@@ -437,7 +437,7 @@ def session_flags(spark, sf_dir):
 
 @query(
     "similar_descriptions",
-    """SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN 40.0 ELSE 0.0 END + CASE WHEN p_size = 7 THEN 20.0 ELSE 0.0 END AS score FROM part WHERE p_size % 5 = 0 OR p_size = 7 ORDER BY score DESC, p_partkey LIMIT 25""",
+    """SELECT p_partkey, round(CASE WHEN p_size % 5 = 0 THEN 40.0 ELSE 0.0 END + CASE WHEN p_size = 7 THEN 20.0 ELSE 0.0 END + 25.0 * 1 / 4, 1) AS score FROM part WHERE p_size % 5 = 0 OR p_size = 7 ORDER BY score DESC, p_partkey LIMIT 25""",
 )
 def similar_descriptions(spark, sf_dir):
     from parcelworks.operators.similarity import similar_descriptions as similar
