@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -22,6 +22,13 @@ def found(text: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(group))
 
 
+def top_concepts(rows: DataFrame, text: str, n: int = 12, without: tuple[str, ...] = ()) -> DataFrame:
+    """(w, n): the most frequent words of four letters or more in lower case, but for those in ``without``; ties by word."""
+    words = rows.select(F.explode(found(F.lower(text), "([a-z]{4,})")).alias("w"))
+    words = words.filter(~F.col("w").isin(*without)) if without else words
+    return words.groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(n)
+
+
 def phrase(*texts: str) -> str:
     """A pattern for any of the phrases, the longer ones first, with any white space between their words."""
     escaped = sorted((re.escape(t).replace(r"\ ", r"\s+") for t in texts), key=len, reverse=True)

@@ -14,6 +14,12 @@ def best_per_key(frame: DataFrame, key: str, *order: Column) -> DataFrame:
     return ranked.filter("__rank = 1").drop("__rank")
 
 
+def first_per_key(frame: DataFrame, key: str, order: str, limit: int) -> DataFrame:
+    """The first ``limit`` rows of every key in the given order; nulls are a key."""
+    ranked = frame.withColumn("__rank", F.row_number().over(Window.partitionBy(key).orderBy(order)))
+    return ranked.filter(F.col("__rank") <= limit).drop("__rank")
+
+
 def merge_index(parcels: DataFrame) -> DataFrame:
     """One parcel a upc: archives (.kmz) before plain files, then the longer plat, then the earlier row.
 

@@ -39,6 +39,12 @@ def indexed_quartiles(frame: DataFrame, group: str, value: str) -> DataFrame:
     )
 
 
+def monthly_counts(frame: DataFrame, date: str, months: int = 12) -> DataFrame:
+    """Rows by month (`2024-05`), the latest ``months`` that have any, youngest first; rows without a date count nothing."""
+    counts = frame.filter(F.col(date).isNotNull()).groupBy(F.date_format(date, "yyyy-MM").alias("month")).agg(F.count("*").alias("n"))
+    return counts.orderBy(F.desc("month")).limit(months)
+
+
 def baselines(frame: DataFrame, group: str, value: str) -> DataFrame:
     """n, mean and sample deviation of a value by group and over all (`_global`); a single row has deviation 0."""
     out = frame.groupingSets([[F.col(group)], []], F.col(group)).agg(

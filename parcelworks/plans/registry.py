@@ -253,8 +253,9 @@ def tiers(spark, sf_dir):
 
 @query("monthly_activity", "SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n FROM orders GROUP BY 1 ORDER BY 1 DESC LIMIT 12")
 def monthly_activity(spark, sf_dir):
-    counts = table(spark, sf_dir, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(F.count("*").alias("n"))
-    return counts.orderBy(F.desc("month")).limit(12)
+    from parcelworks.operators.stats import monthly_counts
+
+    return monthly_counts(table(spark, sf_dir, "orders"), "o_orderdate")
 
 
 @query(
@@ -301,10 +302,9 @@ _WORDS = "list_distinct(regexp_extract_all(lower(text), '[a-z]{3,}'))"
     "SELECT w, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS w FROM documents) GROUP BY w ORDER BY n DESC, w LIMIT 12",
 )
 def top_tokens(spark, sf_dir):
-    from parcelworks.functions.text import found
+    from parcelworks.functions.text import top_concepts
 
-    words = table(spark, sf_dir, "documents").select(F.explode(found(F.lower("text"), "([a-z]{4,})")).alias("w"))
-    return words.groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(12)
+    return top_concepts(table(spark, sf_dir, "documents"), "text")
 
 
 @query(
@@ -466,14 +466,16 @@ def monthly_quota(spark, sf_dir):
 
 @query("html_links", "SELECT page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS href FROM pages")
 def html_links(spark, sf_dir):
-    from parcelworks.functions.text import found
+    from parcelworks.sources.html import links
 
-    return table(spark, sf_dir, "pages").select("page_id", F.explode(found(F.col("html"), '<a href="([^"]*)"')).alias("href"))
+    return links(table(spark, sf_dir, "pages").select("page_id", "html"))
 
 
 @query("host_counts", "SELECT regexp_extract(url, '^https?://([^/]+)', 1) AS host, count(*) AS n FROM pages GROUP BY 1")
 def host_counts(spark, sf_dir):
-    return table(spark, sf_dir, "pages").groupBy(F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host")).agg(F.count("*").alias("n"))
+    from parcelworks.sources.html import host_counts as counts
+
+    return counts(table(spark, sf_dir, "pages"))
 
 
 @query(
@@ -532,10 +534,9 @@ def age_bucket(spark, sf_dir):
     "SELECT o_orderkey, o_orderpriority FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS r FROM orders) WHERE r <= 50",
 )
 def band_limit(spark, sf_dir):
-    from pyspark.sql import Window
+    from parcelworks.operators.ordering import first_per_key
 
-    ranked = table(spark, sf_dir, "orders").withColumn("r", F.row_number().over(Window.partitionBy("o_orderpriority").orderBy("o_orderkey")))
-    return ranked.filter("r <= 50").select("o_orderkey", "o_orderpriority")
+    return first_per_key(table(spark, sf_dir, "orders"), "o_orderpriority", "o_orderkey", 50).select("o_orderkey", "o_orderpriority")
 
 
 def _fill_stop_words():

@@ -47,6 +47,17 @@ def label_values(html: Column) -> Column:
     return F.when(F.size(rows) > 0, last(rows)).otherwise(last(pairs(bold)))
 
 
+def links(pages: DataFrame, html: str = "html") -> DataFrame:
+    """(pages' other columns, href): the targets of a page's links, in page order; null pages have none."""
+    rest = [c for c in pages.columns if c != html]
+    return pages.select(*rest, F.explode(found(F.col(html), r"(?is)<a\b[^>]*?\bhref\s*=\s*[\"']([^\"']*)[\"']")).alias("href"))
+
+
+def host_counts(pages: DataFrame, url: str = "url") -> DataFrame:
+    """Pages by host; addresses without one count under the empty text."""
+    return pages.groupBy(F.regexp_extract(url, "^https?://([^/]+)", 1).alias("host")).agg(F.count("*").alias("n"))
+
+
 def form_defaults(html: Column) -> Column:
     """Map of a form's input names to their values."""
     inputs = found(html, r"(?is)(<input\b[^>]*>)")
