@@ -17,6 +17,9 @@ _TO_SPACE = bytes.maketrans(_BREAKS, b" " * len(_BREAKS))
 ARROW_ROWS = 500
 ARROW_BYTES = 2 << 20
 
+#: Bytes of a row group of stored tables: what a writer holds, and the most that a reader's batch of long rows takes.
+ROW_GROUP = 16 << 20
+
 #: A table of at most so many bytes may be broadcast or collected; beyond it a shuffle does the work.
 BROADCAST_BYTES = 8 << 20
 
@@ -70,7 +73,7 @@ def stored(frame: DataFrame, what: str, files: int | None = None) -> DataFrame:
     files: at most so many, for tables whose counted source is small.
     """
     path = shared_dir(frame.sparkSession, what)
-    (frame if files is None else frame.coalesce(files)).write.parquet(path)
+    (frame if files is None else frame.coalesce(files)).write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, broadcast_if_small, discard, shared_dir, small_batches, stored, tidy
+from .common import ROW_GROUP, alnum_words, broadcast_if_small, discard, shared_dir, small_batches, stored, tidy
 
 WINDOW = 13
 NEAR_SLACK = 3
@@ -91,7 +91,9 @@ def build_index(docs: DataFrame, path: str | None = None, shard_chars: int = SHA
         del ids, texts
         tidy()
 
-    docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(shards, SHARDS).write.parquet(path)
+    made = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(shards, SHARDS)
+    # rows are long, so the size of a row group is looked at after a few of them
+    made.write.option("parquet.block.size", ROW_GROUP // 4).option("parquet.page.size.row.check.min", 4).parquet(path)
     return spark.read.schema(SHARDS).parquet(path)
 
 
