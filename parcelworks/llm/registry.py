@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, edits, language, licenses, lines, near_duplicates, packing, pages, quality, suffix_tree
+from . import decontaminate, edits, language, licenses, lines, near_duplicates, packing, pages, quality, resampling, suffix_tree
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_token_counts": edits.op8,
     "op9_packing": packing.op9,
     "op10_near_duplicates": near_duplicates.op10,
+    "op13_resampling": resampling.op13,
 }
 
 ORACLE_SQL = {
@@ -23,4 +24,5 @@ ORACLE_SQL = {
     "op1_near_items": decontaminate.ORACLE,
     "op6_lines": lines.ORACLE,
     "op10_near_duplicates": near_duplicates.ORACLE,
+    "op13_resampling": resampling.ORACLE,
 }
