@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, edits, language, licenses, lines, near_duplicates, packing, pages, quality, resampling, suffix_tree
+from . import decontaminate, edits, hard_negatives, language, licenses, lines, near_duplicates, packing, pages, quality, resampling, suffix_tree
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_token_counts": edits.op8,
     "op9_packing": packing.op9,
     "op10_near_duplicates": near_duplicates.op10,
+    "op11_hard_negatives": hard_negatives.op11,
     "op13_resampling": resampling.op13,
 }
 
@@ -24,5 +25,6 @@ ORACLE_SQL = {
     "op1_near_items": decontaminate.ORACLE,
     "op6_lines": lines.ORACLE,
     "op10_near_duplicates": near_duplicates.ORACLE,
+    "op11_hard_negatives": hard_negatives.ORACLE,
     "op13_resampling": resampling.ORACLE,
 }
