@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, edits, hard_negatives, language, licenses, lines, near_duplicates, packing, pages, quality, resampling, suffix_tree
+from . import decontaminate, edits, hard_negatives, language, licenses, lines, near_duplicates, packing, pages, quality, resampling, suffix_tree, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1,
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_packing": packing.op9,
     "op10_near_duplicates": near_duplicates.op10,
     "op11_hard_negatives": hard_negatives.op11,
+    "op12_toxicity": toxicity.op12,
     "op13_resampling": resampling.op13,
 }
 
