@@ -33,11 +33,12 @@ def words(text):
 
 def ngrams(own, longest: int = LONGEST):
     """All runs of 1 to longest consecutive words, joined by one space, repeats kept."""
-    runs = [own]
-    for n in range(2, longest + 1):
+
+    def runs(n: int):
         starts = F.when(F.size(own) >= n, F.sequence(F.lit(1), F.size(own) - n + 1)).otherwise(F.array().cast("array<int>"))
-        runs.append(F.transform(starts, lambda i, n=n: F.array_join(F.slice(own, i, n), " ")))
-    return F.concat(*runs) if len(runs) > 1 else own
+        return F.transform(starts, lambda i: F.array_join(F.slice(own, i, n), " "))
+
+    return F.concat(own, *map(runs, range(2, longest + 1))) if longest > 1 else own
 
 
 def bucketed(frame: DataFrame, longest: int, buckets: int, *keys: str) -> DataFrame:

@@ -50,17 +50,19 @@ SLAB = 1 << 20
 _OFFSETS = list(combinations(range(1, SPAN), LENGTH - 1))
 
 
+SIGN = 64
+
+
 def _class_table() -> np.ndarray:
-    """Class of each code point below 2 ** 16: 0 no letter, 255 a mark that may stand inside a word, else 1 to 31."""
+    """Class of each code point below 2 ** 16: 0 no letter, 1 to 31 a letter, 64 more for a sign that may stand for one, 255 a mark inside words."""
     out = np.zeros(1 << 16, np.uint8)
     for code in range(1 << 16):
         c = chr(code)
         if c.isalpha():
             low = c.lower()[0]
             out[code] = ord(low) - 96 if "a" <= low <= "z" else 27 + ord(low) % 5
-    # digits and signs that stand for letters
     for sign, letter in zip("013457@$!", "oieastasi"):
-        out[ord(sign)] = ord(letter) - 96
+        out[ord(sign)] = SIGN + ord(letter) - 96
     for mark in ".-_*'’·~+^​‌‍­":
         out[ord(mark)] = 255
     return out
@@ -88,8 +90,13 @@ def units(texts: list[str | None]) -> Units:
     owner = np.repeat(np.arange(len(texts)), sizes)[: len(raw)]
     kind = CLASS[np.minimum(raw, (1 << 16) - 1)]
     kind[raw >= 1 << 16] = 0
-    # a mark belongs to a word only with letters on both sides
-    letter = (kind > 0) & (kind < 255)
+    # a sign stands for a letter between two letters only
+    plain = (kind > 0) & (kind < SIGN)
+    sign = (kind > SIGN) & (kind < 255)
+    between = np.zeros(len(kind), bool)
+    between[1:-1] = plain[:-2] & plain[2:]
+    kind = np.where(sign, np.where(between, kind - SIGN, 0), kind)
+    letter = (kind > 0) & (kind < SIGN)
     at = np.flatnonzero(letter)
     if not len(at):
         empty = np.empty(0, np.int64)
@@ -183,7 +190,7 @@ class Model:
     def margins(self, found: Units) -> np.ndarray:
         """The machine's output for every unit, by sliding over the symbols.
 
-        The sums are divided as if no sequence came twice in a unit, which bounds the output from above; where that bound is over -1
+        The sums are divided as if no sequence came twice in a unit, which bounds positive sums from above; where that bound is over 0,
         the unit's own kernel takes its place.
         """
         n = len(found.starts)
@@ -207,7 +214,7 @@ class Model:
                     gain[:m] += np.where(own[:m] == own[last : last + m], self.weights[code] * np.float32(DECAY ** (last + 1)), 0)
             out += np.bincount(own[: e - s], gain, n)
         bound = out / spread(found.lengths) + self.bias
-        for k in np.flatnonzero((bound > -1) & (out > 0)):
+        for k in np.flatnonzero((bound > 0) & (out > 0)):
             weights = features([found.symbols[found.starts[k] + 1 : found.ends[k] - 1].tobytes()])
             bound[k] = (self.weights[weights[1]] * weights[2]).sum() + self.bias
         return bound
@@ -342,21 +349,21 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model | None:
             yield pa.RecordBatch.from_arrays([pa.array(model.highest(batch.column("text").to_pylist())), batch.column("toxic")], ["margin", "toxic"])
 
     seen = sample.mapInArrow(best, "margin double, toxic int").collect()  # two numbers a document of the sample
-    seen = [(m, t) for m, t in seen if np.isfinite(m)] + [(m, 1) for m in model.margins(flat(more))]
-    margin, y = np.array(seen).T
-    model.slope, model.offset = calibrated(margin, y)
+    # altered units stand for documents that the sample lacks, and weigh less
+    points = [(m, t, 1.0) for m, t in seen if np.isfinite(m)] + [(m, 1, ALTERED) for m in model.margins(flat(more))]
+    model.slope, model.offset = calibrated(*np.array(points).T)
     return model
 
 
-def calibrated(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+def calibrated(margin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
     """Slope and offset of a logistic curve through the documents' highest margins; targets are smoothed by one count."""
-    n1, n0 = (y == 1).sum(), (y == 0).sum()
+    n1, n0 = weight[y == 1].sum(), weight[y == 0].sum()
     target = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
     x = np.column_stack([margin, np.ones(len(margin))])
     w = np.array([1.0, 0.0])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
-        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + 1e-6 * np.eye(2), x.T @ (p - target) + 1e-6 * w)
+        step = np.linalg.solve(x.T @ (x * (weight * p * (1 - p))[:, None]) + 1e-6 * np.eye(2), x.T @ (weight * (p - target)) + 1e-6 * w)
         w -= step
         if np.abs(step).max() < 1e-8:
             break
