@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelworks.functions.text import found, phrase
+from parcelworks.operators.matching import containing
+from parcelworks.storage import stored
 
 #: Misread words and what they stand for.
 MISREAD = {
@@ -266,29 +268,44 @@ def cabinet_files(listing: DataFrame) -> DataFrame:
     return pdf.select("cabinet", "file", "path", display_name(F.col("file")).alias("display"), normal_name(display_name(F.col("file"))).alias("name_norm"), normal_name(F.col("file")).alias("file_norm"), doc_number(F.col("file")).alias("doc_number"))
 
 
+def page_keys(cabinet: Column, file: Column) -> Column:
+    """What may stand as a page behind the cabinet's name in a file's name, lower case: every piece from there to where a word ends.
+
+    The name must not follow a letter; one hyphen or blank may stand between.
+    """
+    name, low = F.lower(cabinet), F.lower(file)
+    places = F.filter(F.sequence(F.lit(1), F.greatest(F.length(low), F.lit(1))), lambda i: (F.substring(low, i, F.length(name)) == name) & ~F.when(i > 1, F.substring(low, i - 1, F.lit(1))).otherwise("").rlike("[a-z]"))
+    behind = F.transform(places, lambda i: F.substring(low, i + F.length(name), F.length(low)))
+    rests = F.concat(behind, F.transform(F.filter(behind, lambda r: r.rlike("^[- ]")), lambda r: F.substring(r, F.lit(2), F.length(r))))
+    ends = lambda r: F.filter(F.sequence(F.lit(1), F.length(r)), lambda j: ~F.substring(r, j + 1, F.lit(1)).rlike("[a-z0-9]"))
+    pieces = F.transform(F.filter(rests, lambda r: r != ""), lambda r: F.transform(ends(r), lambda j: F.substring(r, F.lit(1), j)))
+    return F.when(F.length(name) > 0, F.array_distinct(F.flatten(pieces))).otherwise(F.array().cast("array<string>"))
+
+
 def search_cabinet(files: DataFrame, requests: DataFrame) -> DataFrame:
     """Files for requests (request, cabinet, doc, grantor, grantee): by document number, else by name, else by page reference.
 
-    Adds strategy and weight, best first within a request.  Requests are joined by cabinet, and by number where they
-    have one; a request with a hit by number gets no others.
+    Adds strategy, weight and nth, the place within the request, best first.  A request with a hit by number gets no others; a file
+    that has a variant of a name in it is no page hit.  Numbers and pages are equi-joins with the cabinet; the variants are looked
+    up in an index of the cabinet's names, so a request doesn't meet all files of its cabinet.  Requests without a cabinet find nothing.
     """
+    own = stored(files.withColumn("__row", F.monotonically_increasing_id()), "files")
     people = F.array_compact(F.array("grantor", "grantee"))
     asked = requests.select(
-        "request", F.col("cabinet").alias("__cabinet"), F.trim(F.coalesce("doc", F.lit(""))).alias("__doc"),
-        F.array_distinct(F.flatten(F.transform(people, name_variants))).alias("__variants"),
+        "request", "cabinet", F.lower(F.trim(F.coalesce("doc", F.lit("")))).alias("__doc"), F.array_distinct(F.flatten(F.transform(people, name_variants))).alias("__variants"),
         F.array_distinct(F.filter(F.flatten(F.transform(people, lambda p: F.split(normal_name(p), r"[\s,]+"))), lambda w: (F.length(w) >= 3) & ~w.isin(*PARTICLES))).alias("__words"),
     ).withColumn("__number", F.regexp_replace("__doc", "[^0-9]", ""))
-    keep = ["request", *files.columns]
-    same = F.col("cabinet") == F.col("__cabinet")
-    by_number = files.join(asked.filter("__number <> ''"), same & (F.col("doc_number") == F.col("__number")))
-    by_number = by_number.select(*keep, F.lit("doc_number").alias("strategy"), F.lit(1000).alias("weight"))
+    by_number = own.join(asked.filter("__number <> ''").select("request", "cabinet", F.col("__number").alias("doc_number")), ["cabinet", "doc_number"])
+    by_number = stored(by_number.select("request", "__row", F.lit("doc_number").alias("strategy"), F.lit(1000).alias("weight")), "by-number")
     rest = asked.join(by_number.select("request").distinct(), "request", "left_anti")
-    hits = F.filter("__variants", lambda v: F.contains(F.col("file_norm"), v) | F.contains(F.col("name_norm"), v))
-    met = files.join(rest, same).withColumn("__hits", hits)
-    page = (F.col("__doc") != "") & F.expr("lower(file) RLIKE concat('(?<![a-z])', lower(cabinet), '[- ]?', lower(__doc), '(?![a-z0-9])')")
-    longest = F.array_max(F.transform("__hits", F.length)) + token_overlap(F.col("__words"), F.col("name_norm"))
-    by_name = met.filter((F.size("__hits") > 0) | page)
-    by_name = by_name.select(*keep, F.when(F.size("__hits") > 0, "name_match").otherwise("page_ref").alias("strategy"), F.coalesce(longest, F.lit(0)).cast("int").alias("weight"))
-    both = by_number.unionByName(by_name)
+    variants = rest.select("request", "cabinet", "__words", F.explode("__variants").alias("__variant"))
+    names = own.select("cabinet", "__row", "name_norm", F.explode(F.array_distinct(F.array("file_norm", "name_norm"))).alias("__form"))
+    met = containing(names, "__form", variants.select("cabinet", "__variant").distinct(), "__variant", by=("cabinet",))
+    hits = variants.join(met, ["cabinet", "__variant"]).groupBy("request", "__row").agg(F.max(F.length("__variant")).alias("__long"), F.first("__words").alias("__words"), F.first("name_norm").alias("name_norm"))
+    by_name = hits.select("request", "__row", F.lit("name_match").alias("strategy"), (F.col("__long") + token_overlap(F.col("__words"), F.col("name_norm"))).cast("int").alias("weight"))
+    pages = own.select("cabinet", "__row", F.explode(page_keys(F.col("cabinet"), F.col("file"))).alias("__doc")).join(rest.filter("__doc <> ''").select("request", "cabinet", "__doc"), ["cabinet", "__doc"])
+    by_page = pages.select("request", "__row").join(by_name.select("request", "__row"), ["request", "__row"], "left_anti").select("request", "__row", F.lit("page_ref").alias("strategy"), F.lit(0).alias("weight"))
+    found = own.join(by_number.unionByName(by_name).unionByName(by_page), "__row")
     order = F.when(F.col("strategy") == "doc_number", 0).when(F.col("strategy") == "name_match", 1).otherwise(2)
-    return both.orderBy("request", order, F.desc("weight"), "file")
+    nth = F.row_number().over(Window.partitionBy("request").orderBy(order, F.desc("weight"), "file", "__row"))
+    return found.select("request", *files.columns, "strategy", "weight", nth.alias("nth"))

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from parcelworks.functions import text as T
 from parcelworks.functions.scores import search_relevance
+from parcelworks.operators.matching import beginning_with, containing
 from parcelworks.operators.search import is_deed_type, is_survey_type, text
+from parcelworks.storage import stored
 
 #: Points and the most rows of each rule of the cross-reference, and its whole length.
 MAP_PICK, NAME_HITS, PAGE_HITS, CABINET_HITS, CROSS_LIMIT = (100, 1), (10, 10), (50, 5), (30, 5), 30
@@ -31,8 +33,8 @@ def cross_reference(deeds: DataFrame, parcels: DataFrame, limit: int = CROSS_LIM
     deeds: deed, grantor, grantee, location, map_upc, body; parcels: pos, upc, owner, book, page, cab_refs.  Four rules
     add up: the parcel picked on the map; owners that contain the grantor's or the grantee's last name of three letters or more;
     the book and page of the location; every cabinet reference in the deed's fields.  A rule gives its first parcels in listing
-    order, and of one parcel as often as it hits.  Parcels without a upc are left out.  Names are a query set: the deeds' distinct
-    last names are compared with all owners; the other rules are equi-joins.  Nulls hit nothing.
+    order, and of one parcel as often as it hits.  Parcels without a upc are left out.  The deeds' distinct last names are looked up
+    in an index of the owners' letters; the other rules are equi-joins.  Nulls hit nothing.
     """
     known = parcels.filter("upc IS NOT NULL AND upc <> ''").select("pos", "upc", text(parcels, "owner").alias("__owner"), "book", "page", "cab_refs")
     hit = lambda rows, rule, reason, n: rows.select("deed", "upc", F.lit(rule[0]).alias("score"), F.lit(reason).alias("reason"), F.lit(n).alias("__rule"), "pos")
@@ -41,7 +43,7 @@ def cross_reference(deeds: DataFrame, parcels: DataFrame, limit: int = CROSS_LIM
     for n, side in enumerate(("grantor", "grantee"), 1):
         asked = deeds.select("deed", last_name(F.col(side)).alias("__name")).filter(F.length("__name") >= 3)
         names = asked.select("__name").distinct()
-        met = _first(known.join(names, known["__owner"].contains(names["__name"])), ["__name"], NAME_HITS[1])
+        met = _first(containing(known, "__owner", names, "__name"), ["__name"], NAME_HITS[1])
         found.append(hit(asked.join(met, "__name"), NAME_HITS, f"{side} name", n))
     book, page = T.book_page(F.col("location"))
     asked = deeds.select("deed", book.alias("book"), page.alias("page")).filter("book IS NOT NULL")
@@ -160,7 +162,7 @@ def plats_of_client(plats: DataFrame, clients: DataFrame, limit: int = 15) -> Da
     asked = clients.select("client", last_name(F.col("name")).alias("__name"), "map_upc")
     names = asked.filter(F.length("__name") >= 2)
     distinct = names.select("__name").distinct()
-    by_name = names.join(_first(owners.join(distinct, owners["__owner"].contains(distinct["__name"])), ["__name"], limit), "__name")
+    by_name = names.join(_first(containing(owners, "__owner", distinct, "__name"), ["__name"], limit), "__name")
     by_name = by_name.filter(F.col("map_upc").isNull() | (F.col("upc") != F.col("map_upc"))).select("client", "upc", "pos", F.lit(False).alias("picked"))
     picked = _first(asked.join(owners, asked["map_upc"] == owners["upc"]), ["client"], 1).select("client", "upc", "pos", F.lit(True).alias("picked"))
     return picked.unionByName(by_name)
@@ -171,7 +173,8 @@ def bulk_deed_match(subjects: DataFrame, deeds: DataFrame) -> DataFrame:
 
     subjects: subject, name, deed_saved; deeds: doc_no, grantor, grantee, instrument_type, recorded_date.  Names `UPC …` are
     passed over.  Parties that begin with the whole name come before those that begin with the last name; deed types and empty
-    types count alone; then deed_priority decides.
+    types count alone; then deed_priority decides, then the smaller date text and document number.  Deeds are reduced to the best
+    of each party and last name before subjects meet them; whole names are looked up in a prefix index of the parties.
     """
     from parcelworks.functions.scores import deed_priority, record_year
 
@@ -181,14 +184,18 @@ def bulk_deed_match(subjects: DataFrame, deeds: DataFrame) -> DataFrame:
     usable = deeds.filter((kind == "") | is_deed_type(kind))
     party = lambda c: F.upper(F.trim(F.coalesce(c, F.lit(""))))
     sides = usable.select("*", F.explode(F.array(F.struct(F.lit("grantee").alias("s"), party(F.col("grantee")).alias("p")), F.struct(F.lit("grantor").alias("s"), party(F.col("grantor")).alias("p")))).alias("__side"))
-    sides = sides.withColumn("__key", last_name(F.col("__side.p")))
-    # a party that begins with a name has the name's last name as the beginning of its own
-    met = pending.join(sides, F.col("__last") == F.col("__key")).filter(F.col("__side.p").startswith(F.col("__last")))
-    way = F.when(F.col("__side.p").startswith(F.col("__full")), 0).otherwise(1)
     score = deed_priority(F.col("instrument_type"), F.col("__side.s") == "grantee", F.col("__side.s") == "grantor", record_year(F.col("recorded_date")))
-    best = F.struct(way, -score, F.coalesce("recorded_date", F.lit("")), F.coalesce("doc_no", F.lit("")))
-    rows = met.groupBy("subject").agg(F.min_by(F.struct("doc_no", way.alias("way")), best).alias("b"))
-    return rows.select("subject", "b.doc_no", F.when(F.col("b.way") == 0, "full name").otherwise("last name").alias("way"))
+    order = F.struct((-score).alias("s"), F.coalesce("recorded_date", F.lit("")).alias("d"), F.coalesce("doc_no", F.lit("")).alias("n"))
+    # the best deed of each party, then of each last name: what subjects meet no longer grows with a name's deeds
+    parties = sides.select(F.col("__side.p").alias("__party"), last_name(F.col("__side.p")).alias("__key"), order.alias("__order"), "doc_no")
+    parties = stored(parties.groupBy("__party", "__key").agg(F.min("__order").alias("__order"), F.min_by("doc_no", "__order").alias("doc_no")), "parties")
+    by_last = parties.groupBy(F.col("__key").alias("__last")).agg(F.min_by("doc_no", "__order").alias("__last_doc"))
+    # a party that begins with a whole name counts if its own last name is the name's
+    whole = beginning_with(parties, "__party", pending.select("__full").distinct(), "__full")
+    by_full = whole.groupBy("__full", F.col("__key").alias("__last")).agg(F.min_by("doc_no", "__order").alias("__full_doc"), F.lit(True).alias("__has_full"))
+    rows = pending.join(by_last, "__last").join(by_full, ["__full", "__last"], "left")
+    full = F.col("__has_full").isNotNull()
+    return rows.select("subject", F.when(full, F.col("__full_doc")).otherwise(F.col("__last_doc")).alias("doc_no"), F.when(full, "full name").otherwise("last name").alias("way"))
 
 
 def trs_consistency(jobs: DataFrame) -> DataFrame:
@@ -370,14 +377,14 @@ def search_persons(nodes: DataFrame, edges: DataFrame, query: str, limit: int =
 def find_nodes(nodes: DataFrame, names: DataFrame) -> DataFrame:
     """(name, id): for each of names (name) the person with just its key, else the first id that contains its last word.
 
-    Names are a query set: their distinct last words are compared with all ids.
+    The names' distinct last words are looked up in an index of the ids' letters.
     """
     key = T.person_key(F.col("name"))
     asked = names.select("name", F.concat(F.lit("person:"), key).alias("__id"), F.lower(F.trim(last_name(F.col("name")))).alias("__last")).distinct()
     ids = nodes.filter("type = 'person'").select("id")
     same = asked.join(ids, asked["__id"] == ids["id"]).select("name", "id", F.lit(0).alias("__way"))
     words = asked.select("__last").filter(F.length("__last") >= 2).distinct()
-    near = ids.join(words, ids["id"].contains(words["__last"])).groupBy("__last").agg(F.min("id").alias("id"))
+    near = containing(ids, "id", words, "__last").groupBy("__last").agg(F.min("id").alias("id"))
     both = same.unionByName(asked.join(near, "__last").select("name", "id", F.lit(1).alias("__way")))
     return both.groupBy("name").agg(F.min_by("id", F.struct("__way", "id")).alias("id"))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parcelworks.operators.ranking import at_shares
+
 
 def tier(value: Column, bounds: list[tuple[float, str]], rest: str) -> Column:
     """The name of the first bound that the value reaches."""
@@ -26,17 +28,9 @@ def indexed_quartile(values: Column, share: float) -> Column:
 def indexed_quartiles(frame: DataFrame, group: str, value: str) -> DataFrame:
     """group, n, q1, q3, low, high by indexed quartiles.  Null values count nothing; a null group is a group.
 
-    Values are counted by (group, value) first, so what is sorted within a group are its distinct values, however many rows it has.
+    A group of any size spreads over all tasks (ranking.at_shares).
     """
-    counts = frame.filter(F.col(value).isNotNull()).groupBy(F.col(group).alias("g"), F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    whole = Window.partitionBy("g")
-    upto = F.sum("c").over(whole.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = counts.withColumn("upto", upto).withColumn("n", F.sum("c").over(whole))
-    # the element at a rank is the first value up to which there are more elements
-    pick = lambda share: F.min(F.when(F.col("upto") > F.floor(F.col("n") * share), F.col("v")))
-    return ranked.groupBy(F.col("g").alias(group)).agg(
-        F.first("n").alias("n"), pick(0.25).alias("q1"), pick(0.75).alias("q3"), F.min("v").alias("low"), F.max("v").alias("high")
-    )
+    return at_shares(frame, group, value, {"q1": 0.25, "q3": 0.75})
 
 
 def monthly_counts(frame: DataFrame, date: str, months: int = 12) -> DataFrame:

@@ -8,7 +8,7 @@ from parcelworks.functions import deeds as D
 from parcelworks.functions import geometry as G
 from parcelworks.functions import scores
 from parcelworks.functions import text as T
-from parcelworks.operators import adjacency, conflicts, research, stats
+from parcelworks.operators import adjacency, conflicts, matching, research, stats
 from parcelworks.plans.registry import PARCELS, parcels_like, query, table
 
 _OWNED = f"(SELECT pos, upc, book, page, cab, 'OWN' || (pos % 60) || 'X' AS owner FROM {PARCELS})"
@@ -277,21 +277,28 @@ def parcel_conflicts(spark, sf_dir):
     return conflicts.conflicts(rows).select("pos", "type")
 
 
-@query(
-    "chain_of_title",
-    """WITH RECURSIVE d AS (SELECT c_custkey AS k, 'P' || lpad(CAST(c_custkey AS VARCHAR), 6, '0') AS g, 'P' || lpad(CAST(c_custkey + 7 AS VARCHAR), 6, '0') AS f, c_nationkey = 3 AS plat FROM customer),
-r AS (SELECT g AS start, 1 AS hop, k, f, plat FROM d WHERE k % 50 = 0 UNION ALL SELECT start, hop + 1, d.k, d.f, d.plat FROM r JOIN d ON d.g = r.f WHERE NOT r.plat AND hop < 5)
-SELECT start, CAST(hop AS INTEGER) AS hop, 'D' || k AS doc_no FROM r""",
-)
+_TITLES = """WITH RECURSIVE d AS (
+SELECT 'D' || c_custkey || s AS doc, 'GRANTEE 00' || lpad(CAST(c_custkey // 3 AS VARCHAR), 6, '0') AS g, 'GRANTEE 00' || lpad(CAST(c_custkey // 3 + 5 AS VARCHAR), 6, '0') AS f,
+s = 'b' AND c_custkey % 4 = 0 AS other, CASE s WHEN 'a' THEN 1990 + c_custkey % 10 ELSE 1980 + c_custkey % 17 END AS y, c_nationkey = 3 AS plat FROM customer, (VALUES ('a'), ('b')) v(s)),
+b AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY other, y, doc) AS n FROM d),
+r AS (SELECT g AS start, 1 AS hop, doc, f, plat FROM b WHERE n = 1 AND CAST(substr(g, 11) AS INTEGER) % 50 = 0
+UNION ALL SELECT start, hop + 1, b.doc, b.f, b.plat FROM r JOIN b ON b.g = r.f AND b.n = 1 WHERE NOT r.plat AND hop < 5)
+SELECT start, CAST(hop AS INTEGER) AS hop, doc AS doc_no FROM r"""
+
+
+@query("chain_of_title", _TITLES)
 def chain_of_title(spark, sf_dir):
-    k = F.col("c_custkey")
-    name = lambda c: F.concat(F.lit("P"), F.lpad(c.cast("string"), 6, "0"))
-    deeds = table(spark, sf_dir, "customer").select(
-        F.concat(F.lit("D"), k).alias("doc_no"), name(k + 7).alias("grantor"), name(k).alias("grantee"), F.when(F.col("c_nationkey") == 3, "Plat 4").otherwise("M1").alias("location"),
-        F.lit("WARRANTY DEED").alias("instrument_type"), F.lit("2001").alias("recorded_date"),
+    """Six candidate deeds a name, some of another type, of different dates; all names share their first ten letters."""
+    k, s = F.col("c_custkey"), F.col("s")
+    name = lambda c: F.concat(F.lit("Grantee 00"), F.lpad(c.cast("string"), 6, "0"))
+    rows = table(spark, sf_dir, "customer").withColumn("s", F.explode(F.array(F.lit("a"), F.lit("b"))))
+    deeds = rows.select(
+        F.concat(F.lit("D"), k, s).alias("doc_no"), name(F.floor(k / 3) + 5).alias("grantor"), F.concat(name(F.floor(k / 3)), F.when(k % 2 == 0, " AND WIFE").otherwise("")).alias("grantee"),
+        F.when(F.col("c_nationkey") == 3, "Plat 4").otherwise("M1").alias("location"), F.when((s == "b") & (k % 4 == 0), "LIEN").otherwise("WARRANTY DEED").alias("instrument_type"),
+        F.when(s == "a", 1990 + k % 10).otherwise(1980 + k % 17).cast("string").alias("recorded_date"),
     )
-    starts = table(spark, sf_dir, "customer").filter("c_custkey % 50 = 0").select(name(k).alias("start"))
-    return conflicts.chain_of_title(deeds, starts, 5).select("start", "hop", "doc_no")
+    starts = table(spark, sf_dir, "customer").select(F.floor(k / 3).alias("n")).filter("n % 50 = 0").select(name(F.col("n")).alias("start"))
+    return conflicts.chain_of_title(deeds, starts, 5).select(F.upper("start").alias("start"), "hop", "doc_no")
 
 
 @query("deed_grades", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'warn' ELSE 'none' END AS self, c_custkey % 4 = 0 AS easement FROM customer")
@@ -323,16 +330,50 @@ def legal_blocks(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", D.legal_description(made).alias("block"))
 
 
+_CABINETS = """WITH f AS (SELECT 'f' || p_partkey AS path, p_size, p_partkey % 100 AS n, p_name AS name, 'q' || chr(CAST(97 + p_partkey % 7 AS INTEGER)) AS page, lower((p_partkey % 100) || '.001 ' || p_name || ' c' || p_size) AS form FROM part),
+r AS (SELECT p_partkey AS request, p_size, p_partkey % 150 AS way, p_partkey % 100 AS n, string_split(p_name, ' ') AS w, 'q' || chr(CAST(97 + p_partkey % 5 AS INTEGER)) AS page FROM part WHERE p_partkey % 50 = 0),
+v AS (SELECT request, p_size, w, unnest([w[2] || ' ' || w[1], w[1] || ' ' || w[2], w[1], w[2]]) AS v FROM r WHERE way = 50),
+m AS (SELECT request, path, max(len(v)) + floor((CASE WHEN list_contains(string_split(name, ' '), w[1]) THEN 1 WHEN contains(form, w[1]) THEN 0.5 ELSE 0 END + CASE WHEN w[1] = w[2] THEN 0 WHEN list_contains(string_split(name, ' '), w[2]) THEN 1 WHEN contains(form, w[2]) THEN 0.5 ELSE 0 END) / len(list_distinct(w)) * 100) AS weight
+FROM v JOIN f USING (p_size) WHERE contains(form, v) GROUP BY request, path, name, form, w),
+x AS (SELECT request, path, 'doc_number' AS strategy, 1000 AS weight FROM r JOIN f USING (p_size) WHERE way = 0 AND r.n = f.n
+UNION ALL SELECT request, path, 'name_match', CAST(weight AS INTEGER) FROM m UNION ALL SELECT request, path, 'page_ref', 0 FROM r JOIN f USING (p_size) WHERE way = 100 AND r.page = f.page)
+SELECT request, path, strategy, CAST(weight AS INTEGER) AS weight FROM x"""
+
+
+@query("cabinet_search", _CABINETS)
+def cabinet_search(spark, sf_dir):
+    part, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    cabinet = F.concat(F.lit("C"), F.col("p_size")).alias("cabinet")
+    file = F.concat(k % 100, F.lit(".001 "), F.col("p_name"), F.lit(" "), cabinet, F.lit("-Q"), F.chr(F.lit(97) + k % 7), F.lit(".PDF"))
+    files = D.cabinet_files(part.select(cabinet, file.alias("file"), F.concat(F.lit("f"), k).alias("path")))
+    words, way = F.split("p_name", " "), k % 150
+    asked = part.filter("p_partkey % 50 = 0").select(
+        k.alias("request"), cabinet, F.when(way == 0, (k % 100).cast("string")).when(way == 100, F.concat(F.lit("q"), F.chr(F.lit(65) + k % 5))).alias("doc"),
+        F.when(way == 50, F.concat(F.upper(words[1]), F.lit(", "), F.upper(words[0]))).alias("grantor"), F.lit(None).cast("string").alias("grantee"),
+    )
+    return D.search_cabinet(files, asked).select("request", "path", "strategy", "weight")
+
+
 @query(
-    "cabinet_search",
-    "SELECT CAST(p_size AS INTEGER) AS request, 'f' || p_partkey AS path, 'doc_number' AS strategy FROM part WHERE p_partkey % 100 = p_size",
+    "substring_join",
+    """WITH n AS (SELECT DISTINCT substr(p_name, 1 + CAST(p_partkey // 50 % 4 AS INTEGER), 2 + CAST(p_partkey // 50 % 5 AS INTEGER)) AS name FROM part WHERE p_partkey % 50 = 0)
+SELECT p_partkey, name FROM part JOIN n ON contains(p_name, name) WHERE name <> ''""",
 )
-def cabinet_search(spark, sf_dir):
-    part = table(spark, sf_dir, "part")
-    k = F.col("p_partkey")
-    files = D.cabinet_files(part.select(F.concat(F.lit("C"), F.col("p_size")).alias("cabinet"), F.concat(k % 100, F.lit(".001 "), F.col("p_name"), F.lit(".PDF")).alias("file"), F.concat(F.lit("f"), k).alias("path")))
-    asked = part.select(F.col("p_size").cast("int").alias("request")).distinct().select("request", F.concat(F.lit("C"), F.col("request")).alias("cabinet"), F.col("request").cast("string").alias("doc"), F.lit(None).cast("string").alias("grantor"), F.lit(None).cast("string").alias("grantee"))
-    return D.search_cabinet(files, asked).filter("strategy = 'doc_number'").select("request", "path", "strategy")
+def substring_join(spark, sf_dir):
+    part, step = table(spark, sf_dir, "part"), F.floor(F.col("p_partkey") / 50)
+    names = part.filter("p_partkey % 50 = 0").select(F.substring("p_name", 1 + step % 4, 2 + step % 5).alias("name"))
+    return matching.containing(part, "p_name", names, "name").select("p_partkey", "name")
+
+
+@query(
+    "prefix_join",
+    """WITH n AS (SELECT DISTINCT substr(c_name, 1, 14 + CAST(c_custkey // 50 % 5 AS INTEGER)) AS name FROM customer WHERE c_custkey % 50 = 0)
+SELECT c_custkey, name FROM customer JOIN n ON starts_with(c_name, name)""",
+)
+def prefix_join(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer")
+    names = rows.filter("c_custkey % 50 = 0").select(F.substring("c_name", F.lit(1), 14 + F.floor(F.col("c_custkey") / 50) % 5).alias("name"))
+    return matching.beginning_with(rows, "c_name", names, "name").select("c_custkey", "name")
 
 
 @query(
