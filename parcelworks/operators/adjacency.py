@@ -96,20 +96,55 @@ def _segment_distances(p: np.ndarray, a: np.ndarray, b: np.ndarray) -> float:
     return float((off * off).sum(axis=2).min())
 
 
+#: Vertices of a stretch of a ring at least, and stretches of a ring at most.
+STRETCH, STRETCHES = 64, 1024
+
+
+def _stretches(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(starts, lowest corners, highest corners, length) of the stretches of a ring; one ends where the next begins."""
+    step = max(STRETCH, -(-len(v) // STRETCHES))
+    starts = np.arange(0, max(1, len(v) - 1), step)
+    ends = np.minimum(starts + step, len(v) - 1)
+    low = np.minimum(np.minimum.reduceat(v, starts, axis=0), v[ends])
+    high = np.maximum(np.maximum.reduceat(v, starts, axis=0), v[ends])
+    return starts, low, high, step
+
+
 def ring_distance(a: list, b: list) -> float:
-    """Least distance between vertices of one ring and edges of the other, both ways, over all vertices."""
+    """Least distance between vertices of one ring and edges of the other, both ways, over all vertices.
+
+    Rings are cut into stretches; pairs of stretches are looked at by the distance of their boxes, until that is no less than
+    what was found.  So far stretches never meet, and memory grows with the rings, not with their product.
+    """
     p, q = np.asarray(a, float).reshape(-1, 2), np.asarray(b, float).reshape(-1, 2)
-    both = []
-    if len(q) > 1:
-        both.append(_segment_distances(p, q[:-1], q[1:]))
-    if len(p) > 1:
-        both.append(_segment_distances(q, p[:-1], p[1:]))
-    return min(both) ** 0.5 if both else float("inf")
+    if not len(p) or not len(q) or len(p) + len(q) < 3:
+        return float("inf")
+    (ps, p0, p1, pn), (qs, q0, q1, qn) = _stretches(p), _stretches(q)
+    gap = np.maximum(np.maximum(p0[:, None] - q1[None], q0[None] - p1[:, None]), 0)
+    least = (gap * gap).sum(axis=2).ravel()
+    best = float("inf")
+    for k in np.argsort(least, kind="stable"):
+        if least[k] >= best:
+            break
+        i, j = divmod(int(k), len(qs))
+        own, other = p[ps[i] : ps[i] + pn + 1], q[qs[j] : qs[j] + qn + 1]
+        if len(other) > 1:
+            best = min(best, _segment_distances(own, other[:-1], other[1:]))
+        if len(own) > 1:
+            best = min(best, _segment_distances(other, own[:-1], own[1:]))
+    return best**0.5
 
 
 @F.pandas_udf(DoubleType())
-def ring_distance_of(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([ring_distance([[x["lng"], x["lat"]] for x in p], [[x["lng"], x["lat"]] for x in q]) for p, q in zip(a, b)], dtype="float64")
+def _ring_distances(ax: pd.Series, ay: pd.Series, bx: pd.Series, by: pd.Series) -> pd.Series:
+    return pd.Series([ring_distance(np.column_stack(r[:2]), np.column_stack(r[2:])) for r in zip(ax, ay, bx, by)], dtype="float64")
+
+
+def ring_distance_of(a: Column, b: Column) -> Column:
+    """ring_distance of two polygon columns, handed over as flat lists of numbers."""
+    a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
+    axis = lambda ring, name: F.transform(ring, lambda p: p[name].cast("double"))
+    return _ring_distances(axis(a, "lng"), axis(a, "lat"), axis(b, "lng"), axis(b, "lat"))
 
 
 def with_box(parcels: DataFrame) -> DataFrame:

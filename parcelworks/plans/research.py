@@ -8,7 +8,7 @@ from parcelworks.functions import deeds as D
 from parcelworks.functions import geometry as G
 from parcelworks.functions import scores
 from parcelworks.functions import text as T
-from parcelworks.operators import adjacency, conflicts, matching, research, stats
+from parcelworks.operators import adjacency, conflicts, matching, research, spatial, stats
 from parcelworks.plans.registry import PARCELS, parcels_like, query, table
 
 _OWNED = f"(SELECT pos, upc, book, page, cab, 'OWN' || (pos % 60) || 'X' AS owner FROM {PARCELS})"
@@ -376,6 +376,62 @@ def prefix_join(spark, sf_dir):
     return matching.beginning_with(rows, "c_name", names, "name").select("c_custkey", "name")
 
 
+def _square(x, y, w):
+    """A square ring with its lower left corner at x, y."""
+    corner = lambda dx, dy: F.struct((x + dx * w).cast("double").alias("lng"), (y + dy * w).cast("double").alias("lat"))
+    return F.array(corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 1))
+
+
+# squares of 4 on a grid; every fiftieth asks: as it is, moved by half its side, a quarter of it inside, all around it
+_ASKED = """WITH p AS (SELECT c_custkey AS pos, c_custkey % 40 * 4 AS x, c_custkey // 40 * 4 AS y FROM customer),
+q AS (SELECT pos AS query, CASE pos % 200 WHEN 0 THEN x WHEN 50 THEN x + 2 WHEN 100 THEN x + 1 ELSE x - 1 END AS x, CASE pos % 200 WHEN 0 THEN y WHEN 50 THEN y + 2 WHEN 100 THEN y + 1 ELSE y - 1 END AS y,
+CASE pos % 200 WHEN 0 THEN 4 WHEN 50 THEN 4 WHEN 100 THEN 1 ELSE 6 END AS w FROM p WHERE pos % 50 = 0),
+m AS (SELECT query, pos, p.x >= q.x + w OR q.x >= p.x + 4 OR p.y >= q.y + w OR q.y >= p.y + 4 AS touch, p.x = q.x AND p.y = q.y AND w = 4 AS same, q.x <= p.x AND q.y <= p.y AND p.x + 4 <= q.x + w AND p.y + 4 <= q.y + w AS inside,
+p.x <= q.x AND p.y <= q.y AND q.x + w <= p.x + 4 AND q.y + w <= p.y + 4 AS around FROM q JOIN p ON p.x <= q.x + w AND q.x <= p.x + 4 AND p.y <= q.y + w AND q.y <= p.y + 4)"""
+
+
+def _asked_squares(spark, sf_dir):
+    k, c = F.col("c_custkey"), F.col
+    parcels = table(spark, sf_dir, "customer").select(k.alias("pos"), (k % 40 * 4).alias("x"), (F.floor(k / 40) * 4).alias("y"))
+    way = c("pos") % 200
+    moved = F.when(way == 0, 0).when(way == 50, 2).when(way == 100, 1).otherwise(-1)
+    asked = parcels.filter("pos % 50 = 0").select(c("pos").alias("query"), _square(c("x") + moved, c("y") + moved, F.when(way.isin(0, 50), 4).when(way == 100, 1).otherwise(6)).alias("polygon"))
+    return parcels.select("pos", c("pos").alias("upc"), _square(c("x"), c("y"), F.lit(4)).alias("polygon"), F.repeat(F.lit("tract "), 50).alias("legal")), asked
+
+
+@query(
+    "polygon_relations",
+    _ASKED + " SELECT query, pos, CASE WHEN touch THEN 'touches' WHEN same THEN 'equal' WHEN inside THEN 'contains' WHEN around THEN 'within' ELSE 'overlaps' END AS relation FROM m",
+)
+def polygon_relations(spark, sf_dir):
+    parcels, asked = _asked_squares(spark, sf_dir)
+    found = spatial.relations(asked.select(F.col("query").alias("id"), "polygon"), parcels.select(F.col("pos").alias("id"), "polygon"))
+    return found.select(F.col("a").alias("query"), F.col("b").alias("pos"), "relation")
+
+
+@query(
+    "spatial_adjoiners",
+    _ASKED + """ SELECT query, pos, CASE WHEN touch THEN 'touches' ELSE 'intersects' END AS spatial_rel, CAST(200 AS INTEGER) AS letters
+FROM (SELECT *, bool_or(touch) OVER (PARTITION BY query) AS any_touch FROM m) WHERE touch OR NOT any_touch QUALIFY row_number() OVER (PARTITION BY query ORDER BY pos) <= 100""",
+)
+def spatial_adjoiners(spark, sf_dir):
+    parcels, asked = _asked_squares(spark, sf_dir)
+    return spatial.spatial_adjoiners(asked, parcels).select("query", "pos", "spatial_rel", F.length("legal").alias("letters"))
+
+
+@query(
+    "point_sections",
+    """WITH s AS (SELECT n_nationkey AS id, n_nationkey % 5 * 4 AS x, n_nationkey // 5 * 4 AS y FROM nation)
+SELECT l_orderkey * 10 + l_linenumber AS point, 'T' || arg_min(y, id) || 'N R' || arg_min(x, id) || 'E S' || min(id) AS trs FROM lineitem JOIN s ON l_partkey % 21 + 1 BETWEEN x AND x + 4 AND l_suppkey % 23 + 0.5 BETWEEN y AND y + 4 GROUP BY 1""",
+)
+def point_sections(spark, sf_dir):
+    n, c = F.col("n_nationkey"), F.col
+    x, y = n % 5 * 4, F.floor(n / 5) * 4
+    sections = table(spark, sf_dir, "nation").select(n.alias("id"), _square(x, y, F.lit(4)).alias("polygon"), y.alias("twp"), F.lit("N").alias("twp_dir"), x.alias("rng"), F.lit("E").alias("rng_dir"), n.alias("sec"))
+    points = table(spark, sf_dir, "lineitem").select((c("l_orderkey") * 10 + c("l_linenumber")).alias("point"), (c("l_partkey") % 21 + 1).alias("x"), (c("l_suppkey") % 23 + 0.5).alias("y"))
+    return spatial.sections_of(points.distinct(), sections)
+
+
 @query(
     "addresses",
     "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN c_name WHEN 1 THEN c_custkey || ' MAIN' WHEN 2 THEN 'MAIN TAOS' ELSE 'No address' END AS address, CASE WHEN c_custkey % 2 = 0 THEN 'T2N R' || c_nationkey || 'E SEC 4' END AS trs FROM customer",
