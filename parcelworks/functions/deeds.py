@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parcelworks.functions.text import found, phrase
+from parcelworks.functions.text import found
 from parcelworks.operators.matching import containing
 from parcelworks.storage import stored
 
@@ -101,24 +101,13 @@ def correction_count(before: Column, after: Column) -> Column:
     return differ + F.abs(F.length(before) - F.length(after))
 
 
-#: Words before a neighbour's name, kind by kind in the order in which names are reported.
-CUES = (
-    ("land of", "lands of", "land of the heirs of", "lands of the heirs of", "land of the", "lands of the"),
-    ("property of",),
-    ("adjoin", "adjoins"),
-    ("bounded by", "bounded on the {side} by"),
-    ("{side}", "{side} by", "on the {side} by"),
-    ("formerly", "formerly of", "formerly the", "now or formerly", "now or formerly of"),
-    ("estate of", "estate of the"),
-    ("along the line of", "along the boundary of", "along the fence of", "along the {side} line of", "along the {side} boundary of", "along line of"),
-    ("along", "along the"),
-    ("corner common to", "corner with", "corner of", "corner common to the", "corner of the"),
-)
-#: What may stand between a cue and a name, words that end a name, and those that must end one after `along`.
-OWNERSHIP = ("land of", "lands of", "property of", "the land of", "the lands of", "the property of")
-STOPS = ("on", "bounded", "thence", "and", "to a")
+#: A neighbour's name comes after one of: something held or a line, with `of`; `bounded` or a side, with `by`; a side alone; a verb; a
+#: common corner.  FILLERS may stand before it, one of STOPS or a mark behind it.
+HELD = ("land", "lands", "property", "estate", "heirs", "line", "boundary", "fence", "corner")
+FILLERS = ("the", "of", "by", "or", "heirs", "land", "lands", "property", "estate")
+STOPS = ("on", "bounded", "thence", "and", "to")
+#: What must stand behind a name that follows `along` alone.
 HOLDINGS = ("property", "tract", "land", "parcel", "line", "fence")
-SIDE = r"(?:north|south|east|west)\w*"
 
 #: A name with one of these in it is no person's.
 NO_NAME = (
@@ -129,74 +118,97 @@ NO_NAME = (
 ).split()
 
 
-def _names_after(text: Column, cues: tuple[str, ...], ends: tuple[str, ...], must_end: bool) -> Column:
-    """What follows each cue, up to a comma, a semicolon or one of the ends.
-
-    The cue is found first and what follows it is cut afterwards, so neither rule has to know the other.
-    """
-    cue = phrase(*cues).replace(r"\{side\}", SIDE)
-    follows = found(text, rf"(?i)\b{cue}\b(?=\s+([A-Za-z][A-Za-z\s,.'-]{{2,80}}))")
-    follows = F.transform(follows, lambda x: F.regexp_replace(x, rf"(?i)^{phrase(*OWNERSHIP)}\s+", ""))
-    end = rf"(?i)\s+{phrase(*ends)}\b"
-    if must_end:
-        follows = F.filter(follows, lambda x: F.split(x, "[,;]", 2)[0].rlike(end))
-    return F.transform(follows, lambda x: F.split(F.split(x, "[,;\n]", 2)[0], end, 2)[0])
-
-
 def title_case(text: Column) -> Column:
     """A capital after anything that is no letter, so also after an apostrophe or a dash."""
     pieces = found(text, r"([A-Za-z]+|[^A-Za-z]+)")
-    return F.array_join(F.transform(pieces, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.lower(F.substring(p, 2, 1000)))), "")
+    return F.array_join(F.transform(pieces, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.lower(F.substring(p, F.lit(2), F.length(p))))), "")
+
+
+def _parties(text: Column) -> Column:
+    """What stands where a neighbour's name would, in the order of the text: one walk over its words and marks.
+
+    The walk remembers the word before, what it is doing (0 reads on, 1 has met a relation and passes over fillers, 2 collects a
+    name), whether `along` began it, the name so far and the names found.
+    """
+    tokens = found(text, r"([A-Za-z][A-Za-z.'-]*|[,;\n]|[0-9]+)")
+    none = F.array().cast("array<string>")
+    state = lambda last, doing, along, name, names: F.struct(last.alias("last"), doing.alias("doing"), along.alias("along"), name.alias("name"), names.alias("names"))
+    side = lambda w: F.substring(w, 1, 4).isin("nort", "sout", "east", "west")
+
+    def step(s: Column, token: Column) -> Column:
+        w, last = F.lower(token), s["last"]
+        relation = ((w == "of") & last.isin(*HELD)) | ((w == "by") & ((last == "bounded") | side(last))) | side(w)
+        relation |= w.isin("adjoin", "adjoins", "formerly") | ((w == "to") & (last == "common")) | ((w == "with") & (last == "corner"))
+        stop = w.isin(*STOPS, ",", ";", "\n") | F.substring(w, 1, 1).between("0", "9")
+        collecting = s["doing"] == 2
+        done = F.when(s["along"], w.isin(*HOLDINGS)).otherwise(stop | relation)
+        names = F.when(collecting & done, F.array_append(s["names"], s["name"])).otherwise(s["names"])
+        begin = relation | (w == "along")
+        doing = F.when(begin, 1).when(stop | (collecting & done) | (s["doing"] == 0), 0).when((s["doing"] == 1) & w.isin(*FILLERS), 1).otherwise(2)
+        name = F.when(doing == 2, F.when(collecting, F.concat_ws(" ", s["name"], token)).otherwise(token)).otherwise("")
+        return state(w, doing, F.when(begin, w == "along").otherwise(s["along"]), name, names)
+
+    begin = state(F.lit(""), F.lit(0), F.lit(False), F.lit(""), none)
+    return F.aggregate(F.concat(tokens, F.array(F.lit(";"))), begin, step, lambda s: s["names"])
 
 
 def adjoiner_names(text: Column) -> Column:
-    """Distinct names of neighbours in a description, by the order of the cues and then of the text.
+    """Distinct names of neighbours in a description, in the order of the text.
 
     A name has 3 to 51 characters, and none of NO_NAME in it.
     """
-    raw = F.concat(*[_names_after(text, cues, HOLDINGS if cues[0] == "along" else STOPS, cues[0] == "along") for cues in CUES])
-    names = F.transform(raw, lambda n: title_case(F.regexp_replace(F.rtrim(F.trim(n), F.lit(".,;- '")), r"\s+", " ")))
+    names = F.transform(_parties(text), lambda n: title_case(F.rtrim(n, F.lit(".' -"))))
     noise = F.array(*[F.lit(w) for w in NO_NAME])
     good = F.filter(names, lambda n: F.length(n).between(3, 51) & ~F.exists(noise, lambda w: F.contains(F.lower(n), w)))
     return F.array_distinct(good)
 
 
-#: Headings that a legal description follows, what begins one without a heading, what ends either, and words that
-#: a paragraph without both must have.
-HEADINGS = (
+#: Phrases at which a description starts, kind by kind, and the letters that one must have to count.
+STARTS = (
     ("legal description", "property description", "description of property", "description of the property"),
     ("described as follows", "more particularly described as"),
     ("to wit",),
 )
-CLOSERS = (
-    "in witness", "witness whereof", "excepting", "subject to", "together with", "this conveyance", "grantor reserves", "county of", "state of", "notary",
-    "acknowledgment",
+LEAST_LETTERS, SHORT_TEXT, LEAST_PARAGRAPH, NO_TEXT = 30, 2000, 100, 20
+#: A line that begins so ends a description under a heading; any of ENDS one that starts at a corner.
+NEXT_PARTS = (
+    "in witness", "witness whereof", "excepting", "subject to", "together with", "this conveyance", "grantor reserves", "county of", "state of", "notary", "acknowledgment",
 )
-BEGINNINGS = ("beginning at", "commencing at")
-BODY_ENDS = ("containing", "subject to", "together with", "except", "reserving", "said land", "in witness")
-BODY_WORDS = ("beginning", "thence", "lot", "block", "tract", "section", "township")
+CORNERS = ("beginning at ", "commencing at ")
+ENDS = (" containing", " subject to", " together with", " except ", " reserving ", " said land ", " in witness ")
+LAND_WORDS = ("beginning", "thence", "lot", "block", "tract", "section", "township")
+
+
+def _place(low: Column, phrases: tuple[str, ...], begin: Column | None = None) -> Column:
+    """Where the first of the phrases starts, from begin on; null without one."""
+    places = [F.nullif(F.position(F.lit(p), low, F.lit(1) if begin is None else begin), F.lit(0)) for p in phrases]
+    return F.least(*places) if len(places) > 1 else places[0]
 
 
 def legal_description(text: Column) -> Column:
     """The legal description of a deed: after a heading, else from BEGINNING or COMMENCING on, else the whole of a short text.
 
-    A longer text without either gives its first paragraph that looks like a description, else its first 2000 characters.
+    A longer text without either gives its first paragraph that looks like a description, else its first 2000 characters.  Blanks
+    count as one, and none at the ends of lines; texts of almost nothing stay as they are.
     """
-    bare = F.trim(text)
-    before = lambda part, ends: F.trim(F.split(part, ends, 2)[0])
-    closer = rf"(?i)\n\s*{phrase(*CLOSERS)}"
-
-    def headed(headings: tuple[str, ...]) -> Column:
-        after = F.get(F.split(text, rf"(?i){phrase(*headings)}[:\s]*", 2), 1)
-        part = before(after, closer)
-        return F.when(F.length(part) > 30, part)
-
-    begin = F.regexp_instr(text, F.lit(rf"(?i){phrase(*BEGINNINGS)}\s"))
-    body = before(F.substring(text, begin, F.length(text)), rf"(?i)\b{phrase(*BODY_ENDS)}\b")
-    words = F.array(*[F.lit(w) for w in BODY_WORDS])
-    paragraphs = F.filter(F.transform(F.split(text, r"\n\n"), lambda p: F.trim(p)), lambda p: (F.length(p) > 100) & F.exists(words, lambda w: F.contains(F.lower(p), w)))
-    chosen = F.coalesce(*map(headed, HEADINGS), F.when(begin > 0, body), F.when(F.length(bare) < 2000, bare), F.get(paragraphs, 0), F.trim(F.substring(text, 1, 2000)))
-    return F.when(F.length(bare) < 20, text).otherwise(chosen)
+    bare = F.trim(F.regexp_replace(F.regexp_replace(text, r"[ \t\r]+", " "), r" ?\n ?", "\n"), F.lit(" \n"))
+    low = F.lower(F.translate(bare, "\n", " "))  # a phrase may be broken over lines
+    lines = F.lower(bare)
+    upto = lambda start, end: F.trim(F.substring(bare, start, F.coalesce(end, F.length(bare) + 1) - start), F.lit(" :\n"))
+
+    def headed(phrases: tuple[str, ...]) -> Column:
+        at = _place(low, phrases)
+        long = F.greatest(*[F.when(F.substring(low, at, F.lit(len(p))) == p, len(p)).otherwise(0) for p in (*phrases, "")])
+        start = at + long
+        part = upto(start, _place(lines, tuple(f"\n{p}" for p in NEXT_PARTS), start))
+        return F.when(F.length(part) > LEAST_LETTERS, part)
+
+    corner = _place(low, CORNERS)
+    body = upto(corner, _place(low, ENDS, corner))
+    paragraphs = F.transform(F.split(bare, "\n\n"), lambda p: F.trim(p))
+    land = F.filter(paragraphs, lambda p: (F.length(p) > LEAST_PARAGRAPH) & F.greatest(*[F.contains(F.lower(p), F.lit(w)) for w in LAND_WORDS]))
+    chosen = F.coalesce(*map(headed, STARTS), body, F.when(F.length(bare) < SHORT_TEXT, bare), F.get(land, 0), F.trim(F.substring(bare, 1, SHORT_TEXT)))
+    return F.when(F.length(bare) < NO_TEXT, text).otherwise(chosen)
 
 
 def file_stem(name: Column) -> Column:
@@ -236,7 +248,7 @@ def name_variants(person: Column) -> Column:
     words = F.filter(F.split(flat, " "), lambda w: w != "")
     comma = norm.contains(",")
     turned = F.when(comma, F.concat_ws(" ", F.get(halves, 1), F.get(halves, 0))).otherwise(
-        F.when(F.size(words) >= 2, F.concat_ws(" ", F.slice(words, 2, 20), F.slice(words, 1, 1)))
+        F.when(F.size(words) >= 2, F.concat_ws(" ", F.slice(words, F.lit(2), F.size(words)), F.slice(words, 1, 1)))
     )
     singles = F.filter(words, lambda w: (F.length(w) >= F.when(comma, 4).otherwise(3)) & ~w.isin(*PARTICLES))
     parts = F.when(comma, halves).otherwise(F.array().cast("array<string>"))

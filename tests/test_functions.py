@@ -30,7 +30,8 @@ def test_tokens_and_references(spark):
 
 def test_names(spark):
     t = F.col("t")
-    assert values(spark, ["GARCIA JUAN & AND", "SMITH OR"], T.owner_cleaned(t)) == ["GARCIA JUAN", "SMITH"]
+    cleaned = ["GARCIA JUAN & AND", "SMITH OR", "SMITH, AND", "Doe,", "Doe, J, &, or", "& AND", "", "A AND B", "X & & & &"]
+    assert values(spark, cleaned, T.owner_cleaned(t)) == ["GARCIA JUAN", "SMITH", "SMITH", "Doe", "Doe, J", "", "", "A AND B", "X &"]
     assert values(spark, ["Smith, John Jr.", "ACME L.L.C", "Rael Trust"], T.owner_key(t)) == ["SMITH JOHN", "ACME L L C", "RAEL"]
     assert values(spark, ["Rael, Adela", "Zed Abe"], T.person_key(t)) == ["adela rael", "abe zed"]
     assert T.jaro_winkler("martha", "marhta") == pytest.approx(0.9611, abs=1e-4)
