@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parcelworks.functions.text import found
+from parcelworks.functions.text import found, let
 from parcelworks.operators.matching import containing
 from parcelworks.storage import stored
 
@@ -140,13 +140,14 @@ def _parties(text: Column) -> Column:
         relation = ((w == "of") & last.isin(*HELD)) | ((w == "by") & ((last == "bounded") | side(last))) | side(w)
         relation |= w.isin("adjoin", "adjoins", "formerly") | ((w == "to") & (last == "common")) | ((w == "with") & (last == "corner"))
         stop = w.isin(*STOPS, ",", ";", "\n") | F.substring(w, 1, 1).between("0", "9")
-        collecting = s["doing"] == 2
-        done = F.when(s["along"], w.isin(*HOLDINGS)).otherwise(stop | relation)
-        names = F.when(collecting & done, F.array_append(s["names"], s["name"])).otherwise(s["names"])
-        begin = relation | (w == "along")
-        doing = F.when(begin, 1).when(stop | (collecting & done) | (s["doing"] == 0), 0).when((s["doing"] == 1) & w.isin(*FILLERS), 1).otherwise(2)
-        name = F.when(doing == 2, F.when(collecting, F.concat_ws(" ", s["name"], token)).otherwise(token)).otherwise("")
-        return state(w, doing, F.when(begin, w == "along").otherwise(s["along"]), name, names)
+        return let(F.struct(w.alias("w"), relation.alias("relation"), stop.alias("stop")), lambda seen: moved(s, token, seen["w"], seen["relation"], seen["stop"]))
+
+    def moved(s: Column, token: Column, w: Column, relation: Column, stop: Column) -> Column:
+        collecting, begin = s["doing"] == 2, relation | (w == "along")
+        done = collecting & F.when(s["along"], w.isin(*HOLDINGS)).otherwise(stop | relation)
+        doing = F.when(begin, 1).when(stop | done | (s["doing"] == 0), 0).when((s["doing"] == 1) & w.isin(*FILLERS), 1).otherwise(2)
+        name = F.when(collecting, F.concat_ws(" ", s["name"], token)).otherwise(token)
+        return state(w, doing, F.when(begin, w == "along").otherwise(s["along"]), name, F.when(done, F.array_append(s["names"], s["name"])).otherwise(s["names"]))
 
     begin = state(F.lit(""), F.lit(0), F.lit(False), F.lit(""), none)
     return F.aggregate(F.concat(tokens, F.array(F.lit(";"))), begin, step, lambda s: s["names"])
@@ -191,24 +192,26 @@ def legal_description(text: Column) -> Column:
     A longer text without either gives its first paragraph that looks like a description, else its first 2000 characters.  Blanks
     count as one, and none at the ends of lines; texts of almost nothing stay as they are.
     """
-    bare = F.trim(F.regexp_replace(F.regexp_replace(text, r"[ \t\r]+", " "), r" ?\n ?", "\n"), F.lit(" \n"))
-    low = F.lower(F.translate(bare, "\n", " "))  # a phrase may be broken over lines
-    lines = F.lower(bare)
-    upto = lambda start, end: F.trim(F.substring(bare, start, F.coalesce(end, F.length(bare) + 1) - start), F.lit(" :\n"))
-
-    def headed(phrases: tuple[str, ...]) -> Column:
-        at = _place(low, phrases)
-        long = F.greatest(*[F.when(F.substring(low, at, F.lit(len(p))) == p, len(p)).otherwise(0) for p in (*phrases, "")])
-        start = at + long
-        part = upto(start, _place(lines, tuple(f"\n{p}" for p in NEXT_PARTS), start))
-        return F.when(F.length(part) > LEAST_LETTERS, part)
-
-    corner = _place(low, CORNERS)
-    body = upto(corner, _place(low, ENDS, corner))
-    paragraphs = F.transform(F.split(bare, "\n\n"), lambda p: F.trim(p))
-    land = F.filter(paragraphs, lambda p: (F.length(p) > LEAST_PARAGRAPH) & F.greatest(*[F.contains(F.lower(p), F.lit(w)) for w in LAND_WORDS]))
-    chosen = F.coalesce(*map(headed, STARTS), body, F.when(F.length(bare) < SHORT_TEXT, bare), F.get(land, 0), F.trim(F.substring(bare, 1, SHORT_TEXT)))
-    return F.when(F.length(bare) < NO_TEXT, text).otherwise(chosen)
+    tidy = F.trim(F.regexp_replace(F.regexp_replace(text, r"[ \t\r]+", " "), r" ?\n ?", "\n"), F.lit(" \n"))
+
+    def isolated(t: Column) -> Column:
+        bare, low, lines = t["bare"], t["low"], t["lines"]
+        upto = lambda start, end: F.trim(F.substring(bare, start, F.coalesce(end, F.length(bare) + 1) - start), F.lit(" :\n"))
+
+        def headed(phrases: tuple[str, ...]) -> Column:
+            length = lambda at: F.greatest(*[F.when(F.substring(low, at, F.lit(len(p))) == p, len(p)).otherwise(0) for p in (*phrases, "")])
+            start = let(_place(low, phrases), lambda at: at + length(at))
+            part = let(start, lambda s: upto(s, _place(lines, tuple(f"\n{p}" for p in NEXT_PARTS), s)))
+            return let(part, lambda x: F.when(F.length(x) > LEAST_LETTERS, x))
+
+        body = let(_place(low, CORNERS), lambda at: upto(at, _place(low, ENDS, at)))
+        paragraphs = F.transform(F.split(bare, "\n\n"), lambda p: F.trim(p))
+        land = F.filter(paragraphs, lambda p: (F.length(p) > LEAST_PARAGRAPH) & F.greatest(*[F.contains(F.lower(p), F.lit(w)) for w in LAND_WORDS]))
+        chosen = F.coalesce(*map(headed, STARTS), body, F.when(F.length(bare) < SHORT_TEXT, bare), F.get(land, 0), F.trim(F.substring(bare, 1, SHORT_TEXT)))
+        return F.when(F.length(bare) < NO_TEXT, text).otherwise(chosen)
+
+    # a phrase may be broken over lines
+    return let(tidy, lambda bare: let(F.struct(bare.alias("bare"), F.lower(F.translate(bare, "\n", " ")).alias("low"), F.lower(bare).alias("lines")), isolated))
 
 
 def file_stem(name: Column) -> Column:

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -133,6 +136,11 @@ def book_page(location: Column) -> tuple[Column, Column]:
     return part(1), part(2)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def plain_words(text: Column) -> Column:
     """The text's words in lower case, a blank before, between and behind them; what is no letter or digit parts words.  Null has none."""
     return F.concat(F.lit(" "), F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
@@ -140,12 +148,12 @@ def plain_words(text: Column) -> Column:
 
 def mentions(text: Column, *phrases: str) -> Column:
     """Whether one of the phrases stands in the text, word by word; one that ends in `-` is the beginning of a word."""
-    words = plain_words(text)
-    hits = [F.contains(words, F.lit(f" {p[:-1]}" if p.endswith("-") else f" {p} ")) for p in phrases]
-    out = hits[0]
-    for hit in hits[1:]:
-        out |= hit
-    return out
+
+    def any_of(words: Column) -> Column:
+        hits = [F.contains(words, F.lit(f" {p[:-1]}" if p.endswith("-") else f" {p} ")) for p in phrases]
+        return reduce(or_, hits)
+
+    return let(plain_words(text), any_of)
 
 
 #: Kinds of monuments, each with what it is called.
@@ -172,8 +180,8 @@ def has_beginning(text: Column) -> Column:
 
 def _led_by(text: Column, *leads: str) -> Column:
     """The words of a text that follow one of the leading words."""
-    words = F.split(F.trim(plain_words(text)), " ")
-    return F.array_compact(F.transform(words, lambda w, i: F.when((i > 0) & F.get(words, F.greatest(i - 1, F.lit(0))).isin(*leads), w)))
+    after = lambda words: F.transform(words, lambda w, i: F.when((i > 0) & F.get(words, F.greatest(i - 1, F.lit(0))).isin(*leads), w))
+    return F.array_compact(let(F.split(F.trim(plain_words(text)), " "), after))
 
 
 def description_type(text: Column, n_calls: Column) -> Column:
@@ -190,13 +198,16 @@ def description_type(text: Column, n_calls: Column) -> Column:
 
 def owner_cleaned(owner: Column) -> Column:
     """Owner without what joins it to a name that isn't there: `&`, AND and OR at its end, up to three of them, with the commas around."""
-    pieces = F.filter(F.split(F.replace(F.trim(owner), F.lit(","), F.lit(" , ")), r"\s+"), lambda w: w != "")
     is_joint, is_comma = (lambda w: F.upper(w).isin("&", "AND", "OR")), (lambda w: w == ",")
-    place = lambda keep: F.array_max(F.transform(pieces, lambda w, i: F.when(keep(w), i + 1).otherwise(0)))
-    real = F.coalesce(place(lambda w: ~is_joint(w) & ~is_comma(w)), F.lit(0))  # the last piece that is neither
-    third = F.size(pieces) - 3  # no more than three joining words go
-    joints = F.filter(F.slice(pieces, real + 1, F.greatest(F.size(pieces) - real, F.lit(0))), is_joint)
-    kept = F.when(F.size(joints) > 3, F.slice(pieces, F.lit(1), F.greatest(third, F.lit(0)))).otherwise(F.slice(pieces, F.lit(1), real))
+
+    def cut(pieces: Column) -> Column:
+        # the last piece that is neither, and how many joining words follow it
+        real = F.array_max(F.transform(pieces, lambda w, i: F.when(~is_joint(w) & ~is_comma(w), i + 1).otherwise(0)))
+        joints = F.size(F.filter(F.slice(pieces, real + 1, F.greatest(F.size(pieces) - real, F.lit(0))), is_joint))
+        return F.slice(pieces, F.lit(1), F.when(joints > 3, F.size(pieces) - 3).otherwise(real))
+
+    pieces = F.filter(F.split(F.replace(F.trim(owner), F.lit(","), F.lit(" , ")), r"\s+"), lambda w: w != "")
+    kept = let(pieces, lambda p: F.when(F.size(p) > 0, cut(p)).otherwise(p))
     return F.replace(F.array_join(kept, " "), F.lit(" , "), F.lit(", "))
 
 
@@ -206,11 +217,13 @@ OWNER_ENDINGS = ("JR", "SR", "II", "III", "IV", "EST", "ESTATE", "TRUST", "LLC",
 
 def owner_key(owner: Column) -> Column:
     """Owner for comparison: upper case, punctuation to blanks, one ending dropped, but not the whole name."""
-    words = F.filter(F.split(F.translate(F.upper(owner), ",.'\"-", "     "), r"\s+"), lambda w: w != "")
-    n = F.size(words)
-    last = lambda k: F.array_join(F.slice(words, F.greatest(n - k + 1, F.lit(1)), k), " ")
-    drop = F.when((n > 2) & last(2).isin(*[e for e in OWNER_ENDINGS if " " in e]), 2).when((n > 1) & last(1).isin(*OWNER_ENDINGS), 1).otherwise(0)
-    return F.array_join(F.slice(words, F.lit(1), F.greatest(n - drop, F.lit(0))), " ")
+    def bare(words: Column) -> Column:
+        n = F.size(words)
+        last = lambda k: F.array_join(F.slice(words, F.greatest(n - k + 1, F.lit(1)), k), " ")
+        drop = F.when((n > 2) & last(2).isin(*[e for e in OWNER_ENDINGS if " " in e]), 2).when((n > 1) & last(1).isin(*OWNER_ENDINGS), 1).otherwise(0)
+        return F.array_join(F.slice(words, F.lit(1), F.greatest(n - drop, F.lit(0))), " ")
+
+    return let(F.filter(F.split(F.translate(F.upper(owner), ",.'\"-", "     "), r"\s+"), lambda w: w != ""), bare)
 
 
 def person_key(name: Column) -> Column:
