@@ -9,12 +9,14 @@ The plan: the largest piece left is completed by a filling of the space beside i
 large pieces to small, and dominated ones are left out: a filling is dominated if its pieces can be packed into the
 pieces of another one, taken as bins, for then the other one can take its place in any plan.  The first descent starts from the
 best-fit-decreasing plan as incumbent; the search then goes back over the last choices, cut by a bound on total
-waste, until a plan meets the lower bound or its nodes are spent.  The budgets of nodes bound the planner's time alone: every
-piece gets a place, and how far a plan is from its lower bound is in the README.
+waste, until a plan meets the lower bound or its nodes are spent.  This takes a filling as often as it goes; where that is not good
+enough, a linear programme over the same fillings says how often to take each.  The budgets of nodes and pivots bound the
+planner's time alone: every piece gets a place, and how far a plan is from its lower bound is in the README.
 """
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import pairwise
@@ -35,6 +37,8 @@ END_ID = 2
 FILLING_NODES = 300
 BRANCHES = 4
 SEARCH_NODES = 200_000
+#: Pivots of the linear programme, tried where bin completion is over its bound by more than one sequence in SLACK_SHARE.
+PIVOTS, SLACK_SHARE = 1500, 200
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, part int, rank bigint"
 
@@ -202,8 +206,100 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...
     return plan
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = SEARCH_NODES) -> list[tuple[tuple[int, ...], int]]:
-    """Fillings with the number of sequences of each, for the counts of pieces by length."""
+def filled_best(worth: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
+    """(worth, copies of each length) of the filling that is worth most, by dynamic programming over the space."""
+    best, choice = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+    upto = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
+    for space in range(1, capacity + 1):
+        best[space] = best[space - 1]
+        n = upto[space]
+        if n:
+            own = best[space - lengths[:n]] + worth[:n]
+            k = int(own.argmax())
+            if own[k] > best[space] + 1e-12:
+                best[space], choice[space] = own[k], k
+    copies, space = np.zeros(len(lengths)), capacity
+    while space > 0:
+        if choice[space] < 0:
+            space -= 1
+        else:
+            copies[choice[space]] += 1
+            space -= int(lengths[choice[space]])
+    return float(best[capacity]), copies
+
+
+def relaxed(counts: dict[int, int], capacity: int, pivots: int) -> tuple[list[tuple[tuple[int, ...], float]], int, int]:
+    """(fillings with how often each is used in fractions, lower bound on sequences, pivots used) of the plan's linear programme.
+
+    The simplex method over fillings that are made as they are needed: the lengths' prices under the present plan give the filling
+    worth most, which comes in.  Prices divided by that worth bound every plan from below, so the bound holds wherever the pivots end.
+    """
+    lengths = np.array(sorted(k for k, v in counts.items() if v))
+    need = np.array([counts[k] for k in lengths], float)
+    own = np.minimum(capacity // lengths, need)
+    columns, inverse, used = np.diag(own).astype(float), np.diag(1 / own), need / own
+    bound = 0.0
+    for done in range(pivots):
+        prices = inverse.sum(axis=0)
+        worth, copies = filled_best(np.maximum(prices, 0), lengths, capacity)
+        bound = max(bound, float(np.maximum(prices, 0) @ need) / max(worth, 1.0))
+        if worth <= 1 + 1e-9:
+            break
+        along = inverse @ copies
+        with np.errstate(divide="ignore", invalid="ignore"):
+            ratio = np.where(along > 1e-9, used / along, np.inf)
+        r = int(ratio.argmin())
+        if not np.isfinite(ratio[r]):
+            break
+        columns[:, r] = copies
+        used = used - ratio[r] * along
+        used[r] = ratio[r]
+        inverse[r] /= along[r]
+        others = np.arange(len(lengths)) != r
+        inverse[others] -= np.outer(along[others], inverse[r])
+    plan_ = [(tuple(int(x) for k in np.flatnonzero(columns[::-1, j]) for x in [lengths[::-1][k]] * int(columns[::-1, j][k])), float(used[j])) for j in range(len(lengths)) if used[j] > 1e-9]
+    return plan_, math.ceil(bound - 1e-6), done + 1
+
+
+def plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = SEARCH_NODES, pivots: int = PIVOTS) -> list[tuple[tuple[int, ...], int]]:
+    """Fillings with the number of sequences of each, for the counts of pieces by length.
+
+    Bin completion takes a filling as often as it goes.  Where its plan is over the lower bound by more than one in SLACK_SHARE, plans are
+    tried in which fillings are used fewer times: as often, in whole numbers, as the linear programme over all fillings uses them; what
+    is left is planned again in the same way, and by bin completion once nothing more comes of that.  The better plan counts.
+    """
+    found = completed(counts, capacity, nodes)
+    total, bound = sum(n for _, n in found), lower_bound(counts, capacity)
+    if total - bound <= total // SLACK_SHARE:
+        return found
+    left, used = dict(counts), []
+    while pivots > 0 and any(left.values()):
+        fractions, least, spent = relaxed(left, capacity, pivots)
+        pivots -= spent
+        if len(used) == 0 and total <= max(bound, least):
+            return found
+        state = Counts(left)
+        before = len(used)
+        # whole numbers first; then the largest parts are rounded up, as far as there are pieces, by a tenth of the fillings at once
+        for up, group in ((False, fractions), (True, sorted(fractions, key=lambda f: -(f[1] % 1))[: 1 + len(fractions) // 10])):
+            for filling, share in group:
+                there = all(state.left.get(x, 0) >= filling.count(x) for x in set(filling))
+                times = min(state.times(filling), 1 if up else int(share + 1e-9)) if there else 0
+                if times:
+                    state.take(filling, times)
+                    used.append((filling, times))
+        left = dict(state.left)
+        if len(used) == before:
+            break
+    used += completed(left, capacity, nodes)
+    merged: dict[tuple[int, ...], int] = {}
+    for filling, times in used:
+        merged[filling] = merged.get(filling, 0) + times
+    return list(merged.items()) if sum(merged.values()) < total else found
+
+
+def completed(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = SEARCH_NODES) -> list[tuple[tuple[int, ...], int]]:
+    """A plan by bin completion and branch and bound, each filling taken as often as it goes."""
     total = sum(k * v for k, v in counts.items())
     bound = lower_bound(counts, capacity)
     incumbent = best_fit(counts, capacity)

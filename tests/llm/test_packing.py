@@ -69,6 +69,21 @@ def test_large_plans_meet_the_bound():
     assert P.plan({}) == []
 
 
+def test_fillings_are_used_as_often_as_it_takes():
+    counts = {340: 2250, 341: 2250, 342: 2250, 343: 2250}
+    # 1350 x 340+341+343, 900 x 340+342+342, 450 x 341+341+342 and 450 x 343+343; bin completion alone uses up 340 and 341 together
+    assert check_plan(counts, P.completed(counts), 1024) == 3375 and check_plan(counts, P.plan(counts), 1024) <= 3160
+    assert check_plan(counts, P.plan(counts, pivots=0), 1024) == 3375 and check_plan(counts, P.plan(counts, pivots=2), 1024) <= 3375
+    fractions, bound, _ = P.relaxed(counts, 1024, 1000)
+    assert 3140 <= bound <= 3150 and all(sum(f) <= 1024 for f, _ in fractions)
+    rng, triples = random.Random(5), []
+    while len(triples) < 6000:
+        a, b = rng.randint(256, 512), rng.randint(256, 512)
+        triples += [a, b, 1024 - a - b] if 256 <= 1024 - a - b <= 512 else []
+    counts = dict(Counter(triples))
+    assert check_plan(counts, P.plan(counts), 1024) < 2041
+
+
 def check_packing(rows, docs):
     coder = Tokenizer.from_file(T.tokenizer_path())  # unaltered, no part of the library
     by_doc = {}
