@@ -5,6 +5,8 @@ lack, and of each base phrase's rarest word.  Rarity is the inverse document fre
 the templates' words only, so the table of frequencies is as small as the templates.  A posting's relative position (place
 in the document less place in the template) is a candidate place.  An occurrence counts if enough of the template's words
 stand at their places and the template's mandatory key phrases stand nearby; no other word or notice of the document matters.
+A long template that isn't found so may have been altered: relative positions that drift by a few words are taken together, and the
+words that stand in the template's order in the stretch are weighed, whatever was put in or left out between them.
 """
 
 from __future__ import annotations
@@ -125,6 +127,15 @@ def _creative_commons(label: str, title: str, short: str) -> tuple[Template, ...
     return Template(label, sentence, (f"creative commons {title.lower().replace('-', ' ')} 4 0",)), Template(label, f"{short} 4.0", (f"{short.lower().replace('-', ' ')} 4 0",))
 
 
+def _identifiers() -> tuple[Template, ...]:
+    """The tag that source files carry in place of a notice, and some licences' short names."""
+    ids = "MIT Apache-2.0 GPL-2.0 GPL-3.0 LGPL-2.1 LGPL-3.0 AGPL-3.0 BSD-2-Clause BSD-3-Clause ISC MPL-2.0 Unlicense Zlib BSL-1.0 EPL-2.0 CC0-1.0 CC-BY-4.0 CC-BY-SA-4.0".split()
+    phrase = lambda text: text.lower().replace("-", " ").replace(".", " ").replace(":", "")
+    tags = [Template(i.lower(), f"SPDX-License-Identifier: {i}", (phrase(f"SPDX-License-Identifier: {i}"),)) for i in ids]
+    names = [("gpl-2.0", "GPLv2"), ("gpl-3.0", "GPLv3"), ("lgpl-2.1", "LGPLv2.1"), ("lgpl-3.0", "LGPLv3"), ("agpl-3.0", "AGPLv3"), ("apache-2.0", "Apache-2.0"), ("mpl-2.0", "MPL-2.0")]
+    return *tags, *(Template(label, name, (phrase(name),)) for label, name in names)
+
+
 _GPL, _LGPL, _AGPL = "General Public License", "Lesser General Public License", "Affero General Public License"
 TEMPLATES = (
     Template("mit", _MIT, ("permission is hereby granted free of charge to any person obtaining a copy of this software", "without restriction")),
@@ -157,6 +168,7 @@ TEMPLATES = (
     *_creative_commons("cc-by-nc-sa-4.0", "Attribution-NonCommercial-ShareAlike", "CC BY-NC-SA"),
     *_creative_commons("cc-by-nc-nd-4.0", "Attribution-NonCommercial-NoDerivatives", "CC BY-NC-ND"),
     Template("all-rights-reserved", "All rights reserved", ("all rights reserved",)),
+    *_identifiers(),
 )
 
 #: Share of a template's words (weighted by rarity) that must stand in place, words of play.
@@ -164,6 +176,8 @@ COVERAGE = 0.6
 SLACK = 2
 #: Weight that looked-up words have beyond what an occurrence may lack: a start must get so much of them.
 VOTES = 0.15
+#: A template of so many words or more may also stand in pieces: words put in or left out move what follows, by so many places in all.
+LONG, DRIFT = 15, 48
 
 
 def template_words(templates=TEMPLATES) -> list[bytes]:
@@ -213,6 +227,7 @@ class Scanner:
         self.coverage, self.slack = coverage, slack
         self.templates = [(t.label, alnum_words(t.text), [alnum_words(k) for k in t.keys]) for t in templates]
         self.whole = [sum(self.idf[w] for w in words) for _, words, _ in self.templates]
+        self.rare = [self._rare(words) if len(words) >= LONG else set() for _, words, _ in self.templates]
         self.needed = [frozenset(w for key in keys for w in key) for _, _, keys in self.templates]
         self.base = [(alnum_words(p), label) for p, label in BASE.items()]
         #: word -> (template, position) of the templates' looked-up words; (-1 - phrase, position) of the base phrases' rarest
@@ -284,6 +299,71 @@ class Scanner:
                 found.append((label, max(0, start), min(1.0, stand / self.whole[t])))
         return found
 
+    def altered(self, words: list[bytes], known: set[str], candidates: set[tuple[int, int]] = frozenset()):
+        """Long templates that stand in pieces: (label, first place, coverage weighted by rarity).
+
+        known: labels already found.  Of matches that share over half of the shorter stretch the one with most weight counts, so a
+        licence that holds another one's text isn't taken for both; long templates found at one of the candidates come first.
+        """
+        present = self.vocab.intersection(words)
+        open_ = [t for t, (label, own, _) in enumerate(self.templates) if len(own) >= LONG and label not in known and self.needed[t] <= present]
+        if not open_:
+            return []
+        wanted = set().union(*(self.rare[t] for t in open_)) & present
+        at: dict[bytes, list[int]] = {}
+        for j, w in enumerate(words):
+            if w in wanted:
+                at.setdefault(w, []).append(j)
+        found = []
+        for t in open_:
+            label, own, keys = self.templates[t]
+            offsets = sorted((j - i, i) for i, w in enumerate(own) if w in self.rare[t] for j in at.get(w, ()))
+            for low, high in self._together(t, offsets):
+                low, high = max(0, low - self.slack), min(len(words), high + len(own) + self.slack)
+                if not all(_places(words, key, low, high) for key in keys):
+                    continue
+                stand = self._in_order(own, words[low:high])
+                if stand >= self.coverage * self.whole[t]:
+                    found.append((stand, low, high, label, min(1.0, stand / self.whole[t])))
+        whole = {(t, start) for t, start in candidates if found and len(self.templates[t][1]) >= LONG and self.occurrences(words, {(t, start)})}
+        kept = [(start, start + len(self.templates[t][1]), self.templates[t][0]) for t, start in whole]
+        out = []
+        for _, low, high, label, share in sorted(found, key=lambda f: (-f[0], f[1:4])):
+            inside = lambda a, b: 2 * (min(high, b) - max(low, a)) > min(high - low, b - a)
+            if not any(other != label and inside(a, b) for a, b, other in kept):
+                kept.append((low, high, label))
+                out.append((label, low, share))
+        return out
+
+    def _together(self, t: int, offsets: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        """Ranges of relative positions within DRIFT whose words weigh as much as any occurrence's; ranges that overlap are one."""
+        own, count, weight, first, ranges = self.templates[t][1], {}, 0.0, 0, []
+        for o, i in offsets:
+            count[i] = count.get(i, 0) + 1
+            weight += self.idf[own[i]] if count[i] == 1 else 0.0
+            while offsets[first][0] < o - DRIFT:
+                k = offsets[first][1]
+                count[k] -= 1
+                weight -= self.idf[own[k]] if not count[k] else 0.0
+                first += 1
+            if weight >= self.votes[t]:
+                low = offsets[first][0]
+                if ranges and low <= ranges[-1][1]:
+                    ranges[-1] = (ranges[-1][0], o)
+                else:
+                    ranges.append((low, o))
+        return ranges
+
+    def _in_order(self, own: list[bytes], words: list[bytes]) -> float:
+        """Most weight of template words that stand in the words in the template's order."""
+        number = {w: k for k, w in enumerate(dict.fromkeys(own))}
+        text = np.array([number.get(w, -1) for w in words])
+        best = np.zeros(len(words) + 1)
+        for w in own:
+            with_it = np.maximum(best[1:], np.where(text == number[w], best[:-1] + self.idf[w], 0.0))
+            best = np.r_[0.0, np.maximum.accumulate(with_it)]
+        return float(best[-1])
+
     def scan(self, text: str | None) -> tuple[int, int, int | None, int | None, str, str, float]:
         """n_words, n_base, first_word, last_word, base_labels, labels, score."""
         words = alnum_words(text)
@@ -294,6 +374,7 @@ class Scanner:
         places = [at for held in own for at in held]
         base = {label for (_, label), held in zip(self.base, own) if held}
         more = self.occurrences(words, candidates)
+        more += self.altered(words, {label for label, _, _ in more}, candidates)
         labels = base | {label for label, _, _ in more}
         # a base phrase without a template around it is weaker evidence than a whole notice
         score = max([c for _, _, c in more], default=0.5 if base else 0.0)
@@ -308,7 +389,7 @@ def scanned(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     """A row each row of docs (doc_id, text): doc_id and the columns of COLUMNS.
 
     Null, empty and wordless texts have no places, empty label lists and score 0.  Repeated rows are scanned each for itself,
-    equal labels of several places count once, and other columns, whatever their names, are ignored.  The score is the best verified
+    equal labels of several places count once, texts of any length are scanned as wholes, and other columns, whatever their names, are ignored.  The score is the best verified
     template's share of words in place, weighted by rarity; 0.5 if only a base phrase was found; else 0.
     """
     spark = docs.sparkSession
