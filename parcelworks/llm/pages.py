@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, tidy
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:/?>|(?=<)|\Z)|<[!?/][^>]*(?:>|\Z)|[^<]+|<", re.S)
+_TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:/?>|(?=<)|\Z)|<[!?/][^>]*(?:>|\Z)|[^<]+|<", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|data-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPACE = re.compile(r"\s+")
 
@@ -47,7 +47,7 @@ CLOSES = {
 
 #: Words in class, id and role, by what they tell; an element has all hints that match.
 HINTS = (
-    ("comment", re.compile(r"comment|discuss|disqus|repl(?:y|ies)|respond", re.I)),
+    ("comment", re.compile(r"comment|discuss|disqus|repl(?:y|ies)|respon[ds]|feedback|talkback", re.I)),
     ("advert", re.compile(r"\bads?\b|\bad[-_]|[-_]ad\b|advert|sponsor|promo|banner|teaser", re.I)),
     ("notice", re.compile(r"cookie|consent|notice|gdpr|alert|popup|modal|newsletter|subscribe|signup|paywall|toast", re.I)),
     ("menu", re.compile(r"nav|menu|breadcrumb|pagination|pager|toolbar|tabs?\b|toc\b", re.I)),
@@ -77,6 +77,8 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     """Block nodes in page order (a parent stands before its children) and text pieces (node, text), blanks made single."""
     nodes = [Node("root", -1, (), None, 0)]
     stack, pieces, held = [0], [], []
+    #: how many open elements there are of each tag, so that one that isn't open is not looked for
+    opened: Counter = Counter()
     raw: str | None = None
     depth = link = 0
     head = False
@@ -86,14 +88,23 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         if held:
             text = _SPACE.sub(" ", "".join(t for t, _ in held)).strip()
             if text:
-                node = nodes[stack[-1]]
+                if len(stack) == 1:  # text beside all elements is a block of its own
+                    nodes.append(Node("p", 0, (), None, 1))
+                    nodes[0].children.append(len(nodes) - 1)
+                own = stack[-1] or len(nodes) - 1
+                node = nodes[own]
                 node.chars += len(text)
                 node.links += sum(len(t.strip()) for t, in_link in held if in_link)
                 if len(text) <= 300:
                     node.cues += tuple(k for k, r in CUES if k not in node.cues and r.search(text))
-                pieces.append((stack[-1], text))
+                pieces.append((own, text))
             held.clear()
 
+    def close(place: int) -> None:
+        """Closes the open elements from a place of the stack on."""
+        opened.subtract(nodes[i].tag for i in stack[place:])
+        del stack[place:]
+
     at = 0
     while at < len(page):
         match = _TOKEN.match(page, at)
@@ -117,7 +128,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                     raw = None
             continue
         if name == "head":
-            head = not closing and len(nodes) == 1 + any(n.tag == "html" for n in nodes)
+            head = not closing and (len(nodes) == 1 or (len(nodes) == 2 and nodes[1].tag == "html"))
             continue
         if head and not closing and name not in HEAD:
             head = False
@@ -138,28 +149,28 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             if name in ("br", "button", "input", "img"):
                 held.append((" ", False))
             continue
-        if name in ("html", "body") and (closing or any(nodes[i].tag == name for i in stack)):
+        if name in ("html", "body") and (closing or opened[name]):
             continue
         if closing:
-            place = next((k for k in range(len(stack) - 1, 0, -1) if nodes[stack[k]].tag == name), 0)
+            place = next((k for k in range(len(stack) - 1, 0, -1) if nodes[stack[k]].tag == name), 0) if opened[name] else 0
             if place or name == "p":  # other stray closing tags mean nothing
                 flush()
                 link = 0
             if place:
-                del stack[place:]
+                close(place)
             continue
         flush()
         link = 0
         if nodes[stack[-1]].tag == "p":  # a block can't stand in a paragraph
-            stack.pop()
+            close(len(stack) - 1)
         if name in CLOSES:
             own, limits = CLOSES[name]
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if any(opened[x] for x in own) else ():
                 tag = nodes[stack[k]].tag
                 if tag in limits:
                     break
                 if tag in own:
-                    del stack[k:]
+                    close(k)
                     break
         hints, label = (), None
         if match[3]:
@@ -177,6 +188,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         nodes[stack[-1]].children.append(len(nodes) - 1)
         if name not in VOID:
             stack.append(len(nodes) - 1)
+            opened[name] += 1
     flush()
     return nodes, pieces
 
@@ -292,7 +304,7 @@ class Model:
             return "", 0, 1.0
         nodes, pieces = parse(page)
         p = self.marginals(nodes)
-        kept = [t for i, t in pieces if p[i] > 0.5]
+        kept = [t for i, t in pieces if p[i] > 0.5]  # a tie is no content
         return "\n".join(kept), len(kept), float(min((abs(2 * p[i] - 1) for i, _ in pieces), default=1.0))
 
 
@@ -349,11 +361,13 @@ def labelled_page(rng: random.Random) -> str:
         out = []
         if chance(0.9):
             title = f"<h1>{words(2, 12)}</h1>"
-            byline = f'<{(t := named("p", "div"))} class="{named("meta", "byline")}" data-label="other">{words(1, 5)} {link()}</{t}>' if chance(0.2) else ""
-            out.append(f"<header>{title}{byline}</header>" if chance(0.2) else title + byline)
+            byline = f'<{(t := named("p", "div"))} class="{named("meta", "byline", "entry-meta", "post-meta")}" data-label="other">{words(1, 5)} {link()}</{t}>' if chance(0.2) else ""
+            out.append(f"<header{named('', ' class=entry-header')}>{title}{byline}</header>" if chance(0.25) else title + byline)
         for _ in range(rng.randint(1, 9)):
             x = rng.random()
-            if x < 0.70:
+            if x < 0.02:
+                out.append(f"<p>{link(3, 20)}</p>")
+            elif x < 0.70:
                 out.append(f"<p>{words(1, 90)}{' ' + link() + ' ' + words(3, 20) if chance(0.15) else ''}</p>")
             elif x < 0.76:
                 out.append(f"<p><b>{words(2, 15)}<br>")
@@ -384,6 +398,8 @@ def labelled_page(rng: random.Random) -> str:
         "form": lambda: f'<form class="{named("search", "login", "")}"><p>{words(1, 6)}</p><label>{words(1, 2)}</label><button>{words(1, 1)}</button></form>',
     }
     comments = f'<{(box := named("div", "section"))} {named("id", "class")}="{named("comments", "comment-list", "responses", "discussion")}"><h3>{words(1, 3)}</h3>' + "".join(f'<div class="{named("comment", "reply")}"><p>{words(3, 60)}</p></div>' for _ in range(rng.randint(1, 6))) + f"</{box}>"
+    if chance(0.15):
+        comments = f'<ol class="{named("responses", "comment-list", "commentlist")}">' + "".join(f"<li>{named('<p>{}</p>', '{}').format(words(3, 60))}</li>" for _ in range(rng.randint(1, 6))) + "</ol>"
     before = "".join(around[k]() for k in rng.sample(["header", "nav", "ad", "notice", "form", "side"], rng.randint(0, 4)))
     after = "".join(around[k]() for k in rng.sample(["side", "ad", "nav", "notice", "form"], rng.randint(0, 3)))
     within = chance(0.1)
@@ -404,9 +420,11 @@ def labelled_page(rng: random.Random) -> str:
         inner = "".join(blocks) + (comments.replace(">", ' data-label="other">', 1) if within else "")
         page = f'<{main}{attribute} data-label="content">{inner}</{main}>'
         if chance(0.3):
-            around_it = named("content-with-sidebar", "has-sidebar", "wrapper", "layout two-columns", "site-content with-ads", "main-wrap", "container", "page", "nav-open page", "body")
+            around_it = named("content-with-sidebar", "has-sidebar", "wrapper", "layout two-columns", "site-content with-ads", "main-wrap", "container", "page", "nav-open page", "body", "site", "site-main", "site-content")
             page = f'<div class="{around_it}">{named("", around["side"]())}{page}{named("", around["side"](), around["ad"]())}</div>'
         page = before + page + after + footer
+    if chance(0.03):
+        return f'<div data-label="content">{" ".join(words(5, 60) for _ in range(rng.randint(1, 4)))}</div>'
     if chance(0.05):
         page = f'<form id="{named("form1", "aspnetForm", "page")}">{page}</form>'
     return f"<html><body>{page}</body></html>"
@@ -426,7 +444,9 @@ def extracted(pages: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     """A row each row of pages (page_id, url, html): page_id, url, text, n_chars, n_blocks, certainty.
 
     text joins the blocks by one newline; character references are decoded, white space in a block is one blank,
-    `<br>` counts as white space.  Null and empty pages and pages without content give the empty text.  labelled:
+    `<br>` counts as white space.  Null and empty pages and pages without content give the empty text; a page without tags is one block.  A block at a
+    probability of just one half is left out; repeated rows are extracted each for itself; pages are read as wholes, in time that grows with
+    their length, however deep they nest.  labelled:
     pages to train on, with data-label="content" or "other" on elements; by default labelled_pages().
     """
     spark = pages.sparkSession

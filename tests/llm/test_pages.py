@@ -73,6 +73,28 @@ def test_layouts(model, name):
     assert model.text(LAYOUTS[name])[0].split("\n") == [TITLE, FIRST, SECOND]
 
 
+def test_pages_that_lack_or_nest_markup(model):
+    plain = f"{FIRST} {SECOND} " * 3
+    assert model.text(plain)[0] == plain.strip()
+    comments = "<ol class='responses'><li><p>Nice article, I did like it very much</p><li><p>So did I, and my friends as well</p></ol>"
+    assert model.text(f"<body>{MENU}<main>{ARTICLE}</main>{comments}</body>")[0].split("\n") == [TITLE, FIRST, SECOND]
+    for comment in ("<!-->", "<!--->", "<!-- x --!>"):
+        assert blocks(f"<p>a</p>{comment}<p>b</p><!-- c --><p>d</p>") == ["a", "b", "d"]
+    linked = f"<body>{MENU}<main><h1>{TITLE}</h1><p>{FIRST}</p><p><a href=/x>{SECOND}</a></p></main></body>"
+    assert model.text(linked)[0].split("\n") == [TITLE, FIRST, SECOND]
+    wordpress = f"<body class='site'><div id=page class=site><header class=site-header><p class=site-title><a>Blog</a></p></header><main class=site-main><article class='post type-post'><header class=entry-header><h1>{TITLE}</h1><div class=entry-meta>May 5 <a>me</a></div></header><div class=entry-content><p>{FIRST}</p><p>{SECOND}</p></div></article></main><footer class=site-footer>&copy; 2020</footer></div></body>"
+    assert model.text(wordpress)[0].split("\n") == [TITLE, FIRST, SECOND]
+
+
+def test_deep_nesting_takes_linear_time(model):
+    import time
+
+    began = time.time()
+    for n in (50_000,):
+        model.text("<div>" * n + "x</p>" * n + "<li>y" + "</div>" * n)
+    assert time.time() - began < 30
+
+
 def test_held_out_labelled_pages(model):
     rng = random.Random(99)
     right = wrong = 0
