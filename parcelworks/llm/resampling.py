@@ -57,7 +57,7 @@ def gains(docs: DataFrame, target: DataFrame, longest: int = LONGEST, buckets: i
 
     # one row a bucket, whatever the corpus's size
     both = spark.range(buckets).toDF("bucket").join(counts(docs, "s"), "bucket", "left").join(counts(target, "t"), "bucket", "left").na.fill(0)
-    both = stored(both.coalesce(1), "buckets")
+    both = stored(both, "buckets")
     whole = both.agg(F.sum("s"), F.sum("t")).first()
     s, t = float(whole[0] or 0), float(whole[1] or 0)
     of = lambda name: F.col(name).cast("double") + 1
