@@ -78,3 +78,44 @@ def keep_of_pair(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     met = pairs.join(d.select(F.col("id").alias("a"), F.col("degree").alias("__x")), "a", "left").join(d.select(F.col("id").alias("b"), F.col("degree").alias("__y")), "b", "left")
     x, y = F.coalesce("__x", F.lit(0)), F.coalesce("__y", F.lit(0))
     return met.withColumn("keep", F.when(x >= y, F.col("a")).otherwise(F.col("b"))).drop("__x", "__y")
+
+
+def components(pairs: DataFrame) -> DataFrame:
+    """(id, root) of every node in pairs (a, b): the smallest node that it is linked with, over any number of pairs.
+
+    A round hands every node the least root around it, then the root of its root, so the rounds grow with the logarithm of the
+    longest chain; each is a stored table and two joins on a node.  Pairs with a null, and of a node with itself, say nothing.
+    """
+    links = pairs.filter("a IS NOT NULL AND b IS NOT NULL AND a <> b")
+    ways = stored(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    now = stored(ways.select(F.col("a").alias("id")).distinct().withColumn("root", F.col("id")), "roots")
+    while True:
+        around = ways.join(now.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("__least"))
+        least = stored(now.join(around, "id").select("id", "root", F.least("root", "__least").alias("__new")), "least-roots")
+        over = least.select(F.col("id").alias("__new"), F.col("__new").alias("__over"))
+        new = stored(least.join(over, "__new").select("id", F.col("__over").alias("root"), (F.col("__over") != F.col("root")).alias("__moved")), "roots")
+        moved = not new.filter("__moved").isEmpty()
+        now = new.select("id", "root")
+        if not moved:
+            return now
+
+
+def contracted(nodes: DataFrame, edges: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id, name and others, aliases) and edges (src, dst, relationship, seq and others) after all duplicates (a, b) are merged.
+
+    Of nodes that pairs link, however far apart, the one with most edges stays, the smallest id on a tie; it gets the other names as
+    aliases.  Edges are led to it; those of a node with itself go, and of edges alike in ends and relationship the last one stays.
+    """
+    groups = components(pairs).join(degrees(edges), "id", "left").na.fill(0, ["degree"])
+    keep = groups.groupBy("root").agg(F.min_by("id", F.struct(-F.col("degree"), "id")).alias("__keep"))
+    to = stored(groups.join(keep, "root").select("id", "__keep"), "merged")
+    names = to.join(nodes.select("id", "name"), "id").filter("id <> __keep").groupBy(F.col("__keep").alias("id")).agg(F.array_sort(F.collect_set("name")).alias("aliases"))  # of one group of duplicates
+    none = F.array().cast("array<string>")
+    left = nodes.join(to.filter("id <> __keep").select("id"), "id", "left_anti").join(names, "id", "left").withColumn("aliases", F.coalesce("aliases", none))
+    led = edges
+    for end in ("src", "dst"):
+        led = led.join(to.select(F.col("id").alias(end), F.col("__keep").alias(f"__{end}")), end, "left").withColumn(end, F.coalesce(f"__{end}", end)).drop(f"__{end}")
+    rest = [c for c in edges.columns if c not in ("src", "dst", "relationship", "seq")]
+    keyed = led.filter("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "relationship", "seq", F.struct("seq", *rest).alias("__v"))
+    merged = keyed.groupBy("src", "dst", "relationship").agg(F.max_by("__v", "seq").alias("__v")).select("src", "dst", "relationship", "__v.*")
+    return left, merged.select(*edges.columns)

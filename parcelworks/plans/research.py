@@ -543,3 +543,32 @@ def similar_descriptions(spark, sf_dir):
     text = F.concat(F.lit("zzz in "), F.when(size % 5 == 0, "T5N R6E").otherwise("T8N R9E"), F.lit(" plat "), F.when(size == 7, "CAB C-7").otherwise("CAB C-8"))
     rows = table(spark, sf_dir, "part").select("p_partkey", F.col("p_partkey").alias("pos"), text.alias("description"))
     return similar(rows, "xxx at T5N R6E of CAB C-7", limit=25).select("p_partkey", "score")
+
+
+_MERGED = """WITH RECURSIVE p AS (SELECT s_suppkey AS a, s_suppkey + 1 AS b FROM supplier WHERE s_suppkey % 4 <> 3 AND s_suppkey + 1 < (SELECT count(*) FROM supplier)),
+w AS (SELECT a, b FROM p UNION SELECT b, a FROM p), r AS (SELECT a AS id, a AS o FROM w UNION SELECT r.id, w.b FROM r JOIN w ON w.a = r.o),
+c AS (SELECT id, min(o) AS root FROM r GROUP BY id),
+e AS (SELECT DISTINCT l_suppkey AS s, 1000000 + l_partkey % 50 AS d FROM lineitem WHERE l_quantity > 40),
+g AS (SELECT id, count(*) AS n FROM (SELECT s AS id FROM e UNION ALL SELECT d FROM e) GROUP BY id),
+k AS (SELECT root, arg_min(id, (-coalesce(n, 0), id)) AS keep FROM c LEFT JOIN g USING (id) GROUP BY root), t AS (SELECT id, keep FROM c JOIN k USING (root))"""
+
+
+def _supplier_graph(spark, sf_dir):
+    from parcelworks.operators.graph import contracted
+
+    k, supplier = F.col("s_suppkey"), table(spark, sf_dir, "supplier")
+    n = supplier.count()
+    pairs = supplier.filter((k % 4 != 3) & (k + 1 < n)).select(k.alias("a"), (k + 1).alias("b"))
+    edges = table(spark, sf_dir, "lineitem").filter("l_quantity > 40").select(F.col("l_suppkey").alias("src"), (1_000_000 + F.col("l_partkey") % 50).alias("dst")).distinct()
+    edges = edges.withColumns({"relationship": F.lit("sells"), "seq": F.col("src")})
+    return contracted(supplier.select(k.alias("id"), F.col("s_name").alias("name")), edges, pairs)
+
+
+@query("merged_nodes", _MERGED + " SELECT s_suppkey AS id, s_name AS name, CAST((SELECT count(*) FROM t WHERE keep = s_suppkey AND t.id <> keep) AS INTEGER) AS aliases FROM supplier WHERE s_suppkey NOT IN (SELECT id FROM t WHERE id <> keep)")
+def merged_nodes(spark, sf_dir):
+    return _supplier_graph(spark, sf_dir)[0].select("id", "name", F.size("aliases").alias("aliases"))
+
+
+@query("merged_edges", _MERGED + " SELECT coalesce(keep, s) AS src, d AS dst, max(s) AS seq FROM e LEFT JOIN t ON t.id = e.s GROUP BY 1, 2")
+def merged_edges(spark, sf_dir):
+    return _supplier_graph(spark, sf_dir)[1].select("src", "dst", "seq")
