@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import StringIndexer, VectorAssembler
@@ -10,6 +10,9 @@ from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parcelworks.operators.ranking import cumulated
+from parcelworks.storage import stored
+
 #: Fewest rows that a model is trained on.
 LEAST_ROWS = 10
 
@@ -19,19 +22,36 @@ FEATURES = ("type_code", "is_subdivision", "prior_jobs", "known_adjoiners", "typ
 def features(history: DataFrame) -> DataFrame:
     """Adds numeric features to history (job_type, client_name, job_number, adjoiner_count, deed_count, plat_count).
 
-    type_average and prior_jobs come from all rows; shares are capped at 1; missing values count as 0.
+    No feature knows what is to be predicted: type_average is that of the type's other jobs with adjoiners, prior_jobs counts the
+    client's jobs before this one by job number (of equal numbers each other one counts in one direction).  A client or type of any size spreads
+    over all tasks.  type_code tells types apart by a hash of 30 bits; shares are capped at 1; missing values count as 0.
     """
-    average = history.groupBy("job_type").agg(F.avg(F.when(F.col("adjoiner_count") > 0, F.col("adjoiner_count"))).alias("type_average"))
-    prior = history.groupBy("client_name").agg((F.count("*") - 1).alias("prior_jobs"))
+    counted = F.when(F.col("adjoiner_count") > 0, F.col("adjoiner_count"))
+    types = history.groupBy("job_type").agg(F.sum(counted).alias("__sum"), F.count(counted).alias("__some"))
+    rows = history.withColumn("__one", F.lit(1).cast("bigint")).withColumn("__row", F.monotonically_increasing_id())
+    placed = stored(cumulated(rows, "__one", "client_name", "job_number", "__row"), "jobs").drop("__one", "__row")
+    clients = placed.groupBy("client_name").agg(F.min("upto").alias("__first")).select(F.col("client_name").alias("__client"), "__first")
     share = lambda c: F.least(F.lit(1.0), F.coalesce(F.col(c) / F.greatest(F.col("adjoiner_count"), F.lit(1)), F.lit(0.0)))
-    out = history.join(average, "job_type", "left").join(prior, "client_name", "left")  # one row a job type
+    out = placed.join(types, "job_type", "left").join(clients, F.col("client_name").eqNullSafe(F.col("__client")), "left")  # types has one row a job type
+    others = F.coalesce(F.col("__some"), F.lit(0)) - F.when(counted.isNotNull(), 1).otherwise(0)
     return out.withColumns({
-        "type_code": F.pmod(F.xxhash64("job_type"), F.lit(16)).cast("double"),
+        "type_average": (F.col("__sum") - F.coalesce(counted, F.lit(0))) / F.nullif(others, F.lit(0)),
+        "prior_jobs": (F.col("upto") - F.col("__first")).cast("double"),
+        "type_code": F.pmod(F.xxhash64("job_type"), F.lit(1 << 30)) / float(1 << 30),
         "is_subdivision": F.lower("client_name").rlike("subdiv|estate|development|homes").cast("double"),
         "known_adjoiners": F.coalesce(F.col("adjoiner_count"), F.lit(0)).cast("double"),
         "range_num": F.floor(F.col("job_number") / 100) * 100.0,
         "deed_ratio": share("deed_count"), "plat_ratio": share("plat_count"),
-    }).na.fill(0.0, list(FEATURES))
+    }).drop("__sum", "__some", "upto", "__client", "__first").na.fill(0.0, list(FEATURES))
+
+
+def save(model: PipelineModel, path: str) -> None:
+    """Writes a trained model, over what was there."""
+    model.write().overwrite().save(path)
+
+
+def load(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
 
 
 def _fit_best(candidates, train: DataFrame, test: DataFrame, evaluator, larger: bool):

@@ -17,10 +17,22 @@ def history(spark, n=60):
     return spark.createDataFrame(rows, "job_number long, client_name string, job_type string, adjoiner_count int, deed_count int, plat_count int, primary_cabinet string, duration_days double")
 
 
-def test_models_learn_the_types(spark):
+def test_features_do_not_know_the_label(spark):
+    kind = "job_number long, client_name string, job_type string, adjoiner_count int, deed_count int, plat_count int"
+    rows = spark.createDataFrame([(3, "a", "BDY", 4, 1, 0), (1, "a", "BDY", 8, 1, 0), (2, "a", "SUB", None, 0, 0), (9, "b", "ALTA", 6, 0, 0), (5, None, "BDY", 0, 0, 0)], kind)
+    got = {r.job_number: (r.prior_jobs, r.type_average) for r in learning.features(rows).collect()}
+    assert got == {1: (0, 4.0), 2: (1, 0.0), 3: (2, 8.0), 5: (0, 6.0), 9: (0, 0.0)}
+    codes = learning.features(rows).select("job_type", "type_code").distinct().collect()
+    assert len({r.type_code for r in codes}) == 3 and learning.features(rows.limit(0)).count() == 0
+
+
+def test_models_learn_the_types(spark, tmp_path):
     rows = history(spark)
     model, error = learning.train_adjoiners(rows)
     assert error < 1.0
+    learning.save(model, f"file://{tmp_path}/model")
+    same = lambda m: sorted((r.job_number, r.predicted) for r in learning.predict_adjoiners(m, rows).collect())
+    assert same(learning.load(f"file://{tmp_path}/model")) == same(model)
     got = {(r.job_type, r.complexity) for r in learning.predict_adjoiners(model, rows).collect()}
     assert got == {("BDY", "low"), ("ALTA", "moderate"), ("SUB", "high")}
     assert learning.train_duration(rows) is not None
