@@ -34,6 +34,8 @@ ROW_BLOCK, ANCHOR_BLOCK, SLICE = 4096, 1024, 64
 HELD = 64
 #: Blocks of rows that a cell of the dealt-out grid gets if anchors are too many to be broadcast.
 CELL = 64
+#: Tasks for each of the cluster's cores, at most.
+TASKS = 4
 #: Components are held within this, so that a hundred times a product of 512 components fits a long.
 LARGEST = float(1 << 23)
 #: Shares of the coordinates after which bounds are tried.
@@ -349,7 +351,8 @@ def mined(
     if not n_anchors:
         return spark.createDataFrame([], out)
     anchor_blocks = stored(packed(anchors.coalesce(1 + n_anchors // ANCHOR_BLOCK), ANCHOR_BLOCK), "anchor-blocks")
-    dealt = blocks.repartition(blocks.count())  # a file may hold many blocks
+    # a file may hold many blocks; a task hands on each anchor's best rows once, so there are no more tasks than are needed
+    dealt = blocks.repartition(min(blocks.count(), TASKS * spark.sparkContext.defaultParallelism))
 
     def emit_positives(side: Side, _, best: Best) -> pa.RecordBatch:
         real = best.ids != np.iinfo(np.int64).max
