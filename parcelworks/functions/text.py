@@ -120,13 +120,17 @@ def legal_names(text: Column) -> Column:
 
 def lot_block_tract(text: Column) -> Column:
     """`lot-3`, `block-7`, `tract-2A`, as a set.  A block counts where it follows a lot's number."""
-    words = F.filter(F.split(F.upper(F.coalesce(text, F.lit(""))), r"[\s,.;:()]+"), lambda w: w != "")
-    number = lambda i: F.nullif(F.regexp_extract(F.coalesce(F.get(words, i), F.lit("")), r"^\d+\w?", 0), F.lit(""))
-    is_ = lambda i, word: (i >= 0) & (F.coalesce(F.get(words, F.greatest(i, F.lit(0))), F.lit("")) == word)
-    key = lambda word, rule: F.array_compact(F.transform(words, lambda w, i: F.when(rule(i), F.concat(F.lit(f"{word}-"), number(i + 1)))))
-    lots, tracts = key("lot", lambda i: is_(i, "LOT")), key("tract", lambda i: is_(i, "TRACT"))
-    blocks = key("block", lambda i: is_(i, "BLOCK") & is_(i - 2, "LOT"))
-    return F.array_distinct(F.concat(lots, blocks, tracts))
+    every = F.filter(F.split(F.upper(F.coalesce(text, F.lit(""))), r"[\s,.;:()]+"), lambda w: w != "")
+
+    def keys(words: Column) -> Column:
+        number = lambda i: F.nullif(F.regexp_extract(F.coalesce(F.get(words, i), F.lit("")), r"^\d+\w?", 0), F.lit(""))
+        is_ = lambda i, word: (i >= 0) & (F.coalesce(F.get(words, F.greatest(i, F.lit(0))), F.lit("")) == word)
+        key = lambda word, rule: F.array_compact(F.transform(words, lambda w, i: F.when(rule(i), F.concat(F.lit(f"{word}-"), number(i + 1)))))
+        lots, tracts = key("lot", lambda i: is_(i, "LOT")), key("tract", lambda i: is_(i, "TRACT"))
+        blocks = key("block", lambda i: is_(i, "BLOCK") & is_(i - 2, "LOT"))
+        return F.array_distinct(F.concat(lots, blocks, tracts))
+
+    return let(every, keys)
 
 
 def book_page(location: Column) -> tuple[Column, Column]:

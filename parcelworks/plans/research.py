@@ -545,6 +545,35 @@ def similar_descriptions(spark, sf_dir):
     return similar(rows, "xxx at T5N R6E of CAB C-7", limit=25).select("p_partkey", "score")
 
 
+_DESCRIBED = """(SELECT k, s, t, 'plat of ' || p_name || CASE WHEN k % 3 > 0 THEN ', T' || t || 'N R13E' || CASE WHEN s > 0 THEN ' Sec ' || s ELSE '' END ELSE '' END || CASE WHEN k % 11 < 2 THEN ' CAB C-' || p_size ELSE '' END
+|| CASE WHEN k % 4 = 0 THEN ' LOT ' || p_size % 6 || ';' ELSE '' END || CASE WHEN k % 5 < 2 THEN ' lands of ' || split_part(p_name, ' ', 1) ELSE '' END AS d, k % 3 > 0 AS has_t, CASE WHEN k % 11 < 2 THEN p_size END AS cab,
+CASE WHEN k % 4 = 0 THEN p_size % 6 END AS lot, CASE WHEN k % 5 < 2 THEN lower(split_part(p_name, ' ', 1)) END AS name FROM (SELECT *, p_partkey AS k, p_partkey % 7 AS s, 20 + p_size % 5 AS t FROM part))"""
+
+
+@query(
+    "similar_descriptions_each",
+    f"""WITH p AS (SELECT *, list_filter(list_distinct(regexp_extract_all(lower(d), '[a-z]{{3,}}')), lambda x: NOT list_contains([%STOP%], x)) AS w FROM {_DESCRIBED}),
+x AS (SELECT q.k AS query_id, p.k AS p_partkey, CASE WHEN p.has_t AND q.has_t AND p.t = q.t THEN CASE WHEN p.s = q.s THEN 100.0 ELSE 30.0 END ELSE 0.0 END AS a,
+100.0 * len(list_intersect(p.w, q.w)) / len(list_distinct(list_concat(p.w, q.w))) AS b, CASE WHEN p.cab = q.cab THEN 100.0 ELSE 0.0 END AS c, CASE WHEN p.name = q.name THEN 100.0 ELSE 0.0 END AS e, CASE WHEN p.lot = q.lot THEN 100.0 ELSE 0.0 END AS f
+FROM p, p AS q WHERE q.k % 50 = 0), s AS (SELECT query_id, p_partkey, round((a * 40 + b * 25 + c * 20 + e * 10 + f * 5) / 100, 1) AS score FROM x)
+SELECT query_id, p_partkey, score, CAST(nth AS INTEGER) AS nth FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, p_partkey) AS nth FROM s WHERE score >= 20) WHERE nth <= 20""".replace(
+        "%STOP%", ", ".join(f"'{w}'" for w in T.STOP_WORDS)
+    ),
+)
+def similar_descriptions_each(spark, sf_dir):
+    from parcelworks.operators.descriptions import similar_descriptions_each as similar
+
+    k, size, s, none = F.col("p_partkey"), F.col("p_size"), F.col("p_partkey") % 7, F.lit("")
+    text = F.concat(
+        F.lit("plat of "), F.col("p_name"), F.when(k % 3 > 0, F.concat(F.lit(", T"), 20 + size % 5, F.lit("N R13E"), F.when(s > 0, F.concat(F.lit(" Sec "), s)).otherwise(none))).otherwise(none),
+        F.when(k % 11 < 2, F.concat(F.lit(" CAB C-"), size)).otherwise(none), F.when(k % 4 == 0, F.concat(F.lit(" LOT "), size % 6, F.lit(";"))).otherwise(none),
+        F.when(k % 5 < 2, F.concat(F.lit(" lands of "), F.split("p_name", " ")[0])).otherwise(none),
+    )
+    rows = table(spark, sf_dir, "part").select(k, k.alias("pos"), text.alias("description"))
+    queries = rows.filter("p_partkey % 50 = 0").select(k.alias("query_id"), F.col("description").alias("query"))
+    return similar(rows, queries, "p_partkey", "query_id").select("query_id", "p_partkey", "score", "nth")
+
+
 _MERGED = """WITH RECURSIVE p AS (SELECT s_suppkey AS a, s_suppkey + 1 AS b FROM supplier WHERE s_suppkey % 4 <> 3 AND s_suppkey + 1 < (SELECT count(*) FROM supplier)),
 w AS (SELECT a, b FROM p UNION SELECT b, a FROM p), r AS (SELECT a AS id, a AS o FROM w UNION SELECT r.id, w.b FROM r JOIN w ON w.a = r.o),
 c AS (SELECT id, min(o) AS root FROM r GROUP BY id),
