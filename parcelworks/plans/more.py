@@ -216,3 +216,31 @@ def novelty_all(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", words(F.col("text")).alias("w"))
     pairs = docs.crossJoin(F.broadcast(items))  # every pair is a row of the result
     return pairs.select("doc_id", "item_id", F.size(F.array_intersect("w", "q")).cast("bigint").alias("hits"))
+
+
+@query(
+    "vector_index_topk",
+    """SELECT query_id, vec_id, CAST(nth AS INTEGER) AS nth FROM (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY list_cosine_similarity(CAST(embedding AS DOUBLE[]), q) DESC, vec_id) AS nth
+FROM embeddings, (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id % 50 = 0)) WHERE nth <= 5""",
+)
+def vector_index_topk(spark, sf_dir):
+    from parcelworks.operators.vectors import nearest, vector_index
+
+    e = table(spark, sf_dir, "embeddings")
+    return nearest(vector_index(e), e.filter("vec_id % 50 = 0"), 5).select("query_id", "vec_id", "nth")
+
+
+@query(
+    "text_neighbours",
+    """WITH w AS (SELECT doc_id, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) AS h FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS w FROM documents)),
+v AS (SELECT doc_id, h % 64 AS i, sum(CASE WHEN (h // 64) % 2 = 0 THEN 1 ELSE -1 END) AS s FROM w GROUP BY 1, 2 HAVING s <> 0), z AS (SELECT doc_id, sum(s * s) AS n FROM v GROUP BY 1),
+d AS (SELECT q.doc_id AS query_id, v.doc_id, sum(q.s * v.s) AS dot FROM v AS q JOIN v USING (i) WHERE q.doc_id % 50 = 0 GROUP BY 1, 2),
+a AS (SELECT x.doc_id AS query_id, y.doc_id, coalesce(dot, 0) / (sqrt(x.n) * sqrt(y.n)) AS c FROM z AS x CROSS JOIN z AS y LEFT JOIN d ON d.query_id = x.doc_id AND d.doc_id = y.doc_id WHERE x.doc_id % 50 = 0)
+SELECT query_id, doc_id, CAST(nth AS INTEGER) AS nth FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, doc_id) AS nth FROM a) WHERE nth <= 5""",
+)
+def text_neighbours(spark, sf_dir):
+    from parcelworks.operators.vectors import hashed_vectors, nearest, vector_index
+    from parcelworks.storage import stored
+
+    d = stored(hashed_vectors(table(spark, sf_dir, "documents"), "doc_id", "text"), "hashed")
+    return nearest(vector_index(d, "doc_id", dim=64), d.filter("doc_id % 50 = 0"), 5, "doc_id").select("query_id", "doc_id", "nth")
