@@ -177,6 +177,29 @@ def monuments(text: Column) -> Column:
     return F.array_compact(F.array(*[F.when(mentions(text, *names), F.lit(kind)) for kind, names in MONUMENTS.items()]))
 
 
+#: Ways to hold title, each with what a deed says of it (`-`: the beginning of a word).
+VESTING = {
+    "Joint Tenants": ("joint tenan-",),
+    "Tenants in Common": ("tenant in common", "tenants in common"),
+    "Community Property": ("community property",),
+    "Husband & Wife": ("husband and wife", "husband wife"),
+    "Trustee": ("trustee-",),
+    "LLC / Corp": ("llc", "l l c", "inc", "corp", "corporation", "company"),
+    "Estate / Heirs": ("estate of", "heir of", "heirs of", "personal representative"),
+}
+
+
+def vesting(text: Column) -> Column:
+    """The ways to hold title that a text names, in the order of VESTING; punctuation and `&` only part words.  Null names none."""
+    return F.array_compact(F.array(*[F.when(mentions(text, *names), F.lit(way)) for way, names in VESTING.items()]))
+
+
+def refers_to_survey(text: Column) -> Column:
+    """Whether a text leans on an earlier survey or a recorded plat: `plat of`, `surveyed by`, `recorded in`."""
+    what, where = ("survey", "surveyed", "plat", "subdivision", "filed", "recorded"), ("by", "of", "in", "under", "at")
+    return mentions(text, *[f"{a} {b}" for a in what for b in where])
+
+
 def has_beginning(text: Column) -> Column:
     """Whether a text names the point at which its boundary begins; also in short, with or without full stops."""
     return mentions(text, "point of beginning", "point of commencement", "pob", "p o b")

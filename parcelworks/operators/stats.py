@@ -97,16 +97,39 @@ def completeness(sessions: DataFrame, missing: int = 20) -> DataFrame:
     return session_metrics(sessions).withColumn("missing", F.slice(F.transform(lacks, lambda s: s["name"]), 1, missing))
 
 
-def predict_complexity(history: DataFrame, job_type: str) -> DataFrame:
-    """One row about the adjoiners to expect: rows of the type if there are any, else all; class, confidence, indexed quartiles."""
+#: Cabinets to look in where no job tells (fixed values).
+CABINETS = ("C", "B", "A")
+
+
+def likely_cabinets(history: DataFrame, cabinets: str, order: str, n: int = 3) -> DataFrame:
+    """One row: likely_cabinets, the n letters that most jobs name, ties by who came first in ``order``; CABINETS if there is none.
+
+    ``cabinets`` is an array of letters; a letter that stands twice in it counts twice.  Letters are counted where the rows are.
+    """
+    named = history.select(F.col(order).alias("__order"), F.posexplode(cabinets).alias("__at", "__letter")).filter("__letter IS NOT NULL")
+    counts = named.groupBy("__letter").agg(F.count("*").alias("__n"), F.min(F.struct("__order", "__at")).alias("__first"))
+    best = counts.orderBy(F.desc("__n"), "__first").limit(n)
+    listed = F.transform(F.sort_array(F.collect_list(F.struct((-F.col("__n")).alias("k"), "__first", "__letter"))), lambda x: x["__letter"])
+    return best.agg(listed.alias("l")).select(F.when(F.size("l") > 0, F.col("l")).otherwise(F.array(*map(F.lit, CABINETS))).alias("likely_cabinets"))
+
+
+def predict_complexity(history: DataFrame, job_type: str, cabinets: str | None = None, order: str = "job") -> DataFrame:
+    """One row about the adjoiners to expect: rows of the type if there are any, else all; class, confidence, indexed quartiles.
+
+    With ``cabinets`` (a column of letters) also likely_cabinets, see there.  Without any row: 6 adjoiners, moderate, confidence none.
+    """
     n = history.agg(F.count_if(F.col("job_type") == job_type).alias("typed"))
     used = history.crossJoin(F.broadcast(n)).filter((F.col("typed") == 0) | (F.col("job_type") == job_type))
     few = indexed_quartiles(used.withColumn("__one", F.lit(0)), "__one", "adjoiner_count")
     few = few.select(F.when(F.col("n") >= 4, F.col("q1")).otherwise(F.col("low")).alias("p25"), F.when(F.col("n") >= 4, F.col("q3")).otherwise(F.col("high")).alias("p75"))
-    out = used.agg(F.count("*").alias("n"), F.round(F.avg("adjoiner_count"), 1).alias("predicted")).crossJoin(few)  # one row each
+    few = few.agg(F.max("p25").alias("p25"), F.max("p75").alias("p75"))  # a row of nulls where there are no jobs
+    mean = F.coalesce(F.round(F.avg("adjoiner_count"), 1), F.lit(6.0)).alias("predicted")
+    out = used.agg(F.count("*").alias("n"), mean).crossJoin(few)  # one row each
+    if cabinets:
+        out = out.crossJoin(likely_cabinets(used, cabinets, order))
     return out.withColumns({
         "complexity": F.when(F.col("predicted") <= 4, "simple").when(F.col("predicted") <= 10, "moderate").otherwise("complex"),
-        "confidence": F.when(F.col("n") >= 20, "high").when(F.col("n") >= 5, "medium").otherwise("low"),
+        "confidence": F.when(F.col("n") >= 20, "high").when(F.col("n") >= 5, "medium").when(F.col("n") > 0, "low").otherwise("none"),
     })
 
 

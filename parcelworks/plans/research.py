@@ -94,6 +94,19 @@ def predicted_complexity(spark, sf_dir):
     return stats.predict_complexity(history, "BDY").select("n", "predicted", "complexity", "confidence", "p25", "p75")
 
 
+@query(
+    "predicted_cabinets",
+    """WITH h AS (SELECT o_orderkey AS job, o_custkey % 13 AS a, unnest([chr(CAST(65 + o_custkey % 6 AS INTEGER)), chr(CAST(65 + o_orderkey % 4 AS INTEGER))]) AS letter, unnest([0, 1]) AS i FROM orders WHERE o_orderstatus = 'P'),
+l AS (SELECT letter, count(*) AS n, min(job * 2 + i) AS first FROM h GROUP BY letter ORDER BY n DESC, first LIMIT 3), v AS (SELECT list_sort(list(a)) AS v FROM h WHERE i = 0)
+SELECT (SELECT string_agg(letter, ',' ORDER BY n DESC, first) FROM l) AS cabinets, len(v) AS n, v[CAST(floor(len(v) * 0.25) AS INTEGER) + 1] AS p25, v[CAST(floor(len(v) * 0.75) AS INTEGER) + 1] AS p75 FROM v""",
+)
+def predicted_cabinets(spark, sf_dir):
+    letter = lambda c, n: F.chr(F.lit(65) + F.col(c) % n)
+    o = table(spark, sf_dir, "orders")
+    history = o.select(F.col("o_orderkey").alias("job"), F.col("o_orderstatus").alias("job_type"), (F.col("o_custkey") % 13).alias("adjoiner_count"), F.array(letter("o_custkey", 6), letter("o_orderkey", 4)).alias("cabinets"))
+    return stats.predict_complexity(history, "P", "cabinets").select(F.array_join("likely_cabinets", ",").alias("cabinets"), "n", "p25", "p75")
+
+
 @query(
     "book_page_cabinets",
     f"""SELECT DISTINCT l_orderkey AS deed, substr(cab, 1, 1) AS letter FROM lineitem JOIN {PARCELS} ON book = CAST(l_suppkey % 25 AS VARCHAR) AND page = CAST(l_partkey % 97 AS VARCHAR)""",
@@ -312,6 +325,23 @@ def deed_grades(spark, sf_dir):
     return out.select("c_custkey", F.when(has("self-conveyance"), "warn").otherwise("none").alias("self"), has("easements").alias("easement"))
 
 
+_HOLDERS = ("a joint tenancy", "Rael Land L.L.C.", "Vigil & Luna, husband & wife", "the Estate of Medina, trustees", "tenants in common", "community properties")
+
+
+@query(
+    "deed_vesting",
+    """SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN 'Joint Tenants' WHEN 1 THEN 'LLC / Corp' WHEN 2 THEN 'Husband & Wife' WHEN 3 THEN 'Trustee;Estate / Heirs' WHEN 4 THEN 'Tenants in Common' ELSE '' END || CASE WHEN c_mktsegment = 'BUILDING' AND c_custkey % 6 NOT IN (1, 3) THEN CASE WHEN c_custkey % 6 = 5 THEN '' ELSE ';' END || 'LLC / Corp' ELSE '' END AS vesting,
+c_nationkey % 5 < 3 AS survey FROM customer""",
+)
+def deed_vesting(spark, sf_dir):
+    k = F.col("c_custkey")
+    held = F.element_at(F.array(*map(F.lit, _HOLDERS)), (k % 6 + 1).cast("int"))
+    fields = F.create_map(F.lit("Grantor"), F.when((F.col("c_mktsegment") == "BUILDING") & (k % 6 != 3), "Mesa Company").otherwise("Accompany, Ann"), F.lit("Grantee"), held)
+    said = F.element_at(F.array(*map(F.lit, ("as surveyed by Luna", "plat, of record", "filed at noon", "a survey byline", "recorded"))), (F.col("c_nationkey") % 5 + 1).cast("int"))
+    out = conflicts.deed_issues(table(spark, sf_dir, "customer").select("c_custkey", fields.alias("fields"), said.alias("body")), F.lit("2024-01-01").cast("date"))
+    return out.select("c_custkey", F.array_join("vesting", ";").alias("vesting"), F.exists("issues", lambda i: i["title"] == "earlier survey").alias("survey"))
+
+
 @query("ocr_lines", "SELECT p_partkey, 'thence N ' || (p_partkey % 80 + 10) || '°15''30\" E ' || p_size || ' feet to the point' AS line FROM part")
 def ocr_lines(spark, sf_dir):
     made = F.concat(F.lit("thance N "), F.col("p_partkey") % 80 + 10, F.lit("o 15' 30\"E  "), F.col("p_size"), F.lit(" ft. to tbe poiut"))

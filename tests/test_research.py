@@ -47,3 +47,25 @@ def test_key_neighbours_agree(spark):
     asked = [f"{i:013d}" for i in (0, 30, 57)]
     got = {(r.query, r.upc) for r in adjacency.key_neighbours_each(parcels, spark.createDataFrame([(u,) for u in asked], "upc string")).collect()}
     assert got == {(u, r.upc) for u in asked for r in adjacency.key_neighbours(parcels, u).collect()}
+
+
+def test_likely_cabinets_and_prediction_without_jobs(spark):
+    from parcelworks.operators import stats
+
+    rows = [(3, "BDY", 4, ["B", "A"]), (1, "BDY", 6, ["A", None]), (2, "BDY", 8, ["D", "C", "C"]), (4, "BDY", 9, None), (5, "BDY", 2, []), (6, "ALTA", 40, ["F", "F", "F"])]
+    history = spark.createDataFrame(rows, "job long, job_type string, adjoiner_count int, cabinets array<string>")
+    row = stats.predict_complexity(history, "BDY", "cabinets").first()
+    assert (row.likely_cabinets, row.n, row.predicted, row.confidence) == (["A", "C", "D"], 5, 5.8, "medium")
+    assert stats.predict_complexity(history, "none", "cabinets").first().likely_cabinets == ["F", "A", "C"]
+    assert stats.predict_complexity(history.filter("job = 5"), "BDY", "cabinets").first().likely_cabinets == ["C", "B", "A"]
+    none = stats.predict_complexity(history.limit(0), "BDY", "cabinets").first()
+    assert (none.n, none.predicted, none.complexity, none.confidence, none.p25, none.likely_cabinets) == (0, 6.0, "moderate", "none", None, ["C", "B", "A"])
+
+
+def test_vesting_and_survey_references(spark):
+    texts = ["John and Mary, husband and wife, as JOINT TENANTS", "husband & wife; heirs of Luna", "Acme, Inc.", "incorporated companyman", None, "", "tenant in common, as trustee"]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r.v for r in frame.select(T.vesting(F.col("t")).alias("v")).collect()]
+    assert got == [["Joint Tenants", "Husband & Wife"], ["Husband & Wife", "Estate / Heirs"], ["LLC / Corp"], [], [], [], ["Tenants in Common", "Trustee"]]
+    refers = spark.createDataFrame([("the plat of Mesa",), ("Recorded  in Book 3",), ("platform of wood",), (None,)], "t string")
+    assert [r.v for r in refers.select(T.refers_to_survey(F.col("t")).alias("v")).collect()] == [True, True, False, False]
