@@ -61,3 +61,16 @@ def test_classes_need_less_the_more_is_shared():
     assert found[()] == pytest.approx(0.8) and found[("names",)] == pytest.approx(0.4) and found[("township", "lots")] == pytest.approx(0.12)
     assert found[("trs",)] == found[("cabs",)] == found[("township", "names")] == 0 and ("trs", "names") not in found
     assert ("cabs",) not in dict(D.classes(60.0, similarity.WEIGHTS))
+
+
+def test_no_nested_loop_without_broadcasts(spark):
+    frame = spark.createDataFrame([(i, i, t) for i, t in enumerate(_texts(30))], "id long, pos long, description string")
+    queries = spark.createDataFrame([(1, "T21N R13E Sec 2 mesa river")], "query_id long, query string")
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        plan = D.similar_descriptions_each(frame, queries, "id", "query_id")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(key, before)
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
