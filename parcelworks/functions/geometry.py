@@ -87,6 +87,14 @@ def closure(points: Column) -> Column:
     return F.hypot(last["x"] - first["x"], last["y"] - first["y"])
 
 
+def closing_error(calls: Column) -> Column:
+    """Distance from where the calls end to where they begin, of the sums before they are rounded to corners."""
+    used = F.filter(calls, lambda c: c["azimuth_deg"].isNotNull() & (c["distance"] > 0))
+    end = lambda turn: F.aggregate(used, F.lit(0.0), lambda s, c: s + c["distance"] * turn(F.radians(c["azimuth_deg"])))
+    x, y = end(F.sin), end(F.cos)
+    return F.sqrt(x * x + y * y)
+
+
 def closure_class(error: Column) -> Column:
     return F.when(error <= 0.5, "ok").when(error <= 1.0, "info").when(error <= 5.0, "warn").otherwise("critical")
 

@@ -500,8 +500,8 @@ def traverse_closure(spark, sf_dir):
     azimuth = ((F.col("l_partkey") * 37 + F.col("l_linenumber") * 90) % 360).cast("double")
     call = F.struct("l_linenumber", azimuth.alias("azimuth_deg"), (F.col("l_quantity") + 0.3).alias("distance"))
     jobs = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("job")).agg(F.sort_array(F.collect_list(call)).alias("calls"))
-    corners = jobs.withColumn("pts", G.traverse(F.col("calls")))
-    return corners.select("job", F.size("calls").cast("bigint").alias("calls"), F.round(G.perimeter(F.col("calls")), 2).alias("length"), G.closure_class(G.closure(F.col("pts"))).alias("closure"))
+    judged = jobs.withColumn("error", G.closing_error(F.col("calls")))
+    return judged.select("job", F.size("calls").cast("bigint").alias("calls"), F.round(G.perimeter(F.col("calls")), 2).alias("length"), G.closure_class(F.col("error")).alias("closure"))
 
 
 @query(

@@ -63,6 +63,14 @@ def test_traverse_closes(spark):
     assert [r.c for r in frame.select(G.closure_class(F.lit(0.7)).alias("c")).limit(1).collect()] == ["info"]
 
 
+def test_closing_error_is_not_rounded(spark):
+    # two calls of opposite directions, 24.3 and 19.3: 4.999999999999999, where corners of six decimals give 5.000000116
+    frame = spark.createDataFrame([([(44.0, 19.3), (224.0, 24.3)],)], "calls array<struct<azimuth_deg:double,distance:double>>")
+    error = G.closing_error(F.col("calls"))
+    row = frame.select(error.alias("e"), G.closure_class(error).alias("c"), G.closure_class(G.closure(G.traverse(F.col("calls")))).alias("rounded")).first()
+    assert abs(row.e - 5.0) < 1e-12 and row.c == "warn" and row.rounded == "critical"
+
+
 def test_calls():
     got = G.calls_of("beginning; thence S 45°30'00\" E, 125.50 feet; N45-30-00E 66 ft, thence N 10 degrees 15 minutes West 2 chains to a point")
     assert [(c["bearing_label"], c["azimuth_deg"], c["distance"]) for c in got] == [("S 45° 30' E", 134.5, 125.5), ("N 45° 30' E", 45.5, 66.0), ("N 10° 15' W", 349.75, 132.0)]
