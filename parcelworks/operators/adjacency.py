@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, FloatType
 
 THRESHOLD = 0.0003
 RADIUS = 0.002
@@ -41,14 +41,18 @@ def box_pairs(boxes: DataFrame, margin: float, size: float | None = None) -> Dat
 def near_points(points: DataFrame, radius: float) -> DataFrame:
     """Pairs (a, b), a < b, of points (id, x, y) that differ by less than radius in both axes.
 
-    A point meets those of its own grid cell and of half of the cells around it, so each pair is seen once.
+    A point meets those of its own grid cell and of half of the cells around it, so each pair is seen once.  Coordinates are
+    compared in their own type: between floats the radius is a float too, so that a distance of just the radius isn't below it.
+    Cells are a little wider than the radius, so that rounding moves no pair two cells apart.
     """
-    cell = points.select("id", "x", "y", F.floor(F.col("x") / radius).alias("gx"), F.floor(F.col("y") / radius).alias("gy"))
+    size = radius * (1 + 1e-6)
+    cell = points.select("id", "x", "y", F.floor(F.col("x") / size).alias("gx"), F.floor(F.col("y") / size).alias("gy"))
+    within = lambda n: F.lit(radius).cast(points.schema[n].dataType if isinstance(points.schema[n].dataType, FloatType) else DoubleType())
     steps = [(0, 0), (1, 0), (-1, 1), (0, 1), (1, 1)]
     to = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in steps]))
     sent = cell.withColumn("d", to).select("id", "x", "y", (F.col("gx") + F.col("d.dx")).alias("gx"), (F.col("gy") + F.col("d.dy")).alias("gy"), ((F.col("d.dx") == 0) & (F.col("d.dy") == 0)).alias("own"))
     a, b, c = sent.alias("a"), cell.alias("b"), F.col
-    near = (F.abs(c("a.x") - c("b.x")) < radius) & (F.abs(c("a.y") - c("b.y")) < radius) & (~c("a.own") | (c("a.id") < c("b.id"))) & (c("a.id") != c("b.id"))
+    near = (F.abs(c("a.x") - c("b.x")) < within("x")) & (F.abs(c("a.y") - c("b.y")) < within("y")) & (~c("a.own") | (c("a.id") < c("b.id"))) & (c("a.id") != c("b.id"))
     met = a.join(b, (c("a.gx") == c("b.gx")) & (c("a.gy") == c("b.gy")) & near)
     return met.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b"))
 

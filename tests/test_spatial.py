@@ -123,3 +123,18 @@ def test_ring_distance_of_long_rings_needs_little_memory():
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert abs(found - 0.5) < 1e-6 and most < 200e6
+
+
+def test_near_points_of_floats(spark):
+    # 0.01 as a float lies below 0.01 as a double, but not below itself
+    r = float(np.float32(0.01))
+    points = [(1, 0.0, 0.0), (2, r, 0.0), (3, float(np.nextafter(np.float32(r), np.float32(0))), 0.0)]
+    frame = spark.createDataFrame(points, "id int, x float, y float")
+    assert sorted(map(tuple, A.near_points(frame, 0.01).collect())) == [(1, 3), (2, 3)]
+    assert sorted(map(tuple, A.near_points(frame.selectExpr("id", "cast(x as double) x", "cast(y as double) y"), 0.01).collect())) == [(1, 2), (1, 3), (2, 3)]
+    # the quotients 1 - 2**-53 and 2 - 2**-52 are less than one apart, and rounding may move them two cells apart
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.integers(0, 50, 300) * 0.01, rng.random(300) * 0.5])
+    want = sorted((i, j) for i in range(600) for j in range(i + 1, 600) if abs(x[i] - x[j]) < 0.01)
+    frame = spark.createDataFrame([(i, float(v), 0.0) for i, v in enumerate(x)], "id int, x double, y double")
+    assert sorted(map(tuple, A.near_points(frame, 0.01).collect())) == want
