@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parcelworks.storage import stored
+from parcelworks.storage import broadcast_if_small, stored
 
 TOLERANCE = 1e-9
 #: The most parcels of a spatial query, and the letters of a legal text that it gives.
@@ -180,7 +180,7 @@ def spatial_adjoiners(queries: DataFrame, parcels: DataFrame, limit: int = SPATI
     best = Window.partitionBy("a")
     met = met.withColumn("__some", F.max(touches).over(best)).filter(touches | ~F.col("__some"))
     rows = met.select(F.col("a").alias("query"), F.col("b").alias("upc"), F.when(touches, "touches").otherwise("intersects").alias("spatial_rel"))
-    out = parcels.drop("polygon").join(rows, "upc")
+    out = parcels.drop("polygon").join(broadcast_if_small(stored(rows, "adjoiners"), 128), "upc")
     if "legal" in parcels.columns:
         out = out.withColumn("legal", F.substring(F.trim("legal"), 1, LEGAL_LETTERS))
     nth = F.row_number().over(Window.partitionBy("query").orderBy("pos", "upc"))

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: A table of at most so many bytes may be broadcast; beyond it a shuffle does the work.
 BROADCAST_BYTES = 8 << 20
+#: What a column of a row takes in memory at least, by which stored() judges a table.
+COLUMN_BYTES = 8
 
 
 def shared_dir(spark: SparkSession, what: str) -> str:
@@ -22,12 +24,18 @@ def shared_dir(spark: SparkSession, what: str) -> str:
 
 
 def stored(frame: DataFrame, what: str) -> DataFrame:
-    """Write the frame to the shared folder and read it back: the lineage ends at files that outlive executors."""
+    """Write the frame to the shared folder and read it back: the lineage ends at files that outlive executors.
+
+    Spark would judge the table by its files, which may hold millions of alike rows in a few MB, and gather it in the driver to
+    broadcast it.  So a table whose counted rows pass the bound is marked for joins by shuffle; broadcast_if_small on the other
+    side comes before that mark.
+    """
     path = shared_dir(frame.sparkSession, what)
     frame.write.parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+    out = frame.sparkSession.read.schema(frame.schema).parquet(path)
+    return out.hint("merge") if out.count() * COLUMN_BYTES * len(out.columns) > BROADCAST_BYTES else out
 
 
 def broadcast_if_small(frame: DataFrame, row_bytes: int, bound: int = BROADCAST_BYTES) -> DataFrame:
-    """Mark a stored frame for broadcast if its counted rows fit the bound; else leave the join to a shuffle."""
-    return F.broadcast(frame) if frame.count() * row_bytes <= bound else frame
+    """Mark a stored frame for broadcast if its counted rows fit the bound; else the join shuffles, whatever the size of its files."""
+    return F.broadcast(frame) if frame.count() * row_bytes <= bound else frame.hint("merge")

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from parcelworks.operators import adjacency as A
 from parcelworks.operators import spatial as S
@@ -138,3 +139,23 @@ def test_near_points_of_floats(spark):
     want = sorted((i, j) for i in range(600) for j in range(i + 1, 600) if abs(x[i] - x[j]) < 0.01)
     frame = spark.createDataFrame([(i, float(v), 0.0) for i, v in enumerate(x)], "id int, x double, y double")
     assert sorted(map(tuple, A.near_points(frame, 0.01).collect())) == want
+
+
+def test_many_alike_rows_are_not_broadcast(spark):
+    # a million alike rows take some KB of file, and would be gathered in the driver
+    from parcelworks.storage import broadcast_if_small, stored
+
+    many = stored(spark.range(1_000_000).selectExpr("id div 100000 AS k", "1.5D AS x"), "alike")
+    few = stored(spark.range(100).selectExpr("id AS k"), "few")
+    plan = lambda frame: frame._jdf.queryExecution().executedPlan().toString()
+    own = many.select(F.col("k").alias("j"), (F.col("x") + 1).alias("y")).filter("y > 0")
+    assert "Broadcast" not in plan(many.join(own, F.col("k") == F.col("j")))
+    assert "Broadcast" in plan(many.join(broadcast_if_small(few, 16), "k"))
+    assert "Broadcast" not in plan(many.join(broadcast_if_small(many.select("k"), 16), "k"))
+
+
+def test_adjoiners_are_joined_without_gathering_parcels(spark):
+    parcels = spark.createDataFrame([(i, i, rect(4 * i, 0, 4 * i + 4, 4), "tract") for i in range(20)], "pos int, upc int, polygon array<struct<lng:double,lat:double>>, legal string")
+    plan = S.spatial_adjoiners(parcels.select(F.col("pos").alias("query"), "polygon"), parcels)._jdf.queryExecution().executedPlan().toString()
+    # the pairs found are the broadcast side, not the parcels with their texts
+    assert "legal" not in plan[plan.index("BroadcastExchange") :].split("\n", 1)[1]
