@@ -88,8 +88,8 @@ def age_years(date: Column, now: Column) -> Column:
 
 
 def parsed_date(text: Column) -> Column:
-    """A date in one of four formats; null if none fits."""
-    return F.coalesce(*[F.to_date(F.try_to_timestamp(text, F.lit(f))) for f in ("MM/dd/yyyy", "yyyy-MM-dd", "MM/dd/yy", "MMM d, yyyy")])
+    """A date in one of four formats; null if none fits.  Each format that doesn't fit costs an exception, so empty texts try none."""
+    return F.when(F.trim(text) != "", F.coalesce(*[F.to_date(F.try_to_timestamp(text, F.lit(f))) for f in ("MM/dd/yyyy", "yyyy-MM-dd", "MM/dd/yy", "MMM d, yyyy")]))
 
 
 def session_step(client: Column, adjoiners: Column) -> Column:

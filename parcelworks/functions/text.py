@@ -150,14 +150,17 @@ def plain_words(text: Column) -> Column:
     return F.concat(F.lit(" "), F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
 
 
-def mentions(text: Column, *phrases: str) -> Column:
-    """Whether one of the phrases stands in the text, word by word; one that ends in `-` is the beginning of a word."""
+def mentions(text: Column, *phrases: str, plain: bool = False) -> Column:
+    """Whether one of the phrases stands in the text, word by word; one that ends in `-` is the beginning of a word.
+
+    plain: the text is one of plain_words already, which saves parting it again for each question.
+    """
 
     def any_of(words: Column) -> Column:
         hits = [F.contains(words, F.lit(f" {p[:-1]}" if p.endswith("-") else f" {p} ")) for p in phrases]
         return reduce(or_, hits)
 
-    return let(plain_words(text), any_of)
+    return any_of(text) if plain else let(plain_words(text), any_of)
 
 
 #: Kinds of monuments, each with what it is called.
@@ -173,8 +176,8 @@ MONUMENTS = {
 }
 
 
-def monuments(text: Column) -> Column:
-    return F.array_compact(F.array(*[F.when(mentions(text, *names), F.lit(kind)) for kind, names in MONUMENTS.items()]))
+def monuments(text: Column, plain: bool = False) -> Column:
+    return F.array_compact(F.array(*[F.when(mentions(text, *names, plain=plain), F.lit(kind)) for kind, names in MONUMENTS.items()]))
 
 
 #: Ways to hold title, each with what a deed says of it (`-`: the beginning of a word).
@@ -189,20 +192,20 @@ VESTING = {
 }
 
 
-def vesting(text: Column) -> Column:
+def vesting(text: Column, plain: bool = False) -> Column:
     """The ways to hold title that a text names, in the order of VESTING; punctuation and `&` only part words.  Null names none."""
-    return F.array_compact(F.array(*[F.when(mentions(text, *names), F.lit(way)) for way, names in VESTING.items()]))
+    return F.array_compact(F.array(*[F.when(mentions(text, *names, plain=plain), F.lit(way)) for way, names in VESTING.items()]))
 
 
-def refers_to_survey(text: Column) -> Column:
+def refers_to_survey(text: Column, plain: bool = False) -> Column:
     """Whether a text leans on an earlier survey or a recorded plat: `plat of`, `surveyed by`, `recorded in`."""
     what, where = ("survey", "surveyed", "plat", "subdivision", "filed", "recorded"), ("by", "of", "in", "under", "at")
-    return mentions(text, *[f"{a} {b}" for a in what for b in where])
+    return mentions(text, *[f"{a} {b}" for a in what for b in where], plain=plain)
 
 
-def has_beginning(text: Column) -> Column:
+def has_beginning(text: Column, plain: bool = False) -> Column:
     """Whether a text names the point at which its boundary begins; also in short, with or without full stops."""
-    return mentions(text, "point of beginning", "point of commencement", "pob", "p o b")
+    return mentions(text, "point of beginning", "point of commencement", "pob", "p o b", plain=plain)
 
 
 def _led_by(text: Column, *leads: str) -> Column:
