@@ -123,11 +123,16 @@ def first_archive(candidates: DataFrame) -> DataFrame:
 
 
 def book_page_cabinets(deeds: DataFrame, parcels: DataFrame) -> DataFrame:
-    """(deed, letter): the cabinets of the parcels that a deed's book and page name; deeds: deed, location."""
+    """(deed, letter): the cabinets of the parcels that a deed's book and page name; deeds: deed, location.
+
+    A page's parcels come down to their set of letters before deeds meet it, so a deed is joined with one row a page.
+    """
     book, page = T.book_page(F.col("location"))
     asked = deeds.select("deed", book.alias("book"), page.alias("page")).filter("book IS NOT NULL")
-    met = asked.join(parcels.select("book", "page", "cab_refs"), ["book", "page"])
-    return met.select("deed", F.explode("cab_refs").alias("__ref")).select("deed", F.upper(F.substring("__ref", 1, 1)).alias("letter")).filter("letter <> ''").distinct()
+    refs = parcels.select("book", "page", F.explode("cab_refs").alias("__ref"))
+    letters = refs.select("book", "page", F.upper(F.substring("__ref", 1, 1)).alias("letter")).filter("letter <> ''").distinct()
+    pages = letters.groupBy("book", "page").agg(F.collect_set("letter").alias("letters"))
+    return asked.join(pages, ["book", "page"]).select("deed", F.explode("letters").alias("letter")).distinct()
 
 
 def discovered(sources: list[tuple[DataFrame, int | None]], per: str = "job", name: str = "name", few: int = 10) -> DataFrame:

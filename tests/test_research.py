@@ -69,3 +69,11 @@ def test_vesting_and_survey_references(spark):
     assert got == [["Joint Tenants", "Husband & Wife"], ["Husband & Wife", "Estate / Heirs"], ["LLC / Corp"], [], [], [], ["Tenants in Common", "Trustee"]]
     refers = spark.createDataFrame([("the plat of Mesa",), ("Recorded  in Book 3",), ("platform of wood",), (None,)], "t string")
     assert [r.v for r in refers.select(T.refers_to_survey(F.col("t")).alias("v")).collect()] == [True, True, False, False]
+
+
+def test_a_page_meets_a_deed_once(spark):
+    parcels = spark.createDataFrame([("1", "2", ["a-1", "B-2"]), ("1", "2", None), ("1", "3", [""])] + [("1", "2", ["A-9"])] * 500, "book string, page string, cab_refs array<string>")
+    deeds = spark.createDataFrame([(7, "M1-2"), (7, "M1-2"), (8, "1-3"), (9, None)], "deed int, location string")
+    found = R.book_page_cabinets(deeds, parcels)
+    assert sorted(map(tuple, found.collect())) == [(7, "A"), (7, "B")]
+    assert "collect_set" in found._jdf.queryExecution().optimizedPlan().toString()
