@@ -9,7 +9,7 @@ from parcelworks.functions import text as T
 from parcelworks.functions.scores import search_relevance
 from parcelworks.operators.matching import beginning_with, containing
 from parcelworks.operators.search import is_deed_type, is_survey_type, text
-from parcelworks.storage import stored
+from parcelworks.storage import stored, tasks_for
 
 #: Points and the most rows of each rule of the cross-reference, and its whole length.
 MAP_PICK, NAME_HITS, PAGE_HITS, CABINET_HITS, CROSS_LIMIT = (100, 1), (10, 10), (50, 5), (30, 5), 30
@@ -354,22 +354,24 @@ def instrument_classes(rows: DataFrame) -> DataFrame:
     return rows.groupBy(F.when(is_deed_type(kind), "deed").when(is_survey_type(kind), "survey").otherwise("other").alias("class")).agg(F.count("*").alias("n"))
 
 
-def session_graph(sessions: DataFrame) -> tuple[DataFrame, DataFrame]:
+def session_graph(sessions: DataFrame, tasks: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Nodes (id, type, name) and edges (src, dst, relationship, seq) of sessions (job_number, client_name, subjects).
 
     Persons are their names' keys.  A client is `client_of` the job, an adjoiner is `adjoiner_in` it and `adjoins` the client.
+    Alike edges are of one job, so they are dealt by jobs to ``tasks`` tasks; by default the sessions are counted for their number.
     """
+    tasks = tasks or tasks_for(sessions.sparkSession, 4 * sessions.count())
     job = F.concat(F.lit("job:"), F.col("job_number"))
     person = lambda name: F.concat(F.lit("person:"), T.person_key(name))
     clients = sessions.filter(F.trim("client_name") != "").select("job_number", job.alias("job"), person(F.col("client_name")).alias("person"), F.col("client_name").alias("name"))
     adjoiners = sessions.select("job_number", job.alias("job"), F.explode("subjects").alias("s")).filter("s.type = 'adjoiner' AND trim(s.name) <> ''")
     adjoiners = adjoiners.select("job_number", "job", person(F.col("s.name")).alias("person"), F.col("s.name").alias("name"))
     people = clients.unionByName(adjoiners).groupBy(F.col("person").alias("id")).agg(F.lit("person").alias("type"), F.min_by("name", F.struct("job_number", "name")).alias("name"))
-    jobs = sessions.select(job.alias("id"), F.lit("job").alias("type"), F.col("job_number").cast("string").alias("name")).distinct()
+    jobs = sessions.select(job.alias("id"), F.lit("job").alias("type"), F.col("job_number").cast("string").alias("name")).repartition(tasks, "name").distinct()
     edge = lambda rows, a, b, kind: rows.select(F.col(a).alias("src"), F.col(b).alias("dst"), F.lit(kind).alias("relationship"), F.col("job_number").alias("seq"))
     both = clients.select("job", F.col("person").alias("__client")).join(adjoiners, "job")
     edges = edge(clients, "person", "job", "client_of").unionByName(edge(adjoiners, "person", "job", "adjoiner_in")).unionByName(edge(both, "__client", "person", "adjoins"))
-    return people.unionByName(jobs), edges.filter("src <> dst").distinct()
+    return people.unionByName(jobs), edges.filter("src <> dst").repartition(tasks, "seq").distinct()
 
 
 def search_persons(nodes: DataFrame, edges: DataFrame, query: str, limit: int = 20) -> DataFrame:

@@ -10,6 +10,7 @@ from parcelworks.functions import scores
 from parcelworks.functions import text as T
 from parcelworks.operators import adjacency, conflicts, matching, research, spatial, stats
 from parcelworks.plans.registry import PARCELS, parcels_like, query, table
+from parcelworks.storage import tasks_for
 
 _OWNED = f"(SELECT pos, upc, book, page, cab, 'OWN' || (pos % 60) || 'X' AS owner FROM {PARCELS})"
 
@@ -218,9 +219,13 @@ def team_members(spark, sf_dir):
 _LINKS = "(SELECT DISTINCT 'person:s' || l_suppkey AS p, 'job:' || l_orderkey AS j FROM lineitem)"
 
 
-def _jobs(spark, sf_dir):
+def _graph(spark, sf_dir):
+    """The graph of lineitem as sessions; its rows, counted by its files' footers, say to how many tasks they are dealt."""
+    lines = table(spark, sf_dir, "lineitem")
+    tasks = tasks_for(spark, lines.count())
     subject = F.struct(F.concat(F.lit("S"), F.col("l_suppkey")).alias("name"), F.lit("adjoiner").alias("type"))
-    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("job_number")).agg(F.lit("Zoe").alias("client_name"), F.collect_list(subject).alias("subjects"))
+    jobs = lines.repartition(tasks, "l_orderkey").groupBy(F.col("l_orderkey").alias("job_number")).agg(F.lit("Zoe").alias("client_name"), F.collect_list(subject).alias("subjects"))
+    return research.session_graph(jobs, tasks)
 
 
 @query(
@@ -229,17 +234,17 @@ def _jobs(spark, sf_dir):
 UNION ALL SELECT 'edge', 'adjoiner_in', count(*) FROM l UNION ALL SELECT 'edge', 'adjoins', count(*) FROM l""",
 )
 def session_graph(spark, sf_dir):
-    return research.graph_counts(*research.session_graph(_jobs(spark, sf_dir)))
+    return research.graph_counts(*_graph(spark, sf_dir))
 
 
 @query("search_persons", f"WITH l AS {_LINKS}, f AS (SELECT DISTINCT p FROM l WHERE contains(p, 's1') ORDER BY p LIMIT 20) SELECT p AS id, 2 * count(*) AS degree FROM f JOIN l USING (p) GROUP BY p")
 def search_persons(spark, sf_dir):
-    return research.search_persons(*research.session_graph(_jobs(spark, sf_dir)), "s1").select("id", "degree")
+    return research.search_persons(*_graph(spark, sf_dir), "s1").select("id", "degree")
 
 
 @query("find_nodes", f"WITH l AS {_LINKS} SELECT 'S' || k AS name, 'person:s' || k AS id FROM (SELECT DISTINCT s_suppkey AS k FROM supplier) WHERE 'person:s' || k IN (SELECT p FROM l)")
 def find_nodes(spark, sf_dir):
-    nodes, _ = research.session_graph(_jobs(spark, sf_dir))
+    nodes, _ = _graph(spark, sf_dir)
     names = table(spark, sf_dir, "supplier").select(F.concat(F.lit("S"), F.col("s_suppkey")).alias("name"))
     return research.find_nodes(nodes, names)
 
@@ -506,7 +511,7 @@ def small_lookups(spark, sf_dir):
 
 @query("jobs_of_persons", f"WITH l AS {_LINKS} SELECT p AS id, j AS job, 'adjoiner_in' AS relationship FROM l WHERE p IN ('person:s1', 'person:s2')")
 def jobs_of_persons(spark, sf_dir):
-    _, edges = research.session_graph(_jobs(spark, sf_dir))
+    _, edges = _graph(spark, sf_dir)
     return research.jobs_of(edges, spark.createDataFrame([("person:s1",), ("person:s2",)], "id string"))
 
 

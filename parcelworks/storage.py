@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: A table of at most so many bytes may be broadcast; beyond it a shuffle does the work.
 BROADCAST_BYTES = 8 << 20
+#: Rows of a task where a step holds all of its rows.
+TASK_ROWS = 250_000
 #: What a column of a row takes in memory at least, by which stored() judges a table.
 COLUMN_BYTES = 8
 
@@ -36,6 +38,11 @@ def stored(frame: DataFrame, what: str) -> DataFrame:
     return out.hint("merge") if out.count() * COLUMN_BYTES * len(out.columns) > BROADCAST_BYTES else out
 
 
+def tasks_for(spark: SparkSession, rows: int) -> int:
+    """How many tasks rows are dealt to so that one's share doesn't grow with them: at least the session's shuffle partitions."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
+
+
 def broadcast_if_small(frame: DataFrame, row_bytes: int, bound: int = BROADCAST_BYTES) -> DataFrame:
     """Mark a stored frame for broadcast if its counted rows fit the bound; else the join shuffles, whatever the size of its files."""
     return F.broadcast(frame) if frame.count() * row_bytes <= bound else frame.hint("merge")

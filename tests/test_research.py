@@ -77,3 +77,14 @@ def test_a_page_meets_a_deed_once(spark):
     found = R.book_page_cabinets(deeds, parcels)
     assert sorted(map(tuple, found.collect())) == [(7, "A"), (7, "B")]
     assert "collect_set" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_session_graph_deals_edges_by_jobs(spark):
+    from parcelworks.storage import TASK_ROWS, tasks_for
+
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert tasks_for(spark, 10) == least and tasks_for(spark, 100 * TASK_ROWS + 1) == 101
+    rows = [(j, "Zoe", [("S1", "adjoiner"), ("S1", "adjoiner"), (f"S{j}", "adjoiner")]) for j in (1, 1, 2)]
+    nodes, edges = R.session_graph(spark.createDataFrame(rows, "job_number int, client_name string, subjects array<struct<name:string,type:string>>"), 7)
+    assert edges.rdd.getNumPartitions() == 7
+    assert sorted((r.kind, r.n) for r in R.graph_counts(nodes, edges).collect()) == [("adjoiner_in", 3), ("adjoins", 3), ("client_of", 2), ("job", 2), ("person", 3)]
