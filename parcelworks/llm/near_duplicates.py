@@ -231,13 +231,16 @@ def links(docs: DataFrame, clusters: DataFrame, per_cent: int = PER_CENT, chunk_
     block = lambda side, *parts: F.struct(F.col("component").alias("c"), F.concat_ws(".", *[F.lit(p) if isinstance(p, str) else p for p in parts]).alias("block"), side.alias("side"))
     own_, tier = F.col("own"), F.col("tier")
     no, yes = F.lit(False), F.lit(True)
+    # d is bound by a function: a second parameter of the lambda would be given the element's place
+    to_group = lambda name, d: F.transform(each(F.col(name)), lambda i: block(no, "g", tier, own_, tier + d, i))
+    to_rest = lambda name, d: F.transform(each(F.col(name)), lambda i: block(yes, "g", tier + d, i, tier, own_))
     rest = F.concat(
         F.transform(each(F.col("rest")), lambda i: block(i < own_, "s", tier, F.least(i, own_), F.greatest(i, own_))),
         F.transform(each(F.col("rest_up")), lambda i: block(no, "n", tier, own_, i)),
         F.transform(each(F.col("rest_down")), lambda i: block(yes, "n", tier - 1, i, own_)),
-        *[F.transform(each(F.col(name)), lambda i, d=d: block(no, "g", tier, own_, tier + d, i)) for name, d in (("group", 0), ("group_up", 1), ("group_down", -1))],
+        *[to_group(name, d) for name, d in (("group", 0), ("group_up", 1), ("group_down", -1))],
     )
-    grouped_ = F.concat(*[F.transform(each(F.col(name)), lambda i, d=d: block(yes, "g", tier + d, i, tier, own_)) for name, d in (("rest", 0), ("rest_up", 1), ("rest_down", -1))])
+    grouped_ = F.concat(*[to_rest(name, d) for name, d in (("rest", 0), ("rest_up", 1), ("rest_down", -1))])
     many = met.withColumn("own", own).select("node", F.when(F.col("grouped"), grouped_).otherwise(rest).alias("blocks")).filter(F.size("blocks") > 0)
     blocks = stored(alone.unionByName(many.select("node", F.coalesce("blocks", none).alias("blocks"))), "blocks").withColumnRenamed("node", "__node")
 

@@ -94,3 +94,16 @@ def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 101), (7, 7), (100, 300), (None, 3)]
     got = {r.node: r.component for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 300: 100}
+
+
+def test_rest_of_a_large_cluster_meets_every_chunk_of_the_group(spark):
+    base = [f"w{i}" for i in range(200)]
+    edited = lambda own, n, places: [f"e{n}x{i}" if i in places else w for i, w in enumerate(own)]
+    rows = [(0, " ".join(base))]
+    for n in range(1, 13):  # n is like the base, 100 + n like n alone
+        one = edited(base, n, (20 + n, 60 + n, 100 + n))
+        rows += [(n, " ".join(one)), (100 + n, " ".join(edited(one, 100 + n, (40 + n, 80 + n, 120 + n))))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    clusters = N.sketches(docs).selectExpr("doc_id AS node", "0L AS component", "n", "sketch")
+    found = {tuple(sorted(r)) for r in N.links(docs, clusters, 85, chunk_docs=4).collect()}
+    assert found == {(0, n) for n in range(1, 13)} | {(n, 100 + n) for n in range(1, 13)}
