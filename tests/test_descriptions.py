@@ -74,3 +74,14 @@ def test_no_nested_loop_without_broadcasts(spark):
     finally:
         spark.conf.set(key, before)
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_what_a_query_lacks_makes_no_pairs(spark, monkeypatch):
+    held = {}
+    monkeypatch.setattr(D, "stored", lambda frame, what: held.setdefault(what, stored(frame, what)))
+    rows = [(i, i, f"mesa river T21N R13E CAB A-{i}") for i in range(200)]
+    frame = spark.createDataFrame(rows, "id long, pos long, description string")
+    queries = spark.createDataFrame([(1, "mesa river T21N R13E")], "query_id long, query string")
+    got = D.similar_descriptions_each(frame, queries, "id", "query_id", limit=3).collect()
+    assert sorted((r.id, r.nth) for r in got) == [(0, 1), (1, 2), (2, 3)]
+    assert held["pairs"].count() == 1
