@@ -8,26 +8,31 @@ from __future__ import annotations
 
 import re
 import struct
+from codecs import charmap_decode
 from functools import lru_cache
 
 #: Pre-tokens of a generation of one Python worker's cache; the last one and the one before are held.  It only saves time.
 CACHED = 120_000
 
-#: The public pattern `'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+` for texts in which
-#: Python's classes mean the same: see _UNUSUAL.
-_SPLIT = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+#: The public pattern `'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+` for texts without
+#: _UNUSUAL characters.  The classes are written as ranges, which take half the time of \w and \d.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ƺ"
+_OTHERS = r"\x00-\x08\x0e-\x1b!-/:-@\[-`{-~\xa1\xa7\xab\xb6\xb7\xbb\xbf\xd7\xf7‐-‧‰-‾€"
+_SPLIT = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{_LETTERS}]+| ?[0-9]+| ?[{_OTHERS}]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
 #: Characters outside ASCII text, Latin letters and common punctuation; \x1c-\x1f are blanks for Python alone.
 _UNUSUAL = re.compile(r"[^\x00-\x1b\x20-\x7e\xa1\xa7\xab\xb6\xb7\xbb\xbf-ƺ‐-‧‰-‾€]")
 
 
-def _shown() -> dict[int, str]:
+def _shown() -> str:
     """Byte-level BPE names each byte by a printable character: itself, or the next free one from U+0100 on."""
     own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     rest = [b for b in range(256) if b not in own]
-    return {b: chr(256 + i) for i, b in enumerate(rest)}
+    return "".join(chr(b) if b in own else chr(256 + rest.index(b)) for b in range(256))
 
 
 _SHOWN = _shown()
+#: Packs ids, by their number.
+_PACKED = [struct.Struct(f"<{n}I").pack for n in range(64)]
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -67,8 +72,8 @@ class Encoder:
         for p in set(pretokens).difference(cache):
             known = older.get(p)
             if known is None:
-                ids = [t.id for t in tokenize(p.encode().decode("latin-1").translate(_SHOWN))]
-                known = struct.pack(f"<{len(ids)}I", *ids)
+                ids = [t.id for t in tokenize(charmap_decode(p.encode(), "strict", _SHOWN)[0])]
+                known = _PACKED[len(ids)](*ids) if len(ids) < len(_PACKED) else struct.pack(f"<{len(ids)}I", *ids)
             cache[p] = known
 
     def forget(self) -> None:

@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 from collections import Counter
 from zlib import crc32
 
@@ -121,3 +122,42 @@ def test_edges(spark):
     docs = spark.createDataFrame([(1, None, 0), (2, "", 0), (3, "a" * 100 + " bc def" * 3000, 1), (4, "<|endoftext|>", 2), (5, "hello <|endoftext|> world<|endoftext|>\n x", 2), (6, " <|endof text|> é<|endoftext|", 2)], "doc_id long, text string, part int").repartition(3)
     check_packing(P.packed(docs).collect(), {r.doc_id: r.text for r in docs.collect()})
     assert P.packed(docs.limit(0)).count() == 0
+
+
+def test_pretokens_of_all_usual_characters():
+    coder = T.encoder(T.tokenizer_path())
+    usual = [c for c in map(chr, range(0xD800)) if not T._UNUSUAL.match(c)]
+    assert len(usual) > 400
+    for c in usual:
+        for text in (c, f"a{c}b", f" {c}1", f"'{c}{c} s", f"{c}  {c}x", f"_{c}\n{c}"):
+            assert coder.pretokens(text) == [text[a:b] for _, (a, b) in coder.tokenizer.pre_tokenizer.pre_tokenize_str(text)], text
+            assert coder.ids(text) == np.array(coder.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
+
+
+def test_the_model_takes_most_of_the_time_of_new_pretokens():
+    rng = random.Random(3)
+    words = [" " + "".join(rng.choice("etaoinsrhldéü") for _ in range(rng.randint(6, 12))) for _ in range(20_000)]
+
+    def seconds(work):
+        took = []
+        for _ in range(4):
+            began = time.process_time()
+            work()
+            took.append(time.process_time() - began)
+        return min(took)
+
+    model, shown = T.Encoder(T.tokenizer_path()).model, [w.encode().decode("latin-1").translate({0x20: "Ġ"}) for w in words]
+    alone = seconds(lambda: [[t.id for t in model.tokenize(w)] for w in shown])
+    coder, three = T.Encoder(T.tokenizer_path()), model.tokenize(" zqx")[:3]
+
+    class Given:
+        def tokenize(self, shown):
+            return three
+
+    coder.model = Given()
+
+    def learnt():
+        coder.forget()
+        coder.ids("".join(words))
+
+    assert seconds(learnt) < 1.25 * alone  # all but the model's own work
