@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from parcelworks.functions.text import found, let
 from parcelworks.operators.matching import containing
-from parcelworks.storage import stored
+from parcelworks.storage import broadcast_if_small, stored, tasks_for
 
 #: Misread words and what they stand for.
 MISREAD = {
@@ -297,30 +297,71 @@ def page_keys(cabinet: Column, file: Column) -> Column:
     return F.when(F.length(name) > 0, F.array_distinct(F.flatten(pieces))).otherwise(F.array().cast("array<string>"))
 
 
+#: Files and requests of one key that meet at once, about.
+BLOCK_ROWS = 2000
+#: Pairs of a file and a request that count as one row where tasks are dealt out: they are made and passed on, not held.
+PAIRS_A_ROW = 16
+
+
 def search_cabinet(files: DataFrame, requests: DataFrame) -> DataFrame:
     """Files for requests (request, cabinet, doc, grantor, grantee): by document number, else by name, else by page reference.
 
     Adds strategy, weight and nth, the place within the request, best first.  A request with a hit by number gets no others; a file
-    that has a variant of a name in it is no page hit.  Numbers and pages are equi-joins with the cabinet; the variants are looked
-    up in an index of the cabinet's names, so a request doesn't meet all files of its cabinet.  Requests without a cabinet find nothing.
+    that has a variant of a name in it is no page hit.  Requests without a cabinet find nothing.  Rows of one request and cabinet count
+    as one request with all their numbers, pages and names.
+
+    What is found may grow with files times requests, so a pair is made last and never shuffled.  The variants are looked up in
+    an index of the cabinet's names, and each file gets those that stand in it.  A file then has keys (number, variant or page), and each
+    variant goes with the better ones of the same file, each page with all of them: a request that has one of those gets the file by a better
+    key, and so every pair comes from one key alone.  Requests that ask alike are one row till the end.  Keys with many files or requests are
+    dealt out in blocks.
     """
+    spark, none = files.sparkSession, F.array().cast("array<string>")
     own = stored(files.withColumn("__row", F.monotonically_increasing_id()), "files")
     people = F.array_compact(F.array("grantor", "grantee"))
     asked = requests.select(
-        "request", "cabinet", F.lower(F.trim(F.coalesce("doc", F.lit("")))).alias("__doc"), F.array_distinct(F.flatten(F.transform(people, name_variants))).alias("__variants"),
-        F.array_distinct(F.filter(F.flatten(F.transform(people, lambda p: F.split(normal_name(p), r"[\s,]+"))), lambda w: (F.length(w) >= 3) & ~w.isin(*PARTICLES))).alias("__words"),
-    ).withColumn("__number", F.regexp_replace("__doc", "[^0-9]", ""))
-    by_number = own.join(asked.filter("__number <> ''").select("request", "cabinet", F.col("__number").alias("doc_number")), ["cabinet", "doc_number"])
-    by_number = stored(by_number.select("request", "__row", F.lit("doc_number").alias("strategy"), F.lit(1000).alias("weight")), "by-number")
-    rest = asked.join(by_number.select("request").distinct(), "request", "left_anti")
-    variants = rest.select("request", "cabinet", "__words", F.explode("__variants").alias("__variant"))
-    names = own.select("cabinet", "__row", "name_norm", F.explode(F.array_distinct(F.array("file_norm", "name_norm"))).alias("__form"))
-    met = containing(names, "__form", variants.select("cabinet", "__variant").distinct(), "__variant", by=("cabinet",))
-    hits = variants.join(met, ["cabinet", "__variant"]).groupBy("request", "__row").agg(F.max(F.length("__variant")).alias("__long"), F.first("__words").alias("__words"), F.first("name_norm").alias("name_norm"))
-    by_name = hits.select("request", "__row", F.lit("name_match").alias("strategy"), (F.col("__long") + token_overlap(F.col("__words"), F.col("name_norm"))).cast("int").alias("weight"))
-    pages = own.select("cabinet", "__row", F.explode(page_keys(F.col("cabinet"), F.col("file"))).alias("__doc")).join(rest.filter("__doc <> ''").select("request", "cabinet", "__doc"), ["cabinet", "__doc"])
-    by_page = pages.select("request", "__row").join(by_name.select("request", "__row"), ["request", "__row"], "left_anti").select("request", "__row", F.lit("page_ref").alias("strategy"), F.lit(0).alias("weight"))
-    found = own.join(by_number.unionByName(by_name).unionByName(by_page), "__row")
-    order = F.when(F.col("strategy") == "doc_number", 0).when(F.col("strategy") == "name_match", 1).otherwise(2)
-    nth = F.row_number().over(Window.partitionBy("request").orderBy(order, F.desc("weight"), "file", "__row"))
+        "request", "cabinet", F.lower(F.trim(F.coalesce("doc", F.lit("")))).alias("__doc"), F.flatten(F.transform(people, name_variants)).alias("__variants"),
+        F.filter(F.flatten(F.transform(people, lambda p: F.split(normal_name(p), r"[\s,]+"))), lambda w: (F.length(w) >= 3) & ~w.isin(*PARTICLES)).alias("__words"),
+    ).filter("cabinet IS NOT NULL")
+    every = lambda c: F.array_distinct(F.flatten(F.collect_list(c))).alias(c)
+    asked = stored(asked.groupBy("request", "cabinet").agg(F.collect_list("__doc").alias("__docs"), every("__variants"), every("__words")), "cabinet-requests")
+    numbers = asked.select("request", "cabinet", F.explode("__docs").alias("__doc")).select("request", "cabinet", F.regexp_replace("__doc", "[^0-9]", "").alias("doc_number")).filter("doc_number <> ''")
+    served = numbers.join(own.select("cabinet", "doc_number"), ["cabinet", "doc_number"], "left_semi").select("request").distinct()
+    rest = stored(asked.join(served, "request", "left_anti"), "cabinet-rest")
+
+    names = F.when(F.contains("file_norm", "name_norm"), F.array("file_norm")).otherwise(F.array("file_norm", "name_norm"))
+    variants = rest.select("cabinet", F.explode("__variants").alias("__variant")).distinct()
+    met = containing(own.select("cabinet", "__row", F.explode(names).alias("__form")), "__form", variants, "__variant", by=("cabinet",))
+    held = met.groupBy("__row").agg(F.collect_set("__variant").alias("__held"))
+    known = own.join(held, "__row", "left").withColumn("__held", F.coalesce("__held", none)).withColumn("__pages", page_keys(F.col("cabinet"), F.col("file")))
+    known = stored(known, "cabinet-files")
+
+    def keyed(kind: int, value: Column, barred: Column) -> Column:
+        return F.struct(F.lit(kind).alias("__kind"), value.alias("__key"), barred.alias("__barred"))
+
+    better = lambda v: F.filter("__held", lambda h: (F.length(h) > F.length(v)) | ((F.length(h) == F.length(v)) & (h < v)))
+    keys = F.concat(F.array(keyed(0, F.col("doc_number"), none)), F.transform("__held", lambda v: keyed(1, v, better(v))), F.transform("__pages", lambda p: keyed(2, p, F.col("__held"))))
+    listed = known.select(*files.columns, "__row", F.inline(keys)).filter("cabinet IS NOT NULL AND __key <> ''")
+    wanted = numbers.select("request", "cabinet", F.lit(0).alias("__kind"), F.col("doc_number").alias("__key"), none.alias("__variants"), none.alias("__words"))
+    wanted = wanted.unionByName(rest.select("request", "cabinet", F.lit(1).alias("__kind"), F.explode("__variants").alias("__key"), "__variants", "__words"))
+    wanted = wanted.unionByName(rest.select("request", "cabinet", F.lit(2).alias("__kind"), F.explode("__docs").alias("__key"), "__variants", none.alias("__words")).filter("__key <> ''"))
+
+    key = ["cabinet", "__kind", "__key"]
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK_ROWS).cast("int")
+    sizes = wanted.groupBy(*key).agg(F.count("*").alias("__r"))
+    sizes = stored(known.select("cabinet", "__row", F.inline(keys)).groupBy(*key).agg(F.count("*").alias("__f")).join(sizes, key), "cabinet-keys")
+    pairs = sizes.agg(F.coalesce(F.sum(F.col("__f") * F.col("__r")), F.lit(0))).first()[0]
+    sizes = broadcast_if_small(sizes.select(*key, blocks("__f").alias("__fs"), blocks("__r").alias("__rs")), 64)
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    listed = listed.join(sizes, key).withColumn("__a", dealt("__row", "__fs")).withColumn("__b", spread("__rs")).drop("__fs", "__rs")
+    alike = wanted.join(sizes, key).withColumn("__b", dealt("request", "__rs")).groupBy(*key, "__variants", "__words", "__b", "__fs").agg(F.collect_list("request").alias("__requests"))
+    alike = alike.withColumn("__a", spread("__fs")).drop("__fs")
+
+    on, tasks = [*key, "__a", "__b"], tasks_for(spark, pairs // PAIRS_A_ROW)
+    found = listed.repartition(tasks, *on).join(alike.repartition(tasks, *on).hint("merge"), on).filter(~F.arrays_overlap("__barred", "__variants"))
+    kind = F.col("__kind")
+    weight = F.when(kind == 0, 1000).when(kind == 1, F.length("__key") + token_overlap(F.col("__words"), F.col("name_norm"))).otherwise(0).cast("int")
+    found = found.withColumn("weight", weight).withColumn("strategy", F.when(kind == 0, "doc_number").when(kind == 1, "name_match").otherwise("page_ref")).withColumn("request", F.explode("__requests"))
+    nth = F.row_number().over(Window.partitionBy("request").orderBy(kind, F.desc("weight"), "file", "__row"))
     return found.select("request", *files.columns, "strategy", "weight", nth.alias("nth"))

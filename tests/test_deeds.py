@@ -50,3 +50,28 @@ def test_cabinet(spark):
     files = D.cabinet_files(spark.createDataFrame([("C", "195554.001 Adela Rael.PDF", "/1"), ("C", "2 Jose Peña.pdf", "/2"), ("C", "plat C-191A.pdf", "/3"), ("B", "195554 x.pdf", "/4"), ("C", "note.txt", "/5")], "cabinet string, file string, path string"))
     asked = spark.createDataFrame([(1, "C", "195554", "Pena", None), (2, "C", None, "PENA, JOSE", None), (3, "C", "191A", None, None), (4, "C", None, None, None)], "request int, cabinet string, doc string, grantor string, grantee string")
     assert [(r.request, r.path, r.strategy) for r in D.search_cabinet(files, asked).collect()] == [(1, "/1", "doc_number"), (2, "/2", "name_match"), (3, "/3", "page_ref")]
+
+
+def _shuffled_rows(spark):
+    """Rows that the session has written to shuffles till now."""
+    jvm, none = spark._jvm, spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, none, jvm.java.util.ArrayList())
+    return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in (stages.apply(i) for i in range(stages.size()))}
+
+
+def test_cabinet_pairs_are_not_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(D, "BLOCK_ROWS", 100, raising=False)
+    listing = spark.range(600).selectExpr("'C' AS cabinet", "concat(1000 + id, '.001 Adela Rael ', CASE WHEN id % 3 = 0 THEN 'Luna' ELSE 'Vigil' END, ' C-', id % 2, '.pdf') AS file", "concat('/', id) AS path")
+    asked = spark.range(300).selectExpr(
+        "id AS request", "'C' AS cabinet", "CASE WHEN id % 10 = 0 THEN '0' WHEN id = 7 THEN '1007' END AS doc",
+        "CASE WHEN id % 10 = 0 THEN 'Luna, Adela' ELSE 'Rael, Adela' END AS grantor", "CAST(NULL AS string) AS grantee",
+    )
+    before = _shuffled_rows(spark)
+    found = D.search_cabinet(D.cabinet_files(listing), asked).select("request", "path", "strategy", "weight").collect()
+    shuffled = sum(n for s, n in _shuffled_rows(spark).items() if s not in before)
+    # "Adela Rael" in all 600 for 269 requests, one by its number, 30 by "Luna" or "Adela": no page is left
+    want = {(r, f"/{f}"): ("name_match", len("adela rael") + 100) for r in range(300) if r % 10 and r != 7 for f in range(600)}
+    want |= {(r, f"/{f}"): ("name_match", len("adela") + (100 if f % 3 == 0 else 50)) for r in range(0, 300, 10) for f in range(600)}
+    want[(7, "/7")] = ("doc_number", 1000)
+    assert len(found) == len(want) and {(r.request, r.path): (r.strategy, r.weight) for r in found} == want
+    assert shuffled < len(found) / 2
